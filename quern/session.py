@@ -9,6 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_LOCAL: dict[str, str] = {}  # the folder of a local master without the setting
+
+
 def local_session(cores: int | str = "*", app: str = "quern") -> SparkSession:
     """A session for one machine: tests and bench.py. Clusters bring their own."""
     return (
@@ -36,14 +39,12 @@ def shared_dir(spark: SparkSession) -> str:
     folder. On a cluster a missing setting is an error, since a machine-local
     folder would lose files with its executor.
     """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    found = tempfile.mkdtemp(prefix="spark-quern-")
-    spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    return _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="spark-quern-") if "dir" not in _LOCAL else "")
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
