@@ -1,9 +1,20 @@
 """The registered queries of the corpus operators, and DuckDB SQL where SQL can express them."""
 
-from quern.llm import exact_dedup, simhash
+import public_tokenizers
+
+from quern.llm import chat_format, contamination, exact_dedup, quality, simhash, token_counts
 from quern.session import table
 
 
+def op1_benchmark_decontamination(spark, sf_dir):
+    return contamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_quality_classifier(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -12,16 +23,49 @@ def op8_exact_dedup(spark, sf_dir):
     return exact_dedup.duplicate_decisions(table(spark, sf_dir, "documents"))
 
 
+def op9_token_counts(spark, sf_dir):
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op10_chat_format(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    said = r"\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat_format.read_back(chat_format.format_conversations(turns.select(more.columns).union(more)), in_order=True)
+
+
 OP8_SQL = """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
+# Each turn is <turn>role<says>text</turn> and a newline; a backslash stands before
+# every backslash and control string inside role and text.
+OP10_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(20 + length(regexp_replace(role, '(\\|<turn>|<says>|</turn>)', '\\\1', 'g'))
+                   + length(regexp_replace(text, '(\\|<turn>|<says>|</turn>)', '\\\1', 'g'))) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id
+"""
+
 QUERIES = {
+    "op1_benchmark_decontamination": op1_benchmark_decontamination,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_token_counts": op9_token_counts,
+    "op10_chat_format": op10_chat_format,
 }
 ORACLE_SQL = {
     "op8_exact_dedup": OP8_SQL,
+    "op10_chat_format": OP10_SQL,
 }
