@@ -161,3 +161,21 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
     kind = docs.schema[id_col].dataType.simpleString()
     scored = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def keep_accepted(docs: DataFrame, weights: np.ndarray, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of `docs` whose score reaches the threshold, with their columns. Every row
+    is judged by itself, whatever its id; a null text is judged as an empty one."""
+    model = docs.sparkSession.sparkContext.broadcast(weights)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make, w = Features((len(model.value) - 1).bit_length() - 1), model.value
+        for batch in batches:
+            keep = np.empty(batch.num_rows, bool)
+            for k, text in enumerate(batch.column(at)):
+                index, value = make(text.as_py())
+                keep[k] = 1 / (1 + np.exp(-np.clip(w[index] @ value + w[-1], -35, 35))) >= threshold
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

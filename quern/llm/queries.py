@@ -1,8 +1,10 @@
 """The registered queries of the corpus operators, and DuckDB SQL where SQL can express them."""
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from quern.llm import chat_format, contamination, exact_dedup, quality, simhash, token_counts
+from quern.llm import chat_format, contamination, exact_dedup, license_scan, line_dedup, mixing, quality, simhash, token_counts, url_filter
+from quern.llm.license_texts import EQUIVALENT, KNOWN
 from quern.session import table
 
 
@@ -10,6 +12,10 @@ def op1_benchmark_decontamination(spark, sf_dir):
     return contamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_license_scan(spark, sf_dir):
+    return license_scan.license_scan(table(spark, sf_dir, "documents"), license_scan.known_licenses(spark))
+
+
 def op3_quality_classifier(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -19,6 +25,45 @@ def op4_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark, sf_dir):
+    """Documents with their source as the host."""
+    clean = line_dedup.drop_boilerplate(table(spark, sf_dir, "documents"))
+    return clean.select("doc_id", "n_lines", "n_dropped", F.length("text").alias("clean_chars"), F.sha2("text", 256).alias("clean_sha256"))
+
+
+def captures(pages):
+    """Pages with a fetch time of their own within 2024."""
+    minutes = F.make_interval(mins=(F.col("page_id") * 7919 % 525600).cast("int"))
+    return pages.select("page_id", "url", (F.lit("2024-01-01").cast("timestamp") + minutes).alias("fetched_at"))
+
+
+def list_entries(pages):
+    """A dated blocklist over the sites of the pages: some are listed, taken off and, half
+    of them, listed again; one language section of some others is listed."""
+    host = url_filter.host_of(F.col("url"))
+    sites = pages.select(F.regexp_replace(host, r"^(www|m|blog)\.", "").alias("site"), host.alias("host")).filter("site != ''").distinct()
+    code = F.conv(F.substring(F.md5("site"), 1, 4), 16, 10).cast("int")
+    day = lambda n: (F.lit("2024-01-01").cast("timestamp") + F.make_interval(days=n))
+    sites = sites.withColumn("code", code)
+    listed, first = F.col("code") % 4 == 0, (F.col("code") % 200).cast("int")
+    parts = [
+        sites.filter(listed).select(F.col("site").alias("pattern"), F.lit("add").alias("action"), day(first).alias("at")),
+        sites.filter(listed).select("site", F.lit("remove"), day(first + 60)),
+        sites.filter(listed & (F.col("code") % 8 == 0)).select("site", F.lit("add"), day(first + 110)),
+        sites.filter(F.col("code") % 4 == 1).select(F.concat("host", F.lit("/en")), F.lit("add"), day(first)),
+    ]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
+def op6_url_filter(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.url_filter(captures(pages), list_entries(pages))
+
+
+def op7_source_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"), mixing.PRODUCTION)
+
+
 def op8_exact_dedup(spark, sf_dir):
     return exact_dedup.duplicate_decisions(table(spark, sf_dir, "documents"))
 
@@ -34,6 +79,61 @@ def op10_chat_format(spark, sf_dir):
     return chat_format.read_back(chat_format.format_conversations(turns.select(more.columns).union(more)), in_order=True)
 
 
+def _literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _canonical(text: str) -> str:
+    out = rf"regexp_replace(lower({text}), '(^|\n)[^\p{{L}}\p{{N}}\n©]*(copyright|\(c\)|©|all rights reserved)[^\n]*', chr(10), 'g')"
+    for written, read in EQUIVALENT:
+        out = f"replace({out}, {_literal(written)}, {_literal(read)})"
+    return rf"trim(regexp_replace({out}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+
+
+OP2_SQL = f"""
+WITH known AS (SELECT min(license) AS license, form FROM (
+       SELECT license, {_canonical("text")} AS form FROM (VALUES {", ".join(f"({_literal(a)}, {_literal(b)})" for a, b in KNOWN)}) v(license, text)) GROUP BY form),
+units AS (SELECT doc_id, TRUE AS whole, text FROM documents
+          UNION ALL SELECT doc_id, FALSE, unnest(string_split(text, chr(10))) FROM documents),
+found AS (SELECT doc_id, min(license) FILTER (whole) AS license, count(*) FILTER (NOT whole) AS n_notices,
+                 array_to_string(list_sort(list_distinct(list(license) FILTER (NOT whole))), ',') AS notices
+          FROM (SELECT doc_id, whole, {_canonical("text")} AS form FROM units WHERE text != '') u JOIN known USING (form) GROUP BY doc_id)
+SELECT d.doc_id, license, coalesce(notices, '') AS notices, coalesce(n_notices, 0) AS n_notices
+FROM documents d LEFT JOIN found USING (doc_id)
+"""
+
+OP5_SQL = """
+WITH lines AS (SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                      generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS k FROM documents),
+pages AS (SELECT source, count(*) AS pages FROM documents GROUP BY source HAVING count(*) >= 20),
+bad AS (SELECT source, trim(line) AS line FROM lines JOIN pages USING (source) WHERE trim(line) != ''
+        GROUP BY source, trim(line), pages HAVING count(DISTINCT doc_id) > 0.05 * pages),
+marked AS (SELECT l.*, b.line IS NOT NULL AS bad FROM lines l LEFT JOIN bad b ON l.source = b.source AND trim(l.line) = b.line),
+clean AS (SELECT doc_id, CAST(count(*) AS INTEGER) AS n_lines, CAST(count(*) FILTER (bad) AS INTEGER) AS n_dropped,
+                 coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT bad), '') AS text FROM marked GROUP BY doc_id)
+SELECT doc_id, n_lines, n_dropped, CAST(length(text) AS INTEGER) AS clean_chars, sha256(text) AS clean_sha256 FROM clean
+"""
+
+OP6_SQL = r"""
+WITH captures AS (
+  SELECT page_id, url, TIMESTAMP '2024-01-01' + to_minutes(CAST(page_id * 7919 % 525600 AS BIGINT)) AS fetched_at,
+         lower(coalesce(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '')) AS host,
+         regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+sites AS (SELECT *, ('0x' || substr(md5(site), 1, 4))::INTEGER AS code FROM
+           (SELECT DISTINCT regexp_replace(host, '^(www|m|blog)\.', '') AS site, host FROM captures WHERE host != '')),
+entries AS (
+  SELECT DISTINCT site AS pattern, code % 200 AS a, code % 200 + 60 AS z FROM sites WHERE code % 4 = 0
+  UNION ALL SELECT DISTINCT site, code % 200 + 110, NULL FROM sites WHERE code % 8 = 0
+  UNION ALL SELECT DISTINCT host || '/en', code % 200, NULL FROM sites WHERE code % 4 = 1),
+spans AS (SELECT pattern, TIMESTAMP '2024-01-01' + to_days(a) AS valid_from, TIMESTAMP '2024-01-01' + to_days(z) AS valid_to FROM entries),
+hits AS (
+  SELECT page_id, pattern, valid_from, row_number() OVER (PARTITION BY page_id ORDER BY length(pattern) DESC, pattern DESC) AS r
+  FROM captures JOIN spans ON (host = pattern OR ends_with(host, '.' || pattern) OR starts_with(host || path || '/', pattern || '/') AND contains(pattern, '/'))
+   AND fetched_at >= valid_from AND (valid_to IS NULL OR fetched_at < valid_to))
+SELECT c.page_id, host, fetched_at, pattern IS NOT NULL AS blocked, pattern, valid_from AS listed_since
+FROM captures c LEFT JOIN hits h ON c.page_id = h.page_id AND r = 1
+"""
+
 OP8_SQL = """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -59,13 +159,20 @@ FROM turns GROUP BY conv_id
 
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
+    "op2_license_scan": op2_license_scan,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_line_dedup": op5_line_dedup,
+    "op6_url_filter": op6_url_filter,
+    "op7_source_mixing": op7_source_mixing,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_chat_format": op10_chat_format,
 }
 ORACLE_SQL = {
+    "op2_license_scan": OP2_SQL,
+    "op5_line_dedup": OP5_SQL,
+    "op6_url_filter": OP6_SQL,
     "op8_exact_dedup": OP8_SQL,
     "op10_chat_format": OP10_SQL,
 }
