@@ -1,5 +1,9 @@
 """Every registered query of the library with its DuckDB twin."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from quern.plans import (  # noqa: F401  importing registers
+    text_queries,
+    retrieval_queries,
+)
+from quern.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
+
 FLAGSHIP = "hybrid_search"
