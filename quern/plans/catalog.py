@@ -2,6 +2,7 @@
 
 from quern.plans import (  # noqa: F401  importing registers
     text_queries,
+    pipeline_queries,
     retrieval_queries,
 )
 from quern.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
