@@ -1,6 +1,7 @@
 """Every registered query of the library with its DuckDB twin."""
 
 from quern.plans import (  # noqa: F401  importing registers
+    table_queries,
     text_queries,
     pipeline_queries,
     retrieval_queries,
