@@ -56,7 +56,8 @@ def first_by_signature(chunks: DataFrame, text_col: str = "text", id_col: str =
 
 def _per_query(candidates: DataFrame, by: str, choose: Callable[[list[float], list[set], list[str]], list[int]], text_col: str) -> DataFrame:
     """rank from 1 for the candidates that `choose` picks; candidates come best first."""
-    at = candidates.select(by, "doc_id", "score", text_col, T.token_set(F.col(text_col)).alias("tokens"), T.normalise(F.col(text_col)).alias("norm"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    at = candidates.select(by, "doc_id", "score", T.token_set(text).alias("tokens"), T.normalise(text).alias("norm"))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["score", "doc_id"], ascending=[False, True], ignore_index=True)
