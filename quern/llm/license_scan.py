@@ -16,13 +16,14 @@ from pyspark.sql import functions as F
 from quern.llm.license_texts import EQUIVALENT, KNOWN
 
 BROADCAST_ROWS = 100_000  # known digests (under 20 MB) that are broadcast; a larger table is shuffled
-_COPYRIGHT_LINE = r"(^|\n)[^\p{L}\p{N}\n©]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+#: A line that names a holder or a year; a licence's own line may begin with "copyright notice".
+COPYRIGHT_LINE = r"(^|\n)[^\p{L}\p{N}\n©(]*(copyright[ \t]*(\(c\)|©|by |[0-9:])|(\(c\)|©)[ \t]*[0-9]|all rights reserved)[^\n]*"
 
 
 def canonical(text: Column) -> Column:
     """Lower case, without copyright lines, with one spelling of each equivalent, and with
     one space for every run of anything but letters and digits."""
-    plain = F.regexp_replace(F.lower(text), _COPYRIGHT_LINE, "\n")
+    plain = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "\n")
     plain = reduce(lambda t, pair: F.replace(t, F.lit(pair[0]), F.lit(pair[1])), EQUIVALENT, plain)
     return F.trim(F.regexp_replace(plain, r"[^\p{L}\p{N}]+", " "))
 

@@ -84,7 +84,7 @@ def _literal(text: str) -> str:
 
 
 def _canonical(text: str) -> str:
-    out = rf"regexp_replace(lower({text}), '(^|\n)[^\p{{L}}\p{{N}}\n©]*(copyright|\(c\)|©|all rights reserved)[^\n]*', chr(10), 'g')"
+    out = f"regexp_replace(lower({text}), {_literal(license_scan.COPYRIGHT_LINE)}, chr(10), 'g')"
     for written, read in EQUIVALENT:
         out = f"replace({out}, {_literal(written)}, {_literal(read)})"
     return rf"trim(regexp_replace({out}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
