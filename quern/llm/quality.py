@@ -141,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         .mapInArrow(features, f"doc_id {kind}, label double, index array<int>, value array<float>")
     )
     model = made.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "label", "index").mapInArrow(learn, "w array<float>").collect()
-    return np.array(model[0]["w"], np.float32)
+    return np.array(model[0]["w"], np.float32) if model else np.zeros((1 << bits) + 1, np.float32)
 
 
 def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
