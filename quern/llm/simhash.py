@@ -76,14 +76,15 @@ def covering_masks(free: int = (1 << BITS) - 1, radius: int = RADIUS) -> list[in
     return [sum(1 << b for k, b in enumerate(bits) if ((k % len(vectors) + 1) & v).bit_count() & 1) for v in vectors]
 
 
-def table_masks(level: int, radius: int = RADIUS) -> list[int]:
-    """Masks by table number. Level 0 has 2^(radius+1)-1 tables; table t of a level
-    leads to tables t*(2^(radius+1)-1)+k of the next, which keep its bits and cover
-    the ones it leaves free."""
-    masks = covering_masks(radius=radius)
-    for _ in range(level):
-        masks = [m | more for m in masks for more in covering_masks(~m & (1 << BITS) - 1, radius)]
-    return masks
+def table_mask(level: int, table: int, radius: int = RADIUS) -> int:
+    """The mask of a table. Level 0 has 2^(radius+1)-1 tables; table t of a level leads to
+    tables t*(2^(radius+1)-1)+k of the next, which keep its bits and cover the ones it
+    leaves free."""
+    if level == 0:
+        return covering_masks(radius=radius)[table]
+    above, k = divmod(table, (1 << (radius + 1)) - 1)
+    mask = table_mask(level - 1, above, radius)
+    return mask | covering_masks(~mask & (1 << BITS) - 1, radius)[k]
 
 
 def _star(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,9 +100,18 @@ def _star(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return fps[other], fps[label[other]]
 
 
-def _pair_buckets(radius: int, most: int):
+SURE = 8  # free bits that leave a bucket so few members, 2^SURE, that it is always paired
+
+
+def _pair_buckets(radius: int, most: int, level: int):
     """Over rows sorted by (tab, key, fp): rows (a, b, -1) are links; rows (fp, fp, tab)
     are the members of a bucket that is too large and is to be hashed again."""
+    limits: dict[int, int] = {}
+
+    def limit(table: int) -> int:
+        if table not in limits:
+            limits[table] = most if BITS - table_mask(level, table, radius).bit_count() > SURE else max(most, 1 << SURE)
+        return limits[table]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tab = key = fp = np.empty(0, np.int64)
@@ -117,7 +127,7 @@ def _pair_buckets(radius: int, most: int):
                 for k in np.flatnonzero((ends - starts > 1) | (np.arange(len(starts)) == last) | (np.arange(len(starts)) == 0)):
                     a, b = starts[k], ends[k]
                     me = (int(tab[a]), int(key[a]))
-                    if over == me or b - a > most:
+                    if over == me or b - a > limit(me[0]):
                         out.append((fp[a:b], fp[a:b], tab[a:b]))
                         over = me
                         if k == last:
@@ -144,15 +154,31 @@ def _with_end(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame | None]:
     yield None
 
 
+def _hash_again(radius: int, level: int):
+    """Members (fp, tab) of large buckets of the level before, under each child table of `level`."""
+    children, masks = (1 << (radius + 1)) - 1, {}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for tab, part in batch.groupby("tab")["fp"]:
+                fp = part.to_numpy(np.int64)
+                for child in range(tab * children, (tab + 1) * children):
+                    if child not in masks:
+                        masks[child] = _signed(table_mask(level, child, radius))
+                    yield pd.DataFrame({"tab": np.full(len(fp), child, np.int32), "key": fp & masks[child], "fp": fp})
+
+    return run
+
+
 def near_links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """Links (a, b) that connect all distinct values of column fp within the radius:
     a and b are in one component of the result exactly if they are in one of the
     graph of all pairs within the radius."""
     found, level = [], 0
-    rows = fps.select(F.explode(F.array(*[F.struct(F.lit(t).alias("tab"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key"), "fp") for t, m in enumerate(table_masks(0, radius))])).alias("x")).select("x.*")
+    rows = fps.select(F.explode(F.array(*[F.struct(F.lit(t).alias("tab"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key"), "fp") for t, m in enumerate(covering_masks(radius=radius))])).alias("x")).select("x.*")
     while True:
         out = materialise(
-            rows.repartition("tab", "key").sortWithinPartitions("tab", "key", "fp").mapInPandas(_pair_buckets(radius, bucket), "a long, b long, tab int"),
+            rows.repartition("tab", "key").sortWithinPartitions("tab", "key", "fp").mapInPandas(_pair_buckets(radius, bucket, level), "a long, b long, tab int"),
             f"simhash-links-{level}",
         )
         found.append(out.filter("tab < 0").select("a", "b"))
@@ -160,12 +186,7 @@ def near_links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Da
         if more.isEmpty():
             break
         level += 1
-        children = (1 << (radius + 1)) - 1
-        masks = F.array(*[F.lit(_signed(m)) for m in table_masks(level, radius)])
-        rows = (
-            more.select(F.col("a").alias("fp"), F.explode(F.sequence(F.col("tab") * children, F.col("tab") * children + children - 1)).alias("tab"))
-            .select("tab", F.col("fp").bitwiseAND(masks[F.col("tab")]).alias("key"), "fp")
-        )
+        rows = more.select(F.col("a").alias("fp"), "tab").mapInPandas(_hash_again(radius, level), "tab int, key long, fp long")
     links = found[0]
     for x in found[1:]:
         links = links.union(x)
