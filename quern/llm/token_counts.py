@@ -25,6 +25,18 @@ _BATCH = 1 << 15  # distinct pre-tokens that are merged at once
 _CACHE = 200_000  # pre-tokens whose count a worker remembers
 #: White space as the vocabulary's own pattern language has it.
 _SPACE = r"\t-\r\x20\x85\xA0  -     　"
+#: Letters and numbers of Unicode versions after the library's: to it they are neither. Fixed values.
+_NEW_LETTERS = (
+    r"\u0558\u058b-\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce-\ua7cf\ua7d2\ua7d4\ua7dd\ua7e2\ua7f1\uab6c-\uab6d"
+    r"\U000107bb-\U000107bf\U00010940-\U00010959\U00010ec5-\U00010ec7\U00010ed9-\U00010eee\U00011b0a\U00011db0-\U00011ddb\U00011df1"
+    r"\U00016ea0-\U00016eb8\U00016ebb-\U00016ed3\U00016ff2-\U00016ff3\U000187f8-\U000187ff\U00018cd6-\U00018cda\U00018d09-\U00018d20"
+    r"\U00018d80-\U00018df2\U00018e00-\U00019191\U000191a0-\U000191d2\U0001b123-\U0001b128\U0001b168\U0001d6a6\U0001df1f-\U0001df24"
+    r"\U0001df2b-\U0001df81\U0001df90-\U0001df96\U0001dfcd-\U0001dfff\U0001e6c0-\U0001e6de\U0001e6e0-\U0001e6e2\U0001e6e4-\U0001e6e5"
+    r"\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4\U0001e6fe-\U0001e6ff\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead"
+    r"\U000323b0-\U00033479\U0003d000-\U0003fc3f"
+)
+#: Capitals that the library doesn't know as such. Fixed values.
+_NEW_CAPITALS = r"\u1c89\ua7cb-\ua7cc\ua7ce\ua7d2\ua7d4\ua7da\ua7dc\U00010d50-\U00010d65\U00016ea0-\U00016eb8"
 
 
 def _byte_letters() -> list[str]:
@@ -104,6 +116,10 @@ class Counter:
     def __init__(self, vocabulary: dict):
         self.vocabulary, self.seen = vocabulary, {}
         self.word = regex.compile(vocabulary["pattern"])
+        # For the few texts with characters that the pattern libraries class differently.
+        known = vocabulary["pattern"].replace(r"\p{L}", rf"[\p{{L}}--[{_NEW_LETTERS}]]").replace(r"\p{N}", rf"[\p{{N}}--[{_NEW_LETTERS}]]")
+        self.known_word, self.new = regex.compile(known, regex.V1), regex.compile(f"[{_NEW_LETTERS}{_NEW_CAPITALS}]")
+        self.capitals = regex.compile(f"([{_NEW_CAPITALS}]+)")
         self.special = regex.compile("|".join(map(regex.escape, vocabulary["special"]))) if vocabulary["special"] else None
 
     def _add(self, words: list[str]) -> None:
@@ -118,9 +134,14 @@ class Counter:
             cut = len(text) if cut < 0 else cut
             piece = text[at:cut]
             at = cut
-            if not piece.isascii():
+            if piece.isascii():
+                words = self.word.findall(piece.lower())
+            else:
                 piece = unicodedata.normalize("NFC", piece).replace("Σ", "σ")  # letter by letter: no final sigma
-            words = self.word.findall(piece.lower())
+                if self.new.search(piece):
+                    words = self.known_word.findall("".join(p if k % 2 else p.lower() for k, p in enumerate(self.capitals.split(piece))))
+                else:
+                    words = self.word.findall(piece.lower())
             if len(self.seen) > _CACHE:
                 self.seen.clear()
             self._add(list(set(words).difference(self.seen)))
