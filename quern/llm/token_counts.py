@@ -35,6 +35,7 @@ _NEW_LETTERS = (
     r"\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4\U0001e6fe-\U0001e6ff\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead"
     r"\U000323b0-\U00033479\U0003d000-\U0003fc3f"
 )
+_FIRST_NEW = 0x558  # the least of both lists; texts below it, most of them, aren't searched
 #: Capitals that the library doesn't know as such. Fixed values.
 _NEW_CAPITALS = r"\u1c89\ua7cb-\ua7cc\ua7ce\ua7d2\ua7d4\ua7da\ua7dc\U00010d50-\U00010d65\U00016ea0-\U00016eb8"
 
@@ -138,7 +139,8 @@ class Counter:
                 words = self.word.findall(piece.lower())
             else:
                 piece = unicodedata.normalize("NFC", piece).replace("Σ", "σ")  # letter by letter: no final sigma
-                if self.new.search(piece):
+                top = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32).max()
+                if top >= _FIRST_NEW and self.new.search(piece):
                     words = self.known_word.findall("".join(p if k % 2 else p.lower() for k, p in enumerate(self.capitals.split(piece))))
                 else:
                     words = self.word.findall(piece.lower())
