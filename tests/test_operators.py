@@ -167,7 +167,7 @@ def test_folder_totals_and_components_of_paths(spark):
 SQL_BAD = [
     "DROP TABLE t", "SELECT * FROM t; SELECT 1", "INSERT INTO t VALUES (1)", "SELECT * FROM other", "SELECT * FROM parquet.`/etc`", "SELECT * FROM csv.`/tmp/x`",
     "SELECT * FROM t WHERE 1 = 1", "SELECT * FROM t WHERE a = 1 OR '1' = '1'", "SELECT * FROM t WHERE true", "SELECT * FROM t WHERE a IN (SELECT b FROM secret)",
-    "SELECT reflect('java.lang.System', 'exit', '0') FROM t", "SELECT * FROM range(10)", "WITH x AS (SELECT * FROM secret) SELECT * FROM x", "SHOW TABLES", "SELECT a FROM t WHERE",
+    "SELECT reflect('java.lang.System', 'exit', '0') FROM t", "SELECT * FROM range(10)", "WITH x AS (SELECT * FROM secret) SELECT * FROM x", "SHOW TABLES", "SELECT (a FROM t",
     "SELECT (SELECT max(b) FROM secret) FROM t", "DESCRIBE t", "SELECT * FROM t WHERE a = 1 AND NOT (0 = 1)",
 ]
 
