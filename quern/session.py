@@ -39,12 +39,14 @@ def shared_dir(spark: SparkSession) -> str:
     folder. On a cluster a missing setting is an error, since a machine-local
     folder would lose files with its executor.
     """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="spark-quern-") if "dir" not in _LOCAL else "")
+    if "dir" not in _LOCAL:
+        _LOCAL["dir"] = tempfile.mkdtemp(prefix="spark-quern-")
+    return _LOCAL["dir"]
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
