@@ -29,6 +29,7 @@ EDIT_RATE = 0.08
 LEAST = 40  # shorter normalised items are no evidence and are passed over
 BLOCK_CHARS = 8_000_000  # of benchmark text that one broadcast index covers
 _PIECE = 1 << 19  # characters of text in one pass
+_PLACES = 1 << 19  # of q-grams in the benchmark that are counted at once
 _BANDS = 1 << 10  # added to band numbers, so that none is negative
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _NOT_WORD = re.compile(r"[\W_]+")
@@ -140,9 +141,15 @@ def regions(text: str, index: Index) -> list[tuple[int, int, int, int]]:
     real = index.gram[found] == grams[at]
     at, found = at[real], found[real]
     out = []
-    for lo in range(0, len(at), 1 << 14):  # few enough that their places fit in memory
-        part = slice(max(0, lo - index.reach), lo + (1 << 14))
+    # Parts of about _PLACES places, each with the grams a region may share with the part before.
+    places = np.cumsum(index.last[found] - index.first[found])
+    lo = 0
+    while lo < len(at):
+        least = lo + 1 + index.reach
+        hi = max(least, int(np.searchsorted(places, (places[lo - 1] if lo else 0) + _PLACES, side="right")))
+        part = slice(max(0, lo - index.reach), hi)
         out += _verify(codes, text, at[part], found[part], index)
+        lo = hi
     return list(dict.fromkeys(out))
 
 
