@@ -10,7 +10,9 @@ pair within the radius is missed, without relying on chance.
 Copies collapse to distinct fingerprints before anything is paired. Buckets are
 read as sorted streams; one with more than BUCKET distinct fingerprints isn't
 paired but hashed again by covering masks over its free bits, so the work for a
-bucket is bounded and no pair is lost. Buckets return stars, not pairs.
+bucket is bounded and no pair is lost. The few buckets with a large share of the rows
+are found beforehand, by heavy hitters, and are hashed again where their rows lie,
+without meeting in a task. Buckets return stars, not pairs.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from quern.session import fresh, materialise
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
 BUCKET = 256
 HOT = 1 / 1000  # fingerprints with a larger share of the rows are joined by broadcast: fewer than 1000
+HUGE = 16  # times BUCKET; larger buckets with over HOT of the rows don't meet in a task
+SKETCH_TASKS = 512  # at most so many counter sets of 1/HOT entries meet in the merge
 _CHUNK = 1 << 16  # shingles whose bits are unpacked at once
 
 
@@ -170,6 +174,15 @@ def _hash_again(radius: int, level: int):
     return run
 
 
+def _huge_buckets(rows: DataFrame, least: int) -> DataFrame:
+    """Hashes (huge) of the buckets with over `least` rows and over HOT of all rows: fewer
+    than 1/HOT. A bucket that shares such a hash is hashed again too, which loses nothing."""
+    hashed = rows.select(F.xxhash64("tab", "key").alias("bucket"))
+    candidates = hashed.coalesce(SKETCH_TASKS).stat.freqItems(["bucket"], HOT).select(F.explode("bucket_freqItems").alias("bucket"))
+    counts = hashed.join(F.broadcast(candidates), "bucket").groupBy("bucket").agg(F.count("*").alias("n"))
+    return materialise(counts.filter(F.col("n") > least).select(F.col("bucket").alias("huge")), "simhash-huge")
+
+
 def near_links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """Links (a, b) that connect all distinct values of column fp within the radius:
     a and b are in one component of the result exactly if they are in one of the
@@ -177,16 +190,21 @@ def near_links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Da
     found, level = [], 0
     rows = fps.select(F.explode(F.array(*[F.struct(F.lit(t).alias("tab"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key"), "fp") for t, m in enumerate(covering_masks(radius=radius))])).alias("x")).select("x.*")
     while True:
+        huge = _huge_buckets(rows, max(HUGE * bucket, 1 << SURE))
+        apart = None if huge.isEmpty() else F.xxhash64("tab", "key") == F.col("huge")
+        paired = rows if apart is None else rows.join(F.broadcast(huge), apart, "left_anti")
         out = materialise(
-            rows.repartition("tab", "key").sortWithinPartitions("tab", "key", "fp").mapInPandas(_pair_buckets(radius, bucket, level), "a long, b long, tab int"),
+            paired.repartition("tab", "key").sortWithinPartitions("tab", "key", "fp").mapInPandas(_pair_buckets(radius, bucket, level), "a long, b long, tab int"),
             f"simhash-links-{level}",
         )
         found.append(out.filter("tab < 0").select("a", "b"))
-        more = out.filter("tab >= 0")
-        if more.isEmpty():
+        more = out.filter("tab >= 0").select(F.col("a").alias("fp"), "tab")
+        if apart is not None:
+            more = more.union(rows.join(F.broadcast(huge), apart, "left_semi").select("fp", "tab"))
+        elif more.isEmpty():
             break
         level += 1
-        rows = more.select(F.col("a").alias("fp"), "tab").mapInPandas(_hash_again(radius, level), "tab int, key long, fp long")
+        rows = materialise(more.mapInPandas(_hash_again(radius, level), "tab int, key long, fp long"), f"simhash-rows-{level}")
     links = found[0]
     for x in found[1:]:
         links = links.union(x)

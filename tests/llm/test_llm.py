@@ -102,6 +102,17 @@ def test_contamination_table(spark, odd, none):
     assert contamination.contamination(none, bench).count() == 0 == contamination.drop_contaminated(none, bench).count()
 
 
+def test_contamination_of_common_grams_in_small_parts(monkeypatch):
+    """Grams with many places are counted in parts of bounded size, with the same result."""
+    common = "and so it goes on and on as it always does, "
+    index = contamination.Index([(k, common * 3 + f"item {k} ends here") for k in range(20)])
+    text = contamination.normalise("something else first " + common * 4 + "item 17 ends here, and then other words")
+    whole = contamination.regions(text, index)
+    monkeypatch.setattr(contamination, "_PLACES", 500)
+    assert {r[0] for r in contamination.regions(text, index)} == {r[0] for r in whole}
+    assert any(index.item[r[0]] == 17 for r in whole)
+
+
 def test_contamination_in_blocks_is_the_same(spark, monkeypatch):
     docs, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     rows = lambda: {tuple(map(str, r)) for r in contamination.contamination(docs, bench).collect()}
@@ -204,6 +215,13 @@ def test_fingerprints_of_documents(spark):
         assert simhash.fingerprint(text) == slow_fingerprint(text)
 
 
+def by_value(values, f):
+    out = {}
+    for v in values:
+        out.setdefault(f(v), []).append(v)
+    return out.values()
+
+
 def test_covering_masks_meet_every_pair():
     rng, masks = random.Random(2), simhash.covering_masks()
     assert len(masks) == 15
@@ -232,6 +250,21 @@ def test_links_connect_as_all_pairs_do(spark, bucket):
     assert groups(lambda v: got.get(simhash._signed(v), simhash._signed(v))) == groups(want.get)
 
 
+def test_huge_buckets_are_hashed_again_apart(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HUGE", 1)
+    rng = random.Random(9)
+    centre = rng.getrandbits(64)
+    values = {centre ^ (1 << a | 1 << b) for a in range(64) for b in range(64)} | {rng.getrandbits(64) for _ in range(100)}
+    values |= {v ^ 0b1110101 << 20 for v in list(values)[:50]}
+    fps = spark.createDataFrame([(simhash._signed(v),) for v in values], "fp long").cache()
+    first = fps.selectExpr("0 AS tab", f"fp & {simhash._signed(simhash.covering_masks()[0])} AS key", "fp")
+    assert simhash._huge_buckets(first, 256).count() >= 1
+    got = {r.node: r.root for r in connected_components(simhash.near_links(fps)).collect()}
+    want = slow_components(values)
+    groups = lambda f: {frozenset(g) for g in by_value(values, f)}
+    assert groups(lambda v: got.get(simhash._signed(v), simhash._signed(v))) == groups(want.get)
+
+
 def test_near_duplicates_odd_rows(spark, odd, none):
     got = {(r.doc_id, r.fingerprint, r.component_id) for r in simhash.near_duplicates(odd).collect()}
     zero = "0" * 16
