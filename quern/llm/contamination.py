@@ -1,6 +1,8 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
-Benchmark items are cut into overlapping windows. A text region within e edits of
+Benchmark items are cut into overlapping windows of the lengths in WINDOWS: long ones
+that bear many edits, and shorter, closer ones that bear fewer, so that short copied
+stretches hold a whole window too. A text region within e edits of
 a window of m characters shares at least m + 1 - q(1 + e) of its q-grams with it,
 and those lie on e + 1 neighbouring diagonals. Shared q-grams (distinct places of the
 window) are counted in diagonal bands of 2(e + 1) that overlap by half, so one band
@@ -24,7 +26,9 @@ from pyspark.sql import functions as F
 from quern.session import fresh, materialise
 
 Q = 10
-WINDOW, STEP = 100, 50  # characters of the normalised item; any copied stretch of WINDOW + STEP holds a window
+# Characters of the normalised item, step, and most edits if the rate allows them; any copied stretch of
+# characters + step - 1 holds a window: 49 within 1 edit, 79 (about 13 words) within 4, 149 within 8.
+WINDOWS = ((100, 50, 9), (60, 20, 5), (40, 10, 1))
 EDIT_RATE = 0.08
 LEAST = 40  # shorter normalised items are no evidence and are passed over
 BLOCK_CHARS = 8_000_000  # of benchmark text that one broadcast index covers
@@ -67,17 +71,19 @@ class Index:
     """Windows of benchmark items and the places of their q-grams."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float = EDIT_RATE):
-        self.item, self.text, self.at = [], [], []
+        self.item, self.text, self.at, most = [], [], [], []
         for item, raw in items:
             text = normalise(raw)
             if len(text) >= LEAST:
-                starts = sorted({*range(0, len(text) - WINDOW, STEP), max(0, len(text) - WINDOW)})
-                self.item += [item] * len(starts)
-                self.at += starts
-                self.text += [text[s : s + WINDOW] for s in starts]
+                for size, step, edits in WINDOWS:
+                    starts = sorted({*range(0, len(text) - size, step), max(0, len(text) - size)})
+                    self.item += [item] * len(starts)
+                    self.at += starts
+                    self.text += [text[s : s + size] for s in starts]
+                    most += [edits] * len(starts)
         length = np.array([len(t) for t in self.text], np.int64)
-        # Fewer edits for short windows, so that the bound stays at one shared q-gram or more.
-        self.edits = np.minimum((length * rate).astype(np.int64), (length - Q) // Q)
+        # Fewer edits for windows of short items, so that the bound stays at one shared q-gram or more.
+        self.edits = np.minimum(np.minimum((length * rate).astype(np.int64), (length - Q) // Q), np.array(most, np.int64))
         self.bound = length + 1 - Q * (1 + self.edits)
         grams = [_grams(_codes(t)) for t in self.text]
         every = np.concatenate(grams) if grams else np.empty(0, np.uint64)

@@ -88,6 +88,25 @@ def test_contamination_finds_what_brute_force_finds():
     assert found > 50
 
 
+def test_contamination_finds_short_stretches_wherever_they_lie():
+    """Verbatim from 49 characters on, and from 79 on within 4 edits; not what shares 30 characters."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("aeioulnrst") for _ in range(rng.randrange(2, 9)))
+    words = lambda n: " ".join(word() for _ in range(n))
+    items = {k: words(n) for k, n in enumerate((12, 14, 40, 60, 90))}
+    index = contamination.Index(list(items.items()))
+    for least, most, edits, want in ((49, 75, 0, True), (76, 130, 0, True), (79, 130, 4, True), (10, 30, 0, False)):
+        for _ in range(60):
+            k, text = rng.choice([x for x in items.items() if len(x[1]) > least])
+            length = rng.randint(least, min(most, len(text)))
+            at = rng.choice([0, len(text) - length, rng.randint(0, len(text) - length)])
+            copied = list(text[at : at + length])
+            for _ in range(edits):
+                copied[rng.randrange(length)] = rng.choice(["", "q"])
+            whole = f"{words(20)} {''.join(copied)} {words(20)}"
+            assert {index.item[r[0]] for r in contamination.regions(whole, index)} == ({k} if want else set()), (k, at, length)
+
+
 def test_contamination_table(spark, odd, none):
     passage = "A passage, that is long enough to count as evidence: of a leak, in any document of the corpus!"
     bench = spark.createDataFrame([(9, passage), (9, passage), (10, "short one"), (11, None), (12, "")], "item_id long, text string")
