@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from quern.session import fresh, materialise
 
 RATIO = 0.05
-LEAST_PAGES = 20  # hosts with fewer pages have no boilerplate
+LEAST_PAGES = 20  # hosts with fewer pages have no boilerplate; 1: every host is judged
+LEAST_SUPPORT = 2  # pages that contain a line, whatever the ratio: what stands on one page isn't repeated
 HOT = 1 / 1000
 
 
@@ -34,7 +35,7 @@ def boilerplate(docs: DataFrame, text_col: str = "text", host_col: str = "source
     host, digests = F.col(host_col), F.array_distinct(F.transform(F.filter(_lines(F.col(text_col)), lambda x: F.trim(x) != ""), _digest))
     pages = docs.groupBy(host.alias("host")).agg(F.count("*").alias("pages")).filter(F.col("pages") >= least_pages)
     counts = docs.select(host.alias("host"), F.explode(digests).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
-    frequent = counts.filter(F.col("n") > ratio * least_pages).join(pages.withColumnRenamed("host", "page_host"), F.col("host").eqNullSafe(F.col("page_host")))
+    frequent = counts.filter((F.col("n") > ratio * least_pages) & (F.col("n") >= LEAST_SUPPORT)).join(pages.withColumnRenamed("host", "page_host"), F.col("host").eqNullSafe(F.col("page_host")))
     return frequent.filter(F.col("n") > ratio * F.col("pages")).groupBy("host").agg(F.first("pages").alias("pages"), F.collect_list("line").alias("lines"))
 
 
@@ -42,7 +43,8 @@ def drop_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """`docs` with their columns, the text without its host's boilerplate lines, and
     n_lines and n_dropped (columns of these names are replaced).
 
-    Null hosts are one host. A null text is an empty one; it has one, blank, line.
+    Hosts of fewer than least_pages pages keep all their lines; with 1 the ratio holds on
+    every host. Null hosts are one host. A null text is an empty one; it has one, blank, line.
     Repeated rows are pages of their own. An empty table gives no rows.
     """
     bad_host, bad, hit, lines_of = fresh(docs, "host", "bad", "hit", "lines")

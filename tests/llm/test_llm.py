@@ -331,6 +331,26 @@ def test_line_dedup(spark, monkeypatch):
     assert line_dedup.drop_boilerplate(df.limit(0)).count() == 0
 
 
+def test_line_dedup_on_every_host(spark, monkeypatch):
+    """With least_pages=1 small hosts lose what two of their pages share; a page's own lines stay."""
+    rng = random.Random(6)
+    rows = []
+    for h in range(60):
+        for j in range(h % 24 + 1):
+            lines = [f"own {h} {j}"] + [x for x in (f"menu {h}", "footer") if rng.random() < 0.4]
+            rows.append((len(rows), "\n".join(lines), "en", f"h{h}" if h else None, 0))
+    want = {}
+    for host in {r[3] for r in rows}:
+        own = [(r[0], r[1].split("\n")) for r in rows if r[3] == host]
+        n = lambda x: sum(x in lines for _, lines in own)  # noqa: B023, E731
+        want |= {i: "\n".join(x for x in lines if n(x) < 2 or n(x) <= 0.05 * len(own)) for i, lines in own}
+    df = spark.createDataFrame(rows, DOC)
+    assert any("footer" in t for t in want.values()) and all("own" in t for t in want.values())
+    for hot in (1 / 1000, 2.0):
+        monkeypatch.setattr(line_dedup, "HOT", hot)
+        assert {r.doc_id: r.text for r in line_dedup.drop_boilerplate(df, least_pages=1).collect()} == want
+
+
 # --- 6 ---
 
 
