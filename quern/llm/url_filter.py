@@ -31,13 +31,19 @@ def keys_of(url: Column) -> Column:
     return F.array_distinct(F.when(F.size(labels) > 0, F.concat(domains, paths)).otherwise(F.array().cast("array<string>")))
 
 
+def pattern_of(entry: Column) -> Column:
+    """A list entry as keys_of writes it: the host lower-cased, the path in its own case."""
+    host = F.substring_index(entry, "/", 1)
+    return F.concat(F.lower(host), F.substr(entry, F.length(host) + 1))
+
+
 def validity(entries: DataFrame) -> DataFrame:
     """pattern, valid_from, valid_to (null: still listed) from pattern, action ('add' or
     'remove') and at. Adding what is listed and removing what isn't change nothing; of
     entries for one moment, adding wins. Entries with a null in any of the three, or
     with another action, are left out."""
     events = entries.filter("pattern IS NOT NULL AND at IS NOT NULL AND action IN ('add', 'remove')")
-    events = events.groupBy(F.lower("pattern").alias("pattern"), "at").agg(F.max(F.col("action") == "add").alias("listed"))
+    events = events.groupBy(pattern_of(F.col("pattern")).alias("pattern"), "at").agg(F.max(F.col("action") == "add").alias("listed"))
     by = Window.partitionBy("pattern").orderBy("at")
     changes = events.withColumn("before", F.lag("listed", 1, False).over(by)).filter("listed != before")
     return changes.withColumn("valid_to", F.lead("at").over(by)).filter("listed").select("pattern", F.col("at").alias("valid_from"), "valid_to")

@@ -377,6 +377,17 @@ def test_url_filter(spark, monkeypatch):
     assert url_filter.url_filter(captures.limit(0), table).count() == 0
 
 
+def test_url_filter_keeps_the_case_of_paths(spark):
+    entries = [("X.org/Ads", "add", "2024-01-03"), ("x.ORG/Ads", "remove", "2024-01-10"), ("y.org/ads", "add", "2024-01-03"), ("Z.org", "add", "2024-01-03")]
+    table = spark.createDataFrame(entries, "pattern string, action string, day string").select("pattern", "action", F.to_timestamp("day").alias("at"))
+    cases = [
+        (1, "http://x.org/Ads/1", 5, "x.org/Ads"), (2, "http://X.ORG/Ads", 5, "x.org/Ads"), (3, "http://x.org/ads", 5, None), (4, "http://x.org/Ads", 10, None),
+        (5, "http://y.org/ads/Big", 5, "y.org/ads"), (6, "http://y.org/Ads", 5, None), (7, "http://z.org/Any", 5, "z.org"),
+    ]
+    captures = spark.createDataFrame([(i, u, f"2024-01-{d:02d}") for i, u, d, _ in cases], "page_id long, url string, day string").select("page_id", "url", F.to_timestamp("day").alias("fetched_at"))
+    assert sorted((r.page_id, r.pattern) for r in url_filter.url_filter(captures, table).collect()) == [(i, p) for i, _, _, p in cases]
+
+
 # --- 7 ---
 
 
