@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.session import materialise
+from quern.session import fresh, materialise
 
 
 def hydrate(hits: DataFrame, chunks: DataFrame, on: str = "doc_id") -> DataFrame:
@@ -41,6 +41,44 @@ def delete(target: DataFrame, ids: DataFrame, key: list[str]) -> DataFrame:
     return target.join(ids.select(*key), key, "left_anti")
 
 
+MAP_SIDE = 2_000_000  # ids (some 50 MB) that are broadcast whole
+WORDS = 1 << 20  # of 64 bits, the filter (some 50 MB) that is broadcast for more ids
+
+
+def without(rows: DataFrame, lost: DataFrame, column: str) -> DataFrame:
+    """`rows` but for those whose `column` is among the values of `lost`, a table of one column
+    that is read several times; a null there stands for null.
+
+    Wide rows stay where they are. Up to MAP_SIDE values are broadcast. Of more, a Bloom
+    filter of fixed size is: rows that it clears are kept at once, in one branch, and only
+    the others are shuffled for the exact anti join, in another. Its four bits a value lie in
+    one word, so it is a table of words joined by number.
+    """
+    (name,) = lost.columns
+    n, named = lost.agg(F.count("*"), F.count(name)).first()
+    if named < n:
+        rows, lost = rows.filter(F.col(column).isNotNull()), lost.filter(F.col(name).isNotNull())
+    if not named:
+        return rows
+    key, word, bits, maybe = fresh(rows, "key", "word", "bits", "maybe")
+    lost = lost.select(F.col(name).alias(key)).distinct()
+    if n <= MAP_SIDE:
+        return rows.join(F.broadcast(lost), F.col(column) == F.col(key), "left_anti")
+
+    def place(value):
+        return F.pmod(F.xxhash64(value), F.lit(WORDS)).cast("int")
+
+    def mask(value):
+        draw = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(F.xxhash64(value, F.lit(1)), 6 * k), F.lit(64)).cast("int"))
+        return draw(0).bitwiseOR(draw(1)).bitwiseOR(draw(2)).bitwiseOR(draw(3))
+
+    bloom = lost.groupBy(place(F.col(key)).alias(word)).agg(F.bit_or(mask(F.col(key))).alias(bits))
+    hit = F.coalesce(F.col(bits).bitwiseAND(mask(F.col(column))) == mask(F.col(column)), F.lit(False))
+    marked = rows.join(F.broadcast(bloom), place(F.col(column)) == F.col(word), "left").withColumn(maybe, hit)
+    clear = marked.filter(~F.col(maybe)).select(*rows.columns)
+    return clear.unionByName(marked.filter(maybe).select(*rows.columns).join(lost.hint("shuffle_merge"), F.col(column) == F.col(key), "left_anti"))
+
+
 def copy_with_ids(rows: DataFrame, id_map: DataFrame, key: str) -> DataFrame:
     """Copies of the mapped rows (old_id, new_id) under their new ids."""
     return rows.join(id_map.select(F.col("old_id").alias(key), "new_id"), key).withColumn(key, F.col("new_id")).drop("new_id")

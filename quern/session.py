@@ -5,11 +5,14 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 _LOCAL: dict[str, str] = {}  # the folder of a local master without the setting
+_SCOPES: list[list[DataFrame]] = []  # tables written since the scratch() blocks that are open began
 
 
 def local_session(cores: int | str = "*", app: str = "quern") -> SparkSession:
@@ -57,9 +60,23 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quern_path = path
+    if _SCOPES:
+        _SCOPES[-1].append(out)
     return out
 
 
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables that materialise() writes within the block are deleted at its end; what is
+    to stay must have been written elsewhere by then."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for df in _SCOPES.pop():
+            discard(df)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table that materialise() wrote and that nothing reads any more."""
     spark, path = df.sparkSession, getattr(df, "_quern_path", None)

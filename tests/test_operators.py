@@ -247,3 +247,29 @@ def test_new_items_stream(spark, tmp_path):
 def test_fresh_names(spark):
     df = spark.createDataFrame([(1, 2)], "_quern_x int, _QUERN_Y int")
     assert fresh(df, "x", "y", "x") == ["_quern_x_", "_quern_y_", "_quern_x__"]
+
+
+@pytest.mark.parametrize("most", [2_000_000, 10])
+def test_without(spark, monkeypatch, most):
+    """By broadcast and by the filter, with nulls in either, both or none."""
+    monkeypatch.setattr(relations, "MAP_SIDE", most)
+    rng = random.Random(most)
+    ids = [rng.randrange(500) for _ in range(800)] + [None, None]
+    rows = spark.createDataFrame([(i, "x" * 50) for i in ids], "doc_id long, _quern_key string")
+    for gone in (set(rng.sample(range(600), 200)), {None, *rng.sample(range(600), 100)}, {None}, set()):
+        lost = spark.createDataFrame([(i,) for i in gone for _ in range(2)], "doc_id long")
+        kept = relations.without(rows, lost, "doc_id")
+        assert kept.columns == rows.columns
+        assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(i) for i in ids if i not in gone)
+
+
+def test_scratch_tables_go(spark):
+    import os
+
+    from quern.session import materialise, scratch
+
+    kept = materialise(spark.range(3), "kept")
+    with scratch():
+        inner = materialise(spark.range(4), "inner")
+        assert inner.count() == 4
+    assert os.path.isdir(kept._quern_path) and not os.path.exists(inner._quern_path)
