@@ -3,7 +3,10 @@
 Texts are brought into a canonical form (case, punctuation, copyright lines,
 equivalent spellings), digested and hash-joined to the digests of known licences:
 the whole document, and each of its lines as a text of its own, so that one-line
-notices are found too. DataFrame functions only.
+notices are found too.
+
+Only texts and lines with a word that every known form has are brought into the form;
+where some known form has none of these words, all are. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -13,11 +16,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.license_texts import EQUIVALENT, KNOWN
+from quern.llm.license_texts import EQUIVALENT, known_texts
+from quern.session import materialise
 
 BROADCAST_ROWS = 100_000  # known digests (under 20 MB) that are broadcast; a larger table is shuffled
 #: A line that names a holder or a year; a licence's own line may begin with "copyright notice".
 COPYRIGHT_LINE = r"(^|\n)[^\p{L}\p{N}\n©(]*(copyright[ \t]*(\(c\)|©|by |[0-9:])|(\(c\)|©)[ \t]*[0-9]|all rights reserved)[^\n]*"
+#: What known forms have, one of them each; no other spelling of a word becomes one of these.
+ANCHOR = r"(?i)licen|permission|redistribution|(released|distributed|published|available)[^\p{L}\p{N}]+under"
+#: Without its copyright lines, which may stand between the words, a text can have what it hasn't with them.
+COPYRIGHT = "(?i)copyright|©|\\(c\\)|all rights reserved"
 
 
 def canonical(text: Column) -> Column:
@@ -28,9 +36,9 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(plain, r"[^\p{L}\p{N}]+", " "))
 
 
-def known_licenses(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
-    """license, text."""
-    return spark.createDataFrame(known, "license string, text string")
+def known_licenses(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
+    """license, text: of the list, or all that quern.llm.license_texts has (about 1 MB)."""
+    return spark.createDataFrame(known_texts() if known is None else known, "license string, text string")
 
 
 def license_scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -42,21 +50,22 @@ def license_scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text
     canonical form is empty match nothing, nor do null and empty documents. Rows that
     repeat an id, the null id included, are one document: its answers are the least
     licence and all notices. An empty table gives no rows; further columns play no part.
+    A long text is one string of its row, whole, like any other.
     """
-    digests = known.select("license", F.sha2(canonical(F.col("text")), 256).alias("digest"), canonical(F.col("text")).alias("form"))
-    digests = digests.filter("form != ''").groupBy("digest").agg(F.min("license").alias("license"))
-    if digests.count() <= BROADCAST_ROWS:
-        digests = F.broadcast(digests)
+    forms = known.select("license", canonical(F.col("text")).alias("form")).filter("form != ''")
+    digests = materialise(forms.groupBy(F.sha2("form", 256).alias("digest")).agg(F.min("license").alias("license"), F.min(F.col("form").rlike(ANCHOR)).alias("anchored")), "known-licenses")
+    size, anchored = digests.agg(F.count("*"), F.coalesce(F.min("anchored"), F.lit(True))).first()
     text = F.col(text_col)
-    lines = F.filter(F.split(text, "\n"), lambda line: line != "")
-    units = F.concat(
-        F.array(F.struct(F.lit(True).alias("whole"), text.alias("text"))),
-        F.transform(lines, lambda line: F.struct(F.lit(False).alias("whole"), line.alias("text"))),
-    )
+    lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(ANCHOR) if anchored else line != "")
+    whole = F.array(F.struct(F.lit(True).alias("whole"), text.alias("text")))
+    if anchored:
+        whole = F.when(text.rlike(ANCHOR) | text.rlike(COPYRIGHT), whole).otherwise(F.array().cast("array<struct<whole:boolean,text:string>>"))
+    units = F.concat(whole, F.transform(lines, lambda line: F.struct(F.lit(False).alias("whole"), line.alias("text"))))
     found = (
         docs.select(F.col(id_col).alias("doc_id"), F.explode(units).alias("unit"))
-        .select("doc_id", "unit.whole", F.sha2(canonical(F.col("unit.text")), 256).alias("digest"))
-        .join(digests, "digest")
+        .select("doc_id", "unit.whole", canonical(F.col("unit.text")).alias("form")).filter("form != ''")
+        .select("doc_id", "whole", F.sha2("form", 256).alias("digest"))
+        .join(F.broadcast(digests) if size <= BROADCAST_ROWS else digests, "digest")
         .groupBy("doc_id").agg(
             F.min(F.when(F.col("whole"), F.col("license"))).alias("license"),
             F.array_join(F.sort_array(F.collect_set(F.when(~F.col("whole"), F.col("license")))), ",").alias("notices"),

@@ -1,4 +1,10 @@
-"""Known licences for the licence scan: fixed values, as published, without their copyright lines."""
+"""Known licences for the licence scan, by SPDX name: whole texts as published (short ones here,
+long ones in the folder licenses), and one-line notices made by rule from names and phrases.
+Fixed values."""
+
+from __future__ import annotations
+
+from importlib.resources import files
 
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
@@ -43,30 +49,96 @@ http://www.apache.org/licenses/LICENSE-2.0
 
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
 
-#: (licence, known text). Names follow the SPDX list.
-KNOWN = [
+#: Whole texts without their copyright lines, which the scan passes over.
+SHORT = [
     ("MIT", MIT),
     ("MIT", "The MIT License (MIT)\n" + MIT),
     ("MIT", "MIT License\n" + MIT),
     ("ISC", ISC),
     ("ISC", "ISC License\n" + ISC),
     ("0BSD", ZERO_BSD),
+    ("0BSD", "BSD Zero Clause License\n" + ZERO_BSD),
     ("BSD-2-Clause", BSD_2),
+    ("BSD-2-Clause", "BSD 2-Clause License\n" + BSD_2),
     ("BSD-3-Clause", BSD_3),
+    ("BSD-3-Clause", "BSD 3-Clause License\n" + BSD_3),
     ("Zlib", ZLIB),
+    ("Zlib", "zlib License\n" + ZLIB),
     ("Apache-2.0", APACHE_HEADER),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT License."),
-    ("MIT", "SPDX-License-Identifier: MIT"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC0-1.0", "SPDX-License-Identifier: CC0-1.0"),
 ]
+#: What ends the terms of a licence that goes on to say how to apply it; texts without what follows are known too.
+TERMS_END = "END OF TERMS AND CONDITIONS"
+
+
+def long_texts() -> list[tuple[str, str]]:
+    """The texts in the folder licenses, and those that go on after their terms without the rest."""
+    out = []
+    for file in sorted(files(__package__).joinpath("licenses").iterdir(), key=lambda f: f.name):
+        if file.name.endswith(".txt"):
+            name, text = file.name.removesuffix(".txt"), file.read_text(encoding="utf-8")
+            terms, end, _ = text.partition(TERMS_END)
+            out += [(name, text), (name, terms + end), (name, terms)] if end else [(name, text)]
+    return out
+
+
+#: How notices write the names of licences.
+NAMES = {
+    "MIT": ("MIT License", "MIT"),
+    "ISC": ("ISC License",),
+    "0BSD": ("Zero-Clause BSD License", "BSD Zero Clause License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "3-Clause BSD License", "New BSD License"),
+    "Zlib": ("zlib License",),
+    "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License", "Apache 2.0"),
+    "GPL-2.0": ("GNU General Public License, version 2", "GNU General Public License v2.0", "GNU GPL v2", "GPLv2"),
+    "GPL-3.0": ("GNU General Public License, version 3", "GNU General Public License v3.0", "GNU GPL v3", "GPLv3"),
+    "LGPL-2.1": ("GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License v2.1", "LGPLv2.1"),
+    "LGPL-3.0": ("GNU Lesser General Public License, version 3", "GNU Lesser General Public License v3.0", "LGPLv3"),
+    "AGPL-3.0": ("GNU Affero General Public License, version 3", "GNU Affero General Public License v3.0", "AGPLv3"),
+    "MPL-2.0": ("Mozilla Public License, Version 2.0", "Mozilla Public License 2.0", "MPL 2.0"),
+    "EPL-2.0": ("Eclipse Public License, Version 2.0", "Eclipse Public License 2.0"),
+    "BSL-1.0": ("Boost Software License, Version 1.0", "Boost Software License 1.0"),
+    "Unlicense": ("Unlicense",),
+    "WTFPL": ("WTFPL",),
+    "OFL-1.1": ("SIL Open Font License, Version 1.1", "SIL Open Font License 1.1"),
+    "CC0-1.0": ("CC0 1.0", "Creative Commons Zero v1.0 Universal", "CC0 1.0 Universal"),
+    **{
+        f"CC-{kind}-{version}": (
+            f"CC {kind} {version}",
+            f"CC-{kind}-{version}",
+            f"Creative Commons {words} {version} License",
+            f"Creative Commons {words} {version} International License",
+        )
+        for version in ("3.0", "4.0")
+        for kind, words in {
+            "BY": "Attribution",
+            "BY-SA": "Attribution-ShareAlike",
+            "BY-ND": "Attribution-NoDerivatives",
+            "BY-NC": "Attribution-NonCommercial",
+            "BY-NC-SA": "Attribution-NonCommercial-ShareAlike",
+            "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives",
+        }.items()
+    },
+}
+#: How notices begin, and what stands between that and the name.
+BEGINNINGS = tuple(
+    [f"{done} under" for done in ("Licensed", "Released", "Distributed", "Published", "Available")]
+    + [f"{what} is licensed under" for what in ("It", "This work", "This project", "This software", "This program", "This library", "This file", "This code", "This document")]
+)
+LINKS = (" ", " the ", " the terms of the ", " a ")
+SPDX_TAG = "SPDX-License-Identifier: "
+SPDX_ENDINGS = ("", "-only", "-or-later")
+
+
+def notices() -> list[tuple[str, str]]:
+    """(licence, one-line notice) by the rule."""
+    tags = [(name, SPDX_TAG + name + end) for name in NAMES for end in SPDX_ENDINGS]
+    return tags + [(name, begin + link + written) for name, ways in NAMES.items() for written in ways for begin in BEGINNINGS for link in LINKS]
+
+
+def known_texts() -> list[tuple[str, str]]:
+    return SHORT + long_texts() + notices()
+
 
 #: Spellings that count as equal, as in the SPDX matching guidelines: (written, read as).
 EQUIVALENT = [

@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from quern.llm import chat_format, contamination, exact_dedup, license_scan, line_dedup, mixing, quality, simhash, token_counts, url_filter
-from quern.llm.license_texts import EQUIVALENT, KNOWN
+from quern.llm.license_texts import BEGINNINGS, EQUIVALENT, LINKS, NAMES, SHORT, SPDX_ENDINGS, SPDX_TAG, long_texts
 from quern.session import table
 
 
@@ -90,9 +90,17 @@ def _canonical(text: str) -> str:
     return rf"trim(regexp_replace({out}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
 
 
+def _values(rows, columns: str) -> str:
+    return f"(VALUES {', '.join('(' + ', '.join(map(_literal, r)) + ')' for r in rows)}) v({columns})"
+
+
 OP2_SQL = f"""
-WITH known AS (SELECT min(license) AS license, form FROM (
-       SELECT license, {_canonical("text")} AS form FROM (VALUES {", ".join(f"({_literal(a)}, {_literal(b)})" for a, b in KNOWN)}) v(license, text)) GROUP BY form),
+WITH texts AS (
+       SELECT * FROM {_values(SHORT + long_texts(), "license, text")}
+       UNION ALL SELECT n.license, b.words || l.link || n.written FROM (SELECT * FROM {_values([(k, w) for k, ways in NAMES.items() for w in ways], "license, written")}) n,
+         (SELECT * FROM {_values([(b,) for b in BEGINNINGS], "words")}) b, (SELECT * FROM {_values([(x,) for x in LINKS], "link")}) l
+       UNION ALL SELECT n.license, {_literal(SPDX_TAG)} || n.license || e.ending FROM (SELECT * FROM {_values([(k,) for k in NAMES], "license")}) n, (SELECT * FROM {_values([(e,) for e in SPDX_ENDINGS], "ending")}) e),
+known AS (SELECT min(license) AS license, form FROM (SELECT license, {_canonical("text")} AS form FROM texts) GROUP BY form),
 units AS (SELECT doc_id, TRUE AS whole, text FROM documents
           UNION ALL SELECT doc_id, FALSE, unnest(string_split(text, chr(10))) FROM documents),
 found AS (SELECT doc_id, min(license) FILTER (whole) AS license, count(*) FILTER (NOT whole) AS n_notices,
