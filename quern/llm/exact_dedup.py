@@ -12,9 +12,10 @@ DataFrame functions only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.operators.relations import without
 from quern.session import fresh, materialise
 
 SUPPORT = 1 / 1000  # bounds candidates and broadcast winners at 1000 rows
@@ -33,7 +34,7 @@ def duplicate_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     the row with the largest id is kept. Null ids rank lowest; keep_id is null
     if a group has no id at all. Rows that repeat both id and text are a tie, of
     which one is kept. An empty table gives an empty result. Further columns of
-    `docs`, whatever their names, play no part.
+    `docs`, whatever their names, play no part. A long text is digested whole.
     """
     digests = materialise(
         docs.select(F.col(id_col).alias("doc_id"), text_digest(F.col(text_col)).alias("text_sha256"), F.monotonically_increasing_id().alias("row")),
@@ -49,12 +50,10 @@ def duplicate_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     split = digests.join(F.broadcast(heavy), "text_sha256", "left")
     hot = split.filter("group_size IS NOT NULL")
-    group = Window.partitionBy("text_sha256")
-    rest = (
-        split.filter("group_size IS NULL").select("doc_id", "text_sha256", "row")
-        .withColumns({"win": F.max(F.struct("doc_id", "row")).over(group), "group_size": F.count("*").over(group)})
-    )
-    return hot.unionByName(rest).select(
+    # Groups are combined on the map side and joined back; AQE may split the join's partitions.
+    rest = split.filter("group_size IS NULL").select("doc_id", "text_sha256", "row")
+    groups = rest.groupBy("text_sha256").agg(winner, F.count("*").alias("group_size"))
+    return hot.unionByName(rest.join(groups, "text_sha256").select(*hot.columns)).select(
         "doc_id", F.col("win.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("win.row")).alias("kept"), "text_sha256"
     )
 
@@ -62,25 +61,21 @@ def duplicate_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = SUPPORT) -> DataFrame:
     """The rows of `docs` that duplicate_decisions() keeps, with their columns.
 
-    Losers of the largest groups go on the map side against broadcast winners;
-    the other losers go by an anti join on (id, digest).
+    Texts stay where they are: ids of which every row loses are left out by
+    quern.operators.relations.without(). Rows of an id that has rows of both kinds, which
+    only repeated ids can have, are decided by id and digest; of rows that repeat both, one
+    stays. Nulls, empty and long texts are as in duplicate_decisions(); an empty table gives
+    no rows, and further columns are passed on whatever their names.
     """
     decisions = materialise(duplicate_decisions(docs, id_col, text_col, support), "exact-decisions")
-    same_id = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    limit = max(1, int(decisions.count() * support))
-    digest, lost_id, lost_digest, keep = fresh(docs, "digest", "lost_id", "lost_digest", "keep")
-    # Groups above `limit` rows number fewer than 1/support.
-    winners = decisions.filter((F.col("group_size") > limit) & F.col("kept")).select(F.col("text_sha256").alias(lost_digest), F.col("keep_id").alias(keep))
-    losers = decisions.filter(~F.col("kept") & ~same_id & (F.col("group_size") <= limit)).select(F.col("doc_id").alias(lost_id), F.col("text_sha256").alias(lost_digest))
-    marked = docs.withColumn(digest, text_digest(F.col(text_col)))
-    kept = (
-        marked.join(F.broadcast(winners), F.col(digest) == F.col(lost_digest), "left")
-        .filter(F.col(lost_digest).isNull() | F.col(id_col).eqNullSafe(F.col(keep)))
-        .drop(lost_digest, keep)
-        .join(losers, (F.col(digest) == F.col(lost_digest)) & F.col(id_col).eqNullSafe(F.col(lost_id)), "left_anti")
-    )
-    ties = decisions.filter(~F.col("kept") & same_id).select(F.col("doc_id").alias(lost_id), F.col("text_sha256").alias(lost_digest)).distinct()
-    if not ties.isEmpty():
-        on = (F.col(digest) == F.col(lost_digest)) & F.col(id_col).eqNullSafe(F.col(lost_id))
-        kept = kept.join(ties, on, "left_anti").unionByName(kept.join(ties, on, "left_semi").dropDuplicates([id_col, digest]))
-    return kept.select(*docs.columns)
+    digest, at = fresh(docs, "digest", "at")
+    ids = decisions.groupBy("doc_id").agg(F.max("kept").alias("some"), F.min("kept").alias("all"))
+    ids = materialise(ids.filter("NOT all"), "exact-losers")
+    kept = without(docs, ids.select("doc_id"), id_col)
+    mixed = ids.filter("some").select(F.col("doc_id").alias(at))
+    if mixed.isEmpty():
+        return kept
+    winners = decisions.filter("kept").join(mixed, F.col("doc_id").eqNullSafe(F.col(at)), "left_semi").select(F.col("doc_id").alias(at), F.col("text_sha256").alias(digest))
+    again = docs.join(mixed, F.col(id_col).eqNullSafe(F.col(at)), "left_semi").withColumn(digest, text_digest(F.col(text_col)))
+    again = again.join(winners.withColumnRenamed(digest, digest + "_of"), F.col(id_col).eqNullSafe(F.col(at)) & (F.col(digest) == F.col(digest + "_of")), "left_semi")
+    return kept.unionByName(again.dropDuplicates([id_col, digest]).select(*docs.columns))
