@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.session import fresh, materialise
+from quern.operators.relations import without
+from quern.session import materialise
 
 Q = 10
 # Characters of the normalised item, step, and most edits if the rate allows them; any copied stretch of
@@ -256,7 +257,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = EDIT_RATE) -> DataFrame:
-    """The rows of `docs` whose document has no matched region, with their columns."""
-    (lost,) = fresh(docs, "lost")
-    found = materialise(matches(docs, benchmark, id_col, text_col, rate=rate).select(F.col("doc_id").alias(lost)).distinct(), "contaminated")
-    return docs.join(found, F.col(id_col).eqNullSafe(F.col(lost)), "left_anti").select(*docs.columns)
+    """The rows of `docs` whose document has no matched region, with their columns; which
+    documents those are is as in contamination(). Texts stay where they are."""
+    found = materialise(matches(docs, benchmark, id_col, text_col, rate=rate).select("doc_id").distinct(), "contaminated")
+    return without(docs, found, id_col)

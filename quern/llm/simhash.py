@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.components import connected_components
-from quern.session import fresh, materialise
+from quern.operators.relations import without
+from quern.session import materialise
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
 BUCKET = 256
@@ -218,7 +219,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bits reach. Null and empty texts have fingerprint zero and are linked like any
     other. Equal texts always meet. Null ids are passed over when the smallest is
     chosen; a component without any id has a null one. Repeated ids are separate
-    rows. An empty table gives an empty result; further columns play no part.
+    rows. An empty table gives an empty result; further columns play no part. A long
+    text is hashed whole, in parts of bounded memory.
     """
     signed = materialise(fingerprints(docs, id_col, text_col), "simhash-fingerprints")
     distinct = materialise(signed.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-distinct")
@@ -239,11 +241,10 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """`docs` with one document of each component, the one whose id is component_id.
 
     Rows without an id are kept unless their component has a document with one;
-    rows that repeat an id are one document and stay or go together.
+    rows that repeat an id are one document and stay or go together. Texts stay where
+    they are: the losers' ids are left out by quern.operators.relations.without().
     """
-    (lost,) = fresh(docs, "lost")
     found = materialise(near_duplicates(docs, id_col, text_col, radius), "simhash-decisions")
-    losers = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(lost)).distinct()
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(lost))
-    losers = losers.join(kept, lost, "left_anti")
-    return docs.join(losers, F.col(id_col).eqNullSafe(F.col(lost)), "left_anti").select(*docs.columns)
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    losers = found.groupBy("doc_id").agg(F.max(kept).alias("kept")).filter("NOT kept").select("doc_id")
+    return without(docs, materialise(losers, "simhash-losers"), id_col)
