@@ -2,7 +2,9 @@
 
 Benchmark items are cut into overlapping windows of the lengths in WINDOWS: long ones
 that bear many edits, and shorter, closer ones that bear fewer, so that short copied
-stretches hold a whole window too. A text region within e edits of
+stretches hold a whole window too. An item shorter than the shortest window is one
+window without edits, and counts where it stands as whole words; one of fewer than Q
+characters has no q-gram and counts where it is the whole text. A text region within e edits of
 a window of m characters shares at least m + 1 - q(1 + e) of its q-grams with it,
 and those lie on e + 1 neighbouring diagonals. Shared q-grams (distinct places of the
 window) are counted in diagonal bands of 2(e + 1) that overlap by half, so one band
@@ -31,8 +33,8 @@ Q = 10
 # characters + step - 1 holds a window: 49 within 1 edit, 79 (about 13 words) within 4, 149 within 8.
 WINDOWS = ((100, 50, 9), (60, 20, 5), (40, 10, 1))
 EDIT_RATE = 0.08
-LEAST = 40  # shorter normalised items are no evidence and are passed over
-BLOCK_CHARS = 8_000_000  # of benchmark text that one broadcast index covers
+SHORT = 40  # normalised items below this count verbatim only, as whole words
+BLOCK_CHARS = 4_000_000  # of benchmark text that one broadcast index covers: some 100 MB in each task
 _PIECE = 1 << 19  # characters of text in one pass
 _PLACES = 1 << 19  # of q-grams in the benchmark that are counted at once
 _BANDS = 1 << 10  # added to band numbers, so that none is negative
@@ -69,37 +71,85 @@ def _grams(codes: np.ndarray, q: int = Q) -> np.ndarray:
 
 
 class Index:
-    """Windows of benchmark items and the places of their q-grams."""
+    """Windows of benchmark items, and the places of the items' q-grams.
+
+    Every q-gram is held once; which windows hold it follows from its place. Windows are
+    numbered item by item; `most` of a kind start a step apart, one more ends with the item.
+    """
 
     def __init__(self, items: list[tuple[int, str]], rate: float = EDIT_RATE):
-        self.item, self.text, self.at, most = [], [], [], []
+        self.whole: dict[str, list] = {}  # items without a q-gram
+        self.ids, self.texts = [], []
         for item, raw in items:
             text = normalise(raw)
-            if len(text) >= LEAST:
-                for size, step, edits in WINDOWS:
-                    starts = sorted({*range(0, len(text) - size, step), max(0, len(text) - size)})
-                    self.item += [item] * len(starts)
-                    self.at += starts
-                    self.text += [text[s : s + size] for s in starts]
-                    most += [edits] * len(starts)
-        length = np.array([len(t) for t in self.text], np.int64)
+            if len(text) >= Q:
+                self.ids.append(item)
+                self.texts.append(text)
+            elif text:
+                self.whole.setdefault(text, []).append(item)
+        size = np.array([len(t) for t in self.texts], np.int64)
+        self.base = np.concatenate(([0], np.cumsum(size)[:-1])) if len(size) else np.empty(0, np.int64)
+        self.kinds, owner, start, length, edits, first = [], [], [], [], [], 0
+        for k, (wide, step, most) in enumerate(WINDOWS):
+            own = np.flatnonzero((size > wide) | (k == 0))
+            regular = np.maximum(0, -(-(size[own] - wide) // step))
+            count = regular + 1
+            number = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            of = np.repeat(own, count)
+            last = number == np.repeat(regular, count)
+            at = np.full(len(size), -1)
+            at[own] = first + np.cumsum(count) - count
+            n_regular = np.zeros(len(size), np.int64)
+            n_regular[own] = regular
+            self.kinds.append((wide, step, at, n_regular))
+            owner.append(of)
+            start.append(np.where(last, np.maximum(0, size[of] - wide), number * step))
+            length.append(np.minimum(size[of], wide))
+            edits.append(np.full(len(of), most))
+            first += len(of)
+        self.owner, self.start, self.length = (np.concatenate(x).astype(np.int32) for x in (owner, start, length))
+        n = self.length.astype(np.int64)
         # Fewer edits for windows of short items, so that the bound stays at one shared q-gram or more.
-        self.edits = np.minimum(np.minimum((length * rate).astype(np.int64), (length - Q) // Q), np.array(most, np.int64))
-        self.bound = length + 1 - Q * (1 + self.edits)
-        grams = [_grams(_codes(t)) for t in self.text]
+        self.edits = np.where(n < SHORT, 0, np.minimum(np.minimum((n * rate).astype(np.int64), (n - Q) // Q), np.concatenate(edits))).astype(np.int32)
+        self.bound = n + 1 - Q * (1 + self.edits)
+        grams = [_grams(_codes(t)) for t in self.texts]
         every = np.concatenate(grams) if grams else np.empty(0, np.uint64)
-        window = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-        place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.empty(0, np.int64)
+        at = np.concatenate([np.arange(b, b + len(g), dtype=np.int32) for b, g in zip(self.base, grams, strict=True)]) if grams else np.empty(0, np.int32)
         order = np.argsort(every, kind="stable")
-        self.window, self.place = window[order].astype(np.int32), place[order].astype(np.int32)
-        self.gram, self.first = np.unique(every[order], return_index=True)
-        self.last = np.append(self.first[1:], len(every))
+        self.at = at[order]
+        self.gram, first_of = np.unique(every[order], return_index=True)
+        self.first = np.append(first_of, len(every)).astype(np.int32)
         self.shift = np.uint64(64 - min(26, max(16, int(64 * len(self.gram)).bit_length())))
         self.maybe = np.zeros(1 << (64 - int(self.shift)), bool)
         self.maybe[self.gram >> self.shift] = True
-        self.reach = int((length + self.edits).max(initial=0))
+        self.reach = int((n + self.edits).max(initial=0))
         self.least = int(self.bound.min()) if len(self.bound) else 1
 
+    def item(self, window: int):
+        return self.ids[self.owner[window]]
+
+    def pattern(self, window: int) -> str:
+        start = int(self.start[window])
+        return self.texts[self.owner[window]][start : start + int(self.length[window])]
+
+    def windows_at(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(which of `place`, window, place in the window) for every window that holds the q-gram at a place."""
+        item = np.searchsorted(self.base, place, side="right") - 1
+        inside = place - self.base[item]
+        out = []
+        for wide, step, at, n_regular in self.kinds:
+            regular, own = n_regular[item], np.flatnonzero(at[item] >= 0)
+            low = np.maximum(0, -(-(inside - (wide - Q)) // step))
+            high = np.minimum(regular - 1, inside // step)
+            for k in range((wide - Q) // step + 1):
+                hit = own[low[own] + k <= high[own]]
+                out.append((hit, at[item[hit]] + low[hit] + k))
+            end = at[item] + regular  # the window that ends with the item
+            hit = own[inside[own] >= self.start[end[own]]]
+            out.append((hit, end[hit]))
+        which, window = (np.concatenate(x) for x in zip(*out, strict=True))
+        return which, window, inside[which] - self.start[window]
+
 
 def _edits(pattern: np.ndarray, text: np.ndarray, low: int, high: int, most: int) -> tuple[int, int, int] | None:
     """The least edits, if `most` at most, of the pattern against any stretch of the text on
@@ -149,7 +199,7 @@ def regions(text: str, index: Index) -> list[tuple[int, int, int, int]]:
     at, found = at[real], found[real]
     out = []
     # Parts of about _PLACES places, each with the grams a region may share with the part before.
-    places = np.cumsum(index.last[found] - index.first[found])
+    places = np.cumsum(index.first[found + 1] - index.first[found])
     lo = 0
     while lo < len(at):
         least = lo + 1 + index.reach
@@ -161,21 +211,21 @@ def regions(text: str, index: Index) -> list[tuple[int, int, int, int]]:
 
 
 def _verify(codes: np.ndarray, text: str, at: np.ndarray, found: np.ndarray, index: Index) -> list[tuple[int, int, int, int]]:
-    times = index.last[found] - index.first[found]
-    place = np.repeat(index.first[found] - np.concatenate(([0], np.cumsum(times)[:-1])), times) + np.arange(times.sum())
-    window = index.window[place].astype(np.int64)
-    diagonal = np.repeat(at, times) - index.place[place]
+    times = index.first[found + 1] - index.first[found]
+    held = index.at[np.repeat(index.first[found] - np.concatenate(([0], np.cumsum(times)[:-1])), times) + np.arange(times.sum())]
+    which, window, place = index.windows_at(held.astype(np.int64))
+    diagonal = np.repeat(at, times)[which] - place
     width = index.edits[window] + 1
     band = diagonal // width
     # Window, band and place of the window in one number each; repeats of a place count once.
-    key = (window << 22 | band + _BANDS) << 8 | index.place[place]
+    key = (window << 22 | band + _BANDS) << 8 | place
     keys = np.unique(np.concatenate([key, key - (1 << 8)])) >> 8
     bands, shared = np.unique(keys, return_counts=True)
     bands = bands[shared >= index.bound[bands >> 22]]
     out, done = [], {}
     for both in bands.tolist():
         w, k = both >> 22, (both & (1 << 22) - 1) - _BANDS
-        pattern, e = index.text[w], int(index.edits[w])
+        pattern, e = index.pattern(w), int(index.edits[w])
         low, high = k * (e + 1), (k + 2) * (e + 1) - 1
         if done.get(w, -1) >= low:
             continue  # the band before found the whole window in the half they share
@@ -183,6 +233,8 @@ def _verify(codes: np.ndarray, text: str, at: np.ndarray, found: np.ndarray, ind
         exact = text.find(pattern, start, end)
         if exact >= 0:
             got = (0, exact, exact + len(pattern))
+        elif not e:
+            got = None
         else:
             got = _edits(_codes(pattern), codes[start:end], low - start, high - start, e)
             got = got and (got[0], got[1] + start, got[2] + start)
@@ -198,13 +250,14 @@ def _verify(codes: np.ndarray, text: str, at: np.ndarray, found: np.ndarray, ind
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rate: float = EDIT_RATE) -> DataFrame:
     """Matched regions: doc_id, item_id, item_start, edits, start, end.
 
-    Places are characters of the normalised texts. Items whose normalised text has
-    fewer than LEAST characters, and null texts, match nothing; repeated rows match alike.
+    Places are characters of the normalised texts. Null and empty items and texts match
+    nothing; repeated rows match alike. Long texts are searched whole, in overlapping parts;
+    an item is held whole by every task.
     """
     spark = docs.sparkSession
     size = benchmark.agg(F.coalesce(F.sum(F.length(item_text)), F.lit(0))).first()[0]
     blocks = max(1, math.ceil(size / BLOCK_CHARS))
-    numbered = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("text")).filter("text IS NOT NULL")
+    numbered = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("text")).filter("text IS NOT NULL").distinct()
     out = None
     for block in range(blocks):
         rows = numbered.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
@@ -216,6 +269,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     return out
 
 
+def whole_words(text: str, start: int, end: int) -> bool:
+    return (start == 0 or text[start - 1] == " ") and (end == len(text) or text[end] == " ")
+
+
 def _matcher(index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = index.value
@@ -224,9 +281,11 @@ def _matcher(index):
             rows: list[tuple] = []
             for k, raw in enumerate(batch.column("text")):
                 text = normalise(raw.as_py())
+                rows += [(k, item, 0, 0, 0, len(text)) for item in of.whole.get(text, ())]
                 for at in range(0, max(1, len(text) - overlap), _PIECE):
                     for w, edits, start, end in regions(text[at : at + _PIECE + overlap], of):
-                        rows.append((k, of.item[w], of.at[w], edits, at + start, at + end))
+                        if of.length[w] >= SHORT or whole_words(text, at + start, at + end):
+                            rows.append((k, of.item(w), int(of.start[w]), edits, at + start, at + end))
             rows = list(dict.fromkeys(rows))
             if rows:
                 k, *rest = zip(*rows, strict=True)
@@ -241,7 +300,7 @@ def _matcher(index):
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = EDIT_RATE) -> DataFrame:
     """One row per input row: doc_id, contaminated, items (sorted item ids), n_regions, least_edits.
 
-    Rows that repeat an id, the null id included, are one document and share the
+    Null and empty texts aren't contaminated; a long text is searched whole. Rows that repeat an id, the null id included, are one document and share the
     answer. An empty benchmark contaminates nothing, an empty table gives no rows,
     and further columns play no part.
     """

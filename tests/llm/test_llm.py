@@ -78,8 +78,8 @@ def test_contamination_finds_what_brute_force_finds():
         got = {}
         for w, e, start, end in contamination.regions(whole, index):
             got[w] = min(got.get(w, 99), e)
-            assert edits_within(index.text[w], whole[start:end]) <= e
-        for w, pattern in enumerate(index.text):
+            assert edits_within(index.pattern(w), whole[start:end]) <= e
+        for w, pattern in enumerate(map(index.pattern, range(len(index.owner)))):
             best = edits_within(pattern, whole)
             assert (w in got) == (best <= index.edits[w])
             if w in got:
@@ -104,16 +104,16 @@ def test_contamination_finds_short_stretches_wherever_they_lie():
             for _ in range(edits):
                 copied[rng.randrange(length)] = rng.choice(["", "q"])
             whole = f"{words(20)} {''.join(copied)} {words(20)}"
-            assert {index.item[r[0]] for r in contamination.regions(whole, index)} == ({k} if want else set()), (k, at, length)
+            assert {index.item(r[0]) for r in contamination.regions(whole, index)} == ({k} if want else set()), (k, at, length)
 
 
 def test_contamination_table(spark, odd, none):
     passage = "A passage, that is long enough to count as evidence: of a leak, in any document of the corpus!"
     bench = spark.createDataFrame([(9, passage), (9, passage), (10, "short one"), (11, None), (12, "")], "item_id long, text string")
     text = "before " * 30_000 + passage.upper().replace(",", " --") + " after" * 30_000
-    more = odd.unionByName(docs_of(spark, [(20, text), (20, "clean"), (21, passage[10:]), (22, passage[:40])]))
+    more = odd.unionByName(docs_of(spark, [(20, text), (20, "clean"), (21, passage[10:]), (22, passage[:36])]))
     got = {(r.doc_id, r.contaminated, tuple(r["items"])) for r in contamination.contamination(more, bench).collect()}
-    assert {x for x in got if x[1]} == {(20, True, (9,)), (21, True, (9,))} or {x for x in got if x[1]} == {(20, True, (9,))}
+    assert {x for x in got if x[1]} == {(20, True, (9,)), (21, True, (9,))}
     assert contamination.contamination(more, bench).count() == more.count()
     kept = contamination.drop_contaminated(more, bench)
     assert kept.columns == more.columns and kept.filter("doc_id = 20").count() == 0 and kept.filter("doc_id = 22 OR doc_id IS NULL").count() == 3
@@ -121,6 +121,33 @@ def test_contamination_table(spark, odd, none):
     assert contamination.contamination(none, bench).count() == 0 == contamination.drop_contaminated(none, bench).count()
 
 
+def test_contamination_windows_hold_their_places():
+    """windows_at() against the windows' own spans, for items around every length that matters."""
+    rng = random.Random(3)
+    items = [(n, "".join(rng.choice("abcdefghij") for _ in range(n))) for n in (10, 39, 40, 41, 50, 59, 60, 61, 99, 100, 101, 150, 151, 333)]
+    index = contamination.Index(items)
+    for number, (_, text) in enumerate(items):
+        for j in range(len(text) - contamination.Q + 1):
+            which, window, place = index.windows_at(np.array([index.base[number] + j]))
+            want = {w for w in range(len(index.owner)) if index.owner[w] == number and index.start[w] <= j <= index.start[w] + index.length[w] - contamination.Q}
+            assert set(window.tolist()) == want and len(window) == len(want) and (index.start[window] + place == j).all()
+    for number, (_, text) in enumerate(items):
+        covered = {p for w in range(len(index.owner)) if index.owner[w] == number for p in range(index.start[w], index.start[w] + index.length[w])}
+        assert covered == set(range(len(text)))
+
+
+def test_contamination_by_short_items(spark):
+    """Below 40 characters an item counts verbatim and as whole words; below 10 as the whole text."""
+    items = [(1, "The short item 12345 abc"), (2, "abcde fghi"), (3, "Tiny one"), (4, "!!")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [
+        (1, "words, THE SHORT -- item 12345 abc; more"), (2, "words the short item 12345 abcd more"), (3, "unshort item 12345 abc"), (4, "the short item 12345 abc"), (5, "the shirt item 12345 abc"),
+        (6, "x" * (1 << 19) + " abcde fghi"), (7, "x" * (1 << 19) + "abcde fghi"), (8, "y" * ((1 << 19) - 4) + " abcde fghi " + "z" * 3000), (9, "Tiny, one!"), (10, "a tiny one"), (11, "!!"), (12, "zabcde fghi abcde fghi"),
+    ]
+    got = {r.doc_id: r["items"] for r in contamination.contamination(docs_of(spark, rows), bench).collect() if r.contaminated}
+    assert got == {1: [1], 4: [1], 6: [2], 8: [2], 9: [3], 12: [2]}
+
+
 def test_contamination_of_common_grams_in_small_parts(monkeypatch):
     """Grams with many places are counted in parts of bounded size, with the same result."""
     common = "and so it goes on and on as it always does, "
@@ -129,7 +156,7 @@ def test_contamination_of_common_grams_in_small_parts(monkeypatch):
     whole = contamination.regions(text, index)
     monkeypatch.setattr(contamination, "_PLACES", 500)
     assert {r[0] for r in contamination.regions(text, index)} == {r[0] for r in whole}
-    assert any(index.item[r[0]] == 17 for r in whole)
+    assert any(index.item(r[0]) == 17 for r in whole)
 
 
 def test_contamination_in_blocks_is_the_same(spark, monkeypatch):
