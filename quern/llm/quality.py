@@ -18,20 +18,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HASH_BITS = 18
-MAX_LABELLED = 8000  # labelled rows that are learnt from, those whose ids hash lowest; the only bound
+MAX_LABELLED = 8000  # labelled documents that are learnt from, those whose ids hash lowest; the only bound
 EPOCHS = 3
 THRESHOLD = 0.7
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 1e-4, 1e-4
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
-_PIECE = 1 << 20  # characters that are tokenised at once
+_PIECE = 1 << 20  # characters that are tokenised at once, and on to the next white space
+_SPACE = re.compile(r"\s")
 _CACHE = 100_000  # token hashes that a worker remembers
-_LOG = np.log1p(np.arange(1 << 12))  # of a feature's count, which counts as 4095 at most
 
 
 def _token_code(token: str) -> tuple[int, int]:
     """Hash of the lower-cased token, and of its shape (case, digits, or the symbols themselves)."""
     if not (token[0].isalnum() or token[0] == "_"):
-        shape = token[:4]
+        shape = token
     elif token.isupper() and len(token) > 1:
         shape = "AA"
     elif token[0].isupper():
@@ -49,9 +49,11 @@ class Features:
         self.bits, self.seen, self.table = bits, {}, np.empty((2, 0), np.uint64)
 
     def _codes(self, text: str) -> np.ndarray:
-        out = []
-        for at in range(0, max(1, len(text)), _PIECE):
-            tokens = _TOKEN.findall(text[at : at + _PIECE])
+        out, end = [], 0
+        while end < len(text) or not out:
+            at, space = end, _SPACE.search(text, end + _PIECE)  # no token holds white space
+            end = space.start() if space else len(text)
+            tokens = _TOKEN.findall(text[at:end])
             if len(self.seen) > _CACHE:
                 self.seen, self.table = {}, np.empty((2, 0), np.uint64)
             new = list(set(tokens).difference(self.seen))
@@ -78,7 +80,7 @@ class Features:
             every = np.concatenate([word, pairs * mix, shape, shapes, bins]) * mix >> np.uint64(64 - self.bits)
         every = np.sort(every.astype(np.int32))
         first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
-        index, value = every[first], _LOG[np.minimum(np.diff(np.append(first, len(every))), len(_LOG) - 1)]
+        index, value = every[first], np.log1p(np.diff(np.append(first, len(every))))
         return index, (value / np.sqrt((value * value).sum())).astype(np.float32)
 
 
@@ -108,9 +110,11 @@ def held_out(id_col) -> F.Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = MAX_LABELLED, bits: int = HASH_BITS) -> np.ndarray:
-    """Weights learnt from at most `most` labelled, not held-out rows. An id with
-    contradicting labels counts as the lower one; null labels and ids are left out.
-    Without any usable label every weight is 0 and every score 0.5."""
+    """Weights learnt from at most `most` labelled, not held-out documents. An id with
+    contradicting labels counts as the lower one; null labels and ids are left out. Rows
+    that repeat an id are one document, with the least of their texts; a null text is an
+    empty one. Without any usable label every weight is 0 and every score 0.5. Further
+    columns play no part."""
     sample = (
         labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col)))
         .groupBy(F.col(id_col).alias("doc_id")).agg(F.min(label_col).cast("double").alias("label"))
@@ -137,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     kind = docs.schema[id_col].dataType.simpleString()
     made = (
         docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-        .join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
+        .join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
         .mapInArrow(features, f"doc_id {kind}, label double, index array<int>, value array<float>")
     )
     model = made.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "label", "index").mapInArrow(learn, "w array<float>").collect()
@@ -146,7 +150,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted. A null text scores as
-    an empty one; null and repeated ids are rows like others."""
+    an empty one, a long one whole; null and repeated ids are rows like others. An empty
+    table gives no rows; further columns play no part."""
     model = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,17 +170,16 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
 
 def keep_accepted(docs: DataFrame, weights: np.ndarray, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of `docs` whose score reaches the threshold, with their columns. Every row
-    is judged by itself, whatever its id; a null text is judged as an empty one."""
+    is judged by itself, whatever its id; a null text is judged as an empty one, a long one
+    whole. An empty table gives no rows. Only the text goes through Python."""
     model = docs.sparkSession.sparkContext.broadcast(weights)
-    at = docs.columns.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         make, w = Features((len(model.value) - 1).bit_length() - 1), model.value
-        for batch in batches:
-            keep = np.empty(batch.num_rows, bool)
-            for k, text in enumerate(batch.column(at)):
-                index, value = make(text.as_py())
-                keep[k] = 1 / (1 + np.exp(-np.clip(w[index] @ value + w[-1], -35, 35))) >= threshold
-            yield batch.filter(pa.array(keep))
+        for part in texts:
+            found = [make(text.as_py()) for text in part]
+            dots = np.array([w[index] @ value + w[-1] for index, value in found], np.float64)
+            yield pa.array(1 / (1 + np.exp(-np.clip(dots, -35, 35))))
 
-    return docs.mapInArrow(run, docs.schema)
+    run.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return docs.filter(F.arrow_udf(run, "double")(F.col(text_col)) >= threshold)

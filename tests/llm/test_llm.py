@@ -202,6 +202,84 @@ def test_quality_on_held_out_labels(spark):
     assert ((got.score >= 0.7) == (got.predicted == 1)).all() and got.score.between(0, 1).all()
 
 
+def slow_features(text, bits):
+    """The features, one by one, in plain Python."""
+    tokens = re.findall(r"\w+|[^\w\s]+", text or "")
+    mask, mix = (1 << 64) - 1, 0x9E3779B97F4A7C15
+
+    def shape(t):
+        if not (t[0].isalnum() or t[0] == "_"):
+            return t
+        return "AA" if t.isupper() and len(t) > 1 else "Aa" if t[0].isupper() else "00" if t[0].isdigit() else "aa"
+
+    words = [xxhash.xxh64_intdigest(t.lower(), 1) for t in tokens]
+    shapes = [xxhash.xxh64_intdigest(shape(t), 2) for t in tokens]
+    pairs = [a * mix + b & mask for a, b in zip(words, words[1:])]
+    hashes = words + [p * mix & mask for p in pairs] + shapes
+    hashes += [((a * mix + b) * mix + (x == y)) & mask for a, b, x, y in zip(shapes, shapes[1:], words, words[1:])]
+    hashes += [xxhash.xxh64_intdigest(f"words {len(words).bit_length()}", 3), xxhash.xxh64_intdigest(f"distinct {10 * len(set(pairs)) // max(1, len(pairs))}", 3)]
+    counts = {}
+    for h in hashes:
+        at = (h * mix & mask) >> (64 - bits)
+        counts[at] = counts.get(at, 0) + 1
+    values = {at: np.log(1 + n) for at, n in counts.items()}
+    size = np.sqrt(sum(v * v for v in values.values()))
+    return {at: v / size for at, v in values.items()}
+
+
+def slow_ftrl(rows, size, epochs):
+    """FTRL-proximal as published, coordinate by coordinate."""
+    z, n = [0.0] * (size + 1), [0.0] * (size + 1)
+
+    def weight(i):
+        if abs(z[i]) <= quality.L1:
+            return 0.0
+        return -(z[i] - (quality.L1 if z[i] > 0 else -quality.L1)) / ((quality.BETA + n[i] ** 0.5) / quality.ALPHA + quality.L2)
+
+    for _ in range(epochs):
+        for x, y in rows:
+            x = {**x, size: 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + np.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - y) * v
+                sigma = ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / quality.ALPHA
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    return [weight(i) for i in range(size + 1)]
+
+
+def slow_score(text, weights, bits):
+    return 1 / (1 + np.exp(-(sum(weights[i] * v for i, v in slow_features(text, bits).items()) + weights[-1])))
+
+
+def test_features_and_ftrl_are_the_plain_ones(monkeypatch):
+    rng = random.Random(12)
+    words = ["The", "THE", "the", "a1", "1a", "42", "_x", "--", "!!!!!!", "!!!!", "é", "Ä", "漢字", "\u0663", "x" * 50, "\n", "\x1c", "...", "don't"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(40))) for _ in range(80)] + ["", None, "   ", "same " * 10_000, "z" * 3_000_000, "ab! " * 9]
+    make = quality.Features(16)
+    for text in texts:
+        index, value = make(text)
+        want = slow_features(text, 16)
+        assert index.tolist() == sorted(want) and value == pytest.approx([want[i] for i in sorted(want)], abs=1e-6)
+    whole = [make(t) for t in texts]
+    monkeypatch.setattr(quality, "_PIECE", 7)  # cut between tokens only
+    for (i, v), text in zip(whole, texts):
+        index, value = quality.Features(16)(text)
+        assert (index == i).all() and (value == v).all()
+    rows = [(slow_features(t, 8), float(k % 2)) for k, t in enumerate(texts[:60])]
+    fast = quality.ftrl(iter([(np.array(sorted(x)), np.array([x[i] for i in sorted(x)]), y) for x, y in rows]), 1 << 8, 3)
+    assert fast == pytest.approx(slow_ftrl(rows, 1 << 8, 3), abs=1e-9) and np.abs(fast).max() > 0.1
+
+
+def test_quality_of_repeated_ids(spark):
+    """Repeats of a labelled id are one document, so that the sample stays bounded."""
+    docs = docs_of(spark, [(1, "good text")] * 50 + [(1, None), (2, "bad text"), (3, None)])
+    once = docs_of(spark, [(1, "good text"), (2, "bad text"), (3, "")])
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 0, 0)], "doc_id long, quality int, toxic int")
+    assert (quality.train(docs, labels, bits=12) == quality.train(once, labels, bits=12)).all()
+
+
 def test_quality_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(4, 1, 0), (4, 0, 0), (5, 1, 0), (None, 1, 0), (6, None, 0)], "doc_id long, quality int, toxic int")
     weights = quality.train(odd, labels)
@@ -211,8 +289,12 @@ def test_quality_odd_rows(spark, odd, none):
     flat = quality.train(odd, labels.limit(0))
     assert not flat.any() and {r.score for r in quality.score(odd, flat).collect()} == {0.5}
     assert quality.score(none, flat).count() == 0 == quality.keep_accepted(none, flat).count()
-    accepted = {(r.doc_id, r.text) for r in quality.keep_accepted(odd, weights).collect()}
-    assert accepted == {(r.doc_id, r.text) for r in odd.join(out.filter("predicted = 1"), "doc_id").select("doc_id", "text").union(odd.filter("doc_id IS NULL").select("doc_id", "text")).collect() if (r.doc_id, r.text) in accepted}
+    every = sorted({slow_score(t, weights, quality.HASH_BITS) for _, t in ODD})
+    limit = (every[-1] + every[-2]) / 2
+    accepted = sorted(str((r.doc_id, r.text)) for r in quality.keep_accepted(odd, weights, threshold=limit).collect())
+    judge = lambda t: slow_score(t, weights, quality.HASH_BITS) >= limit
+    assert accepted == sorted(str(r) for r in ODD if judge(r[1])) and 0 < len(accepted) < len(ODD)
+    assert sorted((str(r.doc_id), r.predicted) for r in quality.score(odd, weights, threshold=limit).collect()) == sorted((str(i), int(judge(t))) for i, t in ODD)
 
 
 def test_ftrl_learns_and_the_sample_is_bounded(spark):
