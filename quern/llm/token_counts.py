@@ -34,10 +34,16 @@ _NEW_LETTERS = (
     r"\U0001df2b-\U0001df81\U0001df90-\U0001df96\U0001dfcd-\U0001dfff\U0001e6c0-\U0001e6de\U0001e6e0-\U0001e6e2\U0001e6e4-\U0001e6e5"
     r"\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4\U0001e6fe-\U0001e6ff\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead"
     r"\U000323b0-\U00033479\U0003d000-\U0003fc3f"
+    r"\U00011de0-\U00011de9\U0001246f\U00012475-\U0001247f\U00012550-\U00012686\U00016ff4-\U00016ff6"
 )
 _FIRST_NEW = 0x558  # the least of both lists; texts below it, most of them, aren't searched
-#: Capitals that the library doesn't know as such. Fixed values.
-_NEW_CAPITALS = r"\u1c89\ua7cb-\ua7cc\ua7ce\ua7d2\ua7d4\ua7da\ua7dc\U00010d50-\U00010d65\U00016ea0-\U00016eb8"
+#: Capitals of Unicode versions after Python's, which the library lowers: (first, last, first small letter).
+#: Fixed values.
+_NEW_CAPITALS = (
+    (0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5),
+    (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB),
+)
+_LOWERED = {c: small + c - first for first, last, small in _NEW_CAPITALS for c in range(first, last + 1)}
 
 
 def _byte_letters() -> list[str]:
@@ -119,8 +125,7 @@ class Counter:
         self.word = regex.compile(vocabulary["pattern"])
         # For the few texts with characters that the pattern libraries class differently.
         known = vocabulary["pattern"].replace(r"\p{L}", rf"[\p{{L}}--[{_NEW_LETTERS}]]").replace(r"\p{N}", rf"[\p{{N}}--[{_NEW_LETTERS}]]")
-        self.known_word, self.new = regex.compile(known, regex.V1), regex.compile(f"[{_NEW_LETTERS}{_NEW_CAPITALS}]")
-        self.capitals = regex.compile(f"([{_NEW_CAPITALS}]+)")
+        self.known_word, self.new = regex.compile(known, regex.V1), regex.compile(f"[{_NEW_LETTERS}{''.join(map(chr, _LOWERED))}]")
         self.special = regex.compile("|".join(map(regex.escape, vocabulary["special"]))) if vocabulary["special"] else None
 
     def _add(self, words: list[str]) -> None:
@@ -141,7 +146,7 @@ class Counter:
                 piece = unicodedata.normalize("NFC", piece).replace("Σ", "σ")  # letter by letter: no final sigma
                 top = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32).max()
                 if top >= _FIRST_NEW and self.new.search(piece):
-                    words = self.known_word.findall("".join(p if k % 2 else p.lower() for k, p in enumerate(self.capitals.split(piece))))
+                    words = self.known_word.findall(piece.lower().translate(_LOWERED))
                 else:
                     words = self.word.findall(piece.lower())
             if len(self.seen) > _CACHE:
@@ -164,7 +169,7 @@ def token_counts(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
     special tokens; the strings of special tokens inside a text count as one each.
     Null and empty texts have no bytes and no tokens. Null and repeated ids are
     rows like others; an empty table gives an empty result; further columns play
-    no part. The vocabulary is read on the driver and broadcast (about 2 MB).
+    no part. Long texts are counted whole, cut between words only. The vocabulary is read on the driver and broadcast (about 2 MB).
     """
     spark = docs.sparkSession
     vocabulary = spark.sparkContext.broadcast(load_vocabulary(vocabulary_path))

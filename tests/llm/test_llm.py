@@ -592,6 +592,10 @@ def test_token_counts_are_the_librarys(spark, odd, none):
         text = "".join(rng.choice([rng.choice(rng.choice(pools)), "<|endoftext|>" if rng.random() < 0.1 else "a", "'LL"[: rng.randrange(4)]]) for _ in range(rng.randrange(60)))
         assert count(text) == want(text), repr(text)
     assert count("ab" * 50_000) == want("ab" * 50_000)
+    lowest = [*range(0x110000)]
+    for _ in range(4000):  # any code points, and those that the pattern libraries class differently
+        text = "".join(map(chr, (c for c in rng.choices(lowest, k=10) + rng.choices([*token_counts._LOWERED, 0x12479, 0x12560, 0x11DE3, 0x25BD, 33, 97], k=2) if not 0xD800 <= c <= 0xDFFF)))
+        assert count(text) == want(text), ascii(text)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for df in (docs, odd):
         got = sorted((r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.token_counts(df, path).collect())
