@@ -113,9 +113,9 @@ FROM documents d LEFT JOIN found USING (doc_id)
 OP5_SQL = """
 WITH lines AS (SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
                       generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS k FROM documents),
-pages AS (SELECT source, count(*) AS pages FROM documents GROUP BY source HAVING count(*) >= 20),
+pages AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
 bad AS (SELECT source, trim(line) AS line FROM lines JOIN pages USING (source) WHERE trim(line) != ''
-        GROUP BY source, trim(line), pages HAVING count(DISTINCT doc_id) > 0.05 * pages),
+        GROUP BY source, trim(line), pages HAVING count(DISTINCT doc_id) >= 2 AND count(DISTINCT doc_id) > 0.05 * pages),
 marked AS (SELECT l.*, b.line IS NOT NULL AS bad FROM lines l LEFT JOIN bad b ON l.source = b.source AND trim(l.line) = b.line),
 clean AS (SELECT doc_id, CAST(count(*) AS INTEGER) AS n_lines, CAST(count(*) FILTER (bad) AS INTEGER) AS n_dropped,
                  coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT bad), '') AS text FROM marked GROUP BY doc_id)

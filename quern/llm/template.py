@@ -363,8 +363,33 @@ def _node(x: Any, filters: dict[str, Callable], learn: bool) -> Callable[[dict],
     return loop
 
 
+def _reads(x: Any) -> int:
+    """How often a run may read the messages at most; a read within a loop counts twice."""
+    if isinstance(x, tuple):
+        return sum(map(_reads, x))
+    if isinstance(x, Name):
+        return int(x.name == "messages")
+    if isinstance(x, Op):
+        return _reads(x.args)
+    if isinstance(x, Field | Filter):
+        return _reads(x.of)
+    if isinstance(x, Emit):
+        return _reads(x.value)
+    if isinstance(x, Generation):
+        return _reads(x.body)
+    if isinstance(x, For):
+        return _reads(x.over) + 2 * _reads(x.body)
+    if isinstance(x, If):
+        return sum(_reads(c) for c, _ in x.cases) + max(_reads(b) for b in (*(b for _, b in x.cases), x.other))
+    return 0
+
+
 def compile_template(source: str, filters: dict[str, Callable] | None = None) -> Callable[[Iterable[dict]], Iterator[Piece]]:
-    """A function of messages (dicts; any iterable, read once) that yields pieces of the output."""
+    """A function of messages (dicts; any iterable, read once) that yields pieces of the output.
+    A template that may read the messages a second time, when none are left, is refused."""
     filters = {"trim": str.strip, "upper": str.upper, "lower": str.lower} | (filters or {})
-    run = _render(fold(parse(source), filters), filters, False)
+    tree = fold(parse(source), filters)
+    if _reads(tree) > 1:
+        raise TemplateError("the messages are a stream: they can be read once")
+    run = _render(tree, filters, False)
     return lambda messages: run({"messages": messages})

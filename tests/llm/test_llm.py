@@ -414,7 +414,11 @@ def test_components_of_a_path_and_a_star(spark):
 # --- 5 ---
 
 
-def test_line_dedup(spark, monkeypatch):
+@pytest.mark.parametrize("hot,listed", [(1 / 1000, 500_000), (1 / 1000, 3), (2.0, 3), (0.1, 60), (1 / 1000, 0)])
+def test_line_dedup(spark, monkeypatch, hot, listed):
+    """Against plain Python: all lists by broadcast, hot ones by line and others by host, all by host, hot ones by broadcast."""
+    monkeypatch.setattr(line_dedup, "HOT", hot)
+    monkeypatch.setattr(line_dedup, "LISTED", listed)
     rng = random.Random(4)
     rows = []
     for k in range(300):
@@ -422,44 +426,26 @@ def test_line_dedup(spark, monkeypatch):
         lines = [f"own {k} {j}" for j in range(3)] + (["menu", " menu "] if rng.random() < 0.6 else []) + ([f"rare {host}"] if k % 40 == 0 else [])
         rng.shuffle(lines)
         rows.append((k, "\n".join(lines), "en", host, 0))
-    rows += [(900, None, "en", "big", 0), (901, "", "en", None, 0), (902, "menu", "en", "tiny", 0), (903, "menu\n\nmenu", "en", "big", 0)]
+    for h in range(60):  # hosts of one page to 24
+        for j in range(h % 24 + 1):
+            lines = [f"own {h} {j}"] + [x for x in (f"menu {h}", "footer") if rng.random() < 0.4]
+            rows.append((1000 + len(rows), "\n".join(lines), "en", f"small{h}" if h else None, 0))
+    rows += [(900, None, "en", "big", 0), (901, "", "en", None, 0), (902, "menu", "en", "tiny", 0), (903, "menu\n\nmenu", "en", "big", 0), (904, "menu", "en", "three", 0), (905, "menu\nx", "en", "three", 0), (906, "y", "en", "three", 0)]
     df = spark.createDataFrame(rows, DOC).withColumns({c: F.lit("x") for c in [*CLASH, "n_lines"]})
     want = {}
-    hosts = {r[3] for r in rows}
-    for host in hosts:
+    for host in {r[3] for r in rows}:
         own = [r for r in rows if r[3] == host]
         seen = [{x.strip(" ") for x in (r[1] or "").split("\n")} for r in own]
-        every = {x for s in seen for x in s if x}
-        bad = {x for x in every if len(own) >= 20 and sum(x in s for s in seen) / len(own) > 0.05}
+        n = lambda x: sum(x in s for s in seen)  # noqa: B023, E731
+        bad = {x for s in seen for x in s if x and n(x) >= 2 and n(x) / len(own) > 0.05}
         want |= {r[0]: "\n".join(x for x in (r[1] or "").split("\n") if x.strip(" ") not in bad) for r in own}
-    for hot in (1 / 1000, 2.0):  # all hosts by broadcast; all by shuffling
-        monkeypatch.setattr(line_dedup, "HOT", hot)
-        out = line_dedup.drop_boilerplate(df)
-        assert {r.doc_id: r.text for r in out.collect()} == want and out.count() == len(rows)
+    out = line_dedup.drop_boilerplate(df)
+    assert {r.doc_id: r.text for r in out.collect()} == want and out.count() == len(rows)
     assert want[903] == "" and out.filter("doc_id = 903").first().n_dropped == 2
+    assert (want[904], want[905], want[906], want[902]) == ("", "x", "y", "menu")
     assert line_dedup.drop_boilerplate(df.limit(0)).count() == 0
 
 
-def test_line_dedup_on_every_host(spark, monkeypatch):
-    """With least_pages=1 small hosts lose what two of their pages share; a page's own lines stay."""
-    rng = random.Random(6)
-    rows = []
-    for h in range(60):
-        for j in range(h % 24 + 1):
-            lines = [f"own {h} {j}"] + [x for x in (f"menu {h}", "footer") if rng.random() < 0.4]
-            rows.append((len(rows), "\n".join(lines), "en", f"h{h}" if h else None, 0))
-    want = {}
-    for host in {r[3] for r in rows}:
-        own = [(r[0], r[1].split("\n")) for r in rows if r[3] == host]
-        n = lambda x: sum(x in lines for _, lines in own)  # noqa: B023, E731
-        want |= {i: "\n".join(x for x in lines if n(x) < 2 or n(x) <= 0.05 * len(own)) for i, lines in own}
-    df = spark.createDataFrame(rows, DOC)
-    assert any("footer" in t for t in want.values()) and all("own" in t for t in want.values())
-    for hot in (1 / 1000, 2.0):
-        monkeypatch.setattr(line_dedup, "HOT", hot)
-        assert {r.doc_id: r.text for r in line_dedup.drop_boilerplate(df, least_pages=1).collect()} == want
-
-
 # --- 6 ---
 
 
@@ -627,6 +613,11 @@ def test_template_language():
     for bad in ["{% for %}", "{% if 1 %}", "{{ }}", "{{ a( }}", "{% endif %}", "{{ 'a' | nope }}", "{% what %}", "{{ 1 2 }}"]:
         with pytest.raises(template.TemplateError):
             template.compile_template(bad)
+    loop = "{% for m in messages %}{{ m.text }}{% endfor %}"
+    for bad in [loop + loop, "{% for a in messages %}" + loop + "{% endfor %}", "{% if 'a' in messages %}" + loop + "{% endif %}", "{% for a in messages %}{% for b in messages %}{% endfor %}{% endfor %}"]:
+        with pytest.raises(template.TemplateError):
+            template.compile_template(bad)
+    assert run("{% for m in messages %}{% if m.role == 'a' %}{{ m.text }}{% else %}{{ m.text | upper }}{% endif %}{% endfor %}", two) == "xY"
     for bad in ["{{ nobody }}", "{{ messages.__class__ }}", "{% for m in messages %}{{ m.none }}{% endfor %}"]:
         with pytest.raises(template.TemplateError):
             run(bad, two)
