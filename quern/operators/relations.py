@@ -51,8 +51,7 @@ def without(rows: DataFrame, lost: DataFrame, column: str) -> DataFrame:
 
     Wide rows stay where they are. Up to MAP_SIDE values are broadcast. Of more, a Bloom
     filter of fixed size is: rows that it clears are kept at once, in one branch, and only
-    the others are shuffled for the exact anti join, in another. Its four bits a value lie in
-    one word, so it is a table of words joined by number.
+    the others are shuffled for the exact anti join, in another.
     """
     (name,) = lost.columns
     n, named = lost.agg(F.count("*"), F.count(name)).first()
@@ -60,11 +59,29 @@ def without(rows: DataFrame, lost: DataFrame, column: str) -> DataFrame:
         rows, lost = rows.filter(F.col(column).isNotNull()), lost.filter(F.col(name).isNotNull())
     if not named:
         return rows
-    key, word, bits, maybe = fresh(rows, "key", "word", "bits", "maybe")
+    key, word, maybe = fresh(rows, "key", "word", "maybe")
     lost = lost.select(F.col(name).alias(key)).distinct()
     if n <= MAP_SIDE:
         return rows.join(F.broadcast(lost), F.col(column) == F.col(key), "left_anti")
 
+    marked = _sifted(rows, lost.select(F.col(key).alias(word)), column, maybe)
+    clear = marked.filter(~F.col(maybe)).select(*rows.columns)
+    return clear.unionByName(marked.filter(maybe).select(*rows.columns).join(lost.hint("shuffle_merge"), F.col(column) == F.col(key), "left_anti"))
+
+
+def probably_among(rows: DataFrame, values: DataFrame, column: str) -> DataFrame:
+    """The rows whose `column` is among the values of a table of one column, and a few others:
+    a filter of fixed size is broadcast, and nothing is shuffled."""
+    name, maybe = fresh(rows, "value", "maybe")
+    return _sifted(rows, values.toDF(name), column, maybe).filter(maybe).select(*rows.columns)
+
+
+def _sifted(rows: DataFrame, values: DataFrame, column: str, maybe: str) -> DataFrame:
+    """`rows` with `maybe`: false only if `column` isn't among `values`. A Bloom filter whose four
+    bits a value lie in one word, as a table of words that is joined by number."""
+    (name,) = values.columns
+    word, bits = fresh(rows.withColumn(name, F.lit(0)), "word", "bits")
+
     def place(value):
         return F.pmod(F.xxhash64(value), F.lit(WORDS)).cast("int")
 
@@ -72,11 +89,9 @@ def without(rows: DataFrame, lost: DataFrame, column: str) -> DataFrame:
         draw = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(F.xxhash64(value, F.lit(1)), 6 * k), F.lit(64)).cast("int"))
         return draw(0).bitwiseOR(draw(1)).bitwiseOR(draw(2)).bitwiseOR(draw(3))
 
-    bloom = lost.groupBy(place(F.col(key)).alias(word)).agg(F.bit_or(mask(F.col(key))).alias(bits))
+    bloom = values.groupBy(place(F.col(name)).alias(word)).agg(F.bit_or(mask(F.col(name))).alias(bits))
     hit = F.coalesce(F.col(bits).bitwiseAND(mask(F.col(column))) == mask(F.col(column)), F.lit(False))
-    marked = rows.join(F.broadcast(bloom), place(F.col(column)) == F.col(word), "left").withColumn(maybe, hit)
-    clear = marked.filter(~F.col(maybe)).select(*rows.columns)
-    return clear.unionByName(marked.filter(maybe).select(*rows.columns).join(lost.hint("shuffle_merge"), F.col(column) == F.col(key), "left_anti"))
+    return rows.join(F.broadcast(bloom), place(F.col(column)) == F.col(word), "left").withColumn(maybe, hit)
 
 
 def copy_with_ids(rows: DataFrame, id_map: DataFrame, key: str) -> DataFrame:

@@ -263,6 +263,13 @@ def test_without(spark, monkeypatch, most):
         assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(i) for i in ids if i not in gone)
 
 
+def test_probably_among_loses_none(spark):
+    rows = spark.createDataFrame([(f"k{k}",) for k in range(3000)] + [(None,)], "_quern_value string")
+    values = spark.createDataFrame([(f"k{k}",) for k in range(0, 3000, 30)], "key string")
+    got = {r[0] for r in relations.probably_among(rows, values, "_quern_value").collect()}
+    assert {f"k{k}" for k in range(0, 3000, 30)} <= got and len(got) < 130 and None not in got
+
+
 def test_scratch_tables_go(spark):
     import os
 
