@@ -52,15 +52,16 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL["dir"]
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write `df` into the shared folder and read it back: cuts the lineage, survives
-    lost executors, and lets several consumers read one result."""
+    lost executors, and lets several consumers read one result. With `keep` it outlives
+    the scratch() block that it is written in."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quern_path = path
-    if _SCOPES:
+    if _SCOPES and not keep:
         _SCOPES[-1].append(out)
     return out
 
