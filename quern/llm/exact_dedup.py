@@ -15,8 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.operators.relations import without
-from quern.session import fresh, materialise
+from quern.llm.decisions import keep_decided
+from quern.session import materialise
 
 SUPPORT = 1 / 1000  # bounds candidates and broadcast winners at 1000 rows
 SKETCH_TASKS = 512  # at most so many counter sets of 1/support entries meet in the merge
@@ -61,21 +61,8 @@ def duplicate_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = SUPPORT) -> DataFrame:
     """The rows of `docs` that duplicate_decisions() keeps, with their columns.
 
-    Texts stay where they are: ids of which every row loses are left out by
-    quern.operators.relations.without(). Rows of an id that has rows of both kinds, which
-    only repeated ids can have, are decided by id and digest; of rows that repeat both, one
-    stays. Nulls, empty and long texts are as in duplicate_decisions(); an empty table gives
+    Texts stay where they are; of rows that repeat id and text, one stays. Nulls, empty and long texts are as in duplicate_decisions(); an empty table gives
     no rows, and further columns are passed on whatever their names.
     """
     decisions = materialise(duplicate_decisions(docs, id_col, text_col, support), "exact-decisions")
-    digest, at = fresh(docs, "digest", "at")
-    ids = decisions.groupBy("doc_id").agg(F.max("kept").alias("some"), F.min("kept").alias("all"))
-    ids = materialise(ids.filter("NOT all"), "exact-losers")
-    kept = without(docs, ids.select("doc_id"), id_col)
-    mixed = ids.filter("some").select(F.col("doc_id").alias(at))
-    if mixed.isEmpty():
-        return kept
-    winners = decisions.filter("kept").join(mixed, F.col("doc_id").eqNullSafe(F.col(at)), "left_semi").select(F.col("doc_id").alias(at), F.col("text_sha256").alias(digest))
-    again = docs.join(mixed, F.col(id_col).eqNullSafe(F.col(at)), "left_semi").withColumn(digest, text_digest(F.col(text_col)))
-    again = again.join(winners.withColumnRenamed(digest, digest + "_of"), F.col(id_col).eqNullSafe(F.col(at)) & (F.col(digest) == F.col(digest + "_of")), "left_semi")
-    return kept.unionByName(again.dropDuplicates([id_col, digest]).select(*docs.columns))
+    return keep_decided(docs, decisions.select("doc_id", "kept", F.col("text_sha256").alias("proof")), id_col, text_digest(F.col(text_col)), once=True)

@@ -61,7 +61,7 @@ def op6_url_filter(spark, sf_dir):
 
 
 def op7_source_mixing(spark, sf_dir):
-    return mixing.mix(table(spark, sf_dir, "documents"), mixing.PRODUCTION)
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("chance")
 
 
 def op8_exact_dedup(spark, sf_dir):

@@ -1,5 +1,9 @@
 """URL filter by a temporal list join: dated list entries become validity intervals, and
 an as-of join judges every capture by the entries active when it was fetched.
+
+A list of counted size is broadcast. With a longer one, keys that no entry has go on the
+map side, by a filter of fixed size; entries of keys with over HOT of the rest, of which
+there are fewer than 1 / HOT, are broadcast or, beyond the bound, salted; the others are shuffled.
 """
 
 from __future__ import annotations
@@ -7,10 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators.relations import probably_among
 from quern.session import materialise
 
 BROADCAST_ROWS = 200_000  # intervals (under 50 MB) that are broadcast; a longer list is shuffled
-SALTS = 16  # parts that each key's captures are dealt into when the list is shuffled
+SALTS = 16  # parts that each hot key's captures are dealt into when its intervals are too many
+HOT = 1 / 1000
+SKETCH_TASKS = 512  # at most so many counter sets of 1/HOT entries meet in the merge
 _HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 _PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"
 
@@ -64,9 +71,17 @@ def url_filter(captures: DataFrame, entries: DataFrame, id_col: str = "page_id",
     if listed.count() <= BROADCAST_ROWS:
         matched = keyed.join(F.broadcast(listed), on)
     else:
-        keyed = keyed.withColumn("salt", F.pmod(F.xxhash64("url", "at"), F.lit(SALTS)).cast("int"))
-        salted = listed.withColumn("list_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        matched = keyed.join(salted, on & (F.col("salt") == F.col("list_salt")))
+        keyed = materialise(probably_among(keyed, listed.select("pattern"), "key"), "url-keys")
+        common = keyed.coalesce(SKETCH_TASKS).stat.freqItems(["key"], HOT).select(F.explode("key_freqItems").alias("common"))
+        common = F.broadcast(materialise(common, "url-common"))
+        hot, entries = keyed.join(common, F.col("key") == F.col("common"), "left_semi"), listed.join(common, F.col("pattern") == F.col("common"), "left_semi")
+        if entries.count() <= BROADCAST_ROWS:
+            matched = hot.join(F.broadcast(entries), on)
+        else:
+            hot = hot.withColumn("salt", F.pmod(F.xxhash64("url", "at"), F.lit(SALTS)).cast("int"))
+            salted = entries.withColumn("list_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            matched = hot.join(salted, on & (F.col("salt") == F.col("list_salt"))).drop("salt", "list_salt")
+        matched = matched.unionByName(keyed.join(common, F.col("key") == F.col("common"), "left_anti").join(listed, on))
     best = matched.groupBy("url", "at").agg(F.max(F.struct(F.length("pattern").alias("n"), "pattern", "valid_from")).alias("best"))
     best = best.select(F.col("url").alias("best_url"), F.col("at").alias("best_at"), "best")
     shown = captures.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(time_col).alias("fetched_at"))

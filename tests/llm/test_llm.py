@@ -463,8 +463,9 @@ def test_url_filter(spark, monkeypatch):
     ]
     rows = [(i, u, day(d) if d else None) for i, u, d, _ in cases]
     captures = spark.createDataFrame(rows, "page_id long, url string, day string").select("page_id", "url", F.to_timestamp("day").alias("fetched_at")).withColumns({"pattern": F.lit("x"), "key": F.lit("x"), "best": F.lit(1)})
-    for most in (200_000, 0):
+    for most, hot in ((200_000, 1 / 1000), (0, 1 / 1000), (0, 0.9), (3, 0.05)):
         monkeypatch.setattr(url_filter, "BROADCAST_ROWS", most)
+        monkeypatch.setattr(url_filter, "HOT", hot)
         out = url_filter.url_filter(captures, table).collect()
         assert sorted((str(r.page_id), str(r.pattern)) for r in out) == sorted((str(i), str(p)) for i, _, _, p in cases)
         assert all(r.blocked == (r.pattern is not None) for r in out)
@@ -506,27 +507,117 @@ def test_raking_reaches_its_marginals():
     assert mixing.rake(np.array([10.0, 90.0]), [np.arange(2)], [np.array([0.5, 0.5])], 0.4).tolist() == pytest.approx([10, 30])
 
 
+def test_raking_reports_what_cannot_be_met():
+    """Two cells on a diagonal can't have unlike marginals; one marginal is met, and the gap is told."""
+    with pytest.warns(mixing.RakingWarning):
+        take = mixing.rake(np.array([100.0, 100.0]), [np.array([0, 1]), np.array([0, 1])], [np.array([0.9, 0.1]), np.array([0.5, 0.5])], 0.5)
+    assert (take <= 100).all() and take == pytest.approx([50, 50])
+
+
+def slow_topic(text, weights, bits):
+    counts = {}
+    for w in (text or "").split():
+        at = xxhash.xxh64_intdigest(w.lower().strip(".,;:!?\"'()")) >> (64 - bits)
+        counts[at] = counts.get(at, 0) + 1
+    scores = [sum(float(row[at]) * np.log(1 + n) for at, n in counts.items()) for row in weights]
+    return sorted(range(len(scores)), key=lambda k: -scores[k]) if counts else None, scores
+
+
+def slow_chance(i, text, seed=7):
+    """The number drawn for a row: chained XXH64 over seed, id and text."""
+    h = xxhash.xxh64_intdigest(seed.to_bytes(4, "little"), 42)
+    for part in ([] if i is None else [i.to_bytes(8, "little", signed=True)]) + ([] if text is None else [text.encode()]):
+        h = xxhash.xxh64_intdigest(part, h)
+    return (h >> 11) / (1 << 53)
+
+
+def slow_mix(rows, weights, bits, fraction):
+    """mix() in plain Python, with raking that knows no limit: doc_id, topic, tokens, probability, sampled."""
+    made = []
+    for i, text, lang, source in rows:
+        order, _ = slow_topic(text, weights, bits)
+        made.append((i, source, lang, f"topic{order[0]}" if order else None, len((text or "").split()), slow_chance(i, text)))
+    total = sum(r[4] for r in made)
+    sums = lambda key, rs=made: {k: sum(r[4] for r in rs if key(r) == k) for k in {key(r) for r in rs}}
+    goals = []
+    for d in (1, 2, 3):
+        have = sums(lambda r: r[d])  # noqa: B023
+        named = {k: n**mixing.POWER for k, n in have.items() if k is not None and n > 0}
+        rest = total - sum(n for k, n in have.items() if k in named)
+        goals.append({k: v / sum(named.values()) * (total - rest) for k, v in named.items()} | ({None: rest} if None in have else {}))
+    cells = sums(lambda r: r[1:4])
+    weight = {c: float(n) for c, n in cells.items()}
+    for _ in range(3000):
+        for d in range(3):
+            now = {}
+            for c, n in weight.items():
+                now[c[d]] = now.get(c[d], 0) + n
+            weight = {c: n * goals[d].get(c[d], 0) / now[c[d]] if now[c[d]] else 0.0 for c, n in weight.items()}
+    return {r[0]: (r[3], r[4], weight[r[1:4]] / cells[r[1:4]] * fraction if cells[r[1:4]] else 0.0, r[5]) for r in made}
+
+
+def test_mix_is_the_plain_one(spark):
+    """The whole operator against plain Python, with a fraction low enough that no cell runs out."""
+    rng = random.Random(5)
+    pools = [[f"{p}{k}" for k in range(40)] for p in "abc"]
+    rows = []
+    for k in range(600):
+        pool = rng.choices(pools, [6, 3, 2])[0]
+        text = " ".join(rng.choice(pool) for _ in range(rng.randrange(3, 40)))
+        rows.append((k, text, rng.choices(["en", "de"], [4, 1])[0], rng.choices(["x", "y", "z"], [6, 3, 2])[0]))
+    df = spark.createDataFrame([(i, t, lang, source, 0) for i, t, lang, source in rows], DOC)
+    weights = mixing.learn_topics(df, topics=3, bits=10)
+    assert len(weights) == 3
+    for i, t, _, _ in rows[:50]:  # the clusters are the pools
+        assert slow_topic(t, weights, 10)[0][0] == slow_topic(pools["abc".index(t[0])][0] + " " + t, weights, 10)[0][0]
+    narrow = mixing.mix(df, weights=weights)
+    targets = mixing.tempered(narrow, fraction=0.3)
+    got = {r.doc_id: r for r in mixing.mix(df, targets, weights=weights).collect()}
+    want = slow_mix(rows, weights, 10, 0.3)
+    for i, (topic, tokens, probability, chance) in want.items():
+        assert (got[i].topic, got[i].n_tokens) == (topic, tokens) and got[i].probability == pytest.approx(probability, abs=1e-5)
+        assert got[i].chance == chance and got[i].sampled == (chance < got[i].probability)
+    assert len({r.topic for r in got.values()}) == 3 and 100 < sum(r.sampled for r in got.values()) < 300
+
+
 def test_mix_samples_by_probability(spark):
     docs = spark.read.parquet(f"{SF.replace('0.001', '0.1')}/documents.parquet")
-    out = mixing.mix(docs, mixing.PRODUCTION).toPandas()
-    assert len(out) == docs.count()
+    weights = mixing.learn_topics(docs)
+    assert (weights == mixing.learn_topics(docs.repartition(5))).all() and len(weights) == mixing.TOPICS
+    out = mixing.mix(docs, weights=weights).toPandas()
+    assert len(out) == docs.count() and out.topic.nunique() == mixing.TOPICS
     expected, got = (out.probability * out.n_tokens).sum(), out[out.sampled].n_tokens.sum()
-    assert abs(got / expected - 1) < 0.03
-    shares = out[out.sampled].groupby("lang").n_tokens.sum() / got
-    assert abs(shares["de"] - 0.155) < 0.02 and abs(shares["en"] - 0.6) < 0.03
-    again = mixing.mix(docs.repartition(7), mixing.PRODUCTION).toPandas()
+    assert abs(got / expected - 1) < 0.03 and abs(expected / out.n_tokens.sum() - 0.85) < 0.01
+    share = lambda df: df.groupby("lang").n_tokens.sum() / df.n_tokens.sum()
+    before, after = share(out), share(out[out.sampled])
+    assert after["en"] < before["en"] and after["es"] > before["es"]
+    again = mixing.mix(docs.repartition(7), weights=weights).toPandas()
     assert set(again[again.sampled].doc_id) == set(out[out.sampled].doc_id)
-    kept = mixing.sample_mix(docs, mixing.PRODUCTION)
+    kept = mixing.sample_mix(docs, weights=weights)
     assert {r.doc_id for r in kept.select("doc_id").collect()} == set(out[out.sampled].doc_id)
-    assert kept.columns == [*docs.columns, "mix_topic", "mix_tokens", "mix_probability"]
+    assert kept.columns == docs.columns
 
 
 def test_mix_odd_rows(spark, odd, none):
-    nulls = odd.withColumns({"source": F.lit(None).cast("string"), "lang": F.lit(None).cast("string")})
-    for df in (odd, nulls):
-        out = mixing.mix(df, mixing.PRODUCTION)
+    clash = odd.withColumns({c: F.lit("x") for c in ("topic", "mix_topic_", "chance", "n_tokens", "cell_source", "sampled")})
+    nulls = clash.withColumns({"source": F.lit(None).cast("string"), "lang": F.lit(None).cast("string")})
+    for df in (clash, nulls):
+        out = mixing.mix(df)
         assert out.count() == len(ODD) and out.filter("probability IS NULL OR n_tokens IS NULL").count() == 0
-    assert mixing.mix(none, mixing.PRODUCTION).count() == 0 == mixing.sample_mix(none, mixing.PRODUCTION).count()
+        sampled = sorted((str(r.doc_id), r.chance) for r in out.filter("sampled").collect())
+        kept = mixing.sample_mix(df)
+        assert kept.columns == df.columns and sorted((str(r.doc_id), slow_chance(r.doc_id, r.text)) for r in kept.collect()) == sampled
+    assert mixing.mix(none).count() == 0 == mixing.sample_mix(none).count()
+    assert len(mixing.learn_topics(none)) == 0
+
+
+def test_rows_of_one_id_are_told_apart(spark):
+    """Repeated ids of which some rows are sampled and some not."""
+    df = docs_of(spark, [(k % 3 if k % 4 else None, f"word{k % 17} number {k % 23}") for k in range(200)])
+    out = mixing.mix(df, mixing.Targets({}, {}, {}, 0.5))
+    want = sorted((str(r.doc_id), r.chance) for r in out.filter("sampled").collect())
+    kept = mixing.sample_mix(df, mixing.Targets({}, {}, {}, 0.5))
+    assert sorted((str(r.doc_id), slow_chance(r.doc_id, r.text)) for r in kept.collect()) == want and 50 < len(want) < 150
 
 
 # --- 8 ---
@@ -691,8 +782,45 @@ def test_pipeline_stages(spark):
     assert leaked and not leaked & ids(four) and len(ids(four)) >= docs.count() - len(leaked) - 3
 
     five = by_name["source_mixing"](spark, docs, sf)
-    assert ids(five) < ids(docs) and set(docs.columns) < set(five.columns)
-    assert all(x.columns == docs.columns for x in (one, two, three, four))
+    mixed = mixing.mix(docs).filter("sampled")
+    assert ids(five) == ids(mixed) and 0 < len(ids(five)) < docs.count()
+    assert all(x.columns == docs.columns for x in (one, two, three, four, five))
 
     whole = corpus_pipeline.run(spark, sf)
     assert 0 < whole.count() < docs.count() and ids(whole) <= ids(one) & set(docs.toPandas().doc_id)
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path, monkeypatch):
+    """Nulls, repeats, ties, a long text and awkward columns through all stages; and no rows at all."""
+    import corpus_pipeline
+
+    good = "Plain sentences about rivers, stones and weather that were written with some care. "
+    rows = [(k, f"{good * (k % 5 + 1)} Number {k} stands here alone {k * 7919}.") for k in range(60)]
+    rows += [(None, good + "without an id"), (None, None), (70, None), (71, ""), (72, good), (73, good), (73, good), (74, good * 40_000), (75, "bad !!!! $$$$ buy now"), (76, "bad !!!! $$$$ buy it now")]
+    folder = str(tmp_path / "odd")
+    df = docs_of(spark, rows).withColumns({"source": F.when(F.col("doc_id") % 3 > 0, F.col("doc_id").cast("string")), "lang": F.when(F.col("doc_id") % 2 > 0, "en"), "kept": F.lit(1), "all": F.lit(2)})
+    df.repartition(3).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(k, int(k < 70), 0) for k in [*range(0, 60), 75, 76]], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, "Number 5 stands here alone 39595"), (2, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    shared = tmp_path / "shared"
+    shared.mkdir()
+    monkeypatch.setattr("quern.session.shared_dir", lambda _: str(shared))
+    docs = df
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, folder)
+        got = [(r.doc_id, r.text) for r in out.collect()]
+        assert out.columns == df.columns and set(got) <= {(r.doc_id, r.text) for r in docs.collect()}, name
+        if name == "quality_classifier":
+            assert not {75, 76} & {i for i, _ in got} and len(got) > 50
+        if name == "exact_dedup":
+            assert sorted(i for i, t in got if t == good) == [73]
+        if name == "benchmark_decontamination":
+            assert 5 not in {i for i, _ in got}
+        assert stage(spark, docs.limit(0), folder).count() == 0
+        docs = out
+    for left in shared.iterdir():  # what the stages by themselves have left
+        left.rename(tmp_path / left.name)
+    whole = corpus_pipeline.run(spark, folder)
+    assert sorted(str(r.doc_id) for r in whole.collect()) == sorted(str(i) for i, _ in got)
+    left = [x.name for x in shared.iterdir()]
+    assert len([x for x in left if x.startswith("pipeline-")]) == 1 and len(left) < 6, left  # the last stage reads them
