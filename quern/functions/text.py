@@ -65,10 +65,22 @@ def share(text: Column, pattern: str) -> Column:
     return F.when(F.length(text) > 0, F.regexp_count(text, F.lit(pattern)) / F.length(text)).otherwise(0.0)
 
 
+#: German words that show the language where no umlaut does: fixed value.
+GERMAN_WORDS = " (der|die|das|und|ist|nicht|mit|auf) "
+
+
 def guess_language(text: Column) -> Column:
-    """zh, de, en or mixed, by the shares of Han characters, of umlauts and of Latin letters."""
-    han, latin = share(text, r"\p{IsHan}"), share(text, "[A-Za-z]")
-    return F.when(han > 0.3, "zh").when(han > 0.05, "mixed").when(share(text, "[äöüßÄÖÜ]") > 0.005, "de").when(latin > 0.5, "en").otherwise("mixed")
+    """zh, de, en or mixed, by the scripts of the letters: mixed if Han, kana and Hangul, and
+    Latin letters, both make 15 % or there is neither; zh above 30 % of the former; de with an
+    umlaut or, in the first 512 characters, a German word; else en."""
+    cjk = F.regexp_count(text, F.lit(r"[\p{IsHan}\p{IsHangul}\p{IsHiragana}\p{IsKatakana}]"))
+    latin = F.regexp_count(text, F.lit("[A-Za-zäöüÄÖÜß]"))
+    letters = cjk + latin
+    german = text.rlike("[äöüÄÖÜß]") | F.substring(text, 1, 512).rlike("(?i)" + GERMAN_WORDS)
+    return (
+        F.when(letters == 0, "mixed").when((cjk >= 0.15 * letters) & (latin >= 0.15 * letters), "mixed")
+        .when(cjk > 0.3 * letters, "zh").when(german, "de").otherwise("en")
+    )
 
 
 #: Characters per token by guessed language: fixed values.
@@ -76,11 +88,12 @@ CHARS_PER_TOKEN = {"en": 4.0, "de": 4.5, "zh": 1.7, "mixed": 3.0}
 
 
 def estimate_tokens(text: Column, language: Column) -> Column:
-    """Characters over the language's characters per token, rounded up."""
+    """Characters over the language's characters per token, rounded; at least 1 for any text."""
     ratio = F.lit(CHARS_PER_TOKEN["mixed"])
     for name, value in CHARS_PER_TOKEN.items():
         ratio = F.when(language == name, value).otherwise(ratio)
-    return F.ceil(F.length(text) / ratio)
+    n = F.length(text)
+    return F.when(n > 0, F.greatest(F.floor(n / ratio + 0.5), F.lit(1))).otherwise(0).cast("long")
 
 
 def strip_thinking(text: Column) -> Column:
@@ -106,6 +119,27 @@ def identifier_terms(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(F.trim(spaced)), " "), lambda w: w != ""))
 
 
+#: Code references in a query, quoted stretches, and what makes a word look like code: fixed values.
+CODE_TOKEN = r"[A-Za-z_$][A-Za-z0-9_$-]*(?:(?:[./#:]|\\)[A-Za-z_$][A-Za-z0-9_$-]*)*"
+QUOTED = "[`\"']([^`\"']+)[`\"']"
+LIKE_CODE = r"[_./#:\\-]|[a-z0-9][A-Z]"
+
+
+def code_query(query: Column, identifiers: int = 8, terms: int = 32) -> Column:
+    """Of the first 512 characters of a query the code that it names: identifiers (words in quotes,
+    and such as have signs or inner capitals; eight at most, as written) and terms (their parts and
+    the words of those, lower-cased, of two letters or more; 32 at most). Both are empty for prose."""
+    query = F.substring(query, 1, 512)
+    every = F.regexp_extract_all(query, F.lit(CODE_TOKEN), F.lit(0))
+    quoted = F.flatten(F.transform(F.regexp_extract_all(query, F.lit(QUOTED), F.lit(1)), lambda q: F.regexp_extract_all(q, F.lit(CODE_TOKEN), F.lit(0))))
+    named = F.array_distinct(F.filter(every, lambda t: t.rlike(LIKE_CODE) | F.array_contains(quoted, t)))
+    words = lambda p: F.split(F.regexp_replace(F.regexp_replace(p, "([A-Z]+)([A-Z][a-z])", "$1 $2"), "([a-z0-9])([A-Z])", "$1 $2"), "[ _]+")
+    parts = F.flatten(F.transform(named, lambda t: F.regexp_extract_all(t, F.lit(r"[A-Za-z_$][A-Za-z0-9_$]*"), F.lit(0))))
+    split = F.flatten(F.transform(parts, lambda p: F.concat(F.array(p), words(p))))
+    plain = F.filter(F.transform(split, lambda w: F.lower(F.regexp_replace(w, r"^[_$]+|[_$]+$", ""))), lambda w: F.length(w) >= 2)
+    return F.struct(F.slice(named, 1, identifiers).alias("identifiers"), F.slice(F.array_distinct(plain), 1, terms).alias("terms"))
+
+
 def html_escape(text: Column) -> Column:
     for sign, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         text = F.replace(text, F.lit(sign), F.lit(entity))

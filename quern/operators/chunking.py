@@ -1,146 +1,347 @@
 """Chunking: document profile, splitter choice, splitting, validation and restoration.
 
-Splitting is a per-document step of a scan: every document becomes rows in the task
-that reads it, whatever its size, and nothing is shuffled.
+Profiles and verdicts are DataFrame expressions. Splitting is a per-document step of a
+scan: every document becomes rows in the task that reads it, whatever its size, and
+nothing is shuffled.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HEADING, NUMBERED = r"^#{1,6} ", r"^\s*\d+[.)]\s"
-SEPARATOR, TABLE_ROW = r"^(-{3,}|={3,}|\*{3,})$", r"\|.*\|"
 SIZE, OVERLAP = 512, 80
 PARENT, CHILD = 4096, 384
+TOKEN_SAFETY = 0.9  # of a token limit that is used
+#: Lines that show structure: fixed values.
+HEADING = r"^#{1,6}\s+\S"
+NUMBERED = r"^[ \t]*(\d+(\.\d+){1,3}\.?|(\d+|[IVX]{1,5})\.)[ \t]+\S.{0,200}$"
+CAPITALS = r"^[ \t]*[A-ZÄÖÜ][A-ZÄÖÜ \-]{3,80}:?\s*$"
+SEPARATOR = r"^[ \t]*(-{3,}|={3,}|\*{3,}|_{3,})[ \t]*$"
+FOOTER = r"(?i)^[ \t]*(Seite|Page|页码?)\s+\d+(\s*(von|of|/)\s*\d+)?[ \t]*$"
+CHAPTER = (
+    r"^[ \t]*((Kapitel|Abschnitt|Teil|Chapter|Section|Part)\s+([0-9]+|[IVX]{1,5})[\.: ].{0,200}"
+    r"|第[ \t]*[一二三四五六七八九十百千零〇0-9]+[ \t]*(章|节|節|部分|篇)[ \t]?.{0,200})$"
+)
+TABLE_ROW = r"^\s*\|.*\|\s*$"
+FENCED = r"(?ms)^[ \t]*```.*?(^[ \t]*```[^\n]*(\n|\z)|\z)"
+#: What is kept whole: formulas, images, links, table heads, table rows, fenced blocks. Fixed values.
+PROTECTED = re.compile(
+    r"(?P<head>^[ \t]*\|[^\n]*\|[ \t]*\n[ \t]*(?:\|[ \t]*:?-{3,}:?[ \t]*)+\|[ \t]*(?:\n|\Z))|(?P<row>^[ \t]*\|[^\n]*\|[ \t]*(?:\n|\Z))"
+    r"|(?P<code>^[ \t]*```[\s\S]*?(?:^[ \t]*```[^\n]*(?:\n|\Z)|\Z))|\$\$[\s\S]*?\$\$|!\[[^\]\n]*\]\([^)\n]*\)|\[[^\]\n]*\]\([^)\n]*\)",
+    re.M,
+)
+SEPARATORS = ("\n\n", "\n", "。", ". ", " ")
+Chunk = tuple[int, int, str, str]  # start, end, breadcrumb, head of the table that it begins within
+
+
+def normalise_line_ends(text: Column) -> Column:
+    return F.regexp_replace(text, "\r\n?", "\n")
+
+
+def token_size(size: int, language: str, token_limit: int | None) -> int:
+    """The chunk size that stays within a token limit for a language."""
+    from quern.functions.text import CHARS_PER_TOKEN
+
+    if not token_limit:
+        return size
+    return max(1, min(size, int(token_limit * CHARS_PER_TOKEN.get(language, CHARS_PER_TOKEN["mixed"]) * TOKEN_SAFETY)))
 
 
 def profile(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Line statistics by document, within the scan: lines, blank ones, lengths, headings,
-    numbered lines, separators, table rows, lines in capitals."""
-    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
-    at = docs.select(F.col(id_col).alias("doc_id"), lines.alias("lines"))
-    count = lambda test: F.size(F.filter("lines", test)).cast("long")
-    lengths = F.transform("lines", lambda x: F.length(x))
+    """Statistics by document, within the scan. Lines within fenced blocks count as lines only."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    at = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.regexp_replace(text, FENCED, "").alias("plain"))
+    at = at.withColumns({"lines": F.split("plain", "\n"), "n_lines": F.size(F.split("text", "\n")).cast("long")})
+    at = at.withColumns({"lengths": F.transform("lines", lambda x: F.length(x).cast("double")), "body": F.filter("lines", lambda x: ~x.rlike(HEADING))})
+    mean = F.aggregate("lengths", F.lit(0.0), lambda s, x: s + x) / F.size("lengths")
+    at = at.withColumn("mean", mean)
+    spread = F.sqrt(F.aggregate("lengths", F.lit(0.0), lambda s, x: s + (x - F.col("mean")) * (x - F.col("mean"))) / F.size("lengths"))
+    count = lambda test: F.size(F.filter("body", test)).cast("long")
+    of_level = lambda k: F.filter("lines", lambda x: x.rlike(rf"^#{{{k}}}\s+\S"))
+    levels = [F.size(of_level(k)).cast("long").alias(f"h{k}") for k in range(1, 7)]
     return at.select(
-        "doc_id",
-        F.size("lines").cast("long").alias("n_lines"),
-        count(lambda x: F.trim(x) == "").alias("n_blank"),
-        F.array_max(lengths).cast("long").alias("longest_line"),
-        F.round(F.aggregate(lengths, F.lit(0).cast("long"), lambda s, x: s + x) / F.size("lines"), 6).alias("mean_line"),
-        count(lambda x: x.rlike(HEADING)).alias("n_headings"),
+        "doc_id", "n_lines",
+        F.round("mean", 6).alias("mean_line"), F.round(spread, 6).alias("std_line"),
+        *levels,
+        (F.size("lines") - F.size("body")).cast("long").alias("n_headings"),
         count(lambda x: x.rlike(NUMBERED)).alias("n_numbered"),
+        count(lambda x: x.rlike(CHAPTER)).alias("n_chapters"),
+        count(lambda x: x.rlike(CAPITALS)).alias("n_capitals"),
         count(lambda x: x.rlike(SEPARATOR)).alias("n_separators"),
+        count(lambda x: x.rlike(FOOTER)).alias("n_footers"),
         count(lambda x: x.rlike(TABLE_ROW)).alias("n_table_rows"),
-        count(lambda x: (F.length(x) > 3) & (x == F.upper(x)) & x.rlike(r"\p{L}")).alias("n_capital_lines"),
-    )
+        F.regexp_count("text", F.lit("\f")).cast("long").alias("n_form_feeds"),
+        F.regexp_count("text", F.lit("\n\n\n")).cast("long").alias("n_breaks"),
+        (F.length("text") != F.length("plain")).alias("has_code"),
+        F.round(F.when(F.length("text") > 0, (F.length("text") - F.length("plain")) / F.length("text")).otherwise(0.0), 6).alias("code_share"),
+    )
+
+
+def dominant_level() -> Column:
+    """Of a profile: the heading level nearest the root with three headings or more, else the deepest there is; 0 without any."""
+    often = F.coalesce(*[F.when(F.col(f"h{k}") >= 3, k) for k in range(1, 7)])
+    return F.coalesce(often, *[F.when(F.col(f"h{k}") > 0, k) for k in range(6, 0, -1)], F.lit(0))
+
+
+def tiers() -> Column:
+    """Of a profile: the splitters to try, in order. Headings: three or more, over one line in
+    200. Heuristic: five markers, a form feed or a chapter. Recursive always stands last."""
+    markers = F.col("n_numbered") + F.col("n_chapters") + F.col("n_capitals") + F.col("n_separators") + F.col("n_form_feeds")
+    headings = (F.col("n_headings") >= 3) & (F.col("n_headings") / F.col("n_lines") > 0.005)
+    heuristic = (markers >= 5) | (F.col("n_form_feeds") > 0) | (F.col("n_chapters") > 0)
+    return F.array_compact(F.array(F.when(headings, "headings"), F.when(heuristic, "heuristic"), F.lit("recursive")))
+
+
+def _pieces(text: str, start: int, end: int, size: int, separators: tuple[str, ...] = SEPARATORS) -> Iterator[tuple[int, int]]:
+    """Spans of at most `size` that tile [start, end): cut after every first separator that is
+    there, what is still too long after every next one, and in the end anywhere."""
+    if end - start <= size:
+        if end > start:
+            yield start, end
+        return
+    for k, mark in enumerate(separators):
+        at = text.find(mark, start, end - len(mark))
+        if at >= 0:
+            while at >= 0:
+                yield from _pieces(text, start, at + len(mark), size, separators[k + 1 :])
+                start = at + len(mark)
+                at = text.find(mark, start, end - len(mark))
+            yield from _pieces(text, start, end, size, separators[k + 1 :])
+            return
+    for at in range(start, end, size):
+        yield at, min(end, at + size)
 
 
-def tier(n_headings: Column, n_lines: Column, n_markers: Column, has_form_feed: Column) -> Column:
-    """headings: three or more, over one line in 200; heuristic: five markers or a form feed; else recursive."""
-    return F.when((n_headings >= 3) & (n_headings / n_lines > 0.005), "headings").when((n_markers >= 5) | has_form_feed, "heuristic").otherwise("recursive")
-
-
-def _cut(text: str, start: int, end: int, size: int) -> Iterator[tuple[int, int]]:
-    """Spans of at most `size` characters that tile [start, end), ending at the best
-    boundary in their second half: blank line, line, sentence, word, or none."""
-    while end - start > size:
-        at = -1
-        for mark in ("\n\n", "\n", ". ", " "):
-            found = text.rfind(mark, start + size // 2, start + size)
-            if found >= 0:
-                at = found + len(mark)
-                break
-        at = min(at, start + size) if at > 0 else start + size
-        yield start, at
-        start = at
-    if end > start:
-        yield start, end
-
-
-def split_text(text: str, size: int = SIZE, overlap: int = OVERLAP, headings: bool = False) -> list[tuple[int, int, str]]:
-    """(start, end, breadcrumb) of chunks of at most `size` characters. Each begins up to
-    `overlap` characters, at a word, before the end of the one before it; so text[start:end]
-    of all of them covers the text. With `headings`, Markdown headings begin chunks and
-    their path is the breadcrumb; chunks of different sections don't overlap."""
-    sections: list[tuple[int, int, str]] = [(0, len(text), "")]
-    if headings:
-        sections, path, at, crumb = [], [], 0, ""
-        for m in re.finditer(r"^(#{1,6}) +(.*)$", text, re.M):
-            if m.start() > at:
-                sections.append((at, m.start(), crumb))
-            level = len(m[1])
-            path = [*path[: level - 1], *[""] * (level - 1 - len(path)), m[2].strip()]
-            at, crumb = m.start(), " > ".join(p for p in path if p)
-        sections.append((at, len(text), crumb))
-    out = []
-    for begin, end, crumb in sections:
-        before = None
-        for a, b in _cut(text, begin, end, size - overlap if end - begin > size else size):
-            if before is not None and overlap:
-                back = text.find(" ", max(begin, a - overlap), a)
-                a = back + 1 if 0 <= back < a - 1 else a
-            out.append((a, b, crumb))
-            before = b
+def _units(text: str, start: int, end: int, size: int) -> list[tuple[int, int, str, str]]:
+    """(start, end, kind, head of its table): spans that tile [start, end). Protected ones below
+    `size` are whole; kind is 'row' for table rows, 'head' for their heads."""
+    out, at, head = [], start, ""
+    for m in PROTECTED.finditer(text, start, end):
+        a, b, kind = m.start(), m.end(), m.lastgroup or ""
+        if a < at or b - a >= size:
+            continue
+        if a > at:
+            out += [(x, y, "", "") for x, y in _pieces(text, at, a, size)]
+            head = ""
+        head = m[0] if kind == "head" else head if kind == "row" else ""
+        out.append((a, b, kind, head if kind == "row" else ""))
+        at = b
+    return out + [(x, y, "", "") for x, y in _pieces(text, at, end, size)]
+
+
+def split_recursive(text: str, size: int, overlap: int, start: int = 0, end: int | None = None) -> list[Chunk]:
+    """Units packed in order into chunks of at most `size`; a chunk begins with those units of the
+    one before that make at most `overlap`. Chunks that begin within a table carry its head."""
+    units = _units(text, start, len(text) if end is None else end, size)
+    out, first = [], 0
+    for k, (_, stop, _, _) in enumerate(units):
+        if stop - units[first][0] > size:
+            out.append((units[first][0], units[k - 1][1], "", units[first][3]))
+            first = k
+            while first and units[k - 1][1] - units[first - 1][0] <= overlap and stop - units[first - 1][0] <= size and units[first - 1][0] > out[-1][0]:
+                first -= 1
+    return out + [(units[first][0], units[-1][1], "", units[first][3])] if units else []
+
+
+def _headings(text: str) -> list[tuple[int, int, str]]:
+    """(place, level, line) of Markdown headings outside fenced blocks."""
+    fences = [(m.start(), m.end()) for m in re.finditer(FENCED.replace(r"\z", r"\Z"), text)]
+    starts = [a for a, _ in fences]
+    found = []
+    for m in re.finditer(r"^(#{1,6})\s+\S[^\n]*", text, re.M):
+        k = bisect_right(starts, m.start()) - 1
+        if k < 0 or m.start() >= fences[k][1]:
+            found.append((m.start(), len(m[1]), m[0].strip()))
+    return found
+
+
+def split_headings(text: str, size: int, overlap: int, level: int = 0) -> list[Chunk]:
+    """Sections that begin at headings of the level (0: the dominant one) or above, each with the
+    path of headings at its start. Long ones are split on, with the path at each part's start;
+    neighbours of a common path join while they are short."""
+    every = _headings(text)
+    counts = [sum(h[1] == k for h in every) for k in range(7)]
+    level = level or next((k for k in range(1, 7) if counts[k] >= 3), max((k for k in range(1, 7) if counts[k]), default=0))
+    paths, path = [], {}
+    for place, depth, line in every:
+        path = {k: v for k, v in path.items() if k < depth} | {depth: line}
+        paths.append((place, "\n".join(path[k] for k in sorted(path))))
+    places = [p for p, _ in paths]
+
+    def path_at(place: int) -> str:
+        k = bisect_right(places, place) - 1
+        return paths[k][1] if k >= 0 else ""
+
+    cuts = sorted({0, *(p for p, depth, _ in every if depth <= level)})
+    out: list[Chunk] = []
+    for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True):
+        parts = [(a, b, "", "")] if b - a + len(path_at(a)) + 2 <= size else split_recursive(text, size, overlap, a, b)
+        for start, end, _, head in parts:
+            crumb = path_at(start)
+            if out and out[-1][1] == start and out[-1][1] - out[-1][0] < max(size // 2, 200) and end - out[-1][0] <= size:
+                shared = _common_lines(out[-1][2], crumb)
+                if shared:
+                    out[-1] = (out[-1][0], end, shared, out[-1][3])
+                    continue
+            out.append((start, end, crumb, head))
     return out
 
 
-def restore(chunks: list[tuple[int, int, str]]) -> str:
-    """The text from (start, end, content) of its chunks, in order."""
-    out = ""
-    for start, _end, content in sorted(chunks):
-        out += content[max(0, len(out) - start) :]
+def _common_lines(a: str, b: str) -> str:
+    pairs = list(zip(a.split("\n"), b.split("\n")))
+    n = next((k for k, (x, y) in enumerate(pairs) if x != y), len(pairs))
+    return "\n".join(a.split("\n")[:n])
+
+
+_MARKER = re.compile("|".join(f"(?:{p.removeprefix('(?i)')})" for p in (NUMBERED, CHAPTER, CAPITALS, SEPARATOR)), re.M)
+_FOOTER = re.compile(FOOTER)
+
+
+def _boundaries(text: str) -> list[int]:
+    """Where the heuristic splitter may begin a chunk: structural lines outside protected spans, form feeds, the ends of wide gaps."""
+    spans = [(m.start(), m.end()) for m in PROTECTED.finditer(text)]
+    starts = [a for a, _ in spans]
+    found, at = {m.start() for m in re.finditer("\f", text)} | {m.end() for m in re.finditer("\n{3,}", text)}, 0
+    for line in text.split("\n"):
+        if _MARKER.match(line) or _FOOTER.match(line):
+            found.add(at)
+        at += len(line) + 1
+
+    def inside(p: int) -> bool:
+        k = bisect_left(starts, p) - 1
+        return k >= 0 and starts[k] < p < spans[k][1]
+
+    return sorted({0, len(text), *(p for p in found if p <= len(text) and not inside(p))})
+
+
+def split_heuristic(text: str, size: int, overlap: int) -> list[Chunk]:
+    """Blocks between structural boundaries, packed in order into chunks of at most `size`. A
+    chunk begins at the last boundary within twice the overlap before the end of the one
+    before, else at a line. Blocks that are too long are split on by themselves."""
+    bounds = _boundaries(text)
+    out: list[Chunk] = []
+    start = end = 0
+    for stop in bounds[1:]:
+        if stop - end > size:
+            out += [(start, end, "", "")] if end > start else []
+            out += split_recursive(text, size, overlap, end, stop)
+            start = stop
+        elif stop - start > size:
+            out.append((start, end, "", ""))
+            k = bisect_left(bounds, end) - 1
+            line = text.rfind("\n", max(start, end - 2 * overlap), max(0, end - overlap)) + 1
+            back = bounds[k] if k >= 0 and bounds[k] >= end - 2 * overlap else line or end - overlap
+            start = back if overlap and stop - back <= size and back > start else end
+        end = stop
+    out += [(start, end, "", "")] if end > start else []
     return out
 
 
-def split_documents(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, id_col: str = "doc_id", text_col: str = "text", headings: bool = False) -> DataFrame:
-    """doc_id, chunk_index, start_at, end_at, context, content: end_at - start_at is the
-    content's length. A null or empty text has no chunks."""
+def verdict(lengths: list[int], n_chars: int, size: int) -> str:
+    """ok, or what is wrong with a document's chunks: none, single_huge, many_tiny (over a quarter,
+    three at least, below 50 characters, the last apart), all_small, too_long."""
+    if not lengths:
+        return "none"
+    tiny = sum(n < 50 for n in lengths[:-1])
+    if len(lengths) == 1 and n_chars > 2 * size:
+        return "single_huge"
+    if tiny > len(lengths) // 4 and tiny > 2:
+        return "many_tiny"
+    if max(lengths) < size // 4 and n_chars > size:
+        return "all_small"
+    return "too_long" if max(lengths) > 2 * size else "ok"
+
+
+def validate(chunks: DataFrame, size: int = SIZE) -> DataFrame:
+    """doc_id, n_chunks, verdict: verdict() for chunks (doc_id, chunk_index, end_at, content); a
+    document's length is where its last chunk ends."""
+    n = F.length("content")
+    at = chunks.groupBy("doc_id").agg(
+        F.count("*").alias("n_chunks"), F.max(n).alias("longest"), F.max("end_at").alias("n_chars"), F.count_if(n < 50).alias("tiny"), F.max_by(n, "chunk_index").alias("last"),
+    )
+    tiny = F.col("tiny") - (F.col("last") < 50).cast("int")
+    found = (
+        F.when((F.col("n_chunks") == 1) & (F.col("n_chars") > 2 * size), "single_huge")
+        .when((tiny > F.floor(F.col("n_chunks") / 4)) & (tiny > 2), "many_tiny")
+        .when((F.col("longest") < size // 4) & (F.col("n_chars") > size), "all_small")
+        .when(F.col("longest") > 2 * size, "too_long")
+        .otherwise("ok")
+    )
+    return at.select("doc_id", "n_chunks", found.alias("verdict"))
+
+
+SPLITTERS = {"headings": split_headings, "heuristic": split_heuristic, "recursive": split_recursive}
+
+
+def split_documents(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, id_col: str = "doc_id", text_col: str = "text", tier: str | None = None) -> DataFrame:
+    """doc_id, chunk_index, start_at, end_at, tier, context, table_header, content.
+
+    content is text[start_at:end_at] of the text with plain line ends; context is the path of
+    headings; table_header is the head of a table that the chunk begins within. Without `tier`
+    the document's profile says which splitters to try; the first whose chunks pass the
+    verdict is taken, or else the last. A null or empty text has no chunks.
+    """
+    text = normalise_line_ends(F.coalesce(F.col(text_col), F.lit("")))
+    at = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
+    if tier is None:
+        kept = F.struct("doc_id", "text").alias("of")  # profile() passes its id on
+        at = profile(at.select(kept, "text"), "of").select("doc_id.doc_id", "doc_id.text", tiers().alias("tiers"))
+    else:
+        at = at.withColumn("tiers", F.array(F.lit(tier)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for k, raw in enumerate(batch.column("text")):
-                text = raw.as_py() or ""
-                rows += [(k, n, a, b, c, text[a:b]) for n, (a, b, c) in enumerate(split_text(text, size, overlap, headings))]
+            for k, (raw, chain) in enumerate(zip(batch.column("text"), batch.column("tiers").to_pylist(), strict=True)):
+                whole = raw.as_py()
+                for name in chain:
+                    chunks = SPLITTERS[name](whole, size, overlap)
+                    if verdict([b - a for a, b, _, _ in chunks], len(whole), size) == "ok":
+                        break
+                rows += [(k, n, a, b, name, crumb, head, whole[a:b]) for n, (a, b, crumb, head) in enumerate(chunks)]
             if rows:
-                k, n, a, b, c, content = zip(*rows, strict=True)
-                arrays = [batch.column("doc_id").take(pa.array(k)), *(pa.array(x, pa.int32()) for x in (n, a, b)), pa.array(c, pa.string()), pa.array(content, pa.string())]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "chunk_index", "start_at", "end_at", "context", "content"])
+                k, n, a, b, *rest = zip(*rows, strict=True)
+                arrays = [batch.column("doc_id").take(pa.array(k)), *(pa.array(x, pa.int32()) for x in (n, a, b)), *(pa.array(x, pa.string()) for x in rest)]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "chunk_index", "start_at", "end_at", "tier", "context", "table_header", "content"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, f"doc_id {kind}, chunk_index int, start_at int, end_at int, context string, content string"
-    )
+    return at.mapInArrow(run, f"doc_id {kind}, chunk_index int, start_at int, end_at int, tier string, context string, table_header string, content string")
 
 
 def parent_child(docs: DataFrame, parent: int = PARENT, child: int = CHILD) -> DataFrame:
     """Both levels: parents of `parent` characters without overlap, and their children of
-    `child` characters that overlap by a fifth; parent_index is null for parents."""
+    `child` characters that overlap by a fifth; parent_index is null for parents. A child's
+    context begins with its parent's."""
     parents = split_documents(docs, parent, 0).withColumn("parent_index", F.lit(None).cast("int"))
-    keyed = parents.select(F.struct("doc_id", "chunk_index", "start_at").alias("of"), "content")
+    keyed = parents.select(F.struct("doc_id", "chunk_index", "start_at", "context").alias("of"), "content")
     children = split_documents(keyed, child, child // 5, "of", "content")
+    above, own = F.col("doc_id.context"), F.col("context")
+    last = F.element_at(F.split(above, "\n"), -1)
+    inner = F.when(F.substring_index(own, "\n", 1) == last, F.substr(own, F.length(last) + 2)).otherwise(own)
     children = children.select(
         "doc_id.doc_id", "chunk_index", (F.col("start_at") + F.col("doc_id.start_at")).alias("start_at"), (F.col("end_at") + F.col("doc_id.start_at")).alias("end_at"),
-        "context", "content", F.col("doc_id.chunk_index").alias("parent_index"),
+        "tier", F.concat_ws("\n", F.nullif(above, F.lit("")), F.nullif(inner, F.lit(""))).alias("context"), "table_header", "content", F.col("doc_id.chunk_index").alias("parent_index"),
     )
     return parents.unionByName(children)
 
 
-def validate(chunks: DataFrame, size: int = SIZE) -> DataFrame:
-    """doc_id, n_chunks, verdict: ok, single_huge, many_tiny (over half below a tenth of
-    the size), all_small (all below a quarter, several), too_long (over twice the size)."""
-    n = F.length("content")
-    at = chunks.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.max(n).alias("longest"), F.count_if(n < size / 10).alias("tiny"))
-    verdict = (
-        F.when((F.col("n_chunks") == 1) & (F.col("longest") > 2 * size), "single_huge")
-        .when(F.col("longest") > 2 * size, "too_long")
-        .when((F.col("n_chunks") > 1) & (F.col("tiny") * 2 > F.col("n_chunks")), "many_tiny")
-        .when((F.col("n_chunks") > 1) & (F.col("longest") < size / 4), "all_small")
-        .otherwise("ok")
-    )
-    return at.select("doc_id", "n_chunks", verdict.alias("verdict"))
+def restore(chunks: DataFrame, gap: str = "\n") -> DataFrame:
+    """doc_id and text: each document from its chunks (doc_id, chunk_index, start_at, end_at,
+    content), in order; what a chunk repeats of those before it is left out, and `gap` stands
+    where characters are missing. A document's chunks meet in one row, as its text does."""
+    ordered = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start_at", "chunk_index", "end_at", "content"))).alias("parts"))
+    fresh = lambda s, x: F.substr(x["content"], F.greatest(s["reach"] - x["start_at"], F.lit(0)) + 1)
+    start = F.struct(F.lit(0).alias("reach"), F.array().cast("array<string>").alias("texts"))
+
+    def add(s: Column, x: Column) -> Column:
+        new = F.concat(F.when((x["start_at"] > s["reach"]) & (s["reach"] > 0), gap).otherwise(""), fresh(s, x))
+        grown = F.concat(s["texts"], F.array(new))
+        return F.when(x["end_at"] > s["reach"], F.struct(x["end_at"].alias("reach"), grown.alias("texts"))).otherwise(s)
+
+    return ordered.select("doc_id", F.aggregate("parts", start, add, lambda s: F.array_join(s["texts"], "")).alias("text"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
@@ -11,10 +13,11 @@ from quern.session import discard, materialise
 MOST_LEVELS = 16
 
 
-def neighbours(nodes: DataFrame, edges: DataFrame, term: str) -> DataFrame:
-    """a, b: edges (a, b), taken both ways, from nodes (id, name) whose name contains `term`."""
+def neighbours(nodes: DataFrame, edges: DataFrame, *terms: str) -> DataFrame:
+    """a, b: edges (a, b), taken both ways, from nodes (id, name) whose name contains any of the terms."""
+    named = reduce(lambda x, y: x | y, [F.col("name").contains(t) for t in terms], F.lit(False))
     both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
-    return both.join(nodes.filter(F.col("name").contains(term)).select(F.col("id").alias("a")), "a", "left_semi")
+    return both.join(nodes.filter(named).select(F.col("id").alias("a")), "a", "left_semi")
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -48,16 +51,96 @@ def health(linted: DataFrame) -> DataFrame:
     return at.select("n_pages", "orphans", "broken", F.greatest(100 - lost, F.lit(0)).cast("long").alias("score"))
 
 
-def resolve_slugs(dead: DataFrame, pages: DataFrame) -> DataFrame:
+def resolve_slugs(dead: DataFrame, pages: DataFrame, limit: float = 0.8) -> DataFrame:
     """slug, found, how: a page (slug, title) for each dead slug: of the same slug, of that
-    title, or of the same slug without case, hyphens and underscores; the least slug at a tie."""
+    title, of the same slug without case, hyphens and underscores, or of the slug whose
+    character pairs are most alike, at `limit` or more; the least slug at a tie. Slugs that
+    aren't found otherwise meet pages on a shared pair of characters."""
     by = lambda key, how: pages.groupBy(key.alias("key")).agg(F.min("slug").alias(how)).filter("key IS NOT NULL")
     at = dead.select("slug", F.lower(F.col("slug")).alias("lowered"), T.slug_key(F.col("slug")).alias("plain"))
     at = at.join(by(F.col("slug"), "exact"), F.col("slug") == F.col("key"), "left").drop("key")
     at = at.join(by(F.lower("title"), "titled"), F.col("lowered") == F.col("key"), "left").drop("key")
     at = at.join(by(T.slug_key(F.col("slug")), "normalised"), F.col("plain") == F.col("key"), "left").drop("key")
-    how = F.when(F.col("exact").isNotNull(), "exact").when(F.col("titled").isNotNull(), "title").when(F.col("normalised").isNotNull(), "normalised")
-    return at.select("slug", F.coalesce("exact", "titled", "normalised").alias("found"), how.alias("how"))
+    at = materialise(at.select("slug", "exact", "titled", "normalised"), "slugs")
+    pairs = lambda df, c: df.withColumn("grams", T.bigram_set(F.col(c))).select(c, "grams", F.explode("grams").alias("gram"))
+    left = at.filter(F.coalesce("exact", "titled", "normalised").isNull()).select("slug").distinct()
+    other = pairs(pages.select(F.col("slug").alias("page")).distinct(), "page").withColumnRenamed("grams", "own")
+    near = pairs(left, "slug").join(other, "gram").select("slug", "page", F.round(T.jaccard(F.col("grams"), F.col("own")), 6).alias("like")).filter(F.col("like") >= limit)
+    fuzzy = near.groupBy("slug").agg(F.min_by("page", F.struct(-F.col("like"), F.col("page"))).alias("fuzzy"))
+    at = at.join(fuzzy, "slug", "left")
+    how = F.when(F.col("exact").isNotNull(), "exact").when(F.col("titled").isNotNull(), "title").when(F.col("normalised").isNotNull(), "normalised").when(F.col("fuzzy").isNotNull(), "fuzzy")
+    return at.select("slug", F.coalesce("exact", "titled", "normalised", "fuzzy").alias("found"), how.alias("how"))
+
+
+def folder_path(path: Column) -> Column:
+    """A folder path without outer spaces and slashes, empty parts and '.'."""
+    return F.array_join(F.filter(F.transform(F.split(F.trim(path), "/+"), lambda p: F.trim(p)), lambda p: (p != "") & (p != ".")), "/")
+
+
+def folder_parent(path: Column) -> Column:
+    """The folder above a normal path; '' for what lies in the root."""
+    return F.when(F.contains(path, F.lit("/")), F.regexp_replace(path, "/[^/]*$", "")).otherwise("")
+
+
+def folder_name(path: Column) -> Column:
+    return F.substring_index(path, "/", -1)
+
+
+def missing_links(pages: DataFrame, links: DataFrame) -> DataFrame:
+    """slug, target: pages (slug, title, text) whose text has another page's title without a link
+    (slug, target) to it. Titles are searched for all at once; see relations.containing()."""
+    from quern.operators.relations import containing
+
+    titles = pages.filter("trim(title) != ''").select(F.col("slug").alias("passage_id"), F.col("title").alias("passage"))
+    found = containing(pages, titles, "slug", "text", within=False).select(F.col("doc_id").alias("slug"), F.col("passage_id").alias("target"))
+    return found.filter("slug != target").join(links.select("slug", "target"), ["slug", "target"], "left_anti")
+
+
+def parse_graph(replies: DataFrame, kinds: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, name) and edges (id, a, b, kind) of replies (id, text): JSON objects, in a fence or
+    not, with "nodes" [{name}] and "relations" [{from, to, type}]. Ends that no node names become
+    nodes, relations of a node to itself go, and so do those of a kind that isn't listed."""
+    from quern.functions.prepare import fenced_json
+
+    schema = "nodes array<struct<name:string>>, relations array<struct<`from`:string,`to`:string,type:string>>"
+    read = replies.select("id", F.from_json(fenced_json(F.col("text")), schema).alias("g")).filter("g IS NOT NULL")
+    edges = read.select("id", F.explode("g.relations").alias("r")).select("id", F.trim("r.from").alias("a"), F.trim("r.to").alias("b"), F.col("r.type").alias("kind"))
+    edges = edges.filter("a != '' AND b != '' AND a != b").distinct()
+    edges = edges.filter(F.col("kind").isin(kinds)) if kinds else edges
+    named = read.select("id", F.explode("g.nodes").alias("n")).select("id", F.trim("n.name").alias("name")).filter("name != ''")
+    ends = edges.select("id", F.explode(F.array("a", "b")).alias("name"))
+    return named.union(ends).distinct(), edges
+
+
+def merge_nodes(nodes: DataFrame, new: DataFrame) -> DataFrame:
+    """namespace, name, attributes, chunks of nodes and new ones: attributes and chunks of one name are united."""
+    every = nodes.unionByName(new)
+    united = lambda c: F.sort_array(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    return every.groupBy("namespace", "name").agg(united("attributes"), united("chunks"))
+
+
+def delete_namespaces(nodes: DataFrame, edges: DataFrame, namespaces: list[str]) -> tuple[DataFrame, DataFrame]:
+    gone = F.col("namespace").isin(namespaces)
+    return nodes.filter(~gone), edges.filter(~gone)
+
+
+def opposite(edges: DataFrame, node) -> DataFrame:
+    """Edges that touch a node, with `other`, the end that isn't it, and `outgoing`."""
+    out = F.col("a") == node
+    return edges.filter(out | (F.col("b") == node)).withColumns({"other": F.when(out, F.col("b")).otherwise(F.col("a")), "outgoing": out})
+
+
+def visible_relations(relations: DataFrame, snapshots: DataFrame, members: DataFrame, files: DataFrame) -> DataFrame:
+    """`relations` (snapshot, from_file, to_file and more) that can be shown: their snapshot is
+    published, their file is a parsed member of it and not deleted, and so is the file they lead
+    to, unless they lead to none ('' or null)."""
+    published = snapshots.filter("state = 'published'").select("snapshot")
+    parsed = members.filter("status = 'parsed'").select("snapshot", "file").distinct()
+    live = parsed.join(files.filter("deleted_at IS NULL").select("file"), "file", "left_semi")
+    at = relations.join(published, "snapshot", "left_semi").join(live.withColumnRenamed("file", "from_file"), ["snapshot", "from_file"], "left_semi")
+    target = live.select("snapshot", F.col("file").alias("to_file"), F.lit(True).alias("_there"))
+    outside = F.coalesce("to_file", F.lit("")) == ""
+    return at.join(target, ["snapshot", "to_file"], "left").filter(outside | F.col("_there")).select(*relations.columns)
 
 
 def folder_totals(paths: DataFrame, column: str = "path") -> DataFrame:
@@ -71,8 +154,11 @@ def folder_totals(paths: DataFrame, column: str = "path") -> DataFrame:
     return at.groupBy("folder").agg(F.sum(F.when(F.col("folder") == F.col("own"), F.col("n")).otherwise(0)).alias("n_direct"), F.sum("n").alias("n_total"))
 
 
-def descendants(nodes: DataFrame, roots: DataFrame, most_levels: int = MOST_LEVELS) -> DataFrame:
-    """root, id, level of what hangs below each root in nodes (id, parent), level by level."""
+def descendants(nodes: DataFrame, roots: DataFrame, most_levels: int = MOST_LEVELS, live: Column | None = None) -> DataFrame:
+    """root, id, level, cut of what hangs below each root in nodes (id, parent), level by level;
+    `live` says which nodes count. Nodes at the last level are `cut` if they have children
+    that count and aren't shown."""
+    nodes = nodes.filter(live) if live is not None else nodes
     level = materialise(roots.select(F.col("id").alias("root"), "id", F.lit(0).alias("level")), "descendants")
     levels = []
     for depth in range(1, most_levels + 1):
@@ -85,7 +171,9 @@ def descendants(nodes: DataFrame, roots: DataFrame, most_levels: int = MOST_LEVE
     out = roots.select(F.col("id").alias("root"), "id", F.lit(0).alias("level"))
     for x in levels:
         out = out.unionByName(x)
-    return out.filter("level > 0")
+    parents = nodes.select(F.col("parent").alias("id")).filter("id IS NOT NULL").distinct().withColumn("_more", F.lit(True))
+    cut = F.col("_more").isNotNull() & (F.col("level") == most_levels)
+    return out.filter("level > 0").join(parents, "id", "left").select("root", "id", "level", cut.alias("cut"))
 
 
 def top_nodes(scored: DataFrame, by: str, k: int = 10) -> DataFrame:

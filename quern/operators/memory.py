@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,16 +59,106 @@ def within_budget(ranked: DataFrame, by: str, most: int, budget: int) -> DataFra
     return ranked.groupBy(by).applyInPandas(run, ranked.schema)
 
 
-def context_cut(turns: DataFrame, budget: int, chars_per_token: float = 4.0, extra: int = 3) -> DataFrame:
-    """conv_id, cut: where the kept suffix begins: the longest that the token budget allows,
-    moved on to the next turn that isn't a tool's; null if none fits."""
-    tokens = F.ceil(F.length(F.coalesce("text", F.lit(""))) / chars_per_token) + extra
-    after = Window.partitionBy("conv_id").orderBy(F.desc("turn")).rowsBetween(Window.unboundedPreceding, 0)
-    at = turns.select("conv_id", "turn", "role", F.sum(tokens).over(after).alias("suffix"))
-    return at.groupBy("conv_id").agg(F.min(F.when((F.col("suffix") <= budget) & (F.col("role") != "tool"), F.col("turn"))).alias("cut"))
-
-
 def recent_turns(turns: DataFrame, n: int) -> DataFrame:
     """The last n turns of each conversation."""
     order = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
     return turns.withColumn("_at", F.row_number().over(order)).filter(F.col("_at") <= n).drop("_at")
+
+
+def context_cut(turns: DataFrame, budget: int, chars_per_token: float = 4.0, extra: int = 3) -> DataFrame:
+    """conv_id, cut, turn_start: where the longest suffix within the token budget begins that
+    doesn't begin with a tool's answer; if not even the newest part fits, where that begins.
+    turn_start is the user's turn that the cut lies within, null if the cut is one itself or
+    none comes before. A conversation of tools' answers only is kept whole."""
+    tokens = F.ceil(F.length(F.coalesce("text", F.lit(""))) / chars_per_token) + extra
+    after = Window.partitionBy("conv_id").orderBy(F.desc("turn")).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    user = F.col("role") == "user"
+    at = turns.select("conv_id", "turn", "role", F.sum(tokens).over(after).alias("suffix"), F.max(F.when(user, F.col("turn"))).over(before).alias("asked"))
+    legal = F.col("role") != "tool"
+    of = at.groupBy("conv_id").agg(
+        F.coalesce(F.min(F.when(legal & (F.col("suffix") <= budget), F.col("turn"))), F.max(F.when(legal, F.col("turn"))), F.min("turn")).alias("cut"),
+    )
+    found = of.join(at.select("conv_id", F.col("turn").alias("cut"), "role", "asked"), ["conv_id", "cut"])
+    return found.select("conv_id", "cut", F.when(F.col("role") != "user", F.col("asked")).alias("turn_start"))
+
+
+def rounds(turns: DataFrame, most: int) -> DataFrame:
+    """conv_id, round, question, answer: the last `most` user turns that an assistant's turn answers,
+    the next one after it before another question, oldest first."""
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    said = turns.filter(F.col("role").isin("user", "assistant"))
+    at = said.withColumns({"_next": F.lead("role").over(order), "_answer": F.lead("text").over(order)})
+    pairs = at.filter((F.col("role") == "user") & (F.col("_next") == "assistant"))
+    newest = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
+    kept = pairs.withColumn("_at", newest).filter(F.col("_at") <= most)
+    return kept.select("conv_id", F.row_number().over(order).alias("round"), F.col("text").alias("question"), F.col("_answer").alias("answer"))
+
+
+def batches(chunks: DataFrame, by: str, order: list[str], budget: int) -> DataFrame:
+    """`chunks` with `batch` from 0: in order, each batch as many as the budget of characters
+    allows; one that is longer has a batch of its own. The running sum is a fold over a
+    document's lengths, not its texts."""
+    sizes = chunks.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(*order, F.length("content").alias("n")))).alias("_all"))
+    start = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("used"), F.array().cast("array<int>").alias("numbers"))
+
+    def add(s: Column, x: Column) -> Column:
+        full = (s["used"] > 0) & (s["used"] + x["n"] > budget)
+        batch = F.when(full, s["batch"] + 1).otherwise(s["batch"])
+        return F.struct(batch.alias("batch"), F.when(full, x["n"]).otherwise(s["used"] + x["n"]).alias("used"), F.concat(s["numbers"], F.array(batch)).alias("numbers"))
+
+    numbered = sizes.select(by, F.explode(F.arrays_zip(F.col("_all"), F.aggregate("_all", start, add, lambda s: s["numbers"]).alias("batch"))).alias("_x"))
+    return chunks.join(numbered.select(by, *[F.col(f"_x._all.{c}").alias(c) for c in order], F.col("_x.batch").alias("batch")), [by, *order])
+
+
+def resolve_topics(surfaces: DataFrame, topics: DataFrame, limit: float = 0.8, least: int = 4) -> DataFrame:
+    """surface, topic, tier of surfaces (surface) against topics (topic, aliases): 'reused' if it is
+    the topic as written, 'exact' if letters and digits agree or an alias is equal, 'fuzzy' for the
+    topic whose character pairs are most alike, at `limit` or more, where both have `least`
+    characters; 'new' else. Names meet on a shared pair; the least topic wins a tie."""
+    key = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "")
+    asked = surfaces.select("surface").distinct()
+    named = topics.select("topic", key(F.col("topic")).alias("_key")).union(topics.select("topic", F.explode("aliases").alias("_key")))
+    exact = asked.withColumn("_key", F.explode(F.array(key(F.col("surface")), F.col("surface")))).join(named, "_key").filter("_key != ''")
+    exact = exact.groupBy("surface").agg(F.max_by("topic", F.struct((F.col("topic") == F.col("surface")), F.col("topic"))).alias("_topic"))
+    left = asked.join(exact, "surface", "left_anti").filter(F.length("surface") >= least)
+    grams = lambda df, c: df.withColumn("_grams", T.bigram_set(F.col(c))).withColumn("_gram", F.explode("_grams"))
+    wide = grams(topics.select("topic").distinct().filter(F.length("topic") >= least), "topic").withColumnRenamed("_grams", "_own")
+    near = grams(left, "surface").join(wide, "_gram").select("surface", "topic", "_grams", "_own").dropDuplicates(["surface", "topic"])
+    near = near.withColumn("_like", F.round(T.jaccard(F.col("_grams"), F.col("_own")), 6)).filter(F.col("_like") >= limit)
+    fuzzy = near.groupBy("surface").agg(F.min_by("topic", F.struct(-F.col("_like"), F.col("topic"))).alias("_near"))
+    at = asked.join(exact, "surface", "left").join(fuzzy, "surface", "left")
+    tier = F.when(F.col("_topic") == F.col("surface"), "reused").when(F.col("_topic").isNotNull(), "exact").when(F.col("_near").isNotNull(), "fuzzy").otherwise("new")
+    return at.select("surface", F.coalesce("_topic", "_near").alias("topic"), tier.alias("tier"))
+
+
+def clusters(items: DataFrame, least_words: float = 0.55, least_cosine: float = 0.86) -> DataFrame:
+    """item_id, seed: items (owner, kind, item_id, text, vector) grouped around seeds. In order of
+    id, an item that no group has takes those after it of its kind that share words or direction
+    with it. An owner's store of one kind is one group's work; it is bounded by the store's limit."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("item_id", ignore_index=True)
+        words = [set(w) for w in group["_words"]]
+        vectors = [None if v is None or not len(v) else np.asarray(v, float) for v in group["vector"]]
+        free, out = list(range(len(group))), []
+
+        def alike(i: int, j: int) -> bool:
+            if words[i] | words[j] and len(words[i] & words[j]) / len(words[i] | words[j]) >= least_words:
+                return True
+            a, b = vectors[i], vectors[j]
+            if a is None or b is None or len(a) != len(b):
+                return False
+            size = np.linalg.norm(a) * np.linalg.norm(b)
+            return bool(size and a @ b / size >= least_cosine)
+
+        while free:
+            seed, *rest = free
+            own = [j for j in rest if alike(seed, j)]
+            out += [(group["item_id"][j], group["item_id"][seed]) for j in ([seed, *own] if own else [])]
+            free = [j for j in rest if j not in set(own)]
+        return pd.DataFrame(out, columns=["item_id", "seed"])
+
+    kind = items.schema["item_id"].dataType.simpleString()
+    at = items.select("owner", "kind", "item_id", F.array_distinct(T.words(F.coalesce("text", F.lit("")))).alias("_words"), "vector")
+    return at.groupBy("owner", "kind").applyInPandas(run, f"item_id {kind}, seed {kind}")

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import math
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -48,112 +45,112 @@ def retrieval_metrics(results: DataFrame, relevant: DataFrame, cuts: tuple[int,
     )
 
 
-_WORD = re.compile(r"[一-鿿㐀-䶿]+|[a-zA-Z0-9_.,!?]+|[^\w\s]")
+#: Words of the text metrics: Han runs, runs of Latin letters, digits and inner signs, single signs. Fixed value.
+WORD = r"[一-鿿㐀-䶿]+|[a-zA-Z0-9_.,!?]+|[^a-zA-Z0-9_\s]"
 
 
-def sentences(text: str, every_second: bool = True) -> list[str]:
-    """Parts between full stops. `every_second` keeps only the first, third, ... part joined
-    up as the metrics' established scores have it; without it all parts count."""
-    parts = re.split("[。.]", text)
-    if every_second:
-        out, held = [], ""
-        for k, part in enumerate(parts):
-            if k % 2 == 0:
-                held += part
-            elif held:
-                out, held = [*out, held.strip()] if held.strip() else out, ""
-        parts = [*out, held]
-    return [p.strip() for p in parts if p.strip()]
+def sentences(text: Column) -> Column:
+    """Parts between full stops, without empty ones."""
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "[。.]"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
 
 
-def metric_words(parts: list[str]) -> list[str]:
-    """Words, signs, and Han runs as overlapping pairs."""
-    out = []
-    for part in parts:
-        for w in _WORD.findall(part):
-            out += [w[i : i + 2] for i in range(len(w) - 1)] if "㐀" <= w[0] <= "鿿" and len(w) > 1 else [w]
-    return out
-
+def metric_words(part: Column) -> Column:
+    """Words and signs of a sentence, and Han runs as overlapping pairs (a single one stays)."""
+    pairs = lambda w: F.regexp_extract_all(w, F.lit("(?=(..))"), F.lit(1))
+    found = F.regexp_extract_all(part, F.lit(WORD), F.lit(0))
+    return F.flatten(F.transform(found, lambda w: F.when(w.rlike("^[一-鿿㐀-䶿]{2,}$"), pairs(w)).otherwise(F.array(w))))
 
-def _grams(words: list[str], n: int) -> list[tuple]:
-    return [tuple(words[i : i + n]) for i in range(len(words) - n + 1)]
 
+def _grams(words: Column, n: int) -> Column:
+    last = F.size(words) - (n - 1)
+    return F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
 
-def bleu(candidate: list[str], reference: list[str], weights: tuple[float, ...]) -> float:
-    """Clipped n-gram precisions smoothed by one in both counts, with a brevity penalty."""
-    total, any_order = 0.0, False
-    for n, weight in enumerate(weights, 1):
-        counts = Counter(_grams(candidate, n))
-        if counts:
-            clipped = sum((counts & Counter(_grams(reference, n))).values())
-            total, any_order = total + weight * math.log((clipped + 1) / (sum(counts.values()) + 1)), True
-    if not any_order:
-        return 0.0
-    short = 1.0 if len(candidate) > len(reference) else math.exp(1 - len(reference) / len(candidate))
-    return short * math.exp(total)
 
-
-def _f(shared: int, hyp: int, ref: int) -> float:
-    p, r = shared / hyp if hyp else 0.0, shared / ref if ref else 0.0
+def _f(shared: Column, hyp: Column, ref: Column) -> Column:
+    p, r = F.when(hyp > 0, shared / hyp).otherwise(0.0), F.when(ref > 0, shared / ref).otherwise(0.0)
     return 2 * p * r / (p + r + 1e-8)
 
 
-def rouge_n(hyp: list[str], ref: list[str], n: int) -> float:
-    a, b = set(_grams(hyp, n)), set(_grams(ref, n))
-    return _f(len(a & b), len(a), len(b))
+def text_metrics(pairs: DataFrame) -> DataFrame:
+    """pair_id, bleu1, bleu2, bleu4, rouge1, rouge2 of (pair_id, generated, truth), null texts
+    empty. pair_id is unique.
+
+    n-grams are counted by pair, order and gram, lower-cased for BLEU. BLEU has clipped
+    precisions smoothed by one in both counts at every order, equal weights, and a brevity
+    penalty; orders that the generated text is too short for don't count, and without any it is
+    0. ROUGE is F over sets of grams.
+    """
+    words = lambda c: F.flatten(F.transform(sentences(F.col(c)), metric_words))
+    at = pairs.select("pair_id", words("generated").alias("h"), words("truth").alias("r"))
+    lowered = lambda c: F.transform(c, lambda w: F.lower(w))
+    kinds = F.array(*[
+        F.struct(F.lit(kind).alias("kind"), F.lit(n).alias("n"), F.lit(side).alias("side"), _grams(lowered(F.col(side)) if kind == "bleu" else F.col(side), n).alias("grams"))
+        for kind, orders in (("bleu", (1, 2, 3, 4)), ("rouge", (1, 2))) for n in orders for side in ("h", "r")
+    ])
+    every = at.select("pair_id", F.explode(kinds).alias("k")).select("pair_id", "k.kind", "k.n", "k.side", F.explode("k.grams").alias("gram"))
+    counts = every.groupBy("pair_id", "kind", "n", "gram").agg(F.count_if(F.col("side") == "h").alias("in_h"), F.count_if(F.col("side") == "r").alias("in_r"))
+    sums = counts.groupBy("pair_id", "kind", "n").agg(
+        F.sum("in_h").alias("total"), F.sum(F.least("in_h", "in_r")).alias("clipped"),
+        F.count_if((F.col("in_h") > 0) & (F.col("in_r") > 0)).alias("shared"), F.count_if(F.col("in_h") > 0).alias("own"), F.count_if(F.col("in_r") > 0).alias("other"),
+    )
+    log_precision = F.when(F.col("total") > 0, F.log((F.col("clipped") + 1) / (F.col("total") + 1)))
+    of = lambda most: F.sum(F.when((F.col("kind") == "bleu") & (F.col("n") <= most), log_precision / most))
+    f = lambda n: F.max(F.when((F.col("kind") == "rouge") & (F.col("n") == n), _f(F.col("shared"), F.col("own"), F.col("other"))))
+    found = sums.groupBy("pair_id").agg(*[of(m).alias(f"bleu{m}") for m in (1, 2, 4)], *[f(n).alias(f"rouge{n}") for n in (1, 2)])
+    short = F.when(F.size("h") > F.size("r"), 1.0).otherwise(F.exp(1 - F.size("r") / F.size("h")))
+    sizes = at.select("pair_id", F.when(F.size("h") > 0, short).otherwise(0.0).alias("brevity"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return sizes.join(found, "pair_id", "left").select(
+        "pair_id", *[zero(F.col("brevity") * F.exp(f"bleu{m}")).alias(f"bleu{m}") for m in (1, 2, 4)], *[zero(F.col(f"rouge{n}")).alias(f"rouge{n}") for n in (1, 2)]
+    )
 
 
-def _common(x: list[str], y: list[str]) -> set[str]:
-    """The words of a longest common subsequence; at a tie the walk back gives up the last of y."""
-    table = [[0] * (len(y) + 1)]
+def _prefix_lengths(x: list[str], y: list[str]) -> list[list[int]]:
+    """Lengths of the longest common subsequences of all pairs of prefixes."""
+    out = [[0] * (len(y) + 1)]
     for a in x:
-        row, above = [0], table[-1]
+        above, row = out[-1], [0]
         for j, b in enumerate(y):
-            row.append(above[j] + 1 if a == b else max(above[j + 1], row[j]))
-        table.append(row)
-    i, j, out = len(x), len(y), set()
-    while i and j:
-        if x[i - 1] == y[j - 1]:
-            out.add(x[i - 1])
-            i, j = i - 1, j - 1
-        elif table[i - 1][j] > table[i][j - 1]:
-            i -= 1
-        else:
-            j -= 1
+            row.append(max(above[j] + (a == b), above[j + 1], row[j]))
+        out.append(row)
     return out
 
 
-def rouge_l(hyp: list[str], ref: list[str]) -> float:
-    """Summary level: distinct words of the union of common subsequences over sentence pairs."""
-    union: set[str] = set()
-    for r in ref:
-        for h in hyp:
-            union |= _common(metric_words([r]), metric_words([h]))
-    return _f(len(union), len(set(metric_words(hyp))), len(set(metric_words(ref))))
+def on_a_longest(x: list[str], y: list[str]) -> set[str]:
+    """Words that lie on some longest common subsequence of two word lists: those of equal places
+    that a longest one before them and a longest one after them make up to the longest of all.
+    As every longest one counts, there are no ties to break."""
+    before, after = _prefix_lengths(x, y), _prefix_lengths(x[::-1], y[::-1])
+    most, n, m = before[-1][-1], len(x), len(y)
+    return {a for i, a in enumerate(x) for j, b in enumerate(y) if a == b and before[i][j] + 1 + after[n - i - 1][m - j - 1] == most}
 
 
-TEXT_METRICS = ("bleu1", "bleu2", "bleu4", "rouge1", "rouge2", "rougel")
+def rouge_l(pairs: DataFrame) -> DataFrame:
+    """pair_id, rougel of (pair_id, generated, truth): F over distinct words, the shared ones those
+    that a longest common subsequence of some pair of their sentences holds. The table of a
+    sentence pair is all that a task holds."""
+    of = lambda c: F.transform(sentences(F.col(c)), metric_words)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = []
+            for hyp, ref in zip(batch.column("h").to_pylist(), batch.column("r").to_pylist(), strict=True):
+                union = set().union(*(on_a_longest(r, h) for r in ref for h in hyp))
+                own, other = len({w for s in hyp for w in s}), len({w for s in ref for w in s})
+                p, r = len(union) / own if own else 0.0, len(union) / other if other else 0.0
+                scores.append(2 * p * r / (p + r + 1e-8))
+            yield pa.RecordBatch.from_arrays([batch.column("pair_id"), pa.array(scores, pa.float64())], ["pair_id", "rougel"])
 
-def text_scores(generated: str, truth: str, every_second: bool = True) -> tuple[float, ...]:
-    hyp, ref = sentences(generated, every_second), sentences(truth, every_second)
-    h, r = metric_words(hyp), metric_words(ref)
-    low = [w.lower() for w in h], [w.lower() for w in r]
-    return (
-        bleu(*low, (1.0, 0.0, 0.0, 0.0)), bleu(*low, (0.5, 0.5, 0.0, 0.0)), bleu(*low, (0.25,) * 4),
-        rouge_n(h, r, 1), rouge_n(h, r, 2), rouge_l(hyp, ref),
-    )
+    kind = pairs.schema["pair_id"].dataType.simpleString()
+    return pairs.select("pair_id", of("generated").alias("h"), of("truth").alias("r")).mapInArrow(run, f"pair_id {kind}, rougel double")
 
 
-def text_metrics(pairs: DataFrame, every_second: bool = True) -> DataFrame:
-    """pair_id and the six text metrics of (pair_id, generated, truth); null texts are empty."""
+#: The twelve metrics: of ranked lists, and of texts.
+METRICS = {"retrieval": ("precision", "recall", "ndcg3", "ndcg10", "mrr", "map"), "generation": ("bleu1", "bleu2", "bleu4", "rouge1", "rouge2", "rougel")}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = zip(batch.column("generated").to_pylist(), batch.column("truth").to_pylist(), strict=True)
-            scores = [text_scores(g or "", t or "", every_second) for g, t in texts]
-            columns = list(zip(*scores, strict=True)) if scores else [[]] * len(TEXT_METRICS)
-            yield pa.RecordBatch.from_arrays([batch.column("pair_id"), *(pa.array(c, pa.float64()) for c in columns)], ["pair_id", *TEXT_METRICS])
 
-    kind = pairs.schema["pair_id"].dataType.simpleString()
-    return pairs.select("pair_id", "generated", "truth").mapInArrow(run, f"pair_id {kind}, " + ", ".join(f"{m} double" for m in TEXT_METRICS))
+def mean_metrics(scores: DataFrame) -> DataFrame:
+    """metric, mean, n over all rows that have it, for the columns that are metrics."""
+    names = [m for family in METRICS.values() for m in family if m in scores.columns]
+    rows = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in names])).alias("x")
+    return scores.select(rows).select("x.*").groupBy("metric").agg(F.avg("value").alias("mean"), F.count("value").alias("n"))

@@ -135,10 +135,23 @@ def similar_surfaces(names: DataFrame, limit: float = 0.8, column: str = "name")
 PASSAGE_BLOCK = 2_000_000  # characters of passages that one pass holds
 
 
-def containing(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, passage_id: documents that contain a passage (passage_id, passage), or are
-    contained in one. Passages are searched all at once by an Aho-Corasick automaton,
-    in blocks of bounded size; empty texts and passages match nothing."""
+def containing(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text", within: bool = True) -> DataFrame:
+    """doc_id, passage_id: documents that contain a passage (passage_id, passage) or, with
+    `within`, are contained in one. Passages are searched all at once by an Aho-Corasick
+    automaton, in blocks of bounded size; empty texts and passages match nothing. For the
+    other direction the parts change: documents no longer than the longest passage are
+    searched for in the passages."""
+    found = _containing(docs, passages, id_col, text_col)
+    if not within:
+        return found
+    longest = passages.agg(F.coalesce(F.max(F.length("passage")), F.lit(0))).first()[0]
+    short = docs.filter(F.col(text_col) != "").filter(F.length(text_col) <= longest).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("passage"))
+    texts = short.select("passage").distinct().withColumn("passage_id", F.col("passage"))
+    inside = _containing(passages, texts, "passage_id", "passage").select(F.col("doc_id").alias("passage_id"), F.col("passage_id").alias("passage"))
+    return found.unionByName(inside.join(short, "passage").select("doc_id", "passage_id")).distinct()
+
+
+def _containing(docs: DataFrame, passages: DataFrame, id_col: str, text_col: str) -> DataFrame:
     import ahocorasick
 
     size = passages.agg(F.coalesce(F.sum(F.length("passage")), F.lit(0))).first()[0]
@@ -155,15 +168,12 @@ def containing(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", tex
             for passage, owners in by_text.items():
                 automaton.add_word(passage, owners)
             automaton.make_automaton()
-            longest = max(map(len, by_text), default=0)
             for batch in batches:
                 found: list[tuple[int, int]] = []
                 for row, raw in enumerate(batch.column("text")):
                     text = raw.as_py()
                     if text and by_text:
                         inside = {k for _, owners in automaton.iter(text) for k in owners}
-                        if len(text) < longest:
-                            inside |= {k for k, (_, passage) in enumerate(sent.value) if text in passage}
                         found += [(row, k) for k in sorted(inside)]
                 if found:
                     yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array([r for r, _ in found])), pa.array([sent.value[k][0] for _, k in found])], ["doc_id", "passage_id"])
@@ -174,6 +184,60 @@ def containing(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", tex
     return out
 
 
+def first_passage(found: DataFrame) -> DataFrame:
+    """doc_id, passage_id of containing(): each document's least passage, its first match."""
+    return found.groupBy("doc_id").agg(F.min("passage_id").alias("passage_id"))
+
+
+def assembled(queries: DataFrame, qas: DataFrame, answers: DataFrame, qrels: DataFrame) -> DataFrame:
+    """query_id, query, answer, passages of an evaluation set: queries (query_id, query), qas
+    (query_id, aid), answers (aid, answer), qrels (query_id, pid). The answer is that of the least
+    id, null without one; passages are sorted and empty without any."""
+    first = qas.groupBy("query_id").agg(F.min("aid").alias("aid"))
+    of = qrels.groupBy("query_id").agg(F.sort_array(F.collect_set("pid")).alias("passages"))
+    at = queries.join(first, "query_id", "left").join(answers, "aid", "left").join(of, "query_id", "left")
+    return at.select("query_id", "query", "answer", F.coalesce("passages", F.array().cast(of.schema["passages"].dataType)).alias("passages"))
+
+
+def sampled_set(queries: DataFrame, qrels: DataFrame, corpus: DataFrame, most: int, extra: float = 0.2, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+    """The `most` queries with most relevant passages (the least id at a tie), and the corpus
+    (pid, ...) of their passages and a share of all others, chosen by a digest of the id."""
+    top = qrels.groupBy("query_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "query_id").limit(most).select("query_id")
+    chosen = queries.join(top, "query_id", "left_semi")
+    wanted = qrels.join(top, "query_id", "left_semi").select("pid").distinct()
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "pid"), 11) / F.lit(float(1 << 53))
+    others = corpus.join(wanted, "pid", "left_anti").filter(draw < extra)
+    return chosen, corpus.join(wanted, "pid", "left_semi").unionByName(others)
+
+
+def top_per_item(pairs: DataFrame, item: str, other: str, k: int) -> DataFrame:
+    """other, place: the k best of every item's candidates (item, other, score), all together, each
+    once, in the order in which they first come: by item, then place within it."""
+    order = Window.partitionBy(item).orderBy(F.desc("score"), F.asc(other))
+    top = pairs.withColumn("_at", F.row_number().over(order)).filter(F.col("_at") <= k)
+    first = top.groupBy(other).agg(F.min(F.struct(F.col(item).alias("item"), F.col("_at").alias("at"))).alias("place"))
+    return first.select(other, "place.item", "place.at")
+
+
+def accepted_tags(matches: DataFrame, n_tags: int, least: float = 0.75, most: int = 3) -> DataFrame:
+    """doc_id, tag, confidence, place of a model's proposals (doc_id, tag: a number from 1, confidence):
+    a missing confidence is 1, one above 1 a percentage; those below `least` or of no tag go,
+    each tag counts once, and the `most` surest stay."""
+    sure = F.when(F.col("confidence").isNull(), 1.0).when(F.col("confidence") > 1, F.col("confidence") / 100).otherwise(F.col("confidence"))
+    kept = matches.withColumn("confidence", sure).filter((F.col("confidence") >= least) & F.col("tag").between(1, n_tags))
+    once = kept.groupBy("doc_id", "tag").agg(F.max("confidence").alias("confidence"))
+    order = Window.partitionBy("doc_id").orderBy(F.desc("confidence"), "tag")
+    return once.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
+
+
+def unused(tags: DataFrame, tag_col: str, *uses: DataFrame) -> DataFrame:
+    """Tags that no table of uses (one column each) has; nulls there use nothing."""
+    for use in uses:
+        (name,) = use.columns
+        tags = tags.join(use.select(F.col(name).alias("_use")).filter("_use IS NOT NULL").distinct(), F.col(tag_col) == F.col("_use"), "left_anti")
+    return tags
+
+
 def merge_spans(spans: DataFrame, by: list[str], start: str = "start_at", end: str = "end_at") -> DataFrame:
     """Overlapping or touching spans of each group joined: by, start, end, n_spans, best score."""
     order = Window.partitionBy(*by).orderBy(start, end)

@@ -54,15 +54,15 @@ def first_by_signature(chunks: DataFrame, text_col: str = "text", id_col: str =
     return chunks.groupBy(T.signature(F.col(text_col)).alias("signature")).agg(F.min(id_col).alias(id_col), F.count("*").alias("n_copies"))
 
 
-def _per_query(candidates: DataFrame, by: str, choose: Callable[[list[float], list[set], list[str]], list[int]], text_col: str) -> DataFrame:
+def _per_query(candidates: DataFrame, by: str, choose: Callable[[pd.DataFrame], list[int]], text_col: str, source_col: str | None = None) -> DataFrame:
     """rank from 1 for the candidates that `choose` picks; candidates come best first."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    at = candidates.select(by, "doc_id", "score", T.token_set(text).alias("tokens"), T.normalise(text).alias("norm"))
+    origin = F.col(source_col).cast("string") if source_col else F.lit("")
+    at = candidates.select(by, "doc_id", "score", T.token_set(text).alias("tokens"), T.normalise(text).alias("norm"), F.coalesce(origin, F.lit("")).alias("origin"))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["score", "doc_id"], ascending=[False, True], ignore_index=True)
-        picked = choose(group["score"].tolist(), [set(t) for t in group["tokens"]], group["norm"].tolist())
-        out = group.loc[picked, [by, "doc_id", "score"]].reset_index(drop=True)
+        out = group.loc[choose(group), [by, "doc_id", "score"]].reset_index(drop=True)
         return out.assign(rank=range(1, len(out) + 1))
 
     kinds = {f.name: f.dataType.simpleString() for f in at.schema}
@@ -92,31 +92,48 @@ def choose_mmr(scores: list[float], tokens: list[set], k: int, weight: float = L
 
 
 def mmr(candidates: DataFrame, k: int, by: str = "query_id", text_col: str = "text", weight: float = LAMBDA) -> DataFrame:
-    return _per_query(candidates, by, lambda scores, tokens, _: choose_mmr(scores, tokens, k, weight), text_col)
-
-
-def without_overlaps(tokens: list[set], norms: list[str], scores: list[float], limit: float = 0.85) -> list[int]:
-    """What stays when, of two texts where one holds the other or that share `limit` of the
-    smaller one's words, the lower-scored goes; at a tie the shorter. Pairs are judged in
-    order, and a row that falls is still compared to the end of its turn."""
-    gone: set[int] = set()
-    size = [len(n.encode()) for n in norms]
-    for i in range(len(norms)):
-        if i in gone:
-            continue
-        for j in range(i + 1, len(norms)):
-            if j in gone:
-                continue
-            small, large = (j, i) if size[i] > size[j] else (i, j)
-            least = min(len(tokens[small]), len(tokens[large]))
-            shared = len(tokens[small] & tokens[large]) / least if least else 0.0
-            if (norms[small] and norms[small] in norms[large]) or shared >= limit:
-                gone.add(large if scores[small] > scores[large] else small)
-    return [i for i in range(len(norms)) if i not in gone]
-
-
-def drop_overlaps(candidates: DataFrame, by: str = "query_id", text_col: str = "text") -> DataFrame:
-    return _per_query(candidates, by, lambda scores, tokens, norms: without_overlaps(tokens, norms, scores), text_col)
+    return _per_query(candidates, by, lambda g: choose_mmr(g["score"].tolist(), [set(t) for t in g["tokens"]], k, weight), text_col)
+
+
+def wiki_boost(hits: DataFrame, is_wiki: Column, by: str = "query_id", factor: float = 1.3) -> DataFrame:
+    """`hits` with wiki pages' scores times `factor`, and rank by the new score, then the old rank."""
+    order = Window.partitionBy(by).orderBy(F.desc("score"), F.asc("rank"))
+    boosted = hits.withColumn("score", F.when(is_wiki, F.col("score") * factor).otherwise(F.col("score")))
+    return boosted.withColumn("rank", F.row_number().over(order))
+
+
+def first_by_id_and_signature(hits: DataFrame, by: str = "query_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """Hits in order of rank without those whose id came before, or whose source and normalised text did."""
+    once = Window.partitionBy(by, "doc_id").orderBy("rank")
+    alike = Window.partitionBy(by, source_col, T.signature(F.col(text_col))).orderBy("rank")
+    first = hits.withColumn("_at", F.row_number().over(once)).filter("_at = 1")
+    return first.withColumn("_at", F.row_number().over(alike)).filter(F.col("_at").eqNullSafe(F.lit(1)) | F.col(text_col).isNull()).drop("_at")
+
+
+def overlapping(a: tuple[str, set], b: tuple[str, set], limit: float = 0.85) -> bool:
+    """Whether one normalised text lies within the other, or `limit` of the smaller one's words in the other's."""
+    (x, own), (y, other) = a, b
+    if x and y and (x in y or y in x):
+        return True
+    smaller = min(len(own), len(other))
+    return smaller > 0 and len(own & other) >= limit * smaller
+
+
+def distinct_texts(texts: list[str], tokens: list[set], sources: list, scores: list[float], limit: float = 0.85) -> list[int]:
+    """What stays of a pool, in its order. Rows are judged once, by score and, at a tie, the
+    longer text first: a row stays unless one of the same source that stays overlaps with it.
+    Equal text of another source is evidence of its own."""
+    stays: dict = {}
+    for i in sorted(range(len(texts)), key=lambda i: (-scores[i], -len(texts[i]), i)):
+        rivals = stays.setdefault(sources[i], [])
+        if not any(overlapping((texts[i], tokens[i]), (texts[j], tokens[j]), limit) for j in rivals):
+            rivals.append(i)
+    return sorted(i for kept in stays.values() for i in kept)
+
+
+def drop_overlaps(candidates: DataFrame, by: str = "query_id", text_col: str = "text", source_col: str | None = None) -> DataFrame:
+    """rank from 1 for the candidates that distinct_texts() leaves; without a source column all are of one source."""
+    return _per_query(candidates, by, lambda g: distinct_texts(g["norm"].tolist(), [set(t) for t in g["tokens"]], g["origin"].tolist(), g["score"].tolist()), text_col, source_col)
 
 
 def inject_history(history: DataFrame, present: DataFrame, by: str = "query_id", most: int = 3) -> DataFrame:

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,8 +18,10 @@ from quern.session import materialise
 
 K1, B = 1.2, 0.75
 BLOCK = 4096  # query vectors that one pass over the index broadcasts
+SCORES = 1 << 21  # scores that a task holds at once
+GROUP = 20_000  # keyword queries whose words one scan of the texts counts
+SCORED, SLICE = 256, 1024  # keyword queries, and documents, that are scored at once
 LONG_LIST = 1000  # ids above which a filter becomes a join
-SMALL = 1_000_000  # rows (term, query) that are broadcast
 
 
 def base_filter(
@@ -69,83 +74,210 @@ def _top(scored: DataFrame, k: int, by: str, order: list[Column]) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("rank") <= k)
 
 
+_RUN, _HAN = re.compile(r"[^\W_]+"), re.compile(r"[\u2e80-\u2fdf\u3005-\u3007\u3021-\u3029\u3038-\u303b\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]+")
+
+
+def search_words(text: str | None) -> list[str]:
+    """Lower-cased runs of letters and digits, with Han runs as overlapping pairs (a single one stays)."""
+    text = (text or "").lower()
+    words = _RUN.findall(text)
+    if text.isascii() or not _HAN.search(text):
+        return words
+    out = []
+    for word in words:
+        at = 0
+        for m in _HAN.finditer(word):
+            out += [word[at : m.start()]] if m.start() > at else []
+            run, at = m[0], m.end()
+            out += [run[i : i + 2] for i in range(len(run) - 1)] or [run]
+        out += [word[at:]] if at < len(word) else []
+    return out
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """query_id, doc_id, score, rank: the k best documents by BM25 of each query
     (query_id, query); any shared word makes a candidate.
 
-    Only words that some query has leave the scan; they are counted by document before
-    anything is shuffled. Ranks go by the score to six places, then the smaller id.
+    One scan of the texts leaves the counts of words that some query has (queries come in
+    groups of GROUP, a scan each). These narrow rows are scored where they lie, SCORED
+    queries at a time, and every task passes on k candidates a query, so that a common word
+    brings no documents and queries together. Ranks go by the score to six places, then the
+    smaller id.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(T.words(F.col("query")))).alias("term"))
-    terms = asked.select("term").distinct()
-    if queries.count() <= SMALL // 100:
-        asked, terms = F.broadcast(asked), F.broadcast(terms)
-    tokens = docs.select(F.col(id_col).alias("doc_id"), T.words(F.coalesce(F.col(text_col), F.lit(""))).alias("tokens"))
-    size = tokens.agg(F.count("*").alias("n_docs"), F.avg(F.size("tokens")).alias("avg_len"))
-    found = materialise(
-        tokens.select("doc_id", F.size("tokens").alias("len"), F.explode("tokens").alias("term"))
-        .join(terms, "term").groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf")),
+    groups = max(1, math.ceil(queries.count() / GROUP))
+    out = None
+    for group in range(groups):
+        part = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(groups)) == group).select("query_id", "query").orderBy("query_id").collect()
+        found = _bm25_group(docs, [(r.query_id, sorted(set(search_words(r["query"])))) for r in part], queries.schema["query_id"].dataType, k, id_col, text_col) if part else None
+        out = found if out is None or found is None else out.unionByName(found)
+    if out is None:
+        kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {docs.schema[id_col].dataType.simpleString()}, score double, rank int"
+        return docs.sparkSession.createDataFrame([], kinds)
+    return _top(out, k, "query_id", [F.desc("score"), F.asc("doc_id")]).select("query_id", "doc_id", "score", "rank")
+
+
+def _bm25_group(docs: DataFrame, asked: list[tuple], query_type, k: int, id_col: str, text_col: str) -> DataFrame:
+    context = docs.sparkSession.sparkContext
+    terms = {t: n for n, t in enumerate(dict.fromkeys(t for _, words in asked for t in words))}
+    wanted = context.broadcast(terms)
+    kind = docs.schema[id_col].dataType.simpleString()
+    postings = materialise(
+        docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_count_words(wanted), f"doc_id {kind}, len int, term array<int>, tf array<int>"),
         "bm25-postings",
-    )
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = df.crossJoin(F.broadcast(size)).select("term", idf.alias("idf"), "avg_len")  # size is one row
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    scored = found.join(weights, "term").join(asked, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
-    return _top(scored, k, "query_id", [F.desc("score"), F.asc("doc_id")]).select("query_id", "doc_id", "score", "rank")
+    )
+    n_docs, avg_len = postings.agg(F.count("*"), F.avg("len")).first()
+    df = np.zeros(len(terms))
+    for r in postings.select(F.explode("term").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect():
+        df[r.t] = r.n
+    idf = np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
+    out = None
+    for at in range(0, len(asked), SCORED):
+        some = asked[at : at + SCORED]
+        own = sorted({terms[t] for _, words in some for t in words})
+        local = np.full(len(terms), -1)
+        local[own] = np.arange(len(own))
+        has = np.zeros((len(own), len(some)))
+        for q, (_, words) in enumerate(some):
+            has[local[[terms[t] for t in words]], q] = 1
+        sent = context.broadcast((pa.array([q for q, _ in some]), local, has * idf[own][:, None], avg_len or 1.0))
+        found = postings.filter(F.size("term") > 0).mapInArrow(_score_words(sent, k), f"query_id {query_type.simpleString()}, doc_id {kind}, score double")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _count_words(wanted):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = wanted.value.get
+        for batch in batches:
+            sizes, terms, counts = [], [], []
+            for text in batch.column("text"):
+                words = search_words(text.as_py())
+                found = Counter(map(number, words))
+                found.pop(None, None)
+                sizes.append(len(words))
+                terms.append(list(found))
+                counts.append(list(found.values()))
+            columns = [batch.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(terms, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "len", "term", "tf"])
+
+    return run
+
+
+def _score_words(sent, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries, local, weight, avg_len = sent.value
+        best = Best(len(queries), k)
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                lists = part.column("term")
+                row = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+                term = local[lists.flatten().to_numpy()]
+                tf = part.column("tf").flatten().to_numpy().astype(float)
+                length = part.column("len").to_numpy().astype(float)[row]
+                hit = term >= 0
+                made = np.zeros((part.num_rows, len(weight)))
+                made[row[hit], term[hit]] = (tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / avg_len)))[hit]
+                scores = np.round(made @ weight, 6)
+                best.add(scores.T, part.column("doc_id"), scores.T > 0)
+        yield from best.rows(queries, "doc_id")
+
+    return run
+
+
+class Best:
+    """The k best candidates of each query that a task has seen, by score and then the smaller id."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.query, self.score, self.ids = k, np.empty(0, np.int64), np.empty(0), None
+        self.queries = queries
+
+    def add(self, scores: np.ndarray, ids: pa.Array, ok: np.ndarray) -> None:
+        """Scores (queries, rows) of the rows of these ids, where `ok`."""
+        k = min(self.k, scores.shape[1])
+        if scores.shape[1] > 4 * k:  # what is below a query's k-th best can't stay
+            least = np.partition(np.where(ok, scores, -np.inf), scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+            ok = ok & (scores >= least[:, None])
+        query, row = np.nonzero(ok)
+        new = ids.take(pa.array(row))
+        self.ids = new if self.ids is None else pa.concat_arrays([self.ids, new])
+        self.query, self.score = np.concatenate([self.query, query]), np.concatenate([self.score, scores[query, row]])
+        if len(self.query) > 8 * self.k * max(1, self.queries):
+            self._cut()
+
+    def _cut(self) -> None:
+        by_id = pc.rank(self.ids, tiebreaker="dense").to_numpy()
+        order = np.lexsort((by_id, -self.score, self.query))
+        query = self.query[order]
+        first = np.flatnonzero(np.concatenate(([True], query[1:] != query[:-1])))
+        place = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
+        order = order[place < self.k]
+        self.query, self.score, self.ids = self.query[order], self.score[order], self.ids.take(pa.array(order))
+
+    def rows(self, queries: pa.Array, name: str) -> Iterator[pa.RecordBatch]:
+        if len(self.query):
+            self._cut()
+            yield pa.RecordBatch.from_arrays([queries.take(pa.array(self.query)), self.ids, pa.array(self.score)], ["query_id", name, "score"])
+
+
+METRICS = ("cosine", "ip")
 
 
 def vector_search(index: DataFrame, queries: DataFrame, k: int = 10, threshold: float = 0.0, metric: str = "cosine", id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, vec_id, score, rank: the k nearest of each query (query_id, vector), exactly.
 
-    metric is "cosine", or "ip" for the inner product of unit vectors. Vectors that are
-    null, of another length, or hold a null, NaN or infinity are no candidates. Scores
-    below a positive threshold are left out. Queries are broadcast in blocks of BLOCK;
-    every task keeps k candidates a query, so little is shuffled.
+    metric is "cosine", or "ip": the inner product with the stored vectors as they are, for
+    stores of unit vectors. Queries are made unit vectors; a zero vector stays one. Vectors
+    that are null, of another length, or hold a null, NaN or infinity are no candidates.
+    Queries whose vectors are null or not of one length, or not of the index's, raise
+    ValueError. Scores below a positive threshold are left out. Queries are broadcast in
+    blocks of BLOCK; every task keeps k candidates a query, so little is shuffled.
     """
-    blocks = max(1, math.ceil(queries.count() / BLOCK))
+    if metric not in METRICS:
+        raise ValueError(f"no metric {metric!r}")
+    rows = index.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("vector")).filter("vec_id IS NOT NULL AND vector IS NOT NULL")
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, vec_id {index.schema[id_col].dataType.simpleString()}, score double"
+    n, least, most, known = queries.agg(F.count("*"), F.min(F.size("vector")), F.max(F.size("vector")), F.count("vector")).first()
+    stored = rows.select(F.size("vector")).first()
+    if n and (known < n or least != most or stored and stored[0] != most):
+        raise ValueError(f"query vectors have {least} to {most} values, {n - known} are null; the index has {stored and stored[0]}")
+    blocks = max(1, math.ceil(n / BLOCK))
     out = None
     for block in range(blocks):
         part = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).orderBy("query_id").collect()
         if not part:
             continue
-        ids = np.array([r.query_id for r in part])
         wanted = np.array([r.vector for r in part], np.float64)
         norms = np.linalg.norm(wanted, axis=1, keepdims=True)
-        sent = index.sparkSession.sparkContext.broadcast((ids, np.divide(wanted, norms, out=np.zeros_like(wanted), where=norms > 0)))
-        kind = index.schema[id_col].dataType.simpleString()
-        rows = index.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("vector")).filter("vec_id IS NOT NULL AND vector IS NOT NULL")
-        found = rows.mapInArrow(_nearest(sent, k, threshold), f"query_id long, vec_id {kind}, score double")
+        sent = index.sparkSession.sparkContext.broadcast((pa.array([r.query_id for r in part]), np.divide(wanted, norms, out=np.zeros_like(wanted), where=norms > 0)))
+        found = rows.mapInArrow(_nearest(sent, k, threshold, metric), kinds)
         out = found if out is None else out.unionByName(found)
     if out is None:
-        return index.sparkSession.createDataFrame([], "query_id long, vec_id long, score double, rank int")
+        return index.sparkSession.createDataFrame([], f"{kinds}, rank int")
     return _top(out, k, "query_id", [F.desc("score"), F.asc("vec_id")])
 
 
-def _nearest(sent, k: int, threshold: float):
+def _nearest(sent, k: int, threshold: float, metric: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, wanted = sent.value
-        best_score = np.full((len(ids), 0), 0.0)
-        best_id = np.full((len(ids), 0), 0)
-        for batch in batches:
-            vectors = batch.column("vector")
-            same = np.flatnonzero(np.array(vectors.value_lengths()) == wanted.shape[1])
-            if not len(same):
-                continue
-            flat = np.stack([vectors[int(i)].values.to_numpy(zero_copy_only=False).astype(np.float64) for i in same])
-            finite = np.isfinite(flat).all(axis=1)
-            flat, vec = flat[finite], batch.column("vec_id").to_numpy(zero_copy_only=False)[same[finite]]
-            norms = np.linalg.norm(flat, axis=1, keepdims=True)
-            scores = np.round(wanted @ np.divide(flat, norms, out=np.zeros_like(flat), where=norms > 0).T, 6)
-            best_score = np.concatenate([best_score, scores], axis=1)
-            best_id = np.concatenate([best_id, np.broadcast_to(vec, scores.shape)], axis=1)
-            if best_score.shape[1] > 4 * k:
-                order = np.lexsort((best_id, -best_score), axis=1)[:, :k]
-                best_score, best_id = np.take_along_axis(best_score, order, 1), np.take_along_axis(best_id, order, 1)
-        keep = best_score >= threshold if threshold > 0 else np.ones(best_score.shape, bool)
-        q, _ = np.nonzero(keep)
-        if len(q):
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(best_id[keep]), pa.array(best_score[keep])], ["query_id", "vec_id", "score"])
+        queries, wanted = sent.value
+        best = Best(len(queries), k)
+        rows = max(64, SCORES // max(1, len(queries)))
+        for whole in batches:
+            for at in range(0, whole.num_rows, rows):
+                batch = whole.slice(at, rows)
+                vectors = batch.column("vector")
+                same = np.flatnonzero(vectors.value_lengths().to_numpy(zero_copy_only=False) == wanted.shape[1])
+                if not len(same):
+                    continue
+                flat = vectors.take(pa.array(same)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(same), -1)
+                finite = np.isfinite(flat).all(axis=1)
+                flat, ids = flat[finite], batch.column("vec_id").take(pa.array(same[finite]))
+                if metric == "cosine":
+                    norms = np.linalg.norm(flat, axis=1, keepdims=True)
+                    flat = np.divide(flat, norms, out=np.zeros_like(flat), where=norms > 0)
+                scores = np.round(wanted @ flat.T, 6)
+                best.add(scores, ids, scores >= threshold if threshold > 0 else np.ones(scores.shape, bool))
+        yield from best.rows(queries, "vec_id")
 
     return run
 
@@ -210,6 +342,11 @@ def minmax_keyword_scores(hits: DataFrame, by: str = "query_id") -> DataFrame:
     return at.withColumn("normalised", F.when((F.col("n") == 1) | (F.col("high") == F.col("low")), 1.0).otherwise(scaled)).drop("n", "place", "low", "high")
 
 
+def diversity_pool(k: int) -> int:
+    """How many hits per_file_priority() chooses k from."""
+    return min(max(2 * k, 100), 200)
+
+
 def per_file_priority(pool: DataFrame, by: str, file_col: str, first: int = 4) -> DataFrame:
     """Hits reordered so that the `first` best of every file stand before all others."""
     inside = Window.partitionBy(by, file_col).orderBy(F.desc("score"), F.asc("doc_id"))

@@ -59,8 +59,23 @@ SELECT_NODES = {
     "SubqueryAlias", "UnresolvedSubqueryColumnAliases", "UnresolvedWith", "UnresolvedHaving", "UnresolvedRelation", "UnresolvedInlineTable", "OneRowRelation",
     "WithWindowDefinition", "Window", "GlobalLimitAndOffset", "LateralJoin", "Pivot", "Unpivot", "UnresolvedOrdinal", "Generate",
 }
-#: Functions that reach outside the rows: fixed values.
-DENIED_FUNCTIONS = {"java_method", "reflect", "try_reflect", "input_file_name", "input_file_block_start", "current_user", "session_user", "user", "version", "raise_error", "sleep"}
+#: Functions that compute from their arguments alone; any other is refused. Fixed values.
+FUNCTIONS = set(
+    """
+    abs acos add_months any_value approx_count_distinct array array_agg array_contains array_distinct array_join array_max array_min array_position array_size array_sort
+    ascii asin atan atan2 avg bit_and bit_count bit_or bit_xor bool_and bool_or bround btrim cardinality cbrt ceil ceiling char char_length character_length chr coalesce
+    collect_list collect_set concat concat_ws contains conv corr cos count count_if covar_pop covar_samp cube cume_dist date date_add date_diff date_format date_from_unix_date
+    date_part date_sub date_trunc dateadd datediff day dayname dayofmonth dayofweek dayofyear decode degrees dense_rank div double element_at elt encode endswith equal_null every
+    exp explode extract factorial filter find_in_set first first_value flatten float floor format_number format_string from_json from_unixtime get_json_object greatest grouping
+    grouping_id hash hex hour if ifnull ilike in initcap instr int isnan isnotnull isnull json_array_length kurtosis lag last last_day last_value lcase lead least left len length
+    levenshtein like ln locate log log10 log1p log2 lower lpad ltrim make_date make_timestamp map map_keys map_values max max_by md5 mean median min min_by minute mod mode month
+    monthname months_between named_struct next_day not nth_value ntile nullif nvl nvl2 octet_length percent_rank percentile percentile_approx pmod posexplode position pow power
+    quarter radians rank regexp regexp_count regexp_extract regexp_extract_all regexp_like regexp_replace regexp_substr repeat replace reverse right rlike rollup round row_number
+    rpad rtrim second sequence sha sha1 sha2 sign signum sin size skewness slice some sort_array split split_part sqrt startswith std stddev stddev_pop stddev_samp string struct
+    substr substring substring_index sum tan timestamp timestampadd timestampdiff to_char to_date to_json to_number to_timestamp transform translate trim trunc try_add try_cast
+    try_divide try_element_at ucase unix_timestamp unnest upper var_pop var_samp variance weekday weekofyear width_bucket window year
+    """.split()
+)
 
 
 def tables_of(spark: SparkSession, sql: str) -> set[str]:
@@ -74,18 +89,40 @@ def tables_of(spark: SparkSession, sql: str) -> set[str]:
     return names - own
 
 
+def statement(spark: SparkSession, sql: str) -> dict:
+    """What a statement says, from Catalyst's own parse: is_select, tables, columns (of its outermost
+    SELECT, as text), where_columns, where (as text, null without any)."""
+    plan = parse(spark, sql)
+    nodes = list(_walk(plan))
+    select = next((n for n in nodes if n.nodeName() in ("Project", "Aggregate")), None)
+    shown = [] if select is None else [e.sql() for e in _sequence(select.projectList() if select.nodeName() == "Project" else select.aggregateExpressions())]
+    wheres = [n.condition() for n in nodes if n.nodeName() == "Filter"]
+    used = {".".join(_sequence(e.nameParts())) for c in wheres for e in _below(c) if e.nodeName() == "UnresolvedAttribute"}
+    return {
+        "is_select": all(n.nodeName() in SELECT_NODES for n in nodes), "tables": sorted(tables_of(spark, sql)), "columns": shown,
+        "where_columns": sorted(used), "where": " AND ".join(f"({c.sql()})" for c in wheres) or None,
+    }
+
+
 def check(spark: SparkSession, sql: str, permitted: set[str]) -> None:
     """Raise SqlRejected unless the text is one SELECT over permitted tables, without
-    functions that reach outside and without conditions that only compare constants."""
+    functions that aren't known to be safe, and without conditions that always or never hold:
+    in WHERE, HAVING and ON, those that compare constants, or a column with itself."""
     for node in _walk(parse(spark, sql)):
         name = node.nodeName()
         if name not in SELECT_NODES and not name.startswith("Resolved"):
             raise SqlRejected(f"{name} isn't permitted")
         for e in _expressions(node):
-            if e.nodeName() == "UnresolvedFunction" and set(x.lower() for x in _sequence(e.nameParts())) & DENIED_FUNCTIONS:
-                raise SqlRejected("a function isn't permitted")
+            if e.nodeName() == "UnresolvedFunction":
+                parts = [x.lower() for x in _sequence(e.nameParts())]
+                if len(parts) > 1 or parts[0] not in FUNCTIONS:
+                    raise SqlRejected(f"function {'.'.join(parts)} isn't permitted")
         if name == "Filter":
             _check_condition(node.condition())
+        if name == "UnresolvedHaving":
+            _check_condition(node.havingCondition())
+        if name == "Join" and node.condition().isDefined():
+            _check_condition(node.condition().get())
     foreign = tables_of(spark, sql) - {t.lower() for t in permitted}
     if foreign:
         raise SqlRejected(f"no such table: {', '.join(sorted(foreign))}")
@@ -97,18 +134,26 @@ def _check_condition(condition: Any) -> None:
             _check_condition(part)
     elif not any(e.nodeName() in ("UnresolvedAttribute", "UnresolvedStar") or "Subquery" in e.nodeName() or e.nodeName() == "Exists" for e in _below(condition)):
         raise SqlRejected("a condition compares constants only")
+    else:
+        parts = [e.toString() for e in _sequence(condition.children())]
+        if len(parts) == 2 and parts[0] == parts[1]:
+            raise SqlRejected("a condition compares a column with itself")
 
 
 def run(spark: SparkSession, sql: str, views: Mapping[str, DataFrame], most_rows: int | None = None) -> DataFrame:
     """The rows of a checked SELECT over `views`. The caller's filters (tenant, deleted rows,
     scope) belong in the views: no text can go round them."""
     check(spark, sql, set(views))
-    own = spark.newSession()
-    for name, view in views.items():
-        shared = f"quern_{uuid.uuid4().hex}"  # the way from one session to another
-        view.createOrReplaceGlobalTempView(shared)
-        own.sql(f"CREATE OR REPLACE TEMPORARY VIEW `{name}` AS SELECT * FROM global_temp.`{shared}`")
-    out = own.sql(sql)
+    own, shared = spark.newSession(), []
+    try:
+        for name, view in views.items():
+            shared.append(f"quern_{uuid.uuid4().hex}")  # the way from one session to another
+            view.createOrReplaceGlobalTempView(shared[-1])
+            own.sql(f"CREATE OR REPLACE TEMPORARY VIEW `{name}` AS SELECT * FROM global_temp.`{shared[-1]}`")
+        out = own.sql(sql)
+    finally:
+        for name in shared:
+            spark.catalog.dropGlobalTempView(name)
     return out.limit(most_rows) if most_rows is not None else out
 
 

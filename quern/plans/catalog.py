@@ -3,8 +3,12 @@
 from quern.plans import (  # noqa: F401  importing registers
     table_queries,
     text_queries,
+    chunk_queries,
+    scope_queries,
     pipeline_queries,
     retrieval_queries,
+    graph_queries,
+    source_queries,
 )
 from quern.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
 

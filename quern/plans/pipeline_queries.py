@@ -28,7 +28,7 @@ def mmr_rerank(spark, sf_dir):
 
 @query()
 def partial_overlap_removal(spark, sf_dir):
-    return K.drop_overlaps(_candidates(spark, sf_dir))
+    return K.drop_overlaps(_candidates(spark, sf_dir), source_col="source")
 
 
 @query("""SELECT event_id, round(least(greatest(0.6 * value / 100 + 0.3 * (user_id % 10) / 10.0 + 0.1 * CASE WHEN event_type = 'view' THEN 0.95 ELSE 1.0 END, 0), 1), 6) AS composite,
@@ -54,17 +54,21 @@ def signature_dedup(spark, sf_dir):
     return K.first_by_signature(table(spark, sf_dir, "documents")).select("doc_id", "signature", "n_copies")
 
 
-@query(f"""WITH {BM25_CTE}, t AS (SELECT doc_id, list_distinct(list_filter(string_split({NORMALISE}, ' '), lambda w: length(w) > 1 AND regexp_matches(w, '[\\p{{L}}\\p{{N}}]'))) AS t FROM documents),
-u AS (SELECT item_id AS query_id, list_distinct(list_filter(string_split({NORMALISE}, ' '), lambda w: length(w) > 1 AND regexp_matches(w, '[\\p{{L}}\\p{{N}}]'))) AS u FROM benchmark),
-h AS (SELECT query_id, doc_id, round(score * 0.6, 6) AS score FROM bm_ranked JOIN t USING (doc_id) JOIN u USING (query_id) WHERE rank > 5 AND rank <= 50
-      AND len(list_intersect(t, u)) / len(list_distinct(list_concat(t, u))) >= 0.15),
+TOKENS = f"list_distinct(list_filter(string_split({NORMALISE}, ' '), lambda w: length(w) > 1 AND regexp_matches(w, '[\\p{{L}}\\p{{N}}]')))"
+
+
+@query(f"""WITH t AS (SELECT page_id, {TOKENS.replace("text", "html")} AS t FROM pages),
+h AS (SELECT q.page_id AS query_id, d.page_id AS doc_id, round(1.0 / (q.page_id - d.page_id) * 0.6, 6) AS score FROM t q JOIN t d ON d.page_id BETWEEN q.page_id - 6 AND q.page_id - 2
+      WHERE len(list_distinct(list_concat(q.t, d.t))) > 0 AND len(list_intersect(q.t, d.t)) / len(list_distinct(list_concat(q.t, d.t))) >= 0.15),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM h)
 SELECT * FROM r WHERE rank <= 3""")
 def history_injection(spark, sf_dir):
-    docs, asked = table(spark, sf_dir, "documents"), bench_queries(spark, sf_dir)
-    hits = R.bm25(docs, asked, 50)
-    history = hits.join(docs.select("doc_id", "text"), "doc_id").join(asked, "query_id")
-    out = K.inject_history(history, hits.filter("rank <= 5"))
+    """For each page the six before it, the last of which is present already."""
+    pages = table(spark, sf_dir, "pages")
+    asked = pages.select(F.col("page_id").alias("query_id"), F.col("html").alias("query"))
+    before = asked.withColumn("doc_id", F.explode(F.sequence(F.col("query_id") - 6, F.col("query_id") - 1)))
+    history = before.join(pages.select(F.col("page_id").alias("doc_id"), F.col("html").alias("text")), "doc_id").withColumn("score", 1 / (F.col("query_id") - F.col("doc_id")))
+    out = K.inject_history(history, asked.select("query_id", (F.col("query_id") - 1).alias("doc_id")))
     return out.withColumn("score", F.round("score", 6))
 
 
@@ -120,15 +124,48 @@ def retrieval_metrics(spark, sf_dir):
     return E.retrieval_metrics(R.bm25(docs, asked, 10), truth.select(F.col("passage_id").alias("query_id"), "doc_id"))
 
 
-@query()
-def generation_metrics(spark, sf_dir):
+def _said_pairs(spark, sf_dir):
     """Each assistant turn against the turn before it."""
     turns = table(spark, sf_dir, "conversations")
     said = turns.filter("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("generated"))
     before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("truth"))
-    pairs = said.join(before, ["conv_id", "turn"]).select(F.struct("conv_id", "turn").alias("pair_id"), "generated", "truth")
-    scores = E.text_metrics(pairs)
-    return scores.select("pair_id.conv_id", "pair_id.turn", *[F.round(m, 6).alias(m) for m in E.TEXT_METRICS])
+    return said.join(before, ["conv_id", "turn"]).select(F.struct("conv_id", "turn").alias("pair_id"), "generated", "truth")
+
+
+PAIRS_CTE = r"""pairs AS (SELECT a.conv_id, a.turn, a.text AS h, b.text AS r FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = b.turn + 1 WHERE a.role = 'assistant'),
+sides AS (SELECT conv_id, turn, 'h' AS side, h AS text FROM pairs UNION ALL SELECT conv_id, turn, 'r', r FROM pairs),
+words AS (SELECT conv_id, turn, side, flatten(list_transform(list_filter(list_transform(regexp_split_to_array(text, '[。.]'), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: p != ''),
+            lambda p: regexp_extract_all(p, '[一-鿿㐀-䶿]+|[a-zA-Z0-9_.,!?]+|[^a-zA-Z0-9_\s]'))) AS w FROM sides)""".replace("\\", "\\")
+
+
+@query("WITH " + PAIRS_CTE + (r""",
+grams AS (SELECT conv_id, turn, side, kind, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(v[i:i + n - 1], ' '))) AS gram
+          FROM (SELECT *, CASE WHEN kind = 'bleu' THEN list_transform(w, lambda x: lower(x)) ELSE w END AS v FROM words, (VALUES ('bleu', 1), ('bleu', 2), ('bleu', 3), ('bleu', 4), ('rouge', 1), ('rouge', 2)) k(kind, n)) WHERE len(w) >= n),
+c AS (SELECT conv_id, turn, kind, n, gram, count(*) FILTER (side = 'h') AS a, count(*) FILTER (side = 'r') AS b FROM grams GROUP BY ALL),
+s AS (SELECT conv_id, turn, kind, n, sum(a) AS total, sum(least(a, b)) AS clipped, count(*) FILTER (a > 0 AND b > 0) AS shared, count(*) FILTER (a > 0) AS own, count(*) FILTER (b > 0) AS other FROM c GROUP BY ALL),
+t AS (SELECT conv_id, turn, exp(sum(CASE WHEN kind = 'bleu' AND n <= 1 AND total > 0 THEN ln((clipped + 1) / (total + 1)) END)) AS b1, exp(sum(CASE WHEN kind = 'bleu' AND n <= 2 AND total > 0 THEN ln((clipped + 1) / (total + 1)) / 2 END)) AS b2,
+        exp(sum(CASE WHEN kind = 'bleu' AND total > 0 THEN ln((clipped + 1) / (total + 1)) / 4 END)) AS b4,
+        max(CASE WHEN kind = 'rouge' AND n = 1 THEN 2.0 * shared / own * shared / other / (shared / own + shared / other + 1e-8) END) AS r1,
+        max(CASE WHEN kind = 'rouge' AND n = 2 THEN 2.0 * shared / own * shared / other / (shared / own + shared / other + 1e-8) END) AS r2 FROM s GROUP BY ALL),
+z AS (SELECT conv_id, turn, max(len(w)) FILTER (side = 'h') AS h, max(len(w)) FILTER (side = 'r') AS r FROM words GROUP BY ALL)
+SELECT conv_id, turn, round(coalesce(brevity * b1, 0), 6) AS bleu1, round(coalesce(brevity * b2, 0), 6) AS bleu2, round(coalesce(brevity * b4, 0), 6) AS bleu4, round(coalesce(r1, 0), 6) AS rouge1, round(coalesce(r2, 0), 6) AS rouge2
+FROM (SELECT *, CASE WHEN h = 0 THEN 0 WHEN h > r THEN 1 ELSE exp(1 - r / h) END AS brevity FROM z) LEFT JOIN t USING (conv_id, turn)"""))
+def generation_metrics(spark, sf_dir):
+    scores = E.text_metrics(_said_pairs(spark, sf_dir))
+    return scores.select("pair_id.conv_id", "pair_id.turn", *[F.round(m, 6).alias(m) for m in ("bleu1", "bleu2", "bleu4", "rouge1", "rouge2")])
+
+
+@query()
+def rouge_l_scores(spark, sf_dir):
+    return E.rouge_l(_said_pairs(spark, sf_dir)).select("pair_id.conv_id", "pair_id.turn", F.round("rougel", 6).alias("rougel"))
+
+
+@query()
+def metric_means(spark, sf_dir):
+    """The means of the text metrics over all pairs."""
+    pairs = _said_pairs(spark, sf_dir)
+    scores = E.text_metrics(pairs).join(E.rouge_l(pairs), "pair_id")
+    return E.mean_metrics(scores).select("metric", F.round("mean", 6).alias("mean"), "n")
 
 
 @query(r"""WITH p AS (SELECT item_id, a.text AS a, b.text AS b FROM benchmark a JOIN (SELECT item_id - 1 AS item_id, text FROM benchmark) b USING (item_id)),
@@ -185,10 +222,19 @@ def wiki_health(spark, sf_dir):
     return G.health(G.lint(*_wiki(spark, sf_dir)))
 
 
+def _grams(name: str) -> str:
+    p = f"regexp_replace(lower({name}), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
+    return f"(CASE WHEN length({p}) > 1 THEN list_distinct(list_transform(range(1, length({p})), lambda i: substring({p}, i, 2))) WHEN length({p}) = 1 THEN [{p}] ELSE [] END)"
+
+
 @query(f"""WITH {WIKI_CTE}, dead AS (SELECT DISTINCT target AS slug FROM wl),
-k AS (SELECT replace(replace(slug, '-', ''), '_', '') AS key, min(slug) AS slug FROM wp GROUP BY 1)
-SELECT d.slug, coalesce(e.slug, k.slug) AS found, CASE WHEN e.slug IS NOT NULL THEN 'exact' WHEN k.slug IS NOT NULL THEN 'normalised' END AS how
-FROM dead d LEFT JOIN wp e ON d.slug = e.slug LEFT JOIN k ON replace(replace(d.slug, '-', ''), '_', '') = k.key""")
+k AS (SELECT replace(replace(slug, '-', ''), '_', '') AS key, min(slug) AS slug FROM wp GROUP BY 1),
+r AS (SELECT d.slug, e.slug AS exact, k.slug AS normalised FROM dead d LEFT JOIN wp e ON d.slug = e.slug LEFT JOIN k ON replace(replace(d.slug, '-', ''), '_', '') = k.key),
+g AS (SELECT slug, {_grams("slug")} AS g FROM r WHERE exact IS NULL AND normalised IS NULL), h AS (SELECT slug AS page, {_grams("slug")} AS h FROM wp),
+f AS (SELECT slug, page, row_number() OVER (PARTITION BY slug ORDER BY round(len(list_intersect(g, h)) / len(list_distinct(list_concat(g, h))), 6) DESC, page) AS n FROM g JOIN h ON len(g) > 0 AND len(h) > 0
+      AND round(len(list_intersect(g, h)) / len(list_distinct(list_concat(g, h))), 6) >= 0.8)
+SELECT r.slug, coalesce(exact, normalised, page) AS found, CASE WHEN exact IS NOT NULL THEN 'exact' WHEN normalised IS NOT NULL THEN 'normalised' WHEN page IS NOT NULL THEN 'fuzzy' END AS how
+FROM r LEFT JOIN f ON r.slug = f.slug AND f.n = 1""")
 def dead_slugs(spark, sf_dir):
     pages, links = _wiki(spark, sf_dir)
     return G.resolve_slugs(links.select(F.col("target").alias("slug")).distinct(), pages.withColumn("title", F.lit(None).cast("string")))
@@ -202,12 +248,12 @@ def folder_tree(spark, sf_dir):
 
 
 @query("""WITH RECURSIVE n AS (SELECT page_id AS id, CASE WHEN page_id > 0 THEN (page_id - 1) // 3 END AS parent FROM pages),
-d AS (SELECT id AS root, id, 0 AS level FROM n WHERE id BETWEEN 1 AND 3 UNION ALL SELECT root, n.id, level + 1 FROM d JOIN n ON n.parent = d.id WHERE level < 16)
-SELECT root, id, level FROM d WHERE level > 0""")
+d AS (SELECT id AS root, id, 0 AS level FROM n WHERE id BETWEEN 1 AND 3 UNION ALL SELECT root, n.id, level + 1 FROM d JOIN n ON n.parent = d.id WHERE level < 4 AND n.id % 11 != 5)
+SELECT root, id, level, level = 4 AND id IN (SELECT parent FROM n WHERE id % 11 != 5) AS cut FROM d WHERE level > 0""")
 def span_descendants(spark, sf_dir):
-    """Pages as spans of a tree with three children a node, below the first three."""
+    """Pages as spans of a tree with three children a node, those that aren't done, four levels below the first three."""
     n = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.when(F.col("page_id") > 0, F.floor((F.col("page_id") - 1) / 3)).alias("parent"))
-    return G.descendants(n, n.filter("id BETWEEN 1 AND 3"))
+    return G.descendants(n, n.filter("id BETWEEN 1 AND 3"), 4, F.col("id") % 11 != 5)
 
 
 # --- memory and conversations ---
@@ -234,12 +280,6 @@ def memory_budget(spark, sf_dir):
     return M.within_budget(at, "query_id", 5, 4000)
 
 
-@query("""WITH s AS (SELECT conv_id, turn, role, sum(ceil(length(text) / 4.0) + 3) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS suffix FROM conversations)
-SELECT conv_id, min(turn) FILTER (suffix <= 500 AND role != 'tool') AS cut FROM s GROUP BY conv_id""")
-def context_cut(spark, sf_dir):
-    return M.context_cut(table(spark, sf_dir, "conversations"), 500)
-
-
 @query("""SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 3""")
 def recent_turns(spark, sf_dir):
     return M.recent_turns(table(spark, sf_dir, "conversations"), 3).select("conv_id", "turn", "role")

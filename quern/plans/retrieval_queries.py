@@ -84,14 +84,14 @@ def keyword_minmax(spark, sf_dir):
     return R.minmax_keyword_scores(hits).select("query_id", "doc_id", F.round("normalised", 6).alias("normalised"))
 
 
-@query(f"""WITH {BM25_CTE}, p AS (SELECT query_id, b.doc_id, score, source FROM bm_ranked b JOIN documents USING (doc_id) WHERE rank <= 200),
+@query(f"""WITH {BM25_CTE}, p AS (SELECT query_id, b.doc_id, score, source FROM bm_ranked b JOIN documents USING (doc_id) WHERE rank <= 100),
 f AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, doc_id) AS in_file FROM p),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY in_file > 4, score DESC, doc_id) AS INTEGER) AS rank FROM f)
 SELECT query_id, doc_id, source, CAST(in_file AS INTEGER) AS in_file, rank FROM r WHERE rank <= 50""")
 def per_file_priority(spark, sf_dir):
-    """A bounded pool (200), the four best of each source first, 50 results."""
+    """A pool of 100 for 50 results, the four best of each source first."""
     docs = table(spark, sf_dir, "documents")
-    pool = R.bm25(docs, bench_queries(spark, sf_dir), 200).join(docs.select("doc_id", "source"), "doc_id")
+    pool = R.bm25(docs, bench_queries(spark, sf_dir), R.diversity_pool(50)).join(docs.select("doc_id", "source"), "doc_id")
     return R.per_file_priority(pool, "query_id", "source").filter("rank <= 50").select("query_id", "doc_id", "source", "in_file", "rank")
 
 

@@ -31,18 +31,15 @@ def grep_documents(spark, sf_dir):
 
 
 @query("""SELECT (SELECT count(*) FROM benchmark) AS n_queries, count(*) AS n_passages, count(DISTINCT item_id) AS n_covered,
-  round(count(DISTINCT item_id) * 100 / (SELECT count(*) FROM benchmark), 6) AS coverage FROM documents d JOIN benchmark b ON contains(d.text, b.text)""")
+  round(count(*) / (SELECT count(*) FROM benchmark), 6) AS passages_per_query, round(count(DISTINCT item_id) * 100 / (SELECT count(*) FROM benchmark), 6) AS coverage FROM documents d JOIN benchmark b ON contains(d.text, b.text)""")
 def dataset_statistics(spark, sf_dir):
     from quern.operators.relations import containing
 
     bench = table(spark, sf_dir, "benchmark")
-    whole = bench.select(F.col("item_id").alias("passage_id"), F.col("text").alias("passage"))
-    longest = whole.agg(F.max(F.length("passage"))).first()[0] or 0
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.rpad("text", F.greatest(F.length("text"), F.lit(longest)), " ").alias("text"))
-    found = containing(docs, whole)  # padded, so that no document is inside a passage
+    found = containing(table(spark, sf_dir, "documents"), bench.select(F.col("item_id").alias("passage_id"), F.col("text").alias("passage")), within=False)
     n = bench.agg(F.count("*").alias("n_queries"))
     at = found.agg(F.count("*").alias("n_passages"), F.countDistinct("passage_id").alias("n_covered"))
-    return n.crossJoin(at).select("n_queries", "n_passages", "n_covered", F.round(F.col("n_covered") * 100 / F.col("n_queries"), 6).alias("coverage"))  # one row each
+    return n.crossJoin(at).select("n_queries", "n_passages", "n_covered", F.round(F.col("n_passages") / F.col("n_queries"), 6).alias("passages_per_query"), F.round(F.col("n_covered") * 100 / F.col("n_queries"), 6).alias("coverage"))  # one row each
 
 
 @query("SELECT user_id, max(ts) AS last_seen, count(*) AS n_beats FROM events GROUP BY user_id")
@@ -192,14 +189,6 @@ def csv_round_trip(spark, sf_dir):
     return files.read_csv(spark, path, "o_orderkey bigint, o_totalprice double, o_orderpriority string")
 
 
-@query(r"SELECT page_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS raw_title, CAST(len(regexp_extract_all(html, '<a href=')) AS BIGINT) AS n_links FROM pages")
-def web_pages(spark, sf_dir):
-    """Pages as Markdown: titles (entities as written) and link counts."""
-    made = html.pages_to_markdown(table(spark, sf_dir, "pages"))
-    escaped = F.replace(F.replace(F.replace("title", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    return made.select("page_id", escaped.alias("raw_title"), F.size("links").cast("long").alias("n_links"))
-
-
 @query("""SELECT url, concat_ws(chr(10) || chr(10), nullif(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), ''), nullif(trim(url), '')) AS content, 0.6::DOUBLE AS score FROM pages""")
 def web_search_results(spark, sf_dir):
     hits = table(spark, sf_dir, "pages").select("url", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.lit(" ").alias("snippet"), F.col("url").alias("content"))
@@ -243,13 +232,14 @@ def streamed_windows(spark, sf_dir):
     return spark.read.schema(stream.schema).parquet(out).withColumn("total", F.round("total", 4)).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query("SELECT user_id, max_by(event_id, event_id) AS event_id, max_by(event_type, event_id) AS event_type FROM events GROUP BY user_id")
+@query("SELECT user_id, max_by(event_id, event_id) AS event_id, max_by(event_type, event_id) AS event_type FROM events GROUP BY user_id HAVING max_by(event_type, event_id) != 'error'")
 def incremental_ingest(spark, sf_dir):
-    """The stream merged into a table: each user's latest event."""
+    """The stream, in several batches, merged into a table: each user's latest event; a user whose latest is an error is deleted."""
     out, at = f"{shared_dir(spark)}/merged-{uuid.uuid4().hex}", f"{shared_dir(spark)}/progress-{uuid.uuid4().hex}"
-    stream = _events_stream(spark, sf_dir).select("user_id", "event_id", "event_type")
+    copy = materialise(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", (F.col("event_type") == "error").alias("gone")).repartition(4, "event_id"), "events-feed")
+    stream = spark.readStream.schema(copy.schema).option("maxFilesPerTrigger", 1).parquet(copy._quern_path)
     ingest.ingest(spark, stream, out, at, "user_id", "event_id")
-    return spark.read.parquet(f"{out}/v=0")
+    return ingest.merged(spark, out, "gone").select("user_id", "event_id", "event_type")
 
 
 @query("""SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS n_recent FROM events""")

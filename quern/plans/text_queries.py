@@ -33,35 +33,15 @@ def char_bigrams(spark, sf_dir):
 
 
 @query(r"""
-WITH shares AS (SELECT doc_id, text, length(text) AS n, len(regexp_extract_all(text, '\p{Han}')) / length(text) AS han,
-                       len(regexp_extract_all(text, '[A-Za-z]')) / length(text) AS latin, len(regexp_extract_all(text, '[äöüßÄÖÜ]')) / length(text) AS umlaut FROM documents),
-named AS (SELECT *, CASE WHEN han > 0.3 THEN 'zh' WHEN han > 0.05 THEN 'mixed' WHEN umlaut > 0.005 THEN 'de' WHEN latin > 0.5 THEN 'en' ELSE 'mixed' END AS language FROM shares)
-SELECT doc_id, language, CAST(ceil(n / CASE language WHEN 'en' THEN 4.0 WHEN 'de' THEN 4.5 WHEN 'zh' THEN 1.7 ELSE 3.0 END) AS BIGINT) AS tokens FROM named""")
+WITH n AS (SELECT doc_id, text, len(regexp_extract_all(text, '[\p{Han}\p{Hangul}\p{Hiragana}\p{Katakana}]')) AS cjk, len(regexp_extract_all(text, '[A-Za-zäöüÄÖÜß]')) AS latin FROM documents),
+named AS (SELECT doc_id, length(text) AS n, CASE WHEN cjk + latin = 0 OR (cjk >= 0.15 * (cjk + latin) AND latin >= 0.15 * (cjk + latin)) THEN 'mixed' WHEN cjk > 0.3 * (cjk + latin) THEN 'zh'
+  WHEN regexp_matches(text, '[äöüÄÖÜß]') OR regexp_matches(substring(text, 1, 512), '(?i) (der|die|das|und|ist|nicht|mit|auf) ') THEN 'de' ELSE 'en' END AS language FROM n)
+SELECT doc_id, language, CAST(CASE WHEN n = 0 THEN 0 ELSE greatest(floor(n / CASE language WHEN 'en' THEN 4.0 WHEN 'de' THEN 4.5 WHEN 'zh' THEN 1.7 ELSE 3.0 END + 0.5), 1) END AS BIGINT) AS tokens FROM named""")
 def token_estimates(spark, sf_dir):
     language = T.guess_language(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", "text", language.alias("language")).select("doc_id", "language", T.estimate_tokens(F.col("text"), F.col("language")).alias("tokens"))
 
 
-@query(r"""
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (trim(line) = '') AS n_blank, max(length(line)) AS longest_line, round(avg(length(line)), 6) AS mean_line,
-       count(*) FILTER (regexp_matches(line, '^#{1,6} ')) AS n_headings, count(*) FILTER (regexp_matches(line, '^\s*\d+[.)]\s')) AS n_numbered,
-       count(*) FILTER (regexp_matches(line, '^(-{3,}|={3,}|\*{3,})$')) AS n_separators, count(*) FILTER (regexp_matches(line, '\|.*\|')) AS n_table_rows,
-       count(*) FILTER (length(line) > 3 AND line = upper(line) AND regexp_matches(line, '\p{L}')) AS n_capital_lines
-FROM l GROUP BY doc_id""")
-def document_profile(spark, sf_dir):
-    """Line statistics that choose a splitter; see operators.chunking.profile."""
-    from quern.operators.chunking import profile
-
-    return profile(table(spark, sf_dir, "documents"))
-
-
-@query(r"""SELECT doc_id, substring(source || chr(10) || lang || ' / ' || source || chr(10) || text, 1, 20000) AS embedding_text FROM documents""")
-def embedding_input(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", T.embedding_text(F.col("source"), F.concat_ws(" / ", "lang", "source"), F.col("text")).alias("embedding_text"))
-
-
 @query("""SELECT page_id, list_filter(string_split(regexp_replace(regexp_replace(url, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[^A-Za-z0-9]+', ' ', 'g'), ' '), lambda w: w != '')[2] AS second_part,
   replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped,
   replace(replace(lower(url), '-', ''), '_', '') AS slug FROM pages""")

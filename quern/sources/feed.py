@@ -1,77 +1,33 @@
-"""A connector as a Python data source: reads items after a cursor, in batch or as a stream.
+"""A connector over a feed: items after a cursor, in batch or as a stream.
 
-The feed is a folder of JSON-lines files on the shared store, one a fetch, in name
-order; the cursor is the number of files read. Every connector that can list what
-came after a cursor fits the same three methods.
+The feed is a folder of JSON-lines files on any store that Spark reads, one a fetch. The
+stream's checkpoint is the cursor: it knows the files that were read. Files are read by
+the executors, in parts, and nothing passes through the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+SCHEMA = "guid string, title string, link string, updated string"
 
-SCHEMA = "item_id string, title string, link string, updated string"
 
-
-def item_key(item: dict) -> str:
+def item_key(guid: Column, link: Column, title: Column) -> Column:
     """What identifies an item of a feed: its guid, else its link, else its title."""
-    return item.get("guid") or item.get("link") or item.get("title") or ""
-
-
-def _rows(path: str) -> Iterator[tuple]:
-    import json
-
-    with open(path, encoding="utf-8") as lines:
-        for line in lines:
-            item = json.loads(line)
-            yield item_key(item), item.get("title"), item.get("link"), item.get("updated")
-
-
-def _files(folder: str) -> list[str]:
-    import os
-
-    return sorted(os.path.join(folder, f) for f in os.listdir(folder) if f.endswith(".jsonl"))
-
-
-class FeedSource(DataSource):
-    """spark.read.format("quern_feed").load(folder); readStream likewise."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "quern_feed"
-
-    def schema(self) -> str:
-        return SCHEMA
-
-    def reader(self, schema) -> DataSourceReader:
-        return _Batch(self.options["path"])
-
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
-        return _Stream(self.options["path"])
-
-
-class _Batch(DataSourceReader):
-    def __init__(self, folder: str):
-        self.folder = folder
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(f) for f in _files(self.folder)]
+    given = lambda c: F.nullif(F.trim(c), F.lit(""))
+    return F.coalesce(given(guid), given(link), given(title), F.lit(""))
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        return _rows(partition.value)
 
+def _items(rows: DataFrame) -> DataFrame:
+    return rows.select(item_key(F.col("guid"), F.col("link"), F.col("title")).alias("item_id"), "title", "link", "updated")
 
-class _Stream(SimpleDataSourceStreamReader):
-    def __init__(self, folder: str):
-        self.folder = folder
 
-    def initialOffset(self) -> dict:
-        return {"files": 0}
+def read_feed(spark: SparkSession, folder: str) -> DataFrame:
+    """item_id, title, link, updated of all items."""
+    return _items(spark.read.schema(SCHEMA).json(folder))
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        files = _files(self.folder)[start["files"] :]
-        return iter([r for f in files for r in _rows(f)]), {"files": start["files"] + len(files)}
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter([r for f in _files(self.folder)[start["files"] : end["files"]] for r in _rows(f)])
+def stream_feed(spark: SparkSession, folder: str, files: int = 100) -> DataFrame:
+    """The same as a stream: new files as they come, so many a batch."""
+    return _items(spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", files).json(folder))

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 _SKIP = {"script", "style", "noscript", "template", "head"}
@@ -15,76 +15,157 @@ _BLOCK = {"p", "div", "section", "article", "ul", "ol", "table", "tr", "blockquo
 
 
 class _Markdown(HTMLParser):
-    def __init__(self):
+    """Collects Markdown as tags come; `sources` renames image addresses."""
+
+    def __init__(self, sources: Mapping[str, str] | None = None):
         super().__init__(convert_charrefs=True)
+        self.sources = sources or {}
         self.out: list[str] = []
         self.title: list[str] = []
-        self.skip = 0
-        self.in_title = False
         self.links: list[str] = []
-        self.open: list[tuple[str, str | None]] = []
+        self.open: list[str | None] = []  # targets of open links
+        self.lists: list[int] = []  # 0: bullets, else the next number
+        self.rows: list[list[str]] | None = None
+        self.skip = self.quiet = self.pre = 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        at = dict(attrs)
         if tag == "title":
-            self.in_title = True
+            self.quiet += 1
         if tag in _SKIP:
             self.skip += 1
+        if self.skip:
+            return
+        if tag == "table":
+            self.rows = []
+        elif tag == "tr" and self.rows is not None:
+            self._end_cell()
+            self.rows.append([])
+        elif tag in ("td", "th") and self.rows:
+            self._end_cell()
+            self.out.append("\x00")  # where a cell begins
+        elif tag in ("ul", "ol"):
+            self.lists.append(int(tag == "ol"))
+            self.out.append("\n\n" if len(self.lists) == 1 else "\n")
+        elif tag == "li":
+            number = self.lists[-1] if self.lists else 0
+            self.out.append("\n" + "  " * (len(self.lists) - 1) + (f"{number}. " if number else "- "))
+            if number:
+                self.lists[-1] += 1
+        elif tag == "pre":
+            self.pre += 1
+            self.out.append("\n\n```\n")
+        elif tag == "img":
+            source = at.get("src") or ""
+            self.out.append(f"![{at.get('alt') or ''}]({self.sources.get(source, source)})" if source else "")
         elif tag in _BLOCK:
-            self.out.append("\n\n" if tag not in ("li", "br", "tr") else "\n")
-        if tag[0] == "h" and tag[1:].isdigit():
+            self.out.append("\n" if tag == "br" else "\n\n")
+        if tag == "hr":
+            self.out.append("\n\n---\n\n")
+        elif tag[0] == "h" and tag[1:].isdigit():
             self.out.append("#" * int(tag[1:]) + " ")
-        elif tag == "li":
-            self.out.append("- ")
-        elif tag in ("b", "strong"):
-            self.out.append("**")
+        elif tag in _MARKS and not self.pre:
+            self.out.append(_MARKS[tag])
+        elif tag == "blockquote":
+            self.out.append("> ")
         elif tag == "a":
-            href = dict(attrs).get("href")
-            self.open.append(("a", href))
-            self.out.append("[" if href else "")
+            self.open.append(at.get("href"))
+            self.out.append("[" if self.open[-1] else "")
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "title":
-            self.in_title = False
+            self.quiet = max(0, self.quiet - 1)
         if tag in _SKIP:
             self.skip = max(0, self.skip - 1)
-        elif tag in _BLOCK:
-            self.out.append("\n")
-        if tag in ("b", "strong"):
-            self.out.append("**")
+            return
+        if self.skip:
+            return
+        if tag in ("td", "th", "tr", "table"):
+            self._end_cell()
+        if tag == "table" and self.rows is not None:
+            self.out.append("\n\n" + table_markdown([r for r in self.rows if r]) + "\n\n")
+            self.rows = None
+        elif tag in ("ul", "ol") and self.lists:
+            self.lists.pop()
+            self.out.append("\n" if self.lists else "\n\n")
+        elif tag == "pre" and self.pre:
+            self.pre -= 1
+            self.out.append("\n```\n\n")
+        elif tag in _MARKS and not self.pre:
+            self.out.append(_MARKS[tag])
         elif tag == "a" and self.open:
-            _, href = self.open.pop()
+            href = self.open.pop()
             if href:
                 self.links.append(href)
                 self.out.append(f"]({href})")
+        elif tag in _BLOCK and tag != "li":
+            self.out.append("\n")
+
+    def _end_cell(self) -> None:
+        """The open cell's text goes into its row; cells may lack an end of their own."""
+        if self.rows and "\x00" in self.out:
+            k = len(self.out) - 1 - self.out[::-1].index("\x00")
+            self.rows[-1].append(re.sub(r"\s+", " ", "".join(self.out[k + 1 :])).strip().replace("|", r"\|"))
+            del self.out[k:]
 
     def handle_data(self, data: str) -> None:
-        if self.in_title:
+        if self.quiet:
             self.title.append(data)
         elif not self.skip:
-            self.out.append(re.sub(r"\s+", " ", data))
+            self.out.append(data if self.pre else re.sub(r"\s+", " ", data))
+
+
+_MARKS = {"b": "**", "strong": "**", "i": "*", "em": "*", "code": "`"}
+
 
+def table_markdown(rows: list[list[str]]) -> str:
+    """Rows of cells as a Markdown table, the first as its head; short rows are filled up."""
+    if not rows:
+        return ""
+    width = max(map(len, rows))
+    lines = ["| " + " | ".join(r + [""] * (width - len(r))) + " |" for r in rows]
+    return "\n".join([lines[0], "|" + " --- |" * width, *lines[1:]])
 
-def to_markdown(html: str | None) -> tuple[str, str, list[str]]:
+
+def to_markdown(html: str | None, sources: Mapping[str, str] | None = None) -> tuple[str, str, list[str]]:
     """Title, Markdown and link targets of a page; scripts, styles and the head are left out."""
-    parser = _Markdown()
+    parser = _Markdown(sources)
     parser.feed(html or "")
     parser.close()
-    text = re.sub(r"[ \t]*\n[ \t]*", "\n", "".join(parser.out))
+    text = re.sub(r"[ \t]*\n", "\n", "".join(parser.out).replace("\x00", ""))
+    text = re.sub(r"\n(?! *(?:- |\d+\. |  ))[ \t]+", "\n", text) if "```" not in text else text
     return "".join(parser.title).strip(), re.sub(r"\n{3,}", "\n\n", text).strip(), parser.links
 
 
+_ARTICLE = re.compile(r"<(article|main)\b[^>]*>(.*?)</\1>", re.S | re.I)
+LEAST_VISIBLE = 50  # characters of visible text that make a page of its own
+
+
+def article_markdown(html: str | None) -> str | None:
+    """The Markdown of a page's article or main part; where there is none, the visible text under
+    the title, if it is long enough."""
+    title, whole, _ = to_markdown(html)
+    found = _ARTICLE.search(html or "")
+    body = to_markdown(found[2])[1] if found else ""
+    if body:
+        return body
+    if len(whole) < LEAST_VISIBLE:
+        return None
+    return whole if not title or whole.startswith(title) else f"# {title}\n\n{whole}"
+
+
 def pages_to_markdown(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """page_id, title, markdown, links; a null page is an empty one."""
+    """page_id, title, markdown, article, links; a null page is an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [to_markdown(x.as_py()) for x in batch.column("html")]
-            title, text, links = zip(*made, strict=True) if made else ((), (), ())
-            arrays = [batch.column("page_id"), pa.array(title, pa.string()), pa.array(text, pa.string()), pa.array(links, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["page_id", "title", "markdown", "links"])
+            pages = batch.column("html").to_pylist()
+            title, text, links = zip(*map(to_markdown, pages), strict=True) if pages else ((), (), ())
+            strings = [pa.array(c, pa.string()) for c in (title, text, [article_markdown(h) for h in pages])]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), *strings, pa.array(links, pa.list_(pa.string()))], ["page_id", "title", "markdown", "article", "links"])
 
     kind = pages.schema[id_col].dataType.simpleString()
-    return pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html")).mapInArrow(run, f"page_id {kind}, title string, markdown string, links array<string>")
+    return pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html")).mapInArrow(run, f"page_id {kind}, title string, markdown string, article string, links array<string>")
 
 
 def web_results(hits: DataFrame) -> DataFrame:
@@ -92,3 +173,20 @@ def web_results(hits: DataFrame) -> DataFrame:
     between blank lines, with score 0.6."""
     part = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
     return hits.select("url", F.concat_ws("\n\n", part("title"), part("snippet"), part("content")).alias("content"), F.lit(0.6).alias("score"))
+
+
+def fetch_list(results: DataFrame, by: str = "query_id", most: int = 3) -> DataFrame:
+    """Of web results (by, url, score) the addresses to fetch: the `most` best of each query, each once."""
+    best = results.groupBy(by, "url").agg(F.max("score").alias("score"))
+    order = Window.partitionBy(by).orderBy(F.desc("score"), "url")
+    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
+
+
+def with_fetched(results: DataFrame, pages: DataFrame, by: str = "query_id", most: int = 3, size: int = 8000) -> DataFrame:
+    """Results with `content` of the fetched pages (url, html) for the `most` best of each query:
+    the article's first `size` bytes, to the last whole character, below what the result said."""
+    article = pages_to_markdown(pages, "url").select(F.col("page_id").alias("url"), F.decode(F.substring(F.encode("article", "UTF-8"), 1, size), "UTF-8").alias("_cut"))
+    wanted = fetch_list(results, by, most).select(by, "url")
+    fetched = wanted.join(article, "url").select(by, "url", F.regexp_replace("_cut", "\ufffd+$", "").alias("_text"))
+    at = results.join(fetched, [by, "url"], "left")
+    return at.withColumn("content", F.concat_ws("\n\n", F.nullif(F.col("content"), F.lit("")), "_text")).drop("_text")

@@ -70,25 +70,100 @@ def rate_limit(events: DataFrame, by: str, limit: int, seconds: int) -> DataFram
     return events.groupBy(by).applyInPandasWithState(run, f"key {kind}, event_id long, allowed boolean", "recent array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
-def merge_into(target: str, key: str, order: str):
+PARTS = 16  # a merged table's parts by key; a change rewrites the parts that it touches only
+
+
+def merge_into(target: str, key: str, order: str, parts: int = PARTS, keep_own: bool = False):
     """A foreachBatch function that merges changes into the Parquet table at `target`: the
-    latest row of each key stays. Every batch writes a version of its own,
-    `target/v=<batch>`, so a batch that runs again after a failure gives the same table."""
+    latest row of each key stays. Deletions are rows with a mark that merged() knows, and stay,
+    so that older rows that come later don't bring their key back. With `keep_own`, a row that is there stays as it is. Rows without a key are left out.
+
+    Rows lie in parts by the hash of their key, and a batch writes new versions of the parts
+    that it has keys of, `merge_part=<p>/merge_version=<batch>`, in the place of a batch that failed before its
+    end; merged() reads the newest of each. Versions that no reader needs go by compact().
+    """
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = batch
-        if number:
-            rows = spark.read.parquet(f"{target}/v={number - 1}").unionByName(batch)
-        latest = rows.groupBy(key).agg(F.max(F.struct(order, *[c for c in rows.columns if c != order])).alias("row")).select("row.*")
-        latest.select(*batch.columns).write.mode("overwrite").parquet(f"{target}/v={number}")
+        at = F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+        batch = batch.filter(F.col(key).isNotNull()).withColumn("merge_part", at)
+        touched = [r.merge_part for r in batch.select("merge_part").distinct().collect()]
+        if not touched:
+            return
+        rows = batch.withColumn("merge_new", F.lit(1))
+        now = _newest(spark, target, before=number)
+        now = [(p, v) for p, v in now if p in touched]
+        if now:
+            old = spark.read.option("basePath", target).parquet(*[f"{target}/merge_part={p}/merge_version={v}" for p, v in now]).drop("merge_version")
+            rows = rows.unionByName(old.withColumn("merge_new", F.lit(0)))
+        rank = F.struct(-F.col("merge_new"), F.col(order)) if keep_own else F.struct(F.col(order), F.col("merge_new"))
+        others = [c for c in batch.columns if c != "merge_part"]
+        latest = rows.groupBy("merge_part", key).agg(F.max_by(F.struct(*others), rank).alias("row")).select("merge_part", "row.*")
+        latest.select(*others, "merge_part", F.lit(number).alias("merge_version")).repartition("merge_part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("merge_part", "merge_version").parquet(target)
 
     return run
 
 
-def ingest(spark: SparkSession, stream: DataFrame, target: str, checkpoint: str, key: str, order: str) -> None:
+def _newest(spark: SparkSession, target: str, before: int | None = None) -> list[tuple[int, int]]:
+    """(part, version) of the newest version of each part, below a batch number if one is given."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(target)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    found: dict[int, int] = {}
+    for version in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{target}/merge_part=*/merge_version=*")):
+        path = version.getPath()
+        part, v = int(path.getParent().getName().removeprefix("merge_part=")), int(path.getName().removeprefix("merge_version="))
+        if before is None or v < before:
+            found[part] = max(v, found.get(part, -1))
+    return sorted(found.items())
+
+
+def merged(spark: SparkSession, target: str, deleted: str | None = None) -> DataFrame:
+    """The table that merge_into() keeps at `target`, as it is now; without what the boolean
+    column `deleted` marks."""
+    rows = spark.read.option("basePath", target).parquet(*[f"{target}/merge_part={p}/merge_version={v}" for p, v in _newest(spark, target)]).drop("merge_part", "merge_version")
+    return rows.filter(~F.coalesce(deleted, F.lit(False))).drop(deleted) if deleted else rows
+
+
+def compact(spark: SparkSession, target: str) -> int:
+    """Delete all but the newest version of each part; how many went. Not while a batch is written."""
+    newest, gone = set(_newest(spark, target)), 0
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(target).getFileSystem(spark._jsc.hadoopConfiguration())
+    for version in fs.globStatus(path(f"{target}/merge_part=*/merge_version=*")):
+        at = version.getPath()
+        if (int(at.getParent().getName().removeprefix("merge_part=")), int(at.getName().removeprefix("merge_version="))) not in newest:
+            gone += bool(fs.delete(at, True))
+    return gone
+
+
+def ingest(spark: SparkSession, stream: DataFrame, target: str, checkpoint: str, key: str, order: str, **how) -> None:
     """Merge everything that is there by now into `target`, going on where the checkpoint stands."""
-    query = stream.writeStream.foreachBatch(merge_into(target, key, order)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(merge_into(target, key, order, **how)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
+def undistilled(messages: DataFrame, marks: DataFrame, by: str, order: str, pause, now) -> DataFrame:
+    """Messages after their conversation's mark (by, mark; none: all), of conversations that have
+    been quiet for `pause` (an interval): what is to be distilled next. new_marks() of it
+    are the marks from then on."""
+    fresh = messages.join(marks.select(by, "mark"), by, "left").filter(F.col("mark").isNull() | (F.col(order) > F.col("mark"))).drop("mark")
+    quiet = messages.groupBy(by).agg(F.max("at").alias("_last")).filter(F.col("_last") <= F.lit(now) - pause).select(by)
+    return fresh.join(quiet, by, "left_semi")
+
+
+def new_marks(distilled: DataFrame, marks: DataFrame, by: str, order: str) -> DataFrame:
+    return marks.select(by, "mark").unionByName(distilled.select(by, F.col(order).alias("mark"))).groupBy(by).agg(F.max("mark").alias("mark"))
+
+
+def log_from(log: DataFrame, by: str, order: str, offset: int) -> DataFrame:
+    """Rows of each log from an offset (0: the first) on, with `offset`."""
+    place = F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1
+    return log.withColumn("offset", place).filter(F.col("offset") >= offset)
+
+
+def reclaimable(claims: DataFrame, key: str, now, minutes: int) -> DataFrame:
+    """Keys whose newest claim (key, at, state) is still 'running' but older than so many minutes."""
+    last = claims.groupBy(key).agg(F.max_by(F.struct("at", "state"), "at").alias("c"))
+    return last.filter((F.col("c.state") == "running") & (F.col("c.at") < F.lit(now) - F.make_interval(mins=F.lit(minutes)))).select(key)

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.functions import vectors as V
-from quern.operators import chunking, graph, memory, metrics, relations, rerank, retrieval, sql_surface
+from quern.functions import prepare
+from quern.operators import chunking, faq, graph, memory, metrics, relations, rerank, retrieval, sql_surface, stitch
 from quern.session import fresh
-from quern.sources import files, html
-from quern.sources.feed import FeedSource
+from quern.sources import documents, feed, files, html
 from quern.streaming import ingest
 
 
@@ -33,10 +33,21 @@ def test_mmr_is_the_naive_greedy_choice():
 
 
 def test_overlaps():
-    texts = ["a b c d", "a b c d e", "x y", "x y"]
+    texts = ["a b c d", "a b c d e", "x y", "x y", ""]
     tokens = [set(t.split()) for t in texts]
-    assert rerank.without_overlaps(tokens, texts, [0.5, 0.5, 0.9, 0.1]) == [1, 2]
-    assert rerank.without_overlaps(tokens, texts, [0.9, 0.5, 0.1, 0.9]) == [0, 3]
+    one = lambda scores, sources=("s",) * 5: rerank.distinct_texts(texts, tokens, list(sources), scores)
+    assert one([0.5, 0.5, 0.9, 0.1, 0.2]) == [1, 2, 4]
+    assert one([0.9, 0.5, 0.1, 0.9, 0.2]) == [0, 3, 4]
+    assert one([0.9, 0.5, 0.1, 0.9, 0.2], ["s", "t", "s", "t", "s"]) == [0, 1, 2, 3, 4]
+    rng = random.Random(2)
+    for _ in range(100):
+        words = [[rng.choice("abcdef") for _ in range(rng.randrange(1, 7))] for _ in range(8)]
+        texts, scores, sources = [" ".join(w) for w in words], [rng.choice([0.1, 0.5, 0.9]) for _ in words], [rng.choice("st") for _ in words]
+        alike = lambda i, j: sources[i] == sources[j] and (texts[i] in texts[j] or texts[j] in texts[i] or len(set(words[i]) & set(words[j])) >= 0.85 * min(len(set(words[i])), len(set(words[j]))))  # noqa: B023, E731
+        got = rerank.distinct_texts(texts, [set(w) for w in words], sources, scores)
+        above = lambda i, j: (-scores[i], -len(texts[i]), i) < (-scores[j], -len(texts[j]), j)  # noqa: B023, E731
+        assert not any(alike(i, j) for i in got for j in got if i != j)
+        assert all(any(alike(i, j) and above(j, i) for j in got) for i in range(8) if i not in got)
 
 
 def test_rerank_per_query(spark):
@@ -47,44 +58,141 @@ def test_rerank_per_query(spark):
     assert set(out[out.query_id == 1]["rank"]) == {1, 2, 3}
 
 
+PIECES = ["word ", "ab. ", "\n", "\n\n", "\n\n\n\n", "# Head\n", "## Sub here\n", "```\n# no head\n```\n", "| a | b |\n| --- | --- |\n", "| 1 | 2 |\n", "CHAPTER LINE\n", "1. Numbered\n", "Chapter 3. Go\n", "\f", "---\n", "$$x+y$$ ", "![i](u.png) ", "[t](http://x y)", "x" * 70, "é漢字。"]
+
+
 @pytest.mark.parametrize("size,overlap", [(50, 0), (120, 30), (400, 80)])
-def test_chunks_cover_the_text(size, overlap):
+@pytest.mark.parametrize("tier", ["headings", "heuristic", "recursive"])
+def test_chunks_cover_the_text(size, overlap, tier):
     rng = random.Random(size)
-    for _ in range(30):
-        text = "".join(rng.choice(["word ", "ab. ", "\n", "\n\n", "# Head\n", "x" * rng.randrange(90), "é"]) for _ in range(rng.randrange(60)))
-        for headings in (False, True):
-            chunks = chunking.split_text(text, size, overlap, headings)
-            assert all(0 <= a < b <= len(text) and b - a <= size for a, b, _ in chunks)
-            assert chunking.restore([(a, b, text[a:b]) for a, b, _ in chunks]) == text
-            assert chunks == sorted(chunks, key=lambda c: c[0])
+    for _ in range(60):
+        text = "".join(rng.choice(PIECES) for _ in range(rng.randrange(1, 60)))
+        chunks = chunking.SPLITTERS[tier](text, size, overlap)
+        assert all(0 <= a < b <= len(text) and b - a <= size for a, b, _, _ in chunks), (tier, text)
+        reach = 0
+        for a, b, _, _ in chunks:
+            assert a <= reach <= b and reach - a <= 2 * overlap
+            reach = b
+        assert reach == len(text)
+
+
+def test_protected_spans_stay_whole():
+    table = "| h | k |\n| --- | --- |\n" + "".join(f"| row {k} | {k} |\n" for k in range(30))
+    text = "before words here. " * 3 + "\n\n" + table + "\nand $$a + b = c$$ after [link text](http://x.y/z) " * 4
+    chunks = chunking.split_recursive(text, 120, 0)
+    for m in chunking.PROTECTED.finditer(text):
+        assert any(a <= m.start() and m.end() <= b for a, b, _, _ in chunks)
+    inside = [c for c in chunks if text[c[0] :].startswith("| row") and c[3]]
+    assert len(inside) > 3 and all(c[3] == "| h | k |\n| --- | --- |\n" for c in inside)
+    assert not [c for c in chunks if c[3] and not text[c[0] :].startswith("| row")]
 
 
 def test_headings_give_breadcrumbs():
-    text = "intro\n# A\nbody\n## B\nmore\n# C\nend"
-    assert [c for _, _, c in chunking.split_text(text, 100, 0, True)] == ["", "A", "A > B", "C"]
-
-
-def test_split_documents(spark):
-    docs = spark.createDataFrame([(1, "one two " * 300), (2, ""), (3, None)], "doc_id long, text string")
-    out = chunking.split_documents(docs).toPandas()
-    assert set(out.doc_id) == {1} and (out.end_at - out.start_at == out.content.str.len()).all()
-    levels = chunking.parent_child(docs, 1000, 200).toPandas()
-    text = "one two " * 300
-    assert all(text[a:b] == c for a, b, c in zip(levels.start_at, levels.end_at, levels.content))
-    assert levels.parent_index.notna().any() and levels.parent_index.isna().any()
-    assert chunking.validate(chunking.split_documents(docs)).first().verdict == "ok"
-
-
-def test_bleu_rouge():
-    words = "the cat sat on the mat".split()
-    assert metrics.bleu(words, words, (1.0, 0, 0, 0)) == pytest.approx(1.0)
-    assert metrics.bleu([], words, (1.0, 0, 0, 0)) == 0
-    assert metrics.bleu(["x"], ["y"], (1.0, 0, 0, 0)) == pytest.approx(0.5)
-    assert metrics.rouge_n(words, words, 1) == pytest.approx(1.0, abs=1e-6)
-    assert metrics.rouge_n("a b".split(), "b c".split(), 1) == pytest.approx(0.5, abs=1e-6)
-    assert metrics.rouge_l(["a b c"], ["a x c"]) == pytest.approx(2 / 3, abs=1e-6)
-    assert metrics.sentences("a. b. c.") == ["a", "c"] and metrics.sentences("a. b. c.", False) == ["a", "b", "c"]
-    assert metrics.metric_words(["漢字文 ok"]) == ["漢字", "字文", "ok"]
+    text = "intro\n# A\nbody\n## B\nmore\n```\n# not one\n```\n# C\nend"
+    crumbs = [c for _, _, c, _ in chunking.split_headings(text, 30, 0, 2)]
+    assert crumbs[0] == "" and "# A" in crumbs and "# A\n## B" in crumbs and crumbs[-1] == "# C" and not any("not one" in c for c in crumbs)
+    short = "# T\n" + "".join(f"## S{k}\nfew words\n" for k in range(6))
+    joined = chunking.split_headings(short, 300, 0, 2)
+    assert len(joined) == 1 and joined[0][2] == "# T"  # neighbours under one heading join
+
+
+def test_verdicts(spark):
+    rng = random.Random(4)
+    cases = [[600] * 3, [2000], [20, 20, 20, 600], [20, 20, 20, 20, 600], [60] * 20, [1100, 600], [30], [30, 600]]
+    cases += [[rng.choice([10, 40, 60, 130, 500, 1200]) for _ in range(rng.randrange(1, 12))] for _ in range(40)]
+    rows = [(d, k, sum(n[: k + 1]), "x" * n[k]) for d, n in enumerate(cases) for k in range(len(n))]
+    got = {r.doc_id: r.verdict for r in chunking.validate(spark.createDataFrame(rows, "doc_id long, chunk_index int, end_at int, content string"), 512).collect()}
+    assert got == {d: chunking.verdict(n, sum(n), 512) for d, n in enumerate(cases)}
+    assert [got[k] for k in range(8)] == ["ok", "single_huge", "many_tiny", "many_tiny", "all_small", "too_long", "ok", "ok"]
+
+
+def test_tier_chain_and_limits(spark):
+    texts = {1: "# A\nx\n# B\ny\n# C\nz\n", 2: "one\fpage", 3: "plain words only", 4: "", 5: None, 6: "Kapitel 4: Los\ntext", 7: "第 3 章 开始\n内容", 8: "a\r\nb\rc"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    tiers = {r.doc_id: r.t for r in chunking.profile(docs).select("doc_id", chunking.tiers().alias("t")).collect()}
+    assert tiers[1] == ["headings", "recursive"] and tiers[2] == tiers[6] == tiers[7] == ["heuristic", "recursive"] and tiers[3] == tiers[4] == tiers[5] == ["recursive"]
+    out = chunking.split_documents(docs).collect()
+    assert {r.doc_id for r in out} == {1, 2, 3, 6, 7, 8} and [r.content for r in out if r.doc_id == 8] == ["a\nb\nc"]
+    assert chunking.token_size(512, "zh", 100) == 153 and chunking.token_size(512, "en", None) == 512 and chunking.token_size(512, "en", 1000) == 512
+
+
+def test_restored_with_gaps(spark):
+    rows = [(1, 0, 0, 5, "abcde"), (1, 1, 3, 8, "defgh"), (1, 2, 10, 12, "kl"), (2, 0, 0, 2, "xy"), (2, 1, 0, 1, "x")]
+    out = chunking.restore(spark.createDataFrame(rows, "doc_id long, chunk_index int, start_at int, end_at int, content string"), "~")
+    assert {r.doc_id: r.text for r in out.collect()} == {1: "abcdefgh~kl", 2: "xy"}
+
+
+def test_joining_texts():
+    a, b = "the quick brown fox jumps", "brown fox jumps over it"
+    assert stitch.join_texts(a, b) == "the quick brown fox jumps over it"
+    assert stitch.join_texts(a, "quick brown fox") == a and stitch.join_texts("", b) == b
+    assert stitch.join_texts("one", "two") == "one\n\ntwo" and stitch.join_texts("fox", "a fox ran", " ") == "fox a fox ran"
+    assert stitch.append_exact("abcdef", "defgh", 3) == "abcdefgh" and stitch.append_exact("abc", "xbcd", 2) is None and stitch.append_exact("ab", "cd", 0) == "abcd"
+    head = "| name | size |\n|---|---|\n"
+    body = "| first row here | 1 |\n| second row here | 2 |\n"
+    assert stitch.append_searched(head + body, head + "| second row here | 2 |\n| third | 3 |\n", 24) == head + body + "| third | 3 |\n"
+    assert stitch.append_searched("same words again", "same words again", 0) == "same words againsame words again"
+    rng = random.Random(7)
+    for _ in range(300):
+        x, y = ("".join(rng.choice("ab") for _ in range(rng.randrange(40))) for _ in range(2))
+        best = max([n for n in range(12, min(len(x), len(y)) + 1) if x[-n:] == y[:n]], default=0)
+        assert stitch.shared_end(x, y) == best
+
+
+def test_stitch(spark):
+    text = "".join(f"sentence number {k} of the text. " for k in range(60))
+    def chunk(k, a, b, content=None, edited=False, score=0.5, images=None):
+        return (1, 9, "text", f"c{k}", k, a, b, score, text[a:b] if content is None else content, edited, images)
+
+    image = '[{"url": "u1"}, {"url": "u2"}]'
+    rows = [chunk(0, 0, 100), chunk(1, 80, 200, score=0.9, images=image), chunk(2, 120, 180, images='[{"url": "u2", "caption": "again"}, {"url": "u3"}]'), chunk(3, 300, 400), chunk(4, 390, 470, "an edited body, another length", True), chunk(8, 700, 760, "alone and edited", True)]
+    df = spark.createDataFrame(rows, "query_id long, doc_id long, chunk_type string, chunk_id string, chunk_index int, start_at int, end_at int, score double, content string, edited boolean, images string")
+    out = stitch.stitch(df).orderBy("chunk_index").collect()
+    assert [(r.chunk_index, r.parts) for r in out] == [(0, ["c0", "c1", "c2"]), (3, ["c3", "c4"]), (8, ["c8"])]
+    assert out[0].content == text[:200] and out[0].score == 0.9 and out[0].end_at == 200 and [i["url"] for i in json.loads(out[0].images)] == ["u1", "u2", "u3"]
+    assert out[1].content == text[300:400] + "\n\n" + "an edited body, another length" and out[0]["rank"] == 1
+
+
+def test_widen(spark):
+    texts = [f"chunk {k} " + "w" * (20 + 30 * (k % 3)) for k in range(30)]
+    chunks = spark.createDataFrame([(1, k, t) for k, t in enumerate(texts)] + [(2, 0, "alone"), (3, 5, "long" * 100)], "doc_id long, chunk_index int, content string")
+    hits = spark.createDataFrame([(1, 0), (1, 10), (1, 29), (2, 0), (3, 5), (9, 9)], "doc_id long, chunk_index int")
+    got = {(r.doc_id, r.chunk_index): (r.content, r.n_joined) for r in stitch.widen(hits, chunks).collect()}
+    for at in (0, 10, 29):
+        lo, hi = max(0, at - 1), min(29, at + 1)
+        while len("\n\n".join(texts[lo : hi + 1])) < 350 and (lo > 0 or hi < 29):
+            if lo > 0:
+                lo -= 1
+            if len("\n\n".join(texts[lo : hi + 1])) < 350 and hi < 29:
+                hi += 1
+        assert got[1, at] == ("\n\n".join(texts[lo : hi + 1])[:850], hi - lo)
+    assert got[2, 0] == ("alone", 0) and got[3, 5] == ("long" * 100, 0) and len(got) == 5
+
+
+def test_text_metrics(spark):
+    pairs = [(1, "the cat sat on the mat", "the cat sat on the mat"), (2, "", "the cat"), (3, "x", "y"), (4, "a b", "b c"), (5, None, None), (6, "a. b. c.", "a。b。c"), (7, "the the the", "the cat"), (8, "漢字文 OK", "漢字 ok")]
+    df = spark.createDataFrame(pairs, "pair_id long, generated string, truth string")
+    got = {r.pair_id: r for r in metrics.text_metrics(df).collect()}
+    assert got[1].bleu1 == got[1].bleu4 == pytest.approx(1.0) and got[1].rouge2 == pytest.approx(1.0, abs=1e-6)
+    assert got[2].bleu1 == got[2].rouge1 == got[5].bleu1 == 0 and got[3].bleu1 == pytest.approx(0.5) and got[4].rouge1 == pytest.approx(0.5, abs=1e-6)
+    assert got[6].rouge1 == pytest.approx(1.0, abs=1e-6)  # every sentence counts
+    assert got[7].bleu1 == pytest.approx((1 + 1) / (3 + 1)) and got[8].bleu1 == pytest.approx((2 + 1) / (3 + 1)) and got[8].rouge1 == pytest.approx(0.4, abs=1e-6)
+    long = {r.pair_id: r.rougel for r in metrics.rouge_l(df).collect()}
+    assert long[1] == pytest.approx(1.0, abs=1e-6) and long[4] == pytest.approx(0.5, abs=1e-6) and long[2] == long[5] == 0
+    means = {r.metric: (r["mean"], r.n) for r in metrics.mean_metrics(metrics.text_metrics(df)).collect()}
+    assert means["bleu1"] == (pytest.approx(sum(r.bleu1 for r in got.values()) / 8), 8)
+
+
+def test_words_on_a_longest_common_subsequence():
+    from itertools import combinations
+
+    rng = random.Random(11)
+    for _ in range(200):
+        x, y = ([rng.choice("abcd") for _ in range(rng.randrange(7))] for _ in range(2))
+        every = lambda w: {tuple(w[i] for i in c) for n in range(len(w) + 1) for c in combinations(range(len(w)), n)}
+        shared = every(x) & every(y)
+        most = max(map(len, shared))
+        assert metrics.on_a_longest(x, y) == {w for s in shared if len(s) == most for w in s}
 
 
 def test_retrieval_metrics_of_missing_results(spark):
@@ -118,6 +226,36 @@ def test_vector_search_passes_over_bad_vectors(spark):
     out = [(r.vec_id, r.score) for r in retrieval.vector_search(index, asked, 3).orderBy("rank").collect()]
     assert out == [(1, 1.0), (7, 1.0), (2, 0.0)]
     assert retrieval.vector_search(index, asked.limit(0), 3).count() == 0
+    for bad in ([(1, [1.0, 0.0, 0.0])], [(1, [1.0, 0.0]), (2, [1.0])], [(1, None)]):
+        with pytest.raises(ValueError):
+            retrieval.vector_search(index, spark.createDataFrame(bad, "query_id long, vector array<float>"), 3)
+    with pytest.raises(ValueError):
+        retrieval.vector_search(index, asked, 3, metric="nonsense")
+    named = spark.createDataFrame([("q", [2.0, 0.0]), ("z", [0.0, 0.0])], "query_id string, vector array<float>")
+    big = spark.createDataFrame([("a", [3.0, 4.0]), ("b", [1.0, 0.0])], "vec_id string, embedding array<float>")
+    score = lambda metric: {(r.query_id, r.vec_id): r.score for r in retrieval.vector_search(big, named, 3, metric=metric).collect()}
+    assert score("ip") == {("q", "a"): 3.0, ("q", "b"): 1.0, ("z", "a"): 0.0, ("z", "b"): 0.0} and score("cosine")["q", "a"] == 0.6
+
+
+def test_searches_in_small_slices_are_the_same(spark, monkeypatch):
+    """Slices, groups and cuts of candidates change nothing; ties go to the smaller id."""
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(k, " ".join(rng.choice(["rain", "stone", "river", "cloud", "wind", "leaf"]) for _ in range(rng.randrange(9)))) for k in range(400)], "doc_id long, text string")
+    asked = spark.createDataFrame([(f"q{k}", rng.choice(["rain river", "stone", "leaf wind cloud", "nothing"])) for k in range(12)], "query_id string, query string")
+    vectors = spark.createDataFrame([(k, [float(rng.randrange(3)) for _ in range(3)]) for k in range(500)], "vec_id long, embedding array<float>")
+    wanted = spark.createDataFrame([(k, [1.0, float(k), 0.5]) for k in range(9)], "query_id long, vector array<float>")
+    run = lambda: (sorted(map(tuple, retrieval.bm25(docs, asked, 5).collect())), sorted(map(tuple, retrieval.vector_search(vectors, wanted, 5).collect())))
+    whole = run()
+    for name, value in (("GROUP", 5), ("SCORED", 2), ("SLICE", 7), ("BLOCK", 4), ("SCORES", 1)):
+        monkeypatch.setattr(retrieval, name, value)
+    assert run() == whole and len(whole[0]) > 30 and len(whole[1]) == 45
+
+
+def test_search_words_in_chinese_text(spark):
+    assert retrieval.search_words("漢字文 ab_Cd 一 x中文y") == ["漢字", "字文", "ab", "cd", "一", "x", "中文", "y"]
+    docs = spark.createDataFrame([(1, "我喜歡中文書籍"), (2, "別的東西")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "中文")], "query_id long, query string")
+    assert [r.doc_id for r in retrieval.bm25(docs, asked).collect()] == [1]
 
 
 def test_bm25_without_texts(spark):
@@ -168,7 +306,8 @@ SQL_BAD = [
     "DROP TABLE t", "SELECT * FROM t; SELECT 1", "INSERT INTO t VALUES (1)", "SELECT * FROM other", "SELECT * FROM parquet.`/etc`", "SELECT * FROM csv.`/tmp/x`",
     "SELECT * FROM t WHERE 1 = 1", "SELECT * FROM t WHERE a = 1 OR '1' = '1'", "SELECT * FROM t WHERE true", "SELECT * FROM t WHERE a IN (SELECT b FROM secret)",
     "SELECT reflect('java.lang.System', 'exit', '0') FROM t", "SELECT * FROM range(10)", "WITH x AS (SELECT * FROM secret) SELECT * FROM x", "SHOW TABLES", "SELECT (a FROM t",
-    "SELECT (SELECT max(b) FROM secret) FROM t", "DESCRIBE t", "SELECT * FROM t WHERE a = 1 AND NOT (0 = 1)",
+    "SELECT (SELECT max(b) FROM secret) FROM t", "DESCRIBE t", "SELECT * FROM t WHERE a = 1 AND NOT (0 = 1)", "SELECT uuid() FROM t", "SELECT current_database() FROM t", "SELECT a FROM t GROUP BY a HAVING 1 = 1",
+    "SELECT x.a FROM t x JOIN t y ON 1 = 1", "SELECT * FROM t WHERE a = a", "SELECT no_such_function(a) FROM t", "SELECT spark_catalog.f(a) FROM t", "SELECT * FROM t WHERE '' = ''", "SELECT * FROM t WHERE false",
 ]
 
 
@@ -188,7 +327,9 @@ def test_sql_surface(spark):
     assert sql_surface.tables_of(spark, "WITH x AS (SELECT 1) SELECT * FROM x JOIN T USING (a) WHERE EXISTS (SELECT 1 FROM u)") == {"t", "u"}
     assert sql_surface.describe(t).count() == 4
     assert json.loads(sql_surface.sample_rows(t, 1, ["a"]).first()[0]) == {"a": 1, "b": "x", "tenant_id": 7, "deleted_at": None}
-    assert not spark.catalog.tableExists("t")
+    assert not spark.catalog.tableExists("t") and not [v for v in spark.sql("SHOW VIEWS IN global_temp").collect() if v.viewName.startswith("quern_")]
+    said = sql_surface.statement(spark, "SELECT a, upper(b) FROM t JOIN u USING (a) WHERE t.c > 1 AND d LIKE 'x%'")
+    assert said["is_select"] and said["tables"] == ["t", "u"] and len(said["columns"]) == 2 and said["where_columns"] == ["d", "t.c"] and "LIKE" in said["where"]
 
 
 def test_files(spark, tmp_path):
@@ -202,22 +343,42 @@ def test_html():
     title, text, links = html.to_markdown("<html><head><title>T &amp; x</title><style>p{}</style></head><body><script>no()</script><h2>Head</h2><p>a <b>b</b> <a href='/u'>c</a></p><ul><li>one<li>two</ul>")
     assert title == "T & x" and "## Head" in text and "a **b** [c](/u)" in text and "- one" in text and "no()" not in text and links == ["/u"]
     assert html.to_markdown(None) == ("", "", [])
-
-
-def test_feed_source(spark, tmp_path):
-    spark.dataSource.register(FeedSource)
-    feed, out, at = tmp_path / "feed", str(tmp_path / "out"), str(tmp_path / "at")
-    feed.mkdir()
-    (feed / "1.jsonl").write_text('{"guid": "a", "title": "A", "updated": "1"}\n{"link": "l", "title": "B", "updated": "1"}\n')
-    assert {r.item_id for r in spark.read.format("quern_feed").load(str(feed)).collect()} == {"a", "l"}
-
-    def fetch():
-        ingest.ingest(spark, spark.readStream.format("quern_feed").load(str(feed)), out, at, "item_id", "updated")
-
+    rich = html.to_markdown("<ol><li>a<li>b<ul><li>c</ul></ol><pre>x  y\n  z</pre><table><tr><th>h|<th>k</tr><tr><td>1</tr></table><img src=u.png alt=A><hr><blockquote>q <em>e</em></blockquote>", {"u.png": "i/1.png"})[1]
+    for part in ("1. a", "2. b", "  - c", "```\nx  y\n  z\n```", "| h\\| | k |\n| --- | --- |\n| 1 |  |", "![A](i/1.png)", "---", "> q *e*"):
+        assert part in rich, (part, rich)
+    assert html.article_markdown("<title>T</title><nav>menu</nav><main><p>Body</p></main>") == "Body"
+    assert html.article_markdown("<title>T</title><p>" + "seen " * 20) == "# T\n\n" + ("seen " * 20).strip() and html.article_markdown("<p>few") is None
+
+
+def test_feed(spark, tmp_path):
+    folder, out, at = tmp_path / "feed", str(tmp_path / "out"), str(tmp_path / "at")
+    folder.mkdir()
+    (folder / "1.json").write_text('{"guid": "a", "title": "A", "updated": "1"}\n{"guid": " ", "link": "l", "title": "B", "updated": "1"}\n')
+    assert {r.item_id for r in feed.read_feed(spark, str(folder)).collect()} == {"a", "l"}
+    fetch = lambda: ingest.ingest(spark, feed.stream_feed(spark, str(folder)), out, at, "item_id", "updated")
     fetch()
-    (feed / "2.jsonl").write_text('{"guid": "a", "title": "A2", "updated": "2"}\n')
+    (folder / "2.json").write_text('{"guid": "a", "title": "A2", "updated": "2"}\n{"title": "C", "updated": "2"}\n')
     fetch()
-    assert {(r.item_id, r.title) for r in spark.read.parquet(f"{out}/v=1").collect()} == {("a", "A2"), ("l", "B")}
+    assert {(r.item_id, r.title) for r in ingest.merged(spark, out).collect()} == {("a", "A2"), ("l", "B"), ("C", "C")}
+
+
+def test_merging_again_and_parts(spark, tmp_path):
+    """A batch that runs again gives the same; only touched parts get a version; old ones can go."""
+    out = str(tmp_path / "t")
+    rows = lambda *r: spark.createDataFrame(list(r), "k long, at long, v string")
+    merge = ingest.merge_into(out, "k", "at", parts=8)
+    read = lambda: {(r.k, r.v) for r in ingest.merged(spark, out).collect()}
+    merge(rows(*[(k, 1, "old") for k in range(40)]), 0)
+    before = dict(ingest._newest(spark, out))
+    for _ in range(2):
+        merge(rows((3, 2, "new"), (3, 0, "late"), (None, 5, "no key")), 1)
+        assert read() == {(k, "new" if k == 3 else "old") for k in range(40)}
+    after = dict(ingest._newest(spark, out))
+    assert sum(before[p] != v for p, v in after.items()) == 1 and len(after) == 8
+    merge(rows((3, 1, "older")), 2)
+    merge(rows((50, 1, "more")), 3)
+    assert read() == {(k, "new" if k == 3 else "old") for k in range(40)} | {(50, "more")}
+    assert ingest.compact(spark, out) >= 2 and read() == {(k, "new" if k == 3 else "old") for k in range(40)} | {(50, "more")}
 
 
 def test_rate_limit_stream(spark, tmp_path):
@@ -280,3 +441,89 @@ def test_scratch_tables_go(spark):
         inner = materialise(spark.range(4), "inner")
         assert inner.count() == 4
     assert os.path.isdir(kept._quern_path) and not os.path.exists(inner._quern_path)
+
+
+def _zip(**parts):
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as file:
+        for name, body in parts.items():
+            file.writestr(name.replace("__", "/").replace("_dot_", "."), body)
+    return out.getvalue()
+
+
+def _workbook():
+    rels = "<Relationships><Relationship Id='r1' Target='worksheets/sheet1.xml'/><Relationship Id='r2' Target='/xl/worksheets/sheet2.xml'/></Relationships>"
+    book = "<workbook xmlns:r='urn:r'><sheets><sheet name=\"Q1'24\" r:id='r1'/><sheet name='Stock' r:id='r2'/></sheets></workbook>"
+    one = (
+        "<worksheet><sheetData><row><c r='A1' t='s'><v>0</v></c><c r='B1' t='s'><v>0</v></c></row><row><c r='A2' t='inlineStr'><is><t>north</t></is></c><c r='B2'><v>5</v></c></row>"
+        "<row><c r='B3' t='b'><v>1</v></c></row></sheetData><mergeCells><mergeCell ref='A2:A3'/></mergeCells></worksheet>"
+    )
+    two = "<worksheet><sheetData><row><c r='A1' t='inlineStr'><is><t>sku</t></is></c></row><row><c r='A3' t='str'><v>x-1</v></c></row><row><c r='A4' t='str'><v>=DISPIMG(1)</v></c></row></sheetData></worksheet>"
+    return _zip(**{"xl__workbook_dot_xml": book, "xl___rels__workbook_dot_xml_dot_rels": rels, "xl__sharedStrings_dot_xml": "<sst><si><t>area</t></si></sst>", "xl__worksheets__sheet1_dot_xml": one, "xl__worksheets__sheet2_dot_xml": two})
+
+
+def test_documents(spark, tmp_path):
+    word = "<w:document xmlns:w='urn:w'><w:body><w:p><w:pPr><w:pStyle w:val='Heading1'/></w:pPr><w:r><w:t>Top</w:t></w:r></w:p><w:p><w:r><w:t>Some </w:t><w:t>words</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>a</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>"
+    package = "<package><manifest><item id='i1' href='one.xhtml'/><item id='i2' href='two.xhtml'/></manifest><spine><itemref idref='i2'/><itemref idref='i1'/></spine></package>"
+    epub = _zip(**{"META-INF__container_dot_xml": "<container><rootfiles><rootfile full-path='OPS/p.opf'/></rootfiles></container>", "OPS__p_dot_opf": package, "OPS__one_dot_xhtml": "<h1>One</h1>", "OPS__two_dot_xhtml": "<p>Two</p>"})
+    files_ = {"a.MD": b"# hi", "b.docx": _zip(**{"word__document_dot_xml": word}), "c.epub": epub, "d.xlsx": _workbook(), "e.html": b"<title>T</title><p>body</p>", "f.bin": b"\x00", "g.docx": b"broken", "h.txt": b"\xff ok", "i.mht": b"no archive, <b>text</b>"}
+    for name, content in files_.items():
+        (tmp_path / name).write_bytes(content)
+    got = {r.path.rsplit("/", 1)[1]: r for r in documents.read_documents(spark, str(tmp_path)).collect()}
+    assert got["a.MD"].markdown == "# hi" and got["b.docx"].markdown.startswith("# Top\n\nSome words\n\n| a |") and got["c.epub"].markdown == "Two\n\n# One" and got["e.html"].markdown == "# T\n\nbody"
+    assert got["d.xlsx"].markdown == "## Q1'24\n\narea: north,area_1: 5\narea: north,area_1: true\n\n## Stock\n\nsku: x-1"
+    assert "no parser" in got["f.bin"].error and got["g.docx"].error and got["g.docx"].markdown is None and got["h.txt"].markdown.endswith("ok") and "text" in got["i.mht"].markdown
+    rows = documents.read_workbooks(spark, str(tmp_path / "d.xlsx")).orderBy("__sheet_name", "row").collect()
+    assert [(r["__sheet_name"], r["row"], r["values"]) for r in rows][:2] == [("Q1'24", 2, {"area": "north", "area_1": "5"}), ("Q1'24", 3, {"area": "north", "area_1": "true"})]
+
+
+def test_repaired_json():
+    for text, want, broken in [
+        ('{"a": 1,}', {"a": 1}, False), ('{"a": [1, 2,], "b": "x"}', {"a": [1, 2], "b": "x"}, False), (r'{"p": "\d+\.log$"}', {"p": r"\d+\.log$"}, False), ('{"a": 1}""', {"a": 1}, False), ('{"a": 1}{"a": 2}', {"a": 1}, False),
+        ('"a": 1', {"a": 1}, False), ('{"a": "half', {"a": "half"}, True), ('{"a": {"b": [1, 2', {"a": {"b": [1, 2]}}, True), ('{"a": [1}', {"a": [1]}, False), ("", {}, False), ('{"a": "b \\" c, }"}', {"a": 'b " c, }'}, False), ('{"a": "x\\\\"}', {"a": "x\\"}, False),
+    ]:
+        made, flag = prepare.repair_json(text)
+        assert json.loads(made) == want and flag == broken, text
+    assert prepare.repair_json("just words") == ("just words", False)
+    rng = random.Random(1)
+    for _ in range(300):  # what is whole stays
+        value = {rng.choice("ab{,"): rng.choice([1, "x}", [1, {"k": "\\"}], {"z": ['"', ","]}]) for _ in range(3)}
+        assert json.loads(prepare.repair_json(json.dumps(value))[0]) == value
+
+
+def test_clusters_are_the_greedy_ones(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice("ab"), rng.choice("xy"), k, " ".join(rng.choice("pqrst") for _ in range(4)), [rng.random(), rng.random()] if k % 3 else None) for k in range(80)]
+    got = {(r.item_id, r.seed) for r in memory.clusters(spark.createDataFrame(rows, "owner string, kind string, item_id long, text string, vector array<double>")).collect()}
+    want = set()
+    for key in {r[:2] for r in rows}:
+        own, taken = [r for r in rows if r[:2] == key], set()
+        for n, a in enumerate(own):
+            if a[2] in taken:
+                continue
+            same = []
+            for b in own[n + 1 :]:
+                x, y = set(a[3].split()), set(b[3].split())
+                near = a[4] and b[4] and sum(p * q for p, q in zip(a[4], b[4])) / (sum(p * p for p in a[4]) * sum(q * q for q in b[4])) ** 0.5 >= 0.86
+                if b[2] not in taken and (len(x & y) / len(x | y) >= 0.55 or near):
+                    same.append(b[2])
+            if same:
+                taken |= {a[2], *same}
+                want |= {(i, a[2]) for i in (a[2], *same)}
+    assert got == want
+
+
+def test_sampled_set(spark):
+    qrels = spark.createDataFrame([(q, q * 10 + k) for q in range(20) for k in range(q % 5)], "query_id long, pid long")
+    queries, corpus = spark.range(20).toDF("query_id"), spark.range(500).toDF("pid")
+    chosen, kept = relations.sampled_set(queries, qrels, corpus, 3)
+    assert {r.query_id for r in chosen.collect()} == {4, 9, 14}
+    pids = {r.pid for r in kept.collect()}
+    assert {q * 10 + k for q in (4, 9, 14) for k in range(4)} <= pids and 60 < len(pids) < 160
+
+
+def test_deepening_stops(spark):
+    assert faq.depths(10) == [30, 60, 120, 240, 480] and faq.depths(100) == [300, 500] and faq.depths(3) == [9, 18, 36, 72, 144]
