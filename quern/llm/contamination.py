@@ -37,7 +37,7 @@ SHORT = 40  # normalised items below this count verbatim only, as whole words
 BLOCK_CHARS = 4_000_000  # of benchmark text that one broadcast index covers: some 100 MB in each task
 _PIECE = 1 << 19  # characters of text in one pass
 _PLACES = 1 << 19  # of q-grams in the benchmark that are counted at once
-_BANDS = 1 << 10  # added to band numbers, so that none is negative
+_BANDS, _ITEM_BANDS = 1 << 10, 1 << 23  # added to band numbers of windows and of items, so that none is negative
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _NOT_WORD = re.compile(r"[\W_]+")
 
@@ -124,6 +124,7 @@ class Index:
         self.maybe[self.gram >> self.shift] = True
         self.reach = int((n + self.edits).max(initial=0))
         self.least = int(self.bound.min()) if len(self.bound) else 1
+        self.span = int(self.edits.max(initial=0)) + 1
 
     def item(self, window: int):
         return self.ids[self.owner[window]]
@@ -213,8 +214,19 @@ def regions(text: str, index: Index) -> list[tuple[int, int, int, int]]:
 def _verify(codes: np.ndarray, text: str, at: np.ndarray, found: np.ndarray, index: Index) -> list[tuple[int, int, int, int]]:
     times = index.first[found + 1] - index.first[found]
     held = index.at[np.repeat(index.first[found] - np.concatenate(([0], np.cumsum(times)[:-1])), times) + np.arange(times.sum())]
-    which, window, place = index.windows_at(held.astype(np.int64))
-    diagonal = np.repeat(at, times)[which] - place
+    held, own = held.astype(np.int64), np.repeat(at, times)
+    # Before windows are told apart: a region's q-grams lie on neighbouring diagonals of the item as
+    # a whole too, so bands of items without enough of them are passed over.
+    item = np.searchsorted(index.base, held, side="right") - 1
+    wide = item << 24 | (own - held + index.base[item]) // index.span + _ITEM_BANDS
+    _, number, count = np.unique(np.concatenate([wide, wide - 1]), return_inverse=True, return_counts=True)
+    enough = count[number] >= index.least
+    enough = enough[: len(wide)] | enough[len(wide) :]
+    held, own = held[enough], own[enough]
+    if not len(held):
+        return []
+    which, window, place = index.windows_at(held)
+    diagonal = own[which] - place
     width = index.edits[window] + 1
     band = diagonal // width
     # Window, band and place of the window in one number each; repeats of a place count once.
