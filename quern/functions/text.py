@@ -73,14 +73,19 @@ def guess_language(text: Column) -> Column:
     """zh, de, en or mixed, by the scripts of the letters: mixed if Han, kana and Hangul, and
     Latin letters, both make 15 % or there is neither; zh above 30 % of the former; de with an
     umlaut or, in the first 512 characters, a German word; else en."""
-    cjk = F.regexp_count(text, F.lit(r"[\p{IsHan}\p{IsHangul}\p{IsHiragana}\p{IsKatakana}]"))
-    latin = F.regexp_count(text, F.lit("[A-Za-zäöüÄÖÜß]"))
-    letters = cjk + latin
+    counts = F.struct(
+        F.regexp_count(text, F.lit(r"[\p{IsHan}\p{IsHangul}\p{IsHiragana}\p{IsKatakana}]")).alias("cjk"), F.regexp_count(text, F.lit("[A-Za-zäöüÄÖÜß]")).alias("latin")
+    )
     german = text.rlike("[äöüÄÖÜß]") | F.substring(text, 1, 512).rlike("(?i)" + GERMAN_WORDS)
-    return (
-        F.when(letters == 0, "mixed").when((cjk >= 0.15 * letters) & (latin >= 0.15 * letters), "mixed")
-        .when(cjk > 0.3 * letters, "zh").when(german, "de").otherwise("en")
-    )
+
+    def named(n: Column) -> Column:
+        letters = n["cjk"] + n["latin"]
+        return (
+            F.when(letters == 0, "mixed").when((n["cjk"] >= 0.15 * letters) & (n["latin"] >= 0.15 * letters), "mixed")
+            .when(n["cjk"] > 0.3 * letters, "zh").when(german, "de").otherwise("en")
+        )
+
+    return F.transform(F.array(counts), named)[0]  # so that the counts are made once
 
 
 #: Characters per token by guessed language: fixed values.

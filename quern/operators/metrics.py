@@ -82,9 +82,10 @@ def text_metrics(pairs: DataFrame) -> DataFrame:
     """
     words = lambda c: F.flatten(F.transform(sentences(F.col(c)), metric_words))
     at = pairs.select("pair_id", words("generated").alias("h"), words("truth").alias("r"))
-    lowered = lambda c: F.transform(c, lambda w: F.lower(w))
+    # Both spellings as columns: a lambda would compute them again for every gram.
+    at = at.withColumns({f"{side}_low": F.transform(side, lambda w: F.lower(w)) for side in ("h", "r")})
     kinds = F.array(*[
-        F.struct(F.lit(kind).alias("kind"), F.lit(n).alias("n"), F.lit(side).alias("side"), _grams(lowered(F.col(side)) if kind == "bleu" else F.col(side), n).alias("grams"))
+        F.struct(F.lit(kind).alias("kind"), F.lit(n).alias("n"), F.lit(side).alias("side"), _grams(F.col(f"{side}_low" if kind == "bleu" else side), n).alias("grams"))
         for kind, orders in (("bleu", (1, 2, 3, 4)), ("rouge", (1, 2))) for n in orders for side in ("h", "r")
     ])
     every = at.select("pair_id", F.explode(kinds).alias("k")).select("pair_id", "k.kind", "k.n", "k.side", F.explode("k.grams").alias("gram"))
