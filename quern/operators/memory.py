@@ -43,6 +43,18 @@ def recall(items: DataFrame, queries: DataFrame, floor: float = FLOOR) -> DataFr
     return hits.join(F.broadcast(total) if queries.count() <= 10_000 else total, "query_id").select("query_id", "item_id", score.alias("score")).filter(F.col("score") >= floor)
 
 
+def past_messages(hits: DataFrame, messages: DataFrame, needles: DataFrame, limit: int, width: int = 120) -> DataFrame:
+    """query_id, place, conv_id, turn, snippet: of ranked hits (query_id, conv_id, turn, rank) the
+    first `limit` of other conversations than the query's own (needles: query_id, conv_id as
+    own_conv, word); two more than the limit are looked at. A snippet is `width` characters
+    around the word's first place in the message (its beginning, if it isn't there)."""
+    top = hits.filter(F.col("rank") <= limit + 2).join(needles, "query_id").filter(~F.col("conv_id").eqNullSafe(F.col("own_conv")))
+    order = Window.partitionBy("query_id").orderBy("rank")
+    kept = top.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit).join(messages.select("conv_id", "turn", "text"), ["conv_id", "turn"])
+    at = F.greatest(F.instr(F.lower("text"), F.lower("word")) - F.lit(width // 2), F.lit(1))
+    return kept.select("query_id", "place", "conv_id", "turn", F.substr("text", at, F.lit(width)).alias("snippet"))
+
+
 def within_budget(ranked: DataFrame, by: str, most: int, budget: int) -> DataFrame:
     """Rows in order of rank while they fit: at most `most`, and `budget` for the sum of
     cost; a row that doesn't fit is passed over. A group is one query's bounded ranking."""

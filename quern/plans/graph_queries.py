@@ -8,6 +8,7 @@ from quern.operators import graph as G
 from quern.operators import memory as M
 from quern.operators import relations as J
 from quern.operators import rerank as K
+from quern.operators import retrieval as R
 from quern.plans.pipeline_queries import _grams
 from quern.plans.registry import query
 from quern.plans.text_queries import NORMALISE
@@ -160,6 +161,23 @@ def memory_clusters(spark, sf_dir):
     return M.clusters(items, 0.3, 0.999)
 
 
+@query(r"""WITH m AS (SELECT conv_id * 1000 + turn AS doc_id, conv_id, turn, text FROM conversations), tok AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM m),
+n AS (SELECT count(*) AS n_docs, avg(len(t)) AS avg_len FROM tok), tf AS (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS len, unnest(t) AS term FROM tok) GROUP BY ALL),
+a AS (SELECT doc_id AS query_id, conv_id AS own, text FROM m WHERE doc_id % 20 = 0), q AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM a),
+df AS (SELECT term, count(*) AS df FROM tf WHERE term IN (SELECT term FROM q) GROUP BY term),
+b AS (SELECT query_id, doc_id, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))), 6) AS score FROM tf JOIN df USING (term) JOIN q USING (term) CROSS JOIN n GROUP BY query_id, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM b),
+k AS (SELECT r.query_id, r.doc_id, row_number() OVER (PARTITION BY r.query_id ORDER BY rank) AS place, a.text AS asked FROM r JOIN a USING (query_id) WHERE rank <= 7 AND r.doc_id // 1000 != a.own)
+SELECT query_id, CAST(place AS INTEGER) AS place, conv_id, turn, substring(text, CAST(greatest(strpos(lower(text), lower(split_part(asked, ' ', 2))) - 60, 1) AS INTEGER), 120) AS snippet FROM k JOIN m USING (doc_id) WHERE place <= 5""")
+def past_conversations(spark, sf_dir):
+    """Messages like every twentieth one, of other conversations, around its second word."""
+    m = table(spark, sf_dir, "conversations").withColumn("doc_id", F.col("conv_id") * 1000 + F.col("turn"))
+    asked = m.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"), F.col("conv_id").alias("own_conv"), F.try_element_at(F.split("text", " "), F.lit(2)).alias("word"))
+    found = R.bm25(m, asked, 7)
+    hits = found.select("query_id", F.floor(F.col("doc_id") / 1000).alias("conv_id"), (F.col("doc_id") % 1000).alias("turn"), "rank")
+    return M.past_messages(hits, m, asked.select("query_id", "own_conv", F.coalesce("word", F.lit("")).alias("word")), 5)
+
+
 # --- evaluation sets, tags and lists ---
 
 

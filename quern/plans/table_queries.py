@@ -166,6 +166,32 @@ def catalog_sql(spark, sf_dir):
     return S.run(spark, "SELECT lang, count(*) AS row_count FROM chunks GROUP BY lang", views)
 
 
+@query("""SELECT * FROM (VALUES ('event_id', 'bigint', 1), ('ts', 'timestamp_ntz', 2), ('user_id', 'bigint', 3), ('event_type', 'string', 4), ('value', 'double', 5), ('props', 'string', 6)) v(column_name, data_type, position)""")
+def table_schema(spark, sf_dir):
+    return S.describe(table(spark, sf_dir, "events"))
+
+
+@query("SELECT c_custkey, c_name, c_acctbal FROM customer ORDER BY c_custkey LIMIT 7")
+def sampled_rows(spark, sf_dir):
+    """The first rows of a table as JSON, read again."""
+    rows = S.sample_rows(table(spark, sf_dir, "customer"), 7, ["c_custkey"])
+    return rows.select(F.from_json("row", "c_custkey long, c_name string, c_acctbal double").alias("r")).select("r.*")
+
+
+@query("""WITH j AS (SELECT user_id, '[' || string_agg(props, ',' ORDER BY event_id) || ']' AS j FROM events GROUP BY user_id)
+SELECT user_id, json_array_length(j) AS n, (SELECT sum(CAST(json_extract(x, '$.k') AS BIGINT))::BIGINT FROM (SELECT unnest(CAST(json_extract(j, '$[*]') AS JSON[])) AS x)) AS total, json_type(j, '$[0]') = 'OBJECT' AS is_object, json_type(j, '$[0].k') IN ('UBIGINT', 'BIGINT') AS is_number FROM j""")
+def json_functions(spark, sf_dir):
+    """A user's properties as one JSON array: its length, its elements, and what kinds they are."""
+    of = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "props"))).alias("p"))
+    j = of.select("user_id", F.concat(F.lit("["), F.array_join(F.transform("p", lambda x: x["props"]), ","), F.lit("]")).alias("j"))
+    first = F.get_json_object("j", "$[0]")
+    elements = F.from_json("j", "array<struct<k:bigint>>")
+    return j.select(
+        "user_id", F.json_array_length("j").alias("n"), F.aggregate(elements, F.lit(0).cast("long"), lambda s, x: s + x["k"]).alias("total"),
+        first.rlike(r"^\{").alias("is_object"), F.get_json_object(first, "$.k").rlike(r"^-?\d+$").alias("is_number"),
+    )
+
+
 # --- sources ---
 
 

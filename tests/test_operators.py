@@ -527,3 +527,29 @@ def test_sampled_set(spark):
 
 def test_deepening_stops(spark):
     assert faq.depths(10) == [30, 60, 120, 240, 480] and faq.depths(100) == [300, 500] and faq.depths(3) == [9, 18, 36, 72, 144]
+
+
+def test_vector_index_finds_most(spark):
+    """Every row is in a list; recall against brute force; hopeless vectors are passed over."""
+    from quern.plans import retrieval_queries
+    from tests.conftest import SF
+
+    sf = SF.replace("0.001", "0.1")
+    got = {(r.query_id, r.vec_id) for r in retrieval_queries.vector_index_search(spark, sf).collect()}
+    want = {(r.query_id, r.vec_id) for r in retrieval_queries.vector_search_cosine(spark, sf).collect()}
+    assert len(got & want) / len(want) >= 0.9 and len(got) == len(want)
+
+
+def test_vector_index_is_exact_with_all_lists(spark, tmp_path):
+    from quern.operators import vector_index
+
+    rng = random.Random(3)
+    rows = [(k, [rng.gauss(0, 1) for _ in range(4)]) for k in range(300)] + [(900, None), (901, [1.0]), (902, [float("nan")] * 4), (903, [0.0] * 4)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    centres = vector_index.fit(vectors, 10)
+    built = vector_index.build(vectors, centres, str(tmp_path / "v"))
+    assert built.count() == len(rows) and built.filter("list IS NULL").count() == 3 and len(centres) == 10
+    asked = spark.createDataFrame([(k, [rng.gauss(0, 1) for _ in range(4)]) for k in range(20)], "query_id long, vector array<float>")
+    run = lambda df: sorted((r.query_id, r.vec_id, r.score, r["rank"]) for r in df.collect())
+    assert run(vector_index.search(built, centres, asked, 7, 10)) == run(retrieval.vector_search(vectors, asked, 7))
+    assert vector_index.search(built, centres, asked.limit(0)).count() == 0
