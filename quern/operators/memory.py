@@ -36,7 +36,8 @@ def recall(items: DataFrame, queries: DataFrame, floor: float = FLOOR) -> DataFr
     total = asked.groupBy("query_id").agg(F.sum("weight").alias("total"))
     wanted = F.broadcast(asked.select("term").distinct()) if queries.count() <= 10_000 else asked.select("term").distinct()
     words = T.words(F.coalesce(F.col("content"), F.lit("")))
-    own = items.select("item_id", "importance", words.alias("words")).select("item_id", "importance", F.explode(F.concat("words", _pairs(F.col("words")))).alias("term"))
+    # Words and pairs are made distinct within their row, so that only what may count is exploded.
+    own = items.select("item_id", "importance", words.alias("words")).select("item_id", "importance", F.explode(F.array_distinct(F.concat("words", _pairs(F.col("words"))))).alias("term"))
     found = own.join(wanted, "term").distinct()
     hits = found.join(asked, "term").groupBy("query_id", "item_id", "importance").agg(F.sum("weight").alias("hits"))
     score = F.round(F.col("hits") / F.col("total") + 0.01 * F.col("importance"), 6)

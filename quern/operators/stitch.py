@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.session import materialise
+
 LEAST, SPAN = 12, 400  # characters of a shared end and beginning: the fewest that count, the most that are looked for
 SHORT, LONG = 350, 850  # a hit below is widened by its neighbours, up to this length
 
@@ -149,31 +151,39 @@ def widen(hits: DataFrame, chunks: DataFrame, short: int = SHORT, most: int = LO
     the next one before and the next one after; the result is cut at `most`.
 
     Neighbours come by a join on the document and the few indexes that could be needed: as
-    many on each side as make `short` characters with the document's shortest chunk.
+    many on each side as make `short` characters with the document's shortest chunk. Chunks
+    for which these weren't enough, since neighbours shared text, look farther in another round.
     """
-    size = chunks.groupBy(doc_col).agg(F.greatest(F.min(F.length("content")), F.lit(1)).alias("_least"))
+    of = chunks.groupBy(doc_col).agg(F.greatest(F.min(F.length("content")), F.lit(1)).alias("_least"), F.min("chunk_index").alias("_first"), F.max("chunk_index").alias("_last"))
     own = chunks.select(doc_col, "chunk_index", F.col("content").alias("_own"))
-    at = hits.drop("content").join(own, [doc_col, "chunk_index"]).join(size, doc_col)
-    reach = F.when(F.length("_own") < short, F.least(F.ceil(F.lit(short) / F.col("_least")), F.lit(short))).otherwise(0).cast("int")
-    steps = F.sequence(-reach, reach)
-    key = ["_row"]
-    at = at.withColumn("_row", F.struct(doc_col, "chunk_index"))
-    near = at.select("_row", doc_col, F.explode(steps).alias("_step")).distinct().withColumn("chunk_index", F.col("_row.chunk_index") + F.col("_step"))
-    near = near.join(own, [doc_col, "chunk_index"]).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_step", "_own"))).alias("_near"))
-
-    @F.pandas_udf("content string, n_joined int")
-    def grown(rows: pd.Series) -> pd.DataFrame:
-        made = [widen_one({p["_step"]: p["_own"] or "" for p in parts}, short, most) for parts in rows]
-        return pd.DataFrame(made, columns=["content", "n_joined"])
-
-    made = near.select("_row", grown("_near").alias("_made")).select("_row", "_made.content", "_made.n_joined")
-    return at.drop("_own", "_least").join(made, "_row").drop("_row")
-
-
-def widen_one(texts: dict[int, str], short: int = SHORT, most: int = LONG) -> tuple[str, int]:
-    """The text at step 0 widened by those at neighbouring steps, and how many were joined."""
+    at = hits.drop("content").join(own, [doc_col, "chunk_index"]).join(of, doc_col).withColumn("_row", F.struct(doc_col, "chunk_index"))
+
+    @F.pandas_udf("content string, n_joined int, open boolean")
+    def grown(rows: pd.Series, first: pd.Series, last: pd.Series) -> pd.DataFrame:
+        made = [widen_one({p["_step"]: p["_own"] or "" for p in parts}, short, most, a, z) for parts, a, z in zip(rows, first, last, strict=True)]
+        return pd.DataFrame(made, columns=["content", "n_joined", "open"])
+
+    todo, out, factor = at.select("_row", doc_col, "_least", "_first", "_last", "_own").distinct(), None, 1
+    while True:
+        reach = F.when(F.length("_own") < short, F.least(F.ceil(F.lit(short) / F.col("_least")), F.lit(short)) * factor).otherwise(0)
+        low, high = F.greatest(-reach, F.col("_first") - F.col("_row.chunk_index")), F.least(reach, F.col("_last") - F.col("_row.chunk_index"))
+        near = todo.select("_row", doc_col, "_first", "_last", F.explode(F.sequence(low.cast("int"), high.cast("int"))).alias("_step")).withColumn("chunk_index", F.col("_row.chunk_index") + F.col("_step"))
+        near = near.join(own, [doc_col, "chunk_index"]).groupBy("_row", "_first", "_last").agg(F.array_sort(F.collect_list(F.struct("_step", "_own"))).alias("_near"))
+        bounds = [F.col(c) - F.col("_row.chunk_index") for c in ("_first", "_last")]
+        made = materialise(near.select("_row", grown("_near", *bounds).alias("_made")).select("_row", "_made.*"), "widened")
+        out = made if out is None else out.unionByName(made)
+        left = made.filter("open")
+        if left.isEmpty():
+            break
+        todo, out, factor = todo.join(left.select("_row"), "_row", "left_semi"), out.filter("NOT open"), factor * 8
+    return at.drop("_own", "_least", "_first", "_last").join(out.drop("open"), "_row").drop("_row")
+
+
+def widen_one(texts: dict[int, str], short: int = SHORT, most: int = LONG, first: int = 0, last: int = 0) -> tuple[str, int, bool]:
+    """The text at step 0 widened by those at neighbouring steps, how many were joined, and whether it
+    is still short though the document, whose steps go from first to last, has more."""
     if len(texts[0]) >= short:
-        return texts[0], 0
+        return texts[0], 0, False
     before, after = -int(-1 in texts), int(1 in texts)
     text = join_texts(join_texts(texts[before], texts[0]) if before else texts[0], texts[after] if after else "")
     while len(text) < short and (before - 1 in texts or after + 1 in texts):
@@ -183,7 +193,9 @@ def widen_one(texts: dict[int, str], short: int = SHORT, most: int = LONG) -> tu
         if len(text) < short and after + 1 in texts:
             after += 1
             text = join_texts(text, texts[after])
-    return text[:most], after - before
+    given = min(texts), max(texts)
+    looked = (before == given[0] > first) or (after == given[1] < last)
+    return text[:most], after - before, bool(len(text) < short and looked)
 
 
 def with_parents(hits: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Rerank, joins, metrics, graph, memory and mutation queries."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
@@ -9,8 +10,8 @@ from quern.operators import metrics as E
 from quern.operators import relations as J
 from quern.operators import rerank as K
 from quern.operators import retrieval as R
-from quern.plans.registry import query
-from quern.plans.retrieval_queries import BM25_CTE, bench_queries
+from quern.plans.registry import ORACLE_SQL, query
+from quern.plans.retrieval_queries import BM25_CTE, COS_CTE, bench_queries, vector_queries
 from quern.plans.text_queries import NORMALISE
 from quern.session import table
 
@@ -273,6 +274,20 @@ def memory_recall(spark, sf_dir):
     return M.recall(items, bench_queries(spark, sf_dir))
 
 
+@query(ORACLE_SQL["memory_recall"].replace("SELECT * FROM s WHERE score >= 0.15", f""", {COS_CTE},
+l AS (SELECT query_id, item_id AS doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS INTEGER) AS rank FROM s WHERE score >= 0.15),
+every AS (SELECT query_id, doc_id, rank FROM l WHERE rank <= 20 UNION ALL SELECT query_id, vec_id, rank FROM cos_ranked WHERE rank <= 20 AND score >= 0.5 AND query_id IN (SELECT item_id FROM benchmark))
+SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (59 + rank)), 9) AS score FROM every GROUP BY ALL"""))
+def memory_hybrid_recall(spark, sf_dir):
+    """Lexical recall and vectors of at least half the query's direction, fused by ranks."""
+    items = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("content"), (F.col("n_chars") % 5).alias("importance"))
+    asked = bench_queries(spark, sf_dir)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
+    lexical = M.recall(items, asked).select("query_id", F.col("item_id").alias("doc_id"), F.row_number().over(order).alias("rank")).filter("rank <= 20")
+    vectors = vector_queries(spark, sf_dir).join(asked, "query_id", "left_semi")
+    return R.plain_rrf([lexical, R.vector_search(table(spark, sf_dir, "embeddings"), vectors, 20, threshold=0.5).withColumnRenamed("vec_id", "doc_id")])
+
+
 @query()
 def memory_budget(spark, sf_dir):
     """At most 5 of 50 candidates a query, 4000 characters in all."""
