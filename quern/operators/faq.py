@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions import text as T
+
 DEPTHS, MOST = 5, 500  # rounds of retrieval, and the depth of the last one at most
 
 
@@ -54,6 +56,25 @@ def matched_question(pattern: str, question: Column, similar: Column) -> Column:
     return F.coalesce(F.try_element_at(F.filter(similar, lambda s: s.rlike(f"(?i){pattern}")), F.lit(1)), question)
 
 
+SHOWN = 5  # similar questions that an entry shows; the number of others is told
+
+
+def rendered(entry_id: Column, question: Column, similar: Column, answers: Column) -> Column:
+    """An entry as tags for a model: question, similar questions, answers that aren't blank; escaped."""
+    tags = lambda name, items: F.transform(items, lambda x: F.concat(F.lit(f"<{name}>"), T.html_escape(x), F.lit(f"</{name}>")))
+    none = F.array().cast("array<string>")
+    similar, answers = F.coalesce(similar, none), F.filter(F.coalesce(answers, none), lambda a: F.trim(a) != "")
+    omitted = F.size(similar) - SHOWN
+    lines = F.concat(
+        F.array(F.concat(F.lit('<faq faq_id="'), T.html_escape(entry_id.cast("string")), F.lit('">'))),
+        F.when(F.coalesce(question, F.lit("")) != "", tags("question", F.array(question))).otherwise(none),
+        tags("similar_question", F.slice(similar, 1, SHOWN)),
+        F.when(omitted > 0, F.array(F.concat(F.lit('<similar_questions_omitted count="'), omitted.cast("string"), F.lit('" />')))).otherwise(none),
+        tags("answer", answers), F.array(F.lit("</faq>")),
+    )
+    return F.array_join(lines, "\n")
+
+
 def content_digest(question: Column, similar: Column, negatives: Column, answers: Column) -> Column:
     """SHA-256 of an entry's parts, each trimmed, without empty and repeated ones; lists count in
     any order, so putting an entry into its normal form doesn't change it."""

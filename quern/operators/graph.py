@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,6 +98,46 @@ def missing_links(pages: DataFrame, links: DataFrame) -> DataFrame:
     return found.filter("slug != target").join(links.select("slug", "target"), ["slug", "target"], "left_anti")
 
 
+#: Where no link may go: code, links of both kinds, addresses. Fixed value.
+UNLINKED = re.compile(r"```.*?(?:```|\Z)|`[^`\n]*`|\[\[[^\]]*\]\]|!?\[[^\]\n]*\]\([^)\n]*\)|https?://\S+", re.S)
+
+
+def link_text(text: str, titles: list[tuple[str, str]]) -> str:
+    """The text with [[slug|title]] at the first place of each title (slug, title) that isn't within
+    code, a link or an address; longer titles first, each slug once, and none that the text links
+    to already. A title that begins or ends with an ASCII word letter isn't looked for within words."""
+    parts = [(p, k % 2 == 0) for k, p in enumerate(re.split(f"({UNLINKED.pattern})", text, flags=re.S))]  # (text, free)
+    linked = set(re.findall(r"\[\[([^\]|]+)", text))
+    for slug, title in sorted(titles, key=lambda t: (-len(t[1]), t[1], t[0])):
+        if not title or slug in linked:
+            continue
+        edges = [r"(?<![A-Za-z0-9_])" if re.match(r"[A-Za-z0-9_]", title) else "", r"(?![A-Za-z0-9_])" if re.search(r"[A-Za-z0-9_]\Z", title) else ""]
+        word = re.compile(edges[0] + re.escape(title) + edges[1])
+        for k, (part, free) in enumerate(parts):
+            found = word.search(part) if free else None
+            if found:
+                parts[k : k + 1] = [(part[: found.start()], True), (f"[[{slug}|{title}]]", False), (part[found.end() :], True)]
+                linked.add(slug)
+                break
+    return "".join(p for p, _ in parts)
+
+
+def linked_pages(pages: DataFrame) -> DataFrame:
+    """slug, text of pages (slug, title, text) with links to the other pages whose titles they have.
+    Titles are searched for all at once; a page then gets those that it has, and no others."""
+    from quern.operators.relations import containing
+
+    titles = pages.filter("title != ''").select(F.col("slug").alias("passage_id"), F.col("title").alias("passage"))
+    found = containing(pages, titles, "slug", "text", within=False).filter("doc_id != passage_id")
+    named = found.join(titles, "passage_id").groupBy(F.col("doc_id").alias("slug")).agg(F.collect_list(F.struct("passage_id", "passage")).alias("titles"))
+
+    @F.pandas_udf("string")
+    def linked(text: pd.Series, titles: pd.Series) -> pd.Series:
+        return pd.Series([t if o is None else link_text(t, [(str(x["passage_id"]), x["passage"]) for x in o]) for t, o in zip(text, titles, strict=True)])
+
+    return pages.join(named, "slug", "left").select("slug", F.when(F.col("titles").isNull(), F.col("text")).otherwise(linked("text", "titles")).alias("text"))
+
+
 def parse_graph(replies: DataFrame, kinds: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes (id, name) and edges (id, a, b, kind) of replies (id, text): JSON objects, in a fence or
     not, with "nodes" [{name}] and "relations" [{from, to, type}]. Ends that no node names become

@@ -220,3 +220,18 @@ def faq_deepened(spark, sf_dir):
     rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("value"), "event_id"))
     ranked = e.select("user_id", "doc_id", F.col("value").alias("score"), rank.alias("rank"))
     return Q.deepened(ranked, e.filter("event_type = 'error'").select("user_id", "doc_id").distinct(), 10, "user_id")
+
+
+ESCAPED = "replace(replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+
+
+def _tags(name: str, items: str) -> str:
+    return f"list_transform({items}, lambda x: '<{name}>' || {ESCAPED} || '</{name}>')"
+
+
+@query(f"""WITH {FAQ_CTE} SELECT doc_id, array_to_string(list_concat(list_concat(list_concat(['<faq faq_id="' || doc_id || '">'], CASE WHEN coalesce(question, '') != '' THEN {_tags("question", "[question]")} ELSE [] END),
+  list_concat({_tags("similar_question", "coalesce(asked[2:][1:5], [])")}, CASE WHEN len(coalesce(asked[2:], [])) > 5 THEN ['<similar_questions_omitted count="' || (len(asked[2:]) - 5) || '" />'] ELSE [] END)),
+  list_concat({_tags("answer", "list_filter(coalesce(answers, []), lambda a: trim(a) != '')")}, ['</faq>'])), chr(10)) AS entry FROM faq""")
+def faq_entries(spark, sf_dir):
+    """Entries as a model sees them."""
+    return faqs(spark, sf_dir).select("doc_id", Q.rendered(F.col("doc_id"), F.col("question"), F.col("similar"), F.col("answers")).alias("entry"))

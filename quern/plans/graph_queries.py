@@ -107,6 +107,26 @@ def missing_cross_references(spark, sf_dir):
     return G.missing_links(pages, links)
 
 
+@query()
+def wiki_links(spark, sf_dir):
+    """Pages' visible texts with links to the pages whose first title word they have."""
+    p = table(spark, sf_dir, "pages")
+    title = F.substring_index(F.regexp_extract("html", "<title>([^<]*)</title>", 1), " ", 1)
+    text = F.regexp_replace(F.regexp_replace("html", "(?s)<head>.*?</head>", ""), "<[^>]*>", " ")
+    return G.linked_pages(p.select(F.col("page_id").alias("slug"), title.alias("title"), text.alias("text"))).select("slug", F.md5("text").alias("text_md5"))
+
+
+@query("""WITH e AS (SELECT DISTINCT l_partkey AS a, l_suppkey + 1000000 AS b FROM lineitem), w AS (SELECT a, b FROM e UNION SELECT b, a FROM e), hit AS (SELECT DISTINCT b AS chunk FROM w WHERE a IN (SELECT p_partkey FROM part WHERE contains(p_name, 'ring') OR contains(p_name, 'al')))
+SELECT chunk FROM hit WHERE chunk NOT IN (SELECT s_suppkey + 1000000 FROM supplier WHERE s_acctbal < 3000)""")
+def unseen_graph_hits(spark, sf_dir):
+    """Neighbours of parts whose names have any of two terms, without those that a search has shown already."""
+    nodes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    edges = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 1000000).alias("b"))
+    hits = G.neighbours(nodes, edges, "ring", "al").select(F.col("b").alias("chunk")).distinct()
+    seen = table(spark, sf_dir, "supplier").filter("s_acctbal < 3000").select((F.col("s_suppkey") + 1000000).alias("chunk"))
+    return J.delete(hits, seen, ["chunk"])
+
+
 # --- memories ---
 
 

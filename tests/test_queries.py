@@ -203,7 +203,29 @@ def plain_clusters(duck, **_):
             yield from ((j, i) for j in (i, *own))
 
 
+def plain_links(duck, **_):
+    rows = duck.execute("SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1), regexp_replace(regexp_replace(html, '(?s)<head>.*?</head>', '', 'g'), '<[^>]*>', ' ', 'g') FROM pages").fetchall()
+    titles = {i: t.split(" ")[0] for i, t, _ in rows}
+    letter = lambda c: c.isascii() and (c.isalnum() or c == "_")
+    for i, _, text in rows:
+        free = [True] * len(text)  # characters that no link and no address has
+        for m in re.finditer(r"```.*?(?:```|\Z)|`[^`\n]*`|\[\[[^\]]*\]\]|!?\[[^\]\n]*\]\([^)\n]*\)|https?://\S+", text, re.S):
+            free[m.start() : m.end()] = [False] * (m.end() - m.start())
+        for j, title in sorted(titles.items(), key=lambda x: (-len(x[1]), x[1], str(x[0]))):
+            at = 0
+            while title and j != i and (at := text.find(title, at)) >= 0:
+                end = at + len(title)
+                inside = (at and letter(text[at - 1]) and free[at - 1] and letter(title[0])) or (end < len(text) and letter(text[end]) and free[end] and letter(title[-1]))
+                if all(free[at:end]) and not inside:
+                    link = f"[[{j}|{title}]]"
+                    text, free = text[:at] + link + text[end:], free[:at] + [False] * len(link) + free[end:]
+                    break
+                at += 1
+        yield i, hashlib.md5(text.encode()).hexdigest()
+
+
 PLAIN = {
+    "wiki_links": (plain_links, ["slug", "text_md5"]),
     "mmr_rerank": (plain_mmr, ["query_id", "doc_id", "score", "rank"]),
     "partial_overlap_removal": (plain_overlaps, ["query_id", "doc_id", "score", "rank"]),
     "memory_budget": (plain_budget, ["query_id", "doc_id", "rank", "cost"]),
