@@ -11,7 +11,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 
-_LOCAL: dict[str, str] = {}  # the folder of a local master without the setting
+_LOCAL: dict[str, tempfile.TemporaryDirectory] = {}  # the folder of a local master without the setting
 _SCOPES: list[list[DataFrame]] = []  # tables written since the scratch() blocks that are open began
 
 
@@ -45,11 +45,12 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if "dir" not in _LOCAL:
-        _LOCAL["dir"] = tempfile.mkdtemp(prefix="spark-quern-")
-    return _LOCAL["dir"]
+        _LOCAL["dir"] = tempfile.TemporaryDirectory(prefix="spark-quern-", ignore_cleanup_errors=True)  # goes with the process
+    return _LOCAL["dir"].name
 
 
 def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
