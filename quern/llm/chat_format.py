@@ -48,8 +48,9 @@ def format_conversations(turns: DataFrame, template: str = TEMPLATE, part: int =
     a conversation, in order, are its output; learn lists the spans of a part's text
     under the loss mask. Rows of a null conv_id are one conversation. Null roles and
     texts are empty; null turns come first, equal turns by role and text, and repeated
-    rows are turns of their own. An empty table gives no rows. Parts of a conversation
-    lie next to each other and in order within a partition.
+    rows are turns of their own. An empty table gives no rows. A long text is one piece and
+    lies whole in its part. Parts of a conversation lie next to each other and in order
+    within a partition.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

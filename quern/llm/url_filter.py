@@ -62,7 +62,8 @@ def url_filter(captures: DataFrame, entries: DataFrame, id_col: str = "page_id",
     pattern is the longest that matches and was listed at fetch time (from inclusive,
     to exclusive). Captures without a URL or time match nothing. Repeated captures are
     judged alike; null ids are rows like others; empty tables give no rows, or no
-    blocked ones; further columns play no part.
+    blocked ones; further columns play no part. A long URL is matched whole, by as many
+    keys as it has labels and path segments.
     """
     listed = materialise(validity(entries), "url-validity")
     seen = captures.select(F.col(url_col).alias("url"), F.col(time_col).alias("at")).filter("url IS NOT NULL AND at IS NOT NULL").distinct()
