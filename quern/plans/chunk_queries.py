@@ -200,10 +200,10 @@ def faq_digests(spark, sf_dir):
 hits AS (SELECT a.doc_id AS query_id, a.question, b.doc_id FROM faq a JOIN faq b ON abs(a.doc_id - b.doc_id) <= 1)
 SELECT query_id, doc_id FROM hits h WHERE NOT EXISTS (SELECT 1 FROM no WHERE no.doc_id = h.doc_id AND no.q = lower(trim(h.question)))""")
 def faq_negatives(spark, sf_dir):
-    """Each entry bars the next one's question; queries are the questions, in capitals, on their entry and its neighbours."""
+    """Each entry bars the next one's question; queries are the questions, with spaces, on their entry and its neighbours."""
     at = materialise(faqs(spark, sf_dir), "faqs")
     barred = at.select((F.col("doc_id") - 1).alias("doc_id"), F.array(F.concat(F.lit(" "), "question"), F.lit(" ")).alias("negatives"))
-    asked = at.select(F.col("doc_id").alias("query_id"), F.upper("question").alias("query"))
+    asked = at.select(F.col("doc_id").alias("query_id"), F.concat(F.lit("  "), "question").alias("query"))
     hits = at.select(F.explode(F.sequence(F.col("doc_id") - 1, F.col("doc_id") + 1)).alias("query_id"), "doc_id").join(at.select(F.col("doc_id").alias("query_id")), "query_id", "left_semi")
     return Q.without_negatives(hits, asked, barred)
 

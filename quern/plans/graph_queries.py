@@ -231,13 +231,13 @@ def top_of_every_item(spark, sf_dir):
     return J.top_per_item(pairs, "user_id", "other", 3)
 
 
-@query("""WITH m AS (SELECT user_id AS doc_id, event_id % 9 AS tag, CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 7 = 1 THEN round(value, 4) ELSE round(value / 200, 4) END AS c FROM events),
+@query("""WITH m AS (SELECT user_id AS doc_id, event_id % 9 AS tag, CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 7 = 1 THEN CAST(event_id % 101 AS DOUBLE) ELSE event_id % 101 / 100.0::DOUBLE END AS c FROM events),
 s AS (SELECT doc_id, tag, max(CASE WHEN c IS NULL THEN 1 WHEN c > 1 THEN c / 100 ELSE c END) AS confidence FROM m WHERE tag BETWEEN 1 AND 6 GROUP BY ALL),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY confidence DESC, tag) AS INTEGER) AS place FROM s WHERE confidence >= 0.75)
 SELECT doc_id, tag, round(confidence, 6) AS confidence, place FROM r WHERE place <= 3""")
 def accepted_tags(spark, sf_dir):
     way = F.col("event_id") % 7
-    sure = F.when(way == 1, F.round("value", 4)).when(way != 0, F.round(F.col("value") / 200, 4))
+    sure = F.when(way == 1, (F.col("event_id") % 101).cast("double")).when(way != 0, F.col("event_id") % 101 / 100)
     matches = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), (F.col("event_id") % 9).alias("tag"), sure.alias("confidence"))
     return J.accepted_tags(matches, 6).withColumn("confidence", F.round("confidence", 6))
 

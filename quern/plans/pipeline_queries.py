@@ -250,7 +250,7 @@ def folder_tree(spark, sf_dir):
 
 @query("""WITH RECURSIVE n AS (SELECT page_id AS id, CASE WHEN page_id > 0 THEN (page_id - 1) // 3 END AS parent FROM pages),
 d AS (SELECT id AS root, id, 0 AS level FROM n WHERE id BETWEEN 1 AND 3 UNION ALL SELECT root, n.id, level + 1 FROM d JOIN n ON n.parent = d.id WHERE level < 4 AND n.id % 11 != 5)
-SELECT root, id, level, level = 4 AND id IN (SELECT parent FROM n WHERE id % 11 != 5) AS cut FROM d WHERE level > 0""")
+SELECT root, id, level, level = 4 AND id IN (SELECT parent FROM n WHERE id % 11 != 5 AND parent IS NOT NULL) AS cut FROM d WHERE level > 0""")
 def span_descendants(spark, sf_dir):
     """Pages as spans of a tree with three children a node, those that aren't done, four levels below the first three."""
     n = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.when(F.col("page_id") > 0, F.floor((F.col("page_id") - 1) / 3)).alias("parent"))

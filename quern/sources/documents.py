@@ -233,7 +233,7 @@ def inline_images(markdown: Column) -> Column:
 
 
 def _image_path(kind: Column, body: Column) -> Column:
-    return F.concat(F.lit("images/"), F.substring(F.sha2(body, 256), 1, 16), F.lit("."), kind)
+    return F.concat(F.lit("images/"), F.substring(F.sha2(F.regexp_replace(body, r"\s+", ""), 256), 1, 16), F.lit("."), kind)
 
 
 def without_inline_images(markdown: Column) -> Column:
