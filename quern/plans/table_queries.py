@@ -179,7 +179,7 @@ def sampled_rows(spark, sf_dir):
 
 
 @query("""WITH j AS (SELECT user_id, '[' || string_agg(props, ',' ORDER BY event_id) || ']' AS j FROM events GROUP BY user_id)
-SELECT user_id, json_array_length(j) AS n, (SELECT sum(CAST(json_extract(x, '$.k') AS BIGINT))::BIGINT FROM (SELECT unnest(CAST(json_extract(j, '$[*]') AS JSON[])) AS x)) AS total, json_type(j, '$[0]') = 'OBJECT' AS is_object, json_type(j, '$[0].k') IN ('UBIGINT', 'BIGINT') AS is_number FROM j""")
+SELECT user_id, CAST(json_array_length(j) AS INTEGER) AS n, (SELECT sum(CAST(json_extract(x, '$.k') AS BIGINT))::BIGINT FROM (SELECT unnest(CAST(json_extract(j, '$[*]') AS JSON[])) AS x)) AS total, json_type(j, '$[0]') = 'OBJECT' AS is_object, json_type(j, '$[0].k') IN ('UBIGINT', 'BIGINT') AS is_number FROM j""")
 def json_functions(spark, sf_dir):
     """A user's properties as one JSON array: its length, its elements, and what kinds they are."""
     of = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "props"))).alias("p"))
