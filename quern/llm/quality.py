@@ -177,8 +177,10 @@ def keep_accepted(docs: DataFrame, weights: np.ndarray, text_col: str = "text",
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         make, w = Features((len(model.value) - 1).bit_length() - 1), model.value
         for part in texts:
-            found = [make(text.as_py()) for text in part]
-            dots = np.array([w[index] @ value + w[-1] for index, value in found], np.float64)
+            dots = np.empty(len(part))
+            for k, text in enumerate(part):  # one text's features at a time
+                index, value = make(text.as_py())
+                dots[k] = w[index] @ value + w[-1]
             yield pa.array(1 / (1 + np.exp(-np.clip(dots, -35, 35))))
 
     run.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
