@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quern.llm import chat_format, contamination, exact_dedup, license_scan, line_dedup, mixing, quality, simhash, token_counts, url_filter
+from quern.llm import chat_format, contamination, exact_dedup, hard_negatives, license_scan, line_dedup, mixing, quality, runs, simhash, token_counts, url_filter
 from quern.llm.license_texts import BEGINNINGS, EQUIVALENT, LINKS, NAMES, SHORT, SPDX_ENDINGS, SPDX_TAG, long_texts
 from quern.session import table
 
@@ -79,6 +79,15 @@ def op10_chat_format(spark, sf_dir):
     return chat_format.read_back(chat_format.format_conversations(turns.select(more.columns).union(more)), in_order=True)
 
 
+def op12_hard_negatives(spark, sf_dir):
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=moved)
+
+
+def op13_periodic_runs(spark, sf_dir):
+    return runs.run_digests(runs.periodic_runs(table(spark, sf_dir, "documents"), plant=True))
+
+
 def _literal(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -165,6 +174,20 @@ SELECT conv_id, count(*) AS n_turns,
 FROM turns GROUP BY conv_id
 """
 
+OP12_SQL = """
+WITH rows_ AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                      list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+               WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, CAST(list_inner_product(a.v, r.v) AS BIGINT) AS score
+           FROM rows_ a JOIN rows_ r ON a.vec_id <> r.vec_id WHERE a.vec_id % 100 = 0),
+positives AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+              QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+       CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+FROM positives p JOIN scored s ON p.anchor_id = s.anchor_id AND NOT s.same AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score
+QUALIFY rank <= 5
+"""
+
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_license_scan": op2_license_scan,
@@ -176,6 +199,8 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_chat_format": op10_chat_format,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLE_SQL = {
     "op2_license_scan": OP2_SQL,
@@ -183,4 +208,5 @@ ORACLE_SQL = {
     "op6_url_filter": OP6_SQL,
     "op8_exact_dedup": OP8_SQL,
     "op10_chat_format": OP10_SQL,
+    "op12_hard_negatives": OP12_SQL,
 }
