@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from quern.llm import chat_format, contamination, exact_dedup, hard_negatives, license_scan, line_dedup, mixing, quality, runs, simhash, token_counts, url_filter
+from quern.llm import chat_format, contamination, exact_dedup, hard_negatives, html_content, license_scan, line_dedup, mixing, quality, runs, simhash, token_counts, url_filter
 from quern.llm.license_texts import BEGINNINGS, EQUIVALENT, LINKS, NAMES, SHORT, SPDX_ENDINGS, SPDX_TAG, long_texts
 from quern.session import table
 
@@ -79,6 +79,11 @@ def op10_chat_format(spark, sf_dir):
     return chat_format.read_back(chat_format.format_conversations(turns.select(more.columns).union(more)), in_order=True)
 
 
+def op11_html_content(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return html_content.main_text(pages, html_content.learn_weights(pages))
+
+
 def op12_hard_negatives(spark, sf_dir):
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=moved)
@@ -174,6 +179,16 @@ SELECT conv_id, count(*) AS n_turns,
 FROM turns GROUP BY conv_id
 """
 
+# The tables' pages mark their article, and hold no boilerplate within it; their character references are those replaced here.
+OP11_SQL = r"""
+WITH bodies AS (SELECT page_id, url, coalesce(regexp_extract(html, '<article>(.*)</article>', 1, 's'), '') AS body FROM pages),
+blocks AS (SELECT page_id, url, list_transform(regexp_split_to_array(body, '</?(p|h1)>'), lambda b:
+             trim(regexp_replace(regexp_replace(replace(regexp_replace(replace(replace(replace(b, '<br>', ' '), '<b>', ''), '</b>', ''), '&(quot);', '"', 'g'), '&lt;', '<'),
+                  '&amp;?', '&', 'g'), '[ \t\n\r\f\v\x{a0}]+', ' ', 'g'))) AS parts FROM bodies)
+SELECT page_id, url, array_to_string(list_filter(parts, lambda b: b != ''), chr(10) || chr(10)) AS text,
+       CAST(length(array_to_string(list_filter(parts, lambda b: b != ''), chr(10) || chr(10))) AS BIGINT) AS n_chars FROM blocks
+"""
+
 OP12_SQL = """
 WITH rows_ AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
                       list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
@@ -199,6 +214,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_chat_format": op10_chat_format,
+    "op11_html_content": op11_html_content,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_periodic_runs": op13_periodic_runs,
 }
@@ -208,5 +224,6 @@ ORACLE_SQL = {
     "op6_url_filter": OP6_SQL,
     "op8_exact_dedup": OP8_SQL,
     "op10_chat_format": OP10_SQL,
+    "op11_html_content": OP11_SQL,
     "op12_hard_negatives": OP12_SQL,
 }

@@ -35,8 +35,9 @@ Run = tuple[int, int, int]  # start, length, period
 
 def numbered(words: list[bytes]) -> np.ndarray:
     """A number for each word; equal words have equal ones."""
-    seen: dict[bytes, int] = {}
-    return np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int64, len(words))
+    distinct = dict.fromkeys(words)
+    number = dict(zip(distinct, range(len(distinct)), strict=True))
+    return np.fromiter(map(number.__getitem__, words), np.int64, len(words))
 
 
 def _scramble(x: np.ndarray) -> np.ndarray:
@@ -64,6 +65,13 @@ def _stretches(equal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+def _may_have(ids: np.ndarray, q: int) -> bool:
+    """Whether 2q words in a row can equal those q on: samples s words apart show four hits then."""
+    s = max(1, q // 2)
+    hit = ids[: len(ids) - q : s] == ids[q::s]
+    return bool((hit[:-1] & hit[1:]).any()) if q == 1 else bool((hit[:-3] & hit[1:-2] & hit[2:-1] & hit[3:]).any())
+
+
 def _agreement(ids: np.ndarray, at: int, period: int) -> tuple[int, int]:
     """The stretch around `at`, which lies in it, whose words equal those `period` on: first, one past last."""
     first, last, step = at, at, 64
@@ -112,6 +120,8 @@ def periodic_stretches(ids: np.ndarray, least_periods: int = LEAST_PERIODS, smal
     """All runs of at least `least_periods` (3 or more) periods, however short, by period."""
     n, found = len(ids), _Found()
     for q in range(1, min(small - 1, n // least_periods) + 1):
+        if not _may_have(ids, q):
+            continue
         first, last = _stretches(ids[: n - q] == ids[q:])
         long = last - first >= (least_periods - 1) * q
         if long.any():
@@ -145,13 +155,21 @@ def _proposals(ids: np.ndarray, h: np.ndarray, t: int, found: _Found) -> Iterato
     if len(sync) < 2:
         return
     name = _scramble(h[sync] * np.uint64(0x9E3779B97F4A7C15) + h[sync + t])
-    # Neighbours in the set that are up to 8t words apart.
-    near = np.searchsorted(sync, sync + 8 * t) - np.arange(len(sync)) - 1
-    apart, at = [], []
-    for k in range(1, int(near.max(initial=0)) + 1):
-        pairs = np.flatnonzero((name[:-k] == name[k:]) & (sync[k:] - sync[:-k] >= 4 * t) & (near[:-k] >= k))
-        apart.append(sync[pairs + k] - sync[pairs])
-        at.append(sync[pairs])
+    order = np.argsort(name, kind="stable")  # equal contexts side by side, by place
+    name, sync = name[order], sync[order]
+    twin = name[1:] == name[:-1]
+    twin = np.concatenate((twin, [False])) | np.concatenate(([False], twin))
+    name, sync = name[twin], sync[twin]
+    apart, at, k = [], [], 1
+    while k < len(sync):  # the k-th next with the same context, while any is less than 8t words on
+        gap = sync[k:] - sync[:-k]
+        near = (name[:-k] == name[k:]) & (gap < 8 * t)
+        if not near.any():
+            break
+        far = np.flatnonzero(near & (gap >= 4 * t))
+        apart.append(gap[far])
+        at.append(sync[far])
+        k += 1
     apart, at = np.concatenate(apart or [sync[:0]]), np.concatenate(at or [sync[:0]])
     if not len(apart):
         return

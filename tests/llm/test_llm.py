@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quern.llm import chat_format, contamination, exact_dedup, license_scan, license_texts, line_dedup, mixing, quality, queries, simhash, template, token_counts, url_filter
+from quern.llm import chat_format, contamination, exact_dedup, hard_negatives, html_content, license_scan, license_texts, line_dedup, mixing, quality, queries, runs, simhash, template, token_counts, url_filter
 from quern.llm.components import connected_components
 
 from quern.llm.license_texts import ISC, MIT
@@ -862,3 +862,200 @@ def test_pipeline_on_odd_tables(spark, tmp_path, monkeypatch):
     assert sorted(str(r.doc_id) for r in whole.collect()) == sorted(str(i) for i, _ in got)
     left = [x.name for x in shared.iterdir()]
     assert len([x for x in left if x.startswith("pipeline-")]) == 1 and len(left) < 6, left  # the last stage reads them
+
+
+# --- 11 ---
+
+PAGE = "page_id long, url string, html string"
+LEARNT = html_content.fitted([(html_content.WORD, False, 10_000, 600), (html_content.LINKED, False, 5, 900), ("nav", False, 0, 90), ("li", False, 3, 500), ("a", False, 4, 500), ("div", False, 0, 90), ("p", False, 900, 0), ("ad", True, 0, 500)])
+ARTICLE = "<p>The river <b>rose</b> slowly over&nbsp;night, and nobody saw it.</p><p>By the\n morning it had <a href=/x>taken</a> the bridge &amp; the mill.<br>Both were old.</p>"
+TEXT = "The river rose slowly over night, and nobody saw it.\n\nBy the morning it had taken the bridge & the mill. Both were old."
+MENU = "<ul><li><a href=/a>Home page</a></li><li><a href=/b>All the news</a></li><li><a href=/c>Sign in here</a></li></ul>"
+COMMENTS = "<h3>What readers say</h3><p>I have never read anything like it in all my life, and hope that I never will again.</p>"
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        f"<html><head><title>T</title><style>p {{}}</style></head><body><nav>{MENU}</nav><article>{ARTICLE}</article><footer>All rights</footer></body></html>",
+        f"<nav>{MENU}</nav><main>{ARTICLE}<aside>Read on</aside><form>Mail <input></form></main><footer>Late news of the day",
+        f"<body class='has-sidebar'><div id=menu>{MENU}</div><div class='post-content'>{ARTICLE}</div><div class=sidebar><p>Other stories of the week, of which there are many and long ones, longer than this one in any case.</div>",
+        f"<div>{MENU}</div><div>{ARTICLE}</div><div>{MENU}</div>",
+        f"<header>Daily News</header>{ARTICLE}<section class='comments'>{COMMENTS}</section>",
+        f"<article>{ARTICLE}<section id=comments>{COMMENTS}<article class=comment>{COMMENTS}</article></section><script>if (a < b) p('</p>')</script></article>",
+        f"<div class='cookie-notice'>We and our many partners keep all that we can get of you, now and for ever and ever.</div><main class=page>{ARTICLE}</main>",
+        f"<article><div class='ad-box'>Buy it now, all of it</div>{ARTICLE}<!-- <p>gone</p> --><template><p>No</p></template></article>",
+        f"<article>{ARTICLE.replace('</p>', '')}</article>",
+        f"<ARTICLE>{ARTICLE}</ARTICLE>",
+    ],
+)
+def test_main_text_is_the_article(html):
+    assert html_content.Page(html, LEARNT).text() == TEXT
+
+
+def test_main_text_of_what_has_none():
+    for html in (None, "", " ", f"<nav>{MENU}</nav>", "<script>x</script>", "<!-- a", "<p", "<div class=ad>Buy it"):
+        assert html_content.Page(html, LEARNT).text() == ""
+    assert html_content.Page("just &lt;words&gt; here &am x", LEARNT).text() == "just <words> here &am x"
+
+
+def test_best_stretch_is_the_brute_one():
+    rng = random.Random(2)
+    for _ in range(300):
+        score = [rng.choice([-3, -2, -1, 0, 1, 2, 2.5]) for _ in range(rng.randrange(0, 25))]
+        first, last = html_content.best_stretch(score)
+        assert sum(score[first:last]) == max([sum(score[a:b]) for a in range(len(score)) for b in range(a + 1, len(score) + 1)] + [0])
+
+
+def test_broken_pages_take_linear_time():
+    for html in ("<b>" * 100_000 + "<p></p>" * 100_000, "<div>" * 100_000 + "x", '<a title="' * 50_000, "<!--" * 50_000, "<i>" * 50_000 + "</b>" * 50_000):
+        html_content.Page(html, LEARNT).text()
+
+
+def test_weights_come_from_marked_pages(spark):
+    html = f"<nav>{MENU}</nav><div class=teaser><p>Other stories of this week</p></div><article class=story>{ARTICLE}</article>"
+    pages = spark.createDataFrame([(k, "u", html) for k in range(30)] + [(99, None, None)], PAGE)
+    learnt = html_content.learn_weights(pages)
+    assert learnt.word > 0.5 > learnt.linked > 0 and learnt.tag("li") < -1 and learnt.tag("p") < 0 and learnt.kinds["teaser"] < 0 < learnt.kinds["story"]
+    # A page that marks nothing is read by what the others taught.
+    other = f"<div>{MENU}</div><div class=teaser>{ARTICLE * 3}</div><div class=story>{ARTICLE}</div>"
+    assert html_content.Page(other, learnt).text() == TEXT
+    assert html_content.learn_weights(pages.limit(0)) == html_content.Weights() == html_content.learn_weights(pages.filter("page_id = 99"))
+
+
+def test_main_text_table(spark):
+    rows = [(1, "u", None), (1, "u", None), (2, None, ""), (None, "v", f"<article>{ARTICLE}</article>"), (3, "w", "<article>" + "<p>long text</p>" * 50_000 + "</article>")]
+    pages = spark.createDataFrame(rows, PAGE).withColumns({c: F.lit("x") for c in ["text", "n_chars", *CLASH]})
+    got = [(r.page_id, r.url, r.text, r.n_chars) for r in html_content.main_text(pages, LEARNT).collect()]
+    long = "\n\n".join(["long text"] * 50_000)
+    assert sorted(got, key=str) == sorted([(1, "u", "", 0), (1, "u", "", 0), (2, None, "", 0), (None, "v", TEXT, len(TEXT)), (3, "w", long, len(long))], key=str)
+    assert html_content.main_text(pages.limit(0), LEARNT).count() == 0
+
+
+# --- 12 ---
+
+VEC = "vec_id long, embedding array<float>, label int"
+
+
+def plain_negatives(rows, every=100, k=5):
+    """By comparing all rows."""
+    ok = {i: (lab, [int(np.floor(256 * float(x))) for x in v]) for i, v, lab in rows if None not in (i, v, lab) and all(x is not None and np.isfinite(x) for x in v)}
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=False))
+    out = set()
+    for a, (lab, v) in ok.items():
+        if a % every == 0:
+            scored = sorted((-dot(v, w), i, other) for i, (other, w) in ok.items() if i != a)
+            for s, p, _ in [x for x in scored if x[2] == lab][:5]:
+                fits = [(n, i) for n, i, other in scored if other != lab and 80 * -s <= 100 * -n <= 100 * -s][:k]
+                out |= {(a, p, r + 1, i, -s, -n) for r, (n, i) in enumerate(fits)}
+    return out
+
+
+@pytest.mark.parametrize("block", [3, 4096])
+def test_hard_negatives_are_the_plain_ones(spark, block):
+    rng = np.random.default_rng(4)
+    rows = [(int(i), [float(np.float32(x)) for x in v], int(rng.integers(3))) for i, v in enumerate(rng.normal(size=(300, 20)))]
+    rows += [(1000 + i, rows[0][1], i % 3) for i in range(60)]  # copies: ties
+    rows += [(2000 + i, [float(i)], 0) for i in range(3)] + [(2100, [], 1), (2200, [1.0] * 25, 2)]
+    rows += [(3000, None, 1), (3100, [1.0, None], 1), (3200, [float("nan")], 1), (3300, [float("inf")], 2), (3400, [1.0], None), (None, [1.0], 1)]
+    rows += [(4000, [-1.0] * 20, 7), (4001, [1.0] * 20, 7)]  # a negative positive: no room
+    df = spark.createDataFrame(rows + rows[5:9], VEC).repartition(5).withColumns({c: F.lit("x") for c in ["v", "window", "score", "rank", *CLASH[2:3], "full"] if c != "label"})
+    got = hard_negatives.hard_negatives(df, F.col("vec_id") % 100 == 0, block=block)
+    assert {tuple(r) for r in got.collect()} == plain_negatives(rows) and got.count() == len(plain_negatives(rows))
+    assert hard_negatives.hard_negatives(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0 == hard_negatives.hard_negatives(df, F.lit(False)).count()
+
+
+def test_scores_beyond_64_bits(spark):
+    big = [3e15] * 8
+    rows = [(0, big, 1), (1, big, 1), (2, big, 2), (3, [0.004] * 8, 2)]
+    got = hard_negatives.hard_negatives(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), F.col("vec_id") == 0).collect()
+    assert [(r.positive_id, r.negative_id, r.negative_score) for r in got] == [(1, 2, (1 << 63) - 1)]
+
+
+def test_the_index_prunes_and_loses_nothing():
+    rng = np.random.default_rng(7)
+    x, q = rng.integers(-300, 300, (500, 40)) * np.linspace(2, 0.05, 40).round(2), None
+    x = np.floor(x).astype(np.int64)
+    q = x[:50]
+    score = x @ q.T
+    t = np.sort(score, axis=0)[-6]
+    windows = hard_negatives.Windows(np.arange(50), np.zeros(50, np.int64), q, np.full((50, 1), -(1 << 62)), np.full((50, 1), 1 << 62), t, True)
+    index = hard_negatives.Index(windows, float(np.sqrt((x * x).sum(axis=1)).max()))
+    assert not index.lists.all()  # some dimensions of some anchors aren't listed
+    r, a = index.candidates(x, np.ones((500, 50), bool), slice(0, 50))
+    assert set(zip(*np.nonzero(score >= t), strict=True)) <= set(zip(r.tolist(), a.tolist(), strict=True)) and len(r) < 0.3 * score.size
+
+
+# --- 13 ---
+
+
+def plain_runs(words, least=24):
+    n, out = len(words), []
+    for q in range(1, n // 3 + 1):
+        i = 0
+        while i < n - q:
+            j = i
+            while j < n - q and words[j] == words[j + q]:
+                j += 1
+            length = j - i + q
+            if j > i and length >= max(least, 3 * q):
+                own = words[i : i + length]
+                if not any(own[d:] == own[: length - d] for d in range(1, q)):
+                    out.append((i, length, q))
+            i = max(j, i + 1)
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def test_runs_are_the_plain_ones():
+    rng, found = random.Random(3), 0
+    for _ in range(400):
+        letters, words = rng.choice([1, 2, 3, 5, 50]), []
+        for _ in range(rng.randrange(1, 6)):
+            base = [rng.randrange(letters) for _ in range(rng.choice([1, 2, 5, 9, 17, 20, 33, 40, 70, 100]))]
+            if rng.random() < 0.4:  # repetitions within the period
+                base = base[: rng.randrange(1, len(base) + 1)] * rng.randrange(1, 9) + [rng.randrange(letters) for _ in range(rng.randrange(20))]
+            words += (base * 6)[: len(base) * rng.choice([1, 2, 3, 3, 4]) + rng.randrange(len(base) + 1)]
+        words = words[:700]
+        want = plain_runs(words)
+        found += len(want)
+        assert runs.runs_of(np.array(words, np.int64)) == want, words
+    assert found > 500
+
+
+def test_periods_of_every_size():
+    rng = random.Random(8)
+    for q in (1, 2, 7, 8, 15, 16, 17, 31, 32, 33, 63, 64, 100, 127, 128, 129, 1000, 5000):
+        for extra in (0, 1, q // 2):
+            base = [rng.randrange(10**6) for _ in range(q)]
+            length = max(24, 3 * q + extra)
+            words = [-1, -2, -3] + (base * 30)[:length] + [-4] * 2
+            assert runs.runs_of(np.array(words, np.int64)) == [(3, length, q)]
+
+
+def plain_report(doc_id, text):
+    words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())
+    h, n = (zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1), len(words)
+    if h % 10 == 0 and n:
+        g = h // 10
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        words = [words[a + (i - a) % p] if i >= a else words[i] for i in range(n)]
+    found = plain_runs(words)
+    best = max(found, key=lambda r: (r[1] / r[2], -r[0], -r[2]), default=None)
+    gone = {i for s, length, q in found for i in range(s + q, s + length)}
+    kept = b" ".join(w for i, w in enumerate(words) if i not in gone)
+    row = (*best, 1000 * best[1] // best[2]) if best else (None,) * 4
+    return (doc_id, len(found), *row, hashlib.sha256("".join(f"{s},{length},{q}\n" for s, length, q in found).encode()).hexdigest(), hashlib.sha256(kept).hexdigest())
+
+
+def test_run_reports_are_the_plain_ones(spark, none):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").filter("length(text) < 6000").limit(120).collect()]
+    loop = "round and round it goes again " * 5
+    rows += [(i, loop + "end") for i in range(300, 340)] + [(400, "a\x0bb\x1fc " * 40), (401, "x " * 23), (402, "x " * 24), (None, loop), (None, None), (403, "naïve\u00a0é 漢 " * 20)]
+    rows += [r for r in ODD if r[0] != 5]
+    names = "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256".split()
+    got = runs.run_digests(runs.periodic_runs(docs_of(spark, rows), plant=True)).select(*names).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted((plain_report(*r) for r in rows), key=repr)
+    assert runs.periodic_runs(none).count() == 0
+    long = runs.periodic_runs(docs_of(spark, [(5, "long " * 60_000)])).first()
+    assert [tuple(r) for r in long.runs] == [(0, 60_000, 1)] == [tuple(long.strongest)] and long.collapsed == "long"
