@@ -124,25 +124,32 @@ def identifier_terms(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(F.trim(spaced)), " "), lambda w: w != ""))
 
 
-#: Code references in a query, quoted stretches, and what makes a word look like code: fixed values.
-CODE_TOKEN = r"[A-Za-z_$][A-Za-z0-9_$-]*(?:(?:[./#:]|\\)[A-Za-z_$][A-Za-z0-9_$-]*)*"
-QUOTED = "[`\"']([^`\"']+)[`\"']"
-LIKE_CODE = r"[_./#:\\-]|[a-z0-9][A-Z]"
+#: Between the words of a query: all but ASCII letters, digits and the signs that join parts of a name.
+BETWEEN_NAMES = r"[^A-Za-z0-9_$./#:\\-]+"
+_OUTER_SIGNS = r"^[./#:\\-]+|[./#:\\-]+$"
+IN_QUOTES = "`[^`]+`|\"[^\"]+\"|'[^']+'"
+#: A sign between two letters or digits, a sign that only names have, or a capital within a word.
+LIKE_CODE = r"[A-Za-z0-9][./#:\\-]+[A-Za-z0-9_$]|[_$]|[a-z0-9][A-Z]"
+
+
+def _names(text: Column) -> Column:
+    """The words of a text that could be names, without signs around them, in order."""
+    return F.filter(F.transform(F.split(text, BETWEEN_NAMES), lambda w: F.regexp_replace(w, _OUTER_SIGNS, "")), lambda w: w.rlike("[A-Za-z]"))
 
 
 def code_query(query: Column, identifiers: int = 8, terms: int = 32) -> Column:
     """Of the first 512 characters of a query the code that it names: identifiers (words in quotes,
-    and such as have signs or inner capitals; eight at most, as written) and terms (their parts and
-    the words of those, lower-cased, of two letters or more; 32 at most). Both are empty for prose."""
+    and such as have signs or inner capitals; eight at most, as written) and terms (the parts between
+    their signs, and the parts of those that begin with a capital; lower-cased, of two characters
+    or more; 32 at most). Both are empty for prose."""
     query = F.substring(query, 1, 512)
-    every = F.regexp_extract_all(query, F.lit(CODE_TOKEN), F.lit(0))
-    quoted = F.flatten(F.transform(F.regexp_extract_all(query, F.lit(QUOTED), F.lit(1)), lambda q: F.regexp_extract_all(q, F.lit(CODE_TOKEN), F.lit(0))))
-    named = F.array_distinct(F.filter(every, lambda t: t.rlike(LIKE_CODE) | F.array_contains(quoted, t)))
-    words = lambda p: F.split(F.regexp_replace(F.regexp_replace(p, "([A-Z]+)([A-Z][a-z])", "$1 $2"), "([a-z0-9])([A-Z])", "$1 $2"), "[ _]+")
-    parts = F.flatten(F.transform(named, lambda t: F.regexp_extract_all(t, F.lit(r"[A-Za-z_$][A-Za-z0-9_$]*"), F.lit(0))))
-    split = F.flatten(F.transform(parts, lambda p: F.concat(F.array(p), words(p))))
-    plain = F.filter(F.transform(split, lambda w: F.lower(F.regexp_replace(w, r"^[_$]+|[_$]+$", ""))), lambda w: F.length(w) >= 2)
-    return F.struct(F.slice(named, 1, identifiers).alias("identifiers"), F.slice(F.array_distinct(plain), 1, terms).alias("terms"))
+    quoted = F.flatten(F.transform(F.regexp_extract_all(query, F.lit(IN_QUOTES), F.lit(0)), _names))
+    named = F.array_distinct(F.filter(_names(query), lambda w: w.rlike(LIKE_CODE) | F.array_contains(quoted, w)))
+    humps = lambda p: F.split(F.regexp_replace(F.regexp_replace(p, "([A-Z][a-z])", " $1"), "([a-z0-9])([A-Z])", "$1 $2"), " +")
+    parts = F.flatten(F.transform(named, lambda w: F.split(w, "[^A-Za-z0-9]+")))
+    every = F.flatten(F.transform(parts, lambda p: F.concat(F.array(p), humps(p))))
+    lowered = F.filter(F.transform(every, lambda w: F.lower(w)), lambda w: F.length(w) > 1)
+    return F.struct(F.slice(named, 1, identifiers).alias("identifiers"), F.slice(F.array_distinct(lowered), 1, terms).alias("terms"))
 
 
 def html_escape(text: Column) -> Column:

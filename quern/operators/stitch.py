@@ -22,40 +22,71 @@ def contains(whole: str, part: str) -> bool:
     return bool(whole and part) and (whole == part or (len(part) >= LEAST and part in whole))
 
 
+def matched_prefixes(pattern: str, text: str) -> list[int]:
+    """After each character of `text`, how long a beginning of `pattern` ends there: one pass with
+    the pattern's prefix function."""
+    border = [0] * len(pattern)
+    k = 0
+    for i in range(1, len(pattern)):
+        while k and pattern[i] != pattern[k]:
+            k = border[k - 1]
+        k += pattern[i] == pattern[k]
+        border[i] = k
+    out, k = [], 0
+    for c in text:
+        while k and (k == len(pattern) or pattern[k] != c):
+            k = border[k - 1]
+        k += bool(pattern) and pattern[k] == c
+        out.append(k)
+    return out
+
+
 def shared_end(first: str, second: str, most: int = SPAN) -> int:
     """The longest end of `first` that `second` begins with, from LEAST to `most` characters; else 0."""
-    longest = min(len(first), len(second), most)
-    return next((n for n in range(longest, LEAST - 1, -1) if first.endswith(second[:n])), 0)
+    most = min(most, len(first), len(second))
+    n = matched_prefixes(second[:most], first[len(first) - most :])[-1] if most > 0 else 0
+    return n if n >= LEAST else 0
 
 
 def join_texts(first: str, second: str, gap: str = "\n\n") -> str:
     """Both texts once: the one that holds the other, or both over what they share, or with `gap` between."""
-    if not first or not second:
-        return first or second
-    if contains(first, second) or contains(second, first):
-        return max(first, second, key=len)
-    n = shared_end(first, second)
-    return first + (second[n:] if n else gap + second)
+    texts = [t for t in (first, second) if t]
+    if len(texts) < 2:
+        return "".join(texts)
+    short, long = sorted(texts, key=len)
+    if contains(long, short):
+        return long
+    shared = shared_end(first, second)
+    return f"{first}{'' if shared else gap}{second[shared:]}"
 
 
 def append_exact(first: str, second: str, overlap: int) -> str | None:
     """`second` after `first` without `overlap` characters that both must have; None if they haven't."""
     if not first or not second:
         return first or second
-    return first + second[overlap:] if 0 <= overlap <= len(second) and first.endswith(second[:overlap]) else None
+    fits = 0 <= overlap <= min(len(first), len(second)) and first[len(first) - overlap :] == second[:overlap]
+    return first + second[overlap:] if fits else None
+
+
+def repeated_head(text: str) -> int:
+    """Characters of the table rows that a text begins with: what a splitter may have put before it."""
+    at = 0
+    for line in text.splitlines(keepends=True):
+        if not line.lstrip().startswith("|"):
+            break
+        at += len(line)
+    return at
 
 
 def append_searched(first: str, second: str, overlap: int) -> str:
-    """`second` after `first` without what they share, where places say that about `overlap`
-    characters are. What `second` has before that, a table head that was put there, goes too."""
+    """`second` after `first` without what they share, where places say that they share something. It
+    begins `second`, or stands after lines of a table head there, which go with it; the longest
+    shared part of LEAST characters or more counts, the first of equals."""
     if not first or not second or overlap <= 0:
         return first + second
-    most, slack = min(len(first), len(second), max(3 * overlap, SPAN)), max(2 * overlap, 320)
-    for n in range(most, LEAST - 1, -1):
-        at = second.find(first[-n:], 0, slack + n)
-        if at >= 0:
-            return first + second[at + n :]
-    return first + second
+    lines = [0, *(k + 1 for k, c in enumerate(second[: repeated_head(second)]) if c == "\n")]
+    shared, at = max((shared_end(first, second[at:], max(SPAN, 3 * overlap)), -at) for at in lines)
+    return first + (second[shared - at :] if shared else second)
 
 
 def trusted(start: Column, end: Column, content: Column, edited: Column) -> Column:
@@ -63,18 +94,21 @@ def trusted(start: Column, end: Column, content: Column, edited: Column) -> Colu
     return ~edited & (end > start) & (F.length(content) == end - start)
 
 
+#: How a chunk lies to what was joined before it, by where it begins and ends: begins after its end (or
+#: not), ends after its end (or not).
+BY_PLACE = {(True, True): "apart", (True, False): "apart", (False, True): "extends", (False, False): "inside"}
+
+
 def relation(above: dict, below: dict) -> str:
     """How a chunk goes on from what was joined before it: 'apart', 'extends', 'inside', 'beside'
     (inside by place, not by text) or 'text' (places aren't trusted; text or index says it follows)."""
-    if above["trusted"] and below["trusted"] and below["start_at"] >= above["start_at"]:
-        if below["start_at"] > above["end_at"]:
-            return "apart"
-        if below["end_at"] > above["end_at"]:
-            return "extends"
-        return "inside" if contains(above["content"], below["content"]) else "beside"
-    follows = below["chunk_index"] == above["last_index"] + 1
-    either = contains(above["content"], below["content"]) or contains(below["content"], above["content"])
-    return "text" if follows or either else "apart"
+    places = above["trusted"] and below["trusted"] and above["start_at"] <= below["start_at"]
+    texts = sorted((above["content"], below["content"]), key=len)
+    if not places:
+        follows = below["chunk_index"] - above["last_index"] == 1
+        return "text" if follows or contains(texts[1], texts[0]) else "apart"
+    how = BY_PLACE[below["start_at"] > above["end_at"], below["end_at"] > above["end_at"]]
+    return "beside" if how == "inside" and not contains(above["content"], below["content"]) else how
 
 
 def fold(chunks: list[dict]) -> list[dict]:

@@ -126,9 +126,10 @@ def _replaced(text: str, steps) -> str:
     return text
 
 
-ROWS_SQL = f"""array_to_string(list_transform(string_split(t, chr(10)), lambda line: CASE WHEN regexp_matches(line, {lit(P.ROW)}) THEN
-  array_to_string(list_filter(list_transform(string_split(regexp_extract(line, {lit(P.ROW)}, 1), '|'), lambda c: trim(c)), lambda c: c != ''), ', ') ELSE line END), chr(10))"""
-CLEAN_SQL = f"""(SELECT id, regexp_replace({_replaced("u", P.MARKS)}, '^\\s+|\\s+$', '', 'g') AS clean FROM (SELECT id, CASE WHEN contains(t, '|') THEN {ROWS_SQL} ELSE t END AS u FROM (SELECT id, {_replaced("text", P.MARKUP)} AS t FROM src)))"""
+WORDS_OF_LINE = f"""CASE WHEN regexp_matches(line, {lit(P.TABLE_RULE)}) THEN '' WHEN regexp_matches(line, {lit(P.TABLE_LINE)})
+  THEN array_to_string(list_filter(list_transform(string_split(line, '|'), lambda c: trim(c)), lambda c: c != ''), ', ') ELSE {_replaced("line", [(sign, "") for sign in P.LINE_SIGNS])} END"""
+LINES_SQL = f"array_to_string(list_transform(list_filter(string_split(text, chr(10)), lambda line: NOT regexp_matches(line, {lit(P.FENCE)})), lambda line: {WORDS_OF_LINE}), chr(10))"
+CLEAN_SQL = f"(SELECT id, regexp_replace(regexp_replace({_replaced('t', P.INLINE)}, '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS clean FROM (SELECT id, {LINES_SQL} AS t FROM src))"
 
 
 @query(f"WITH src AS (SELECT doc_id AS id, text FROM documents UNION ALL SELECT -1 - page_id, html FROM pages) SELECT id, md5(clean) AS clean_md5, length(clean) AS n_chars FROM {CLEAN_SQL}")
@@ -152,10 +153,10 @@ STOPS = ", ".join(map(lit, P.STOP_WORDS))
 
 
 @query(rf"""WITH s AS (SELECT item_id, trim(CASE WHEN item_id % 2 = 0 THEN 'What is “' || substr(text, 1, 20) || '” and ' || text ELSE text END) AS q FROM benchmark),
-w AS (SELECT *, list_filter(regexp_extract_all(q, '\p{{Han}}+|[\p{{L}}\p{{Nd}}]+'), lambda x: lower(x) NOT IN ({STOPS}) AND length(x) > 1) AS w FROM s),
-v AS (SELECT item_id, q, list_filter(list_transform(list_concat(list_concat(CASE WHEN len(w) >= 2 THEN [array_to_string(w, ' ')] ELSE [] END, list_filter(regexp_extract_all(q, {lit(P.QUOTED)}, 1), lambda p: strlen(p) > 2)),
-      list_concat(list_filter(regexp_split_to_array(q, {lit(P.DELIMITERS)}), lambda p: strlen(p) > 5), [trim(regexp_replace(q, {lit(P.QUESTION_WORDS)}, ''))])), lambda x: trim(x)), lambda x: strlen(x) >= 3 AND lower(x) != lower(q)) AS v FROM w)
-SELECT item_id, array_to_string(list_filter(v, lambda x, k: list_position(list_transform(v, lambda y: lower(y)), lower(x)) = k)[1:5], '|') AS variants FROM v""")
+w AS (SELECT *, list_filter(regexp_extract_all(q, '\p{{Han}}+|[\p{{L}}\p{{Nd}}]+'), lambda x: lower(x) NOT IN ({STOPS}) AND length(x) > 1) AS w,
+  list_filter(list_transform(regexp_extract_all(q, {lit(P.SPANS)}), lambda x: CASE WHEN contains({lit(P.QUOTE_SIGNS)}, x[1]) THEN trim(x[2:-2]) WHEN strlen(x) > 5 THEN x END), lambda x: x IS NOT NULL) AS spans FROM s),
+v AS (SELECT item_id, q, list_concat(list_concat(CASE WHEN len(w) > 1 THEN [array_to_string(w, ' ')] ELSE [] END, spans), [trim(regexp_replace(q, {lit(P.QUESTION_WORDS)}, ''))]) AS v FROM w)
+SELECT item_id, array_to_string(list_filter(v, lambda x, k: strlen(x) > 2 AND lower(x) != lower(q) AND list_position(list_transform(v, lambda y: lower(y)), lower(x)) = k)[1:5], '|') AS variants FROM v""")
 def query_expansion(spark, sf_dir):
     text = F.col("text")
     asked = F.when(F.col("item_id") % 2 == 0, F.concat(F.lit("What is “"), F.substr(text, F.lit(1), F.lit(20)), F.lit("” and "), text)).otherwise(text)

@@ -553,3 +553,44 @@ def test_vector_index_is_exact_with_all_lists(spark, tmp_path):
     run = lambda df: sorted((r.query_id, r.vec_id, r.score, r["rank"]) for r in df.collect())
     assert run(vector_index.search(built, centres, asked, 7, 10)) == run(retrieval.vector_search(vectors, asked, 7))
     assert vector_index.search(built, centres, asked.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text,clean",
+    [
+        ("plain words", "plain words"), ("a ![alt](http://x/i.png) b", "a  b"), ("see [the docs](https://d.x) there", "see the docs there"), ("go https://e.x/p?q=1&b=2 now", "go  now"),
+        ("code:\n```python\nprint('x')\n```\nend", "code:\nprint('x')\nend"), ("so $$E=mc^2$$ is", "so E=mc^2 is"), ("| n | v |\n| --- | --- |\n| A | 1 |", "n, v\n\nA, 1"),
+        ("## Two\n### 2.1 More", "Two\n2.1 More"), ("> a quote\n> goes on", "a quote\ngoes on"), ("is **bold** and *slanted* and ***both*** so", "is bold and slanted and both so"),
+        ("- one\n- two\n1. three\n2. four", "one\ntwo\nthree\nfour"), ('a<br>b<div class="t">c</div>d', "abcd"), ("one\n\n\n\n\ntwo", "one\n\ntwo"), ("| --- | --- |", ""), ("  \n\n ", ""), (None, None),
+        ("[![i](a.png)](http://x) **a *b* c** *** 2 * 3", "a b c *** 2 * 3"), ("[w](http://en.x/A_(b)) and `code`", "w and `code`"), ("> - [ ] item", "[ ] item"),
+    ],
+)
+def test_clean_passage(spark, text, clean):
+    from quern.functions import prepare
+
+    assert spark.createDataFrame([(text,)], "t string").select(prepare.clean_passage(F.col("t"))).first()[0] == clean
+
+
+def test_code_query(spark):
+    from quern.functions import text as T
+
+    asked = ["如何查询用户预约记录", "how to update the record", "find `demo.PushScheduleMapper#selectById` now", "find_by_reservation_id", "src/main/java/demo/UserMapper.xml.", 'the "order" of it', "UserMapper.findById " + "VeryLongIdentifier_" * 80, None]
+    got = [r.c for r in spark.createDataFrame(list(enumerate(asked)), "k int, q string").orderBy("k").select(T.code_query(F.col("q")).alias("c")).collect()]
+    assert not got[0]["identifiers"] and not got[1]["identifiers"] and not got[1]["terms"]
+    assert got[2]["identifiers"] == ["demo.PushScheduleMapper#selectById"] and {"push", "schedule", "mapper", "select", "by", "id", "demo"} <= set(got[2]["terms"])
+    assert got[3]["identifiers"] == ["find_by_reservation_id"] and {"find", "by", "reservation", "id"} <= set(got[3]["terms"])
+    assert got[4]["identifiers"] == ["src/main/java/demo/UserMapper.xml"] and {"src", "main", "java", "demo", "user", "mapper", "xml"} <= set(got[4]["terms"])
+    assert got[5]["identifiers"] == ["order"] and len(got[6]["identifiers"]) <= 8 and len(got[6]["terms"]) <= 32
+
+
+def test_overlaps_that_places_promise():
+    overlap = "shared boundary text"
+    assert stitch.append_exact("before " + overlap, overlap + " after", len(overlap)) == "before " + overlap + " after"
+    row = "| cell | cell |\n"
+    assert stitch.append_exact("intro\n" + row + row, row * 3 + "end\n", 0) == "intro\n" + row * 5 + "end\n"
+    assert stitch.append_exact("abcdefghijkl", "XYZdefghijkl", 6) is None and stitch.append_exact("short", "shorter", 99) is None and stitch.append_exact("short", "shorter", -1) is None
+    assert stitch.append_searched("abcdefghijklmnopqrstuvwxyz0123", "klmnopqrstuvwxyz0123ABCDEFG", 20) == "abcdefghijklmnopqrstuvwxyz0123ABCDEFG"
+    head, rows = "| c1 | c2 |\n|:---|:---|\n", "| r5 | content 5 |\n| r6 | content 6 |\n"
+    assert stitch.append_searched(head + "| r4 | x |\n" + rows, head + rows + "| r7 | y |\n", len(rows)) == head + "| r4 | x |\n" + rows + "| r7 | y |\n"
+    assert stitch.append_searched("a sentence said twice. ", "Now: a sentence said twice. And more", 10).endswith("twice. Now: a sentence said twice. And more")
+    assert stitch.join_texts("prefix complete current body suffix", "complete current body") == "prefix complete current body suffix"
