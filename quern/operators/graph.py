@@ -90,8 +90,8 @@ def folder_name(path: Column) -> Column:
 
 def missing_links(pages: DataFrame, links: DataFrame) -> DataFrame:
     """slug, target: pages (slug, title, text) whose text has another page's title without a link
-    (slug, target) to it. Titles are searched for all at once; see relations.containing()."""
-    from quern.operators.relations import containing
+    (slug, target) to it. Titles are found by anchor grams; see quern.operators.containment."""
+    from quern.operators.containment import containing
 
     titles = pages.filter("trim(title) != ''").select(F.col("slug").alias("passage_id"), F.col("title").alias("passage"))
     found = containing(pages, titles, "slug", "text", within=False).select(F.col("doc_id").alias("slug"), F.col("passage_id").alias("target"))
@@ -124,8 +124,8 @@ def link_text(text: str, titles: list[tuple[str, str]]) -> str:
 
 def linked_pages(pages: DataFrame) -> DataFrame:
     """slug, text of pages (slug, title, text) with links to the other pages whose titles they have.
-    Titles are searched for all at once; a page then gets those that it has, and no others."""
-    from quern.operators.relations import containing
+    Titles are found by anchor grams; a page then gets those that it has, and no others."""
+    from quern.operators.containment import containing
 
     titles = pages.filter("title != ''").select(F.col("slug").alias("passage_id"), F.col("title").alias("passage"))
     found = containing(pages, titles, "slug", "text", within=False).filter("doc_id != passage_id")

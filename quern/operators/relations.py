@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,58 +128,6 @@ def similar_surfaces(names: DataFrame, limit: float = 0.8, column: str = "name")
     return full.withColumn("similarity", F.round(T.jaccard(F.col("ga"), F.col("gb")), 6)).filter(F.col("similarity") >= limit).select("a", "b", "similarity")
 
 
-PASSAGE_BLOCK = 2_000_000  # characters of passages that one pass holds
-
-
-def containing(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text", within: bool = True) -> DataFrame:
-    """doc_id, passage_id: documents that contain a passage (passage_id, passage) or, with
-    `within`, are contained in one. Passages are searched all at once by an Aho-Corasick
-    automaton, in blocks of bounded size; empty texts and passages match nothing. For the
-    other direction the parts change: documents no longer than the longest passage are
-    searched for in the passages."""
-    found = _containing(docs, passages, id_col, text_col)
-    if not within:
-        return found
-    longest = passages.agg(F.coalesce(F.max(F.length("passage")), F.lit(0))).first()[0]
-    short = docs.filter(F.col(text_col) != "").filter(F.length(text_col) <= longest).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("passage"))
-    texts = short.select("passage").distinct().withColumn("passage_id", F.col("passage"))
-    inside = _containing(passages, texts, "passage_id", "passage").select(F.col("doc_id").alias("passage_id"), F.col("passage_id").alias("passage"))
-    return found.unionByName(inside.join(short, "passage").select("doc_id", "passage_id")).distinct()
-
-
-def _containing(docs: DataFrame, passages: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    import ahocorasick
-
-    size = passages.agg(F.coalesce(F.sum(F.length("passage")), F.lit(0))).first()[0]
-    blocks = max(1, math.ceil(size / PASSAGE_BLOCK))
-    out = None
-    for block in range(blocks):
-        rows = passages.filter("passage != ''").filter(F.pmod(F.xxhash64("passage_id"), F.lit(blocks)) == block).orderBy("passage_id").collect()
-        sent = docs.sparkSession.sparkContext.broadcast([(r.passage_id, r.passage) for r in rows])
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            automaton, by_text = ahocorasick.Automaton(), {}
-            for k, (_, passage) in enumerate(sent.value):
-                by_text.setdefault(passage, []).append(k)
-            for passage, owners in by_text.items():
-                automaton.add_word(passage, owners)
-            automaton.make_automaton()
-            for batch in batches:
-                found: list[tuple[int, int]] = []
-                for row, raw in enumerate(batch.column("text")):
-                    text = raw.as_py()
-                    if text and by_text:
-                        inside = {k for _, owners in automaton.iter(text) for k in owners}
-                        found += [(row, k) for k in sorted(inside)]
-                if found:
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array([r for r, _ in found])), pa.array([sent.value[k][0] for _, k in found])], ["doc_id", "passage_id"])
-
-        kinds = f"doc_id {docs.schema[id_col].dataType.simpleString()}, passage_id {passages.schema['passage_id'].dataType.simpleString()}"
-        part = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, kinds)
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def first_passage(found: DataFrame) -> DataFrame:
     """doc_id, passage_id of containing(): each document's least passage, its first match."""
     return found.groupBy("doc_id").agg(F.min("passage_id").alias("passage_id"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quern.operators import graph as G
 from quern.operators import memory as M
 from quern.operators import relations as J
+from quern.operators.containment import containing
 from quern.operators import rerank as K
 from quern.operators import retrieval as R
 from quern.plans.pipeline_queries import _grams
@@ -254,7 +255,7 @@ def unused_tags(spark, sf_dir):
 @query("SELECT d.doc_id, min(b.item_id) AS passage_id FROM documents d JOIN benchmark b ON d.text != '' AND (contains(d.text, b.text) OR contains(b.text, d.text)) GROUP BY d.doc_id")
 def first_passages(spark, sf_dir):
     passages = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("passage_id"), F.col("text").alias("passage"))
-    return J.first_passage(J.containing(table(spark, sf_dir, "documents"), passages))
+    return J.first_passage(containing(table(spark, sf_dir, "documents"), passages))
 
 
 @query(f"""WITH h AS (SELECT lang AS query_id, doc_id, source, {NORMALISE} AS n, CAST(row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS INTEGER) AS rank FROM documents),

@@ -8,6 +8,7 @@ from quern.operators import graph as G
 from quern.operators import memory as M
 from quern.operators import metrics as E
 from quern.operators import relations as J
+from quern.operators.containment import containing
 from quern.operators import rerank as K
 from quern.operators import retrieval as R
 from quern.plans.registry import ORACLE_SQL, query
@@ -94,7 +95,7 @@ CONTAINS = "SELECT d.doc_id, b.item_id AS passage_id FROM documents d, benchmark
 @query(CONTAINS)
 def passage_containment(spark, sf_dir):
     passages = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("passage_id"), F.col("text").alias("passage"))
-    return J.containing(table(spark, sf_dir, "documents"), passages)
+    return containing(table(spark, sf_dir, "documents"), passages)
 
 
 @query(r"""WITH names AS (SELECT DISTINCT regexp_extract(html, '<title>([^<]*)</title>', 1) AS name FROM pages),
@@ -121,7 +122,7 @@ def retrieval_metrics(spark, sf_dir):
     """The whole evaluation set: every benchmark item."""
     docs = table(spark, sf_dir, "documents")
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    truth = J.containing(docs, asked.select(F.col("query_id").alias("passage_id"), F.col("query").alias("passage")))
+    truth = containing(docs, asked.select(F.col("query_id").alias("passage_id"), F.col("query").alias("passage")))
     return E.retrieval_metrics(R.bm25(docs, asked, 10), truth.select(F.col("passage_id").alias("query_id"), "doc_id"))
 
 

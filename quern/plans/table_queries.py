@@ -33,7 +33,7 @@ def grep_documents(spark, sf_dir):
 @query("""SELECT (SELECT count(*) FROM benchmark) AS n_queries, count(*) AS n_passages, count(DISTINCT item_id) AS n_covered,
   round(count(*) / (SELECT count(*) FROM benchmark), 6) AS passages_per_query, round(count(DISTINCT item_id) * 100 / (SELECT count(*) FROM benchmark), 6) AS coverage FROM documents d JOIN benchmark b ON contains(d.text, b.text)""")
 def dataset_statistics(spark, sf_dir):
-    from quern.operators.relations import containing
+    from quern.operators.containment import containing
 
     bench = table(spark, sf_dir, "benchmark")
     found = containing(table(spark, sf_dir, "documents"), bench.select(F.col("item_id").alias("passage_id"), F.col("text").alias("passage")), within=False)

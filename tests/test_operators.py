@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quern.functions import text as T
 from quern.functions import vectors as V
 from quern.functions import prepare
-from quern.operators import chunking, faq, graph, memory, metrics, relations, rerank, retrieval, sql_surface, stitch
+from quern.operators import chunking, containment, faq, graph, memory, metrics, relations, rerank, retrieval, sql_surface, stitch
 from quern.session import fresh
 from quern.sources import documents, feed, files, html
 from quern.streaming import ingest
@@ -276,9 +276,26 @@ def test_filters(spark):
 
 
 def test_containing(spark):
-    docs = spark.createDataFrame([(1, "xx abc yy bc"), (2, "b"), (3, ""), (4, None), (5, "none")], "doc_id long, text string")
-    passages = spark.createDataFrame([(7, "abc"), (8, "bc"), (9, "")], "passage_id long, passage string")
-    assert {tuple(r) for r in relations.containing(docs, passages).collect()} == {(1, 7), (1, 8), (2, 7), (2, 8)}
+    docs = spark.createDataFrame([(1, "xx abc yy bc"), (2, "b"), (3, ""), (4, None), (5, "none"), (None, "abc")], "doc_id long, text string")
+    passages = spark.createDataFrame([(7, "abc"), (8, "bc"), (9, ""), (10, None)], "passage_id long, passage string")
+    assert {tuple(r) for r in containment.containing(docs, passages).collect()} == {(1, 7), (1, 8), (2, 7), (2, 8)}
+    assert containment.containing(docs.limit(0), passages).count() == 0 == containment.containing(docs, passages.limit(0)).count()
+
+
+@pytest.mark.parametrize("most", [2_000_000, 3])
+def test_containing_is_the_plain_search(spark, monkeypatch, most):
+    """Passages of every length, in repetitive and in varied texts, with the keys broadcast and without."""
+    monkeypatch.setattr(containment.found_in, "__defaults__", (most,))
+    rng = random.Random(9)
+    made = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    docs = [(k, made(rng.choice([3, 20, 60, 200, 900]), rng.choice(["ab", "abcdefgh é漢", "a"]))) for k in range(60)]
+    cut = lambda t, n: (lambda a: t[a : a + n])(rng.randrange(max(1, len(t) - n)))
+    passages = [(100 + k, cut(rng.choice(docs)[1], n) + rng.choice(["", "", "a"])) for k, n in enumerate([1, 2, 3, 5, 7, 8, 9, 20, 30, 31, 32, 50, 80, 120, 300] * 4)]
+    passages += [(300 + k, made(10, "ab") + docs[k][1] + made(9, "é漢")) for k in range(0, 60, 4)] + [(400, "the same"), (401, "the same")]
+    docs += [(500, "it is the same again"), (501, "the same")]
+    want = {(i, j) for i, t in docs for j, p in passages if p in t or t in p}
+    got = containment.containing(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(passages, "passage_id long, passage string"))
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(want) > 200
 
 
 def test_similar_surfaces_loses_no_pair(spark):
