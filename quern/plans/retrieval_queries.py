@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from quern.functions import vectors as V
 from quern.operators import retrieval as R
+from quern.operators.keyword_index import KeywordIndex
 from quern.operators import vector_index as I
 from quern.plans.registry import query
-from quern.session import shared_dir, table
+from quern.session import materialise, remove, shared_dir, table
 
 
 def bench_queries(spark, sf_dir):
@@ -41,6 +42,29 @@ def bm25_search(spark, sf_dir):
     return R.bm25(table(spark, sf_dir, "documents"), bench_queries(spark, sf_dir), 10)
 
 
+def _from_index(spark, additions, asked, k):
+    """Search an index that is made of these tables for the purpose, and deleted when it was searched."""
+    index = KeywordIndex(spark, f"{shared_dir(spark)}/keywords-{uuid.uuid4().hex}")
+    for docs in additions:
+        index.add(docs)
+    found = materialise(index.search(asked, k), "found")
+    remove(spark, index.path)
+    return found
+
+
+@query(f"WITH {BM25_CTE} SELECT query_id, doc_id, score, rank FROM bm_ranked WHERE rank <= 10")
+def keyword_index_search(spark, sf_dir):
+    """The rows of bm25_search, by a stored index."""
+    return _from_index(spark, [table(spark, sf_dir, "documents")], bench_queries(spark, sf_dir), 10)
+
+
+@query(f"WITH {BM25_CTE} SELECT query_id, doc_id, score, rank FROM bm_ranked WHERE rank <= 25")
+def keyword_index_additions(spark, sf_dir):
+    """An index that grew by one language after the other."""
+    docs = table(spark, sf_dir, "documents")
+    return _from_index(spark, [docs.filter("lang = 'en'"), docs.filter("lang = 'de'"), docs.filter("coalesce(lang, '') NOT IN ('en', 'de')")], bench_queries(spark, sf_dir), 25)
+
+
 @query(f"WITH {COS_CTE} SELECT query_id, vec_id, score, rank FROM cos_ranked WHERE rank <= 10")
 def vector_search_cosine(spark, sf_dir):
     return R.vector_search(table(spark, sf_dir, "embeddings"), vector_queries(spark, sf_dir), 10)

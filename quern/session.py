@@ -81,10 +81,15 @@ def scratch() -> Iterator[None]:
 
 def discard(df: DataFrame) -> None:
     """Delete a table that materialise() wrote and that nothing reads any more."""
-    spark, path = df.sparkSession, getattr(df, "_quern_path", None)
+    path = getattr(df, "_quern_path", None)
     if path:
-        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+        remove(df.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any store."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -611,3 +611,26 @@ def test_overlaps_that_places_promise():
     assert stitch.append_searched(head + "| r4 | x |\n" + rows, head + rows + "| r7 | y |\n", len(rows)) == head + "| r4 | x |\n" + rows + "| r7 | y |\n"
     assert stitch.append_searched("a sentence said twice. ", "Now: a sentence said twice. And more", 10).endswith("twice. Now: a sentence said twice. And more")
     assert stitch.join_texts("prefix complete current body suffix", "complete current body") == "prefix complete current body suffix"
+
+
+def test_keyword_index(spark, tmp_path, monkeypatch):
+    """Equal to the scan, over additions, with fewer postings read than there are for its words."""
+    from quern.operators import keyword_index
+
+    monkeypatch.setattr(keyword_index, "SEGMENT", 16)
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(400)]
+    text = lambda: " ".join(words[min(int(rng.paretovariate(0.6)) - 1, 399)] for _ in range(rng.randrange(0, 60)))
+    docs = [(k, text()) for k in range(1500)] + [(2000, None), (2001, ""), (2002, "漢字 w5"), (2003, "w5 " * 4000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "w5 w17 w220"), (2, "w390 w0"), (3, "none of them"), (4, None), (5, "漢字"), (6, "w0 w1 w2 w3 w150 w151")], "query_id long, query string")
+    index = keyword_index.KeywordIndex(spark, str(tmp_path / "i"), folders=4).add(df.filter("doc_id < 700"))
+    rows = lambda out: sorted(map(tuple, out.collect()))
+    assert rows(index.search(asked, 5)) == rows(retrieval.bm25(df.filter("doc_id < 700"), asked, 5))
+    index.add(df.filter("doc_id >= 700"))
+    got, want = rows(index.search(asked, 7)), rows(retrieval.bm25(df, asked, 7))
+    assert got == want and {r[0] for r in got} == {1, 2, 5, 6}
+    rare = spark.createDataFrame([(1, "w1 w2 w150 w260 w333")], "query_id long, query string")
+    assert rows(index.search(rare, 5)) == rows(retrieval.bm25(df, rare, 5)) and 0 < index.blocks_read < 0.7 * index.blocks_asked
+    none = keyword_index.KeywordIndex(spark, str(tmp_path / "n")).add(df.limit(0))
+    assert rows(none.search(asked, 5)) == []
