@@ -531,8 +531,8 @@ def test_raking_reaches_its_marginals():
     tokens = rng.integers(500, 1500, 300).astype(float)
     shares = [np.bincount(m, tokens * rng.uniform(0.7, 1.3, 300)) for m in members]
     shares = [s / s.sum() for s in shares]
-    take = mixing.rake(tokens, members, shares, 0.5)
-    assert (take >= 0).all() and (take <= tokens).all() and take.sum() == pytest.approx(0.5 * tokens.sum())
+    take, gap = mixing.rake(tokens, members, shares, 0.5)
+    assert gap < 1e-6 and (take >= 0).all() and (take <= tokens).all() and take.sum() == pytest.approx(0.5 * tokens.sum())
     for m, s in zip(members, shares):
         assert np.bincount(m, take) / take.sum() == pytest.approx(s, abs=1e-6)
     # Slow raking without the limit gives the same where the limit doesn't bind.
@@ -541,24 +541,50 @@ def test_raking_reaches_its_marginals():
         for m, s in zip(members, shares):
             slow *= (s / (np.bincount(m, slow) / slow.sum()))[m]
     assert slow / slow.sum() == pytest.approx(take / take.sum(), abs=1e-6)
-    assert mixing.rake(np.zeros(3), [np.arange(3)], [np.full(3, 1 / 3)], 1.0).sum() == 0
-    assert mixing.rake(np.array([10.0, 90.0]), [np.arange(2)], [np.array([0.5, 0.5])], 0.4).tolist() == pytest.approx([10, 30])
+    assert mixing.rake(np.zeros(3), [np.arange(3)], [np.full(3, 1 / 3)], 1.0)[0].sum() == 0
+    assert mixing.rake(np.array([10.0, 90.0]), [np.arange(2)], [np.array([0.5, 0.5])], 0.4)[0].tolist() == pytest.approx([10, 30])
 
 
 def test_raking_reports_what_cannot_be_met():
     """Two cells on a diagonal can't have unlike marginals; one marginal is met, and the gap is told."""
+    diagonal = [np.array([0, 1]), np.array([0, 1])]
     with pytest.warns(mixing.RakingWarning):
-        take = mixing.rake(np.array([100.0, 100.0]), [np.array([0, 1]), np.array([0, 1])], [np.array([0.9, 0.1]), np.array([0.5, 0.5])], 0.5)
-    assert (take <= 100).all() and take == pytest.approx([50, 50])
+        take, gap, fraction = mixing.rake_within(np.array([100.0, 100.0]), diagonal, [np.array([0.9, 0.1]), np.array([0.5, 0.5])], 0.5)
+    assert (take <= 100).all() and take[0] == pytest.approx(take[1]) and gap > 0.5
 
 
-def slow_topic(text, weights, bits):
+def test_the_fraction_is_lowered_until_marginals_fit():
+    """A cell that runs out makes two marginals contradict each other at a high fraction only."""
+    tokens = np.array([100.0, 10.0, 10.0, 100.0])
+    members, shares = [np.array([0, 0, 1, 1]), np.array([0, 1, 0, 1])], [np.array([0.5, 0.5]), np.array([0.35, 0.65])]
+    assert mixing.rake(tokens, members, shares, 0.9)[1] > 1e-3
+    take, gap, fraction = mixing.rake_within(tokens, members, shares, 0.9)
+    assert gap <= 1e-3 and fraction < 0.9 and take.sum() == pytest.approx(fraction * 220, rel=1e-6) and (take <= tokens).all()
+
+
+def slow_sketch(text):
     counts = {}
     for w in (text or "").split():
-        at = xxhash.xxh64_intdigest(w.lower().strip(".,;:!?\"'()")) >> (64 - bits)
-        counts[at] = counts.get(at, 0) + 1
-    scores = [sum(float(row[at]) * np.log(1 + n) for at, n in counts.items()) for row in weights]
-    return sorted(range(len(scores)), key=lambda k: -scores[k]) if counts else None, scores
+        h = xxhash.xxh64_intdigest(w.lower().strip(".,;:!?\"'()")) >> 40
+        counts[h] = counts.get(h, 0) + 1
+    out = [0.0] * 64
+    for h, n in counts.items():
+        out[h % 64] += np.log1p(n) * (1 if h & 64 else -1)
+    norm = np.sqrt(sum(x * x for x in out))
+    return [round(127 * x / norm) if norm else 0 for x in out]
+
+
+def slow_topics(rows):
+    """The topic of each (id, text, lang, source): the sides along a language's principal axes."""
+    out = {}
+    for lang in {r[2] for r in rows}:
+        own = [r for r in rows if r[2] == lang and (r[1] or "").split()]
+        x = np.array([slow_sketch(r[1]) for r in own], float)
+        if len(own):
+            _, _, axes = np.linalg.svd(x - x.mean(axis=0))
+            side = (x - x.mean(axis=0)) @ np.array([a * np.sign(a[np.abs(a).argmax()]) for a in axes[:3]]).T
+            out |= {r[0]: ("topic%d" % sum((s > 0) << k for k, s in enumerate(row)), min(abs(row))) for r, row in zip(own, side)}
+    return out
 
 
 def slow_chance(i, text, seed=7):
@@ -569,69 +595,99 @@ def slow_chance(i, text, seed=7):
     return (h >> 11) / (1 << 53)
 
 
-def slow_mix(rows, weights, bits, fraction):
-    """mix() in plain Python, with raking that knows no limit: doc_id, topic, tokens, probability, sampled."""
-    made = []
-    for i, text, lang, source in rows:
-        order, _ = slow_topic(text, weights, bits)
-        made.append((i, source, lang, f"topic{order[0]}" if order else None, len((text or "").split()), slow_chance(i, text)))
+def slow_mix(rows, topics, fraction):
+    """mix() in plain Python: doc_id to (topic, tokens, probability, chance). Cells that run out are
+    held, and the others of the value are scaled until it has its goal."""
+    made = [(i, source, lang, topics.get(i, (None,))[0], len((text or "").split()), slow_chance(i, text)) for i, text, lang, source in rows]
     total = sum(r[4] for r in made)
-    sums = lambda key, rs=made: {k: sum(r[4] for r in rs if key(r) == k) for k in {key(r) for r in rs}}
-    goals = []
+    sums = lambda key: {k: sum(r[4] for r in made if key(r) == k) for k in {key(r) for r in made}}
+    cells, goals = sums(lambda r: r[1:4]), []
     for d in (1, 2, 3):
         have = sums(lambda r: r[d])  # noqa: B023
-        named = {k: n**mixing.POWER for k, n in have.items() if k is not None and n > 0}
-        rest = total - sum(n for k, n in have.items() if k in named)
-        goals.append({k: v / sum(named.values()) * (total - rest) for k, v in named.items()} | ({None: rest} if None in have else {}))
-    cells = sums(lambda r: r[1:4])
-    weight = {c: float(n) for c, n in cells.items()}
-    for _ in range(3000):
+        wanted = {k: n**mixing.POWER if k is not None else 0.0 for k, n in have.items() if n > 0}
+        none = have.get(None, 0) / total  # it keeps its share
+        scale = sum(wanted.values())
+        wanted = {k: v / scale * (1 - none) if k is not None else none for k, v in wanted.items()}
+        level, goal = fraction * total, {}
+        while True:  # what a value can't give, the others make up for
+            left = {k: w for k, w in wanted.items() if k not in goal}
+            unit = (level - sum(goal.values())) / sum(left.values())
+            over = {k: have[k] for k, w in left.items() if have[k] <= unit * w}
+            if not over:
+                goals.append(goal | {k: unit * w for k, w in left.items()})
+                break
+            goal |= over
+    take = {c: n * fraction for c, n in cells.items()}
+    for _ in range(400):
         for d in range(3):
-            now = {}
-            for c, n in weight.items():
-                now[c[d]] = now.get(c[d], 0) + n
-            weight = {c: n * goals[d].get(c[d], 0) / now[c[d]] if now[c[d]] else 0.0 for c, n in weight.items()}
-    return {r[0]: (r[3], r[4], weight[r[1:4]] / cells[r[1:4]] * fraction if cells[r[1:4]] else 0.0, r[5]) for r in made}
-
-
-def test_mix_is_the_plain_one(spark):
-    """The whole operator against plain Python, with a fraction low enough that no cell runs out."""
+            for value, goal in goals[d].items():
+                own = [c for c in cells if c[d] == value and cells[c]]
+                held = set()
+                while True:
+                    free = sum(take[c] for c in own if c not in held)
+                    f = (goal - sum(cells[c] for c in held)) / free if free else 1.0
+                    more = {c for c in own if c not in held and take[c] * f > cells[c]}
+                    if not more:
+                        take |= {c: cells[c] if c in held else take[c] * f for c in own}
+                        break
+                    held |= more
+    return {r[0]: (r[3], r[4], take[r[1:4]] / cells[r[1:4]] if cells[r[1:4]] else 0.0, r[5]) for r in made}
+
+
+@pytest.mark.parametrize("fraction", [0.3, 0.85])
+def test_mix_is_the_plain_one(spark, fraction):
+    """The whole operator against plain Python; at 0.85, with cells that run out."""
     rng = random.Random(5)
     pools = [[f"{p}{k}" for k in range(40)] for p in "abc"]
     rows = []
-    for k in range(600):
+    for k in range(900):
         pool = rng.choices(pools, [6, 3, 2])[0]
         text = " ".join(rng.choice(pool) for _ in range(rng.randrange(3, 40)))
         rows.append((k, text, rng.choices(["en", "de"], [4, 1])[0], rng.choices(["x", "y", "z"], [6, 3, 2])[0]))
     df = spark.createDataFrame([(i, t, lang, source, 0) for i, t, lang, source in rows], DOC)
-    weights = mixing.learn_topics(df, topics=3, bits=10)
-    assert len(weights) == 3
-    for i, t, _, _ in rows[:50]:  # the clusters are the pools
-        assert slow_topic(t, weights, 10)[0][0] == slow_topic(pools["abc".index(t[0])][0] + " " + t, weights, 10)[0][0]
-    narrow = mixing.mix(df, weights=weights)
-    targets = mixing.tempered(narrow, fraction=0.3)
-    got = {r.doc_id: r for r in mixing.mix(df, targets, weights=weights).collect()}
-    want = slow_mix(rows, weights, 10, 0.3)
-    for i, (topic, tokens, probability, chance) in want.items():
-        assert (got[i].topic, got[i].n_tokens) == (topic, tokens) and got[i].probability == pytest.approx(probability, abs=1e-5)
+    topics = slow_topics(rows)
+    first = mixing.mix(df)
+    sure = {r.doc_id: (r.topic, topics[r.doc_id]) for r in first.collect()}
+    assert all(a == b for a, (b, off) in sure.values() if off > 1e-6) and len({a for a, _ in sure.values()}) == 8
+    targets = mixing.tempered(first, fraction=fraction)
+    got = {r.doc_id: r for r in mixing.mix(df, targets).collect()}
+    used = next(iter(got.values())).fraction
+    assert used == fraction and all(r.gap <= 1e-3 for r in got.values())
+    for i, (topic, tokens, probability, chance) in slow_mix(rows, {i: (a,) for i, (a, _) in sure.items()}, used).items():
+        assert (got[i].topic, got[i].n_tokens) == (topic, tokens) and got[i].probability == pytest.approx(probability, abs=1e-3)
         assert got[i].chance == chance and got[i].sampled == (chance < got[i].probability)
-    assert len({r.topic for r in got.values()}) == 3 and 100 < sum(r.sampled for r in got.values()) < 300
+    assert fraction < 0.5 or sum(r.probability == 1 for r in got.values()) > 50
+
+
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_mix_meets_its_targets(spark, sf):
+    """Marginals of the expected tokens are the tempered shares, to a thousandth of the tokens."""
+    out = mixing.mix(spark.read.parquet(f"{SF.replace('0.001', sf)}/documents.parquet")).toPandas()
+    assert out.gap.max() <= 1e-3 and out.gap.nunique() == 1 and out.fraction.iloc[0] > 0.6
+    out["take"] = out.probability * out.n_tokens
+    for c in ("source", "lang", "topic"):
+        have, take = out.groupby(c).n_tokens.sum(), out.groupby(c)["take"].sum()
+        want = have**mixing.POWER / (have**mixing.POWER).sum() * take.sum()
+        free = take < have * 0.999  # values that have enough are in proportion to their shares
+        level = take[free] / want[free]
+        assert level.max() - level.min() < 0.02 and (level.max() * want[~free] > have[~free] * 0.99).all()
 
 
 def test_mix_samples_by_probability(spark):
     docs = spark.read.parquet(f"{SF.replace('0.001', '0.1')}/documents.parquet")
-    weights = mixing.learn_topics(docs)
-    assert (weights == mixing.learn_topics(docs.repartition(5))).all() and len(weights) == mixing.TOPICS
-    out = mixing.mix(docs, weights=weights).toPandas()
-    assert len(out) == docs.count() and out.topic.nunique() == mixing.TOPICS
+    narrow = lambda df: mixing.described(df, 7, "doc_id", "text", "source", "lang")
+    topics, same = mixing.learn_topics(narrow(docs)), mixing.learn_topics(narrow(docs.repartition(5)))
+    assert (topics.mean == same.mean).all() and (topics.axes == same.axes).all()
+    out = mixing.mix(docs, topics=topics).toPandas()
+    assert len(out) == docs.count() and out.topic.nunique() == 8
     expected, got = (out.probability * out.n_tokens).sum(), out[out.sampled].n_tokens.sum()
-    assert abs(got / expected - 1) < 0.03 and abs(expected / out.n_tokens.sum() - 0.85) < 0.01
+    assert abs(got / expected - 1) < 0.03 and abs(expected / out.n_tokens.sum() - out.fraction.iloc[0]) < 0.01
     share = lambda df: df.groupby("lang").n_tokens.sum() / df.n_tokens.sum()
     before, after = share(out), share(out[out.sampled])
     assert after["en"] < before["en"] and after["es"] > before["es"]
-    again = mixing.mix(docs.repartition(7), weights=weights).toPandas()
+    again = mixing.mix(docs.repartition(7), topics=topics).toPandas()
     assert set(again[again.sampled].doc_id) == set(out[out.sampled].doc_id)
-    kept = mixing.sample_mix(docs, weights=weights)
+    kept = mixing.sample_mix(docs, topics=topics)
     assert {r.doc_id for r in kept.select("doc_id").collect()} == set(out[out.sampled].doc_id)
     assert kept.columns == docs.columns
 
@@ -646,7 +702,7 @@ def test_mix_odd_rows(spark, odd, none):
         kept = mixing.sample_mix(df)
         assert kept.columns == df.columns and sorted((str(r.doc_id), slow_chance(r.doc_id, r.text)) for r in kept.collect()) == sampled
     assert mixing.mix(none).count() == 0 == mixing.sample_mix(none).count()
-    assert len(mixing.learn_topics(none)) == 0
+    assert not mixing.learn_topics(mixing.described(none, 7, "doc_id", "text", "source", "lang")).axes.any()
 
 
 def test_rows_of_one_id_are_told_apart(spark):
