@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -143,35 +142,3 @@ def resolve_topics(surfaces: DataFrame, topics: DataFrame, limit: float = 0.8, l
     at = asked.join(exact, "surface", "left").join(fuzzy, "surface", "left")
     tier = F.when(F.col("_topic") == F.col("surface"), "reused").when(F.col("_topic").isNotNull(), "exact").when(F.col("_near").isNotNull(), "fuzzy").otherwise("new")
     return at.select("surface", F.coalesce("_topic", "_near").alias("topic"), tier.alias("tier"))
-
-
-def clusters(items: DataFrame, least_words: float = 0.55, least_cosine: float = 0.86) -> DataFrame:
-    """item_id, seed: items (owner, kind, item_id, text, vector) grouped around seeds. In order of
-    id, an item that no group has takes those after it of its kind that share words or direction
-    with it. An owner's store of one kind is one group's work; it is bounded by the store's limit."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("item_id", ignore_index=True)
-        words = [set(w) for w in group["_words"]]
-        vectors = [None if v is None or not len(v) else np.asarray(v, float) for v in group["vector"]]
-        free, out = list(range(len(group))), []
-
-        def alike(i: int, j: int) -> bool:
-            if words[i] | words[j] and len(words[i] & words[j]) / len(words[i] | words[j]) >= least_words:
-                return True
-            a, b = vectors[i], vectors[j]
-            if a is None or b is None or len(a) != len(b):
-                return False
-            size = np.linalg.norm(a) * np.linalg.norm(b)
-            return bool(size and a @ b / size >= least_cosine)
-
-        while free:
-            seed, *rest = free
-            own = [j for j in rest if alike(seed, j)]
-            out += [(group["item_id"][j], group["item_id"][seed]) for j in ([seed, *own] if own else [])]
-            free = [j for j in rest if j not in set(own)]
-        return pd.DataFrame(out, columns=["item_id", "seed"])
-
-    kind = items.schema["item_id"].dataType.simpleString()
-    at = items.select("owner", "kind", "item_id", F.array_distinct(T.words(F.coalesce("text", F.lit("")))).alias("_words"), "vector")
-    return at.groupBy("owner", "kind").applyInPandas(run, f"item_id {kind}, seed {kind}")

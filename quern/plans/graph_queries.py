@@ -5,6 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from quern.operators import graph as G
+from quern.operators.clusters import clusters
 from quern.operators import memory as M
 from quern.operators import relations as J
 from quern.operators.containment import containing
@@ -179,7 +180,15 @@ def memory_clusters(spark, sf_dir):
     """Parts of a brand and type as memories that may say the same."""
     p = table(spark, sf_dir, "part")
     items = p.select(F.col("p_brand").alias("owner"), F.col("p_type").alias("kind"), F.col("p_partkey").alias("item_id"), F.col("p_name").alias("text"), F.array(F.col("p_size").cast("double"), F.lit(10.0)).alias("vector"))
-    return M.clusters(items, 0.3, 0.999)
+    return clusters(items, 0.3, 0.999)
+
+
+@query()
+def memory_clusters_one_store(spark, sf_dir):
+    """All parts as one store."""
+    p = table(spark, sf_dir, "part")
+    items = p.select(F.lit("all").alias("owner"), F.lit("part").alias("kind"), F.col("p_partkey").alias("item_id"), F.col("p_name").alias("text"), F.array(F.col("p_size").cast("double"), F.lit(10.0)).alias("vector"))
+    return clusters(items, 0.3, 0.99999)
 
 
 @query(r"""WITH m AS (SELECT conv_id * 1000 + turn AS doc_id, conv_id, turn, text FROM conversations), tok AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS t FROM m),

@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from quern.functions import text as T
 from quern.functions import vectors as V
 from quern.functions import prepare
-from quern.operators import chunking, containment, faq, graph, memory, metrics, relations, rerank, retrieval, sql_surface, stitch
+from quern.operators import chunking, clusters, containment, faq, graph, memory, metrics, relations, rerank, retrieval, sql_surface, stitch
 from quern.session import fresh
 from quern.sources import documents, feed, files, html
 from quern.streaming import ingest
@@ -511,10 +512,16 @@ def test_repaired_json():
         assert json.loads(prepare.repair_json(json.dumps(value))[0]) == value
 
 
-def test_clusters_are_the_greedy_ones(spark):
+@pytest.mark.parametrize("rest", [1_000_000, 3])
+def test_clusters_are_the_greedy_ones(spark, rest):
     rng = random.Random(6)
     rows = [(rng.choice("ab"), rng.choice("xy"), k, " ".join(rng.choice("pqrst") for _ in range(4)), [rng.random(), rng.random()] if k % 3 else None) for k in range(80)]
-    got = {(r.item_id, r.seed) for r in memory.clusters(spark.createDataFrame(rows, "owner string, kind string, item_id long, text string, vector array<double>")).collect()}
+    rows += [("c", "x", 100 + k, " ".join(f"w{j}" for j in range(k, k + 8)), None) for k in range(20)]  # a chain, each like the next
+    rows += [("c", "x", 200 + k, rng.choice(["same words", "", "!"]), rng.choice([None, [1.0, 0.0]])) for k in range(20)]  # copies
+    df = spark.createDataFrame(rows, "owner string, kind string, item_id long, text string, vector array<double>")
+    made = clusters.clusters(df, rest=rest).collect()
+    got = {(r.item_id, r.seed) for r in made}
+    assert len(made) == len(got) and clusters.clusters(df.limit(0)).count() == 0
     want = set()
     for key in {r[:2] for r in rows}:
         own, taken = [r for r in rows if r[:2] == key], set()
@@ -523,9 +530,9 @@ def test_clusters_are_the_greedy_ones(spark):
                 continue
             same = []
             for b in own[n + 1 :]:
-                x, y = set(a[3].split()), set(b[3].split())
+                x, y = set(re.findall(r"\w+", a[3])), set(re.findall(r"\w+", b[3]))
                 near = a[4] and b[4] and sum(p * q for p, q in zip(a[4], b[4])) / (sum(p * p for p in a[4]) * sum(q * q for q in b[4])) ** 0.5 >= 0.86
-                if b[2] not in taken and (len(x & y) / len(x | y) >= 0.55 or near):
+                if b[2] not in taken and (len(x & y) / max(1, len(x | y)) >= 0.55 or near):
                     same.append(b[2])
             if same:
                 taken |= {a[2], *same}

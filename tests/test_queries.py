@@ -189,20 +189,25 @@ def plain_widened(duck, **_):
             yield i, n, hi - lo, hashlib.sha256(whole.encode()).hexdigest()
 
 
-def plain_clusters(duck, **_):
+def plain_clusters(duck, one_store=False, cosine_least=0.999, **_):
     rows = duck.execute("SELECT p_brand, p_type, p_partkey, p_name, p_size FROM part ORDER BY p_partkey").fetchall()
+    rows = [("", "", *r[2:]) for r in rows] if one_store else rows
     taken = set()
     for n, (brand, kind, i, name, size) in enumerate(rows):
         if i in taken:
             continue
         words = lambda t: set(re.findall(r"[^\W_]+", t.lower()))
         cosine = lambda a, b: (a * b + 100) / math.sqrt((a * a + 100) * (b * b + 100))
-        own = [j for b, k, j, other, s in rows[n + 1 :] if (b, k) == (brand, kind) and j not in taken and (alike(words(name), words(other)) >= 0.3 or cosine(size, s) >= 0.999)]
+        own = [j for b, k, j, other, s in rows[n + 1 :] if (b, k) == (brand, kind) and j not in taken and (alike(words(name), words(other)) >= 0.3 or cosine(size, s) >= cosine_least)]
         if own:
             taken |= {i, *own}
             yield from ((j, i) for j in (i, *own))
 
 
+def plain_clusters_one_store(duck, **_):
+    yield from plain_clusters(duck, True, 0.99999)
+
+
 def plain_links(duck, **_):
     rows = duck.execute("SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1), regexp_replace(regexp_replace(html, '(?s)<head>.*?</head>', '', 'g'), '<[^>]*>', ' ', 'g') FROM pages").fetchall()
     titles = {i: t.split(" ")[0] for i, t, _ in rows}
@@ -235,6 +240,7 @@ PLAIN = {
     "stitched_parts": (plain_parts, ["query_id", "doc_id", "chunk_index", "start_at", "end_at", "n_parts", "content_sha256"]),
     "widened_hits": (plain_widened, ["doc_id", "chunk_index", "n_joined", "content_sha256"]),
     "memory_clusters": (plain_clusters, ["item_id", "seed"]),
+    "memory_clusters_one_store": (plain_clusters_one_store, ["item_id", "seed"]),
     "vector_index_search": (None, []),  # recall is measured in test_operators
 }
 
