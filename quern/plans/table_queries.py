@@ -1,5 +1,6 @@
 """Aggregations, windows, set operations, SQL surfaces, sources and streams over the tables."""
 
+import datetime
 import uuid
 
 from pyspark.sql import Window
@@ -7,9 +8,9 @@ from pyspark.sql import functions as F
 
 from quern.operators import sql_surface as S
 from quern.plans.registry import query
-from quern.session import materialise, shared_dir, table
+from quern.session import materialise, remove, shared_dir, table
 from quern.sources import files, html
-from quern.streaming import ingest
+from quern.streaming import absence, ingest
 
 # --- aggregations ---
 
@@ -285,3 +286,39 @@ def absent_items(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     items = e.groupBy("user_id").agg(F.max("ts").alias("seen"))
     return ingest.absent(e.filter("event_type = 'error' AND value > 100"), e.filter("event_type = 'signup' AND value > 100"), items, "user_id", "seen", e.agg(F.max("ts")).first()[0], 1)
+
+
+ABSENT_MS = 24 * absence.HOUR
+
+
+@query(f"""WITH s AS (SELECT user_id AS item, epoch_us(ts) // 1000 AS t, lead(epoch_us(ts) // 1000) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events)
+SELECT item, 'absent' AS change, t + {ABSENT_MS} AS at_ms FROM s WHERE n IS NULL OR n - t > {ABSENT_MS} UNION ALL SELECT item, 'back', n FROM s WHERE n - t > {ABSENT_MS}""")
+def absent_in_stream(spark, sf_dir):
+    """Users as items, their events as sightings: a stream in three deliveries, and a last scan long after
+    them that has another item only, by which all timers run out."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("item"), F.col("ts").cast("timestamp").alias("at"))
+    first, last = e.agg(F.min("at"), F.max("at")).first()
+    feed, out, mark = (f"{shared_dir(spark)}/{n}-{uuid.uuid4().hex}" for n in ("scans", "absences", "progress"))
+    cuts = [first, first + (last - first) / 3, first + (last - first) * 2 / 3, last]
+    parts = [e.filter((F.col("at") >= a) & ((F.col("at") <= z) if z == last else (F.col("at") < z))) for a, z in zip(cuts, cuts[1:])]
+    later = [spark.createDataFrame([(-1, last + datetime.timedelta(days=d))], e.schema) for d in (60, 61)]
+    for part in [*parts, *later]:
+        part.write.mode("append").parquet(feed)
+        absence.run_until_now(absence.absences(spark.readStream.schema(e.schema).parquet(feed), "item", "at"), out, mark)
+    made = materialise(spark.read.schema("item long, change string, at_ms long").parquet(out).filter("item != -1"), "absences")
+    for path in (feed, out, mark):
+        remove(spark, path)
+    return made
+
+
+@query()
+def rate_limited(spark, sf_dir):
+    """At most three events of a user within six hours, in order of time."""
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"))
+    feed, out, mark = (f"{shared_dir(spark)}/{n}-{uuid.uuid4().hex}" for n in ("requests", "limited", "progress"))
+    rows.write.parquet(feed)
+    absence.run_until_now(absence.rate_limit(spark.readStream.schema(rows.schema).parquet(feed), "user_id", 3, 6 * 3600), out, mark)
+    made = materialise(spark.read.schema("key long, event_id long, allowed boolean").parquet(out).select(F.col("key").alias("user_id"), "event_id", "allowed"), "limited")
+    for path in (feed, out, mark):
+        remove(spark, path)
+    return made

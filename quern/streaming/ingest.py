@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def new_items(items: DataFrame, key: str, time_col: str, delay: str = "1 day") -> DataFrame:
@@ -48,28 +44,6 @@ def requests_in_window(events: DataFrame, by: str, time_col: str, seconds: int)
     return events.withColumn("n_recent", F.count("*").over(order))
 
 
-def rate_limit(events: DataFrame, by: str, limit: int, seconds: int) -> DataFrame:
-    """key, event_id, allowed of a stream (event_id long, at_ms long): an event is allowed if
-    fewer than `limit` allowed ones of its key lie within the last `seconds`; rejected
-    ones don't count. The state of a key is at most `limit` times."""
-
-    def run(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        recent = list(state.get[0]) if state.exists else []
-        for batch in batches:
-            allowed = []
-            batch = batch.sort_values(["at_ms", "event_id"])
-            for at in batch["at_ms"]:
-                recent = [t for t in recent if t > at - seconds * 1000]
-                allowed.append(len(recent) < limit)
-                if allowed[-1]:
-                    recent.append(at)
-            yield pd.DataFrame({"key": key[0], "event_id": batch["event_id"].to_numpy(), "allowed": allowed})
-        state.update((recent,))
-
-    kind = events.schema[by].dataType.simpleString()
-    return events.groupBy(by).applyInPandasWithState(run, f"key {kind}, event_id long, allowed boolean", "recent array<long>", "append", GroupStateTimeout.NoTimeout)
-
-
 PARTS = 16  # a merged table's parts by key; a change rewrites the parts that it touches only
 
 

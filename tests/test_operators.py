@@ -13,7 +13,7 @@ from quern.functions import prepare
 from quern.operators import chunking, clusters, containment, faq, graph, memory, metrics, relations, rerank, retrieval, sql_surface, stitch
 from quern.session import fresh
 from quern.sources import documents, feed, files, html
-from quern.streaming import ingest
+from quern.streaming import absence, ingest
 
 
 def jaccard(a, b):
@@ -403,16 +403,36 @@ def test_rate_limit_stream(spark, tmp_path):
     source, rng = str(tmp_path / "in"), random.Random(1)
     rows = [(k, rng.choice("ab"), t) for k, t in enumerate(sorted(rng.randrange(60_000) for _ in range(200)))]
     spark.createDataFrame(rows, "event_id long, user string, at_ms long").coalesce(1).write.parquet(source)
-    stream = ingest.rate_limit(spark.readStream.schema("event_id long, user string, at_ms long").parquet(source), "user", 3, 5)
-    query = stream.writeStream.format("memory").queryName("limited").option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start()
-    query.awaitTermination()
+    stream = absence.rate_limit(spark.readStream.schema("event_id long, user string, at_ms long").parquet(source), "user", 3, 5)
+    absence.run_until_now(stream, str(tmp_path / "out"), str(tmp_path / "at"))
     want, recent = {}, {"a": [], "b": []}
     for k, user, t in rows:
         recent[user] = [x for x in recent[user] if x > t - 5000]
         want[k] = len(recent[user]) < 3
         if want[k]:
             recent[user].append(t)
-    assert {r.event_id: r.allowed for r in spark.table("limited").collect()} == want
+    assert {r.event_id: r.allowed for r in spark.read.parquet(str(tmp_path / "out")).collect()} == want
+
+
+def test_absences_late_and_back(spark, tmp_path):
+    """Items that come back, sightings that come late, and state that is forgotten, over several runs."""
+    source, out, mark = (str(tmp_path / n) for n in ("in", "out", "at"))
+    hour = lambda h: f"2024-01-{1 + h // 24:02d} {h % 24:02d}:00:00"
+    batches = [
+        [("stays", 0), ("stays", 20), ("goes", 0), ("late", 0), ("edge", 0)], [("stays", 40), ("edge", 24)], [("late", 22), ("stays", 41)],
+        [("stays", 64), ("goes", 63), (None, 60)], [("stays", 86), ("edge", 1)], [("stays", 800)], [("stays", 801)], [("goes", 802)],
+    ]
+    for batch in batches:
+        values = ", ".join(f"({'NULL' if k is None else repr(k)}, timestamp'{hour(h) if h < 700 else '2024-02-0%d 00:00:00' % (h - 797)}')" for k, h in batch)
+        spark.sql(f"SELECT * FROM VALUES {values} t(item, at)").selectExpr("CAST(item AS string) item", "at").coalesce(1).write.mode("append").parquet(source)
+        absence.run_until_now(absence.absences(spark.readStream.schema("item string, at timestamp").parquet(source), "item", "at", delay="20 hours", forget_days=5), out, mark)
+    got = sorted((r.item, r.change, r.at_ms // absence.HOUR - 473352) for r in spark.read.parquet(out).collect())
+    day = lambda d: (d - 1) * 24
+    assert [g for g in got if g[0] == "late"] == [("late", "absent", 46)]  # not before: the sighting at 22 came late, but in time
+    assert [g for g in got if g[0] == "edge"] == [("edge", "absent", 48)]  # seen again exactly after the grace
+    assert [g for g in got if g[0] == "goes"][:3] == [("goes", "absent", 24), ("goes", "absent", 87), ("goes", "back", 63)]
+    assert [g for g in got if g[0] == "stays"] == [("stays", "absent", 110), ("stays", "back", day(34))]
+    assert len([g for g in got if g[0] == "goes"]) == 3  # forgotten by then: it is new, not back
 
 
 def test_new_items_stream(spark, tmp_path):

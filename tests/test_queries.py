@@ -229,7 +229,16 @@ def plain_links(duck, **_):
         yield i, hashlib.md5(text.encode()).hexdigest()
 
 
+def plain_limited(duck, **_):
+    recent = {}
+    for user, i, at in duck.execute("SELECT user_id, event_id, epoch_us(ts) // 1000 AS at FROM events ORDER BY at, event_id").fetchall():
+        own = [t for t in recent.get(user, []) if t > at - 6 * 3_600_000]
+        yield user, i, len(own) < 3
+        recent[user] = own + ([at] if len(own) < 3 else [])
+
+
 PLAIN = {
+    "rate_limited": (plain_limited, ["user_id", "event_id", "allowed"]),
     "wiki_links": (plain_links, ["slug", "text_md5"]),
     "mmr_rerank": (plain_mmr, ["query_id", "doc_id", "score", "rank"]),
     "partial_overlap_removal": (plain_overlaps, ["query_id", "doc_id", "score", "rank"]),
