@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
+from quern.operators.relations import similar_across
 from quern.session import discard, materialise
 
 MOST_LEVELS = 16
@@ -57,17 +58,15 @@ def resolve_slugs(dead: DataFrame, pages: DataFrame, limit: float = 0.8) -> Data
     """slug, found, how: a page (slug, title) for each dead slug: of the same slug, of that
     title, of the same slug without case, hyphens and underscores, or of the slug whose
     character pairs are most alike, at `limit` or more; the least slug at a tie. Slugs that
-    aren't found otherwise meet pages on a shared pair of characters."""
+    aren't found otherwise meet pages on their rarest pairs of characters."""
     by = lambda key, how: pages.groupBy(key.alias("key")).agg(F.min("slug").alias(how)).filter("key IS NOT NULL")
     at = dead.select("slug", F.lower(F.col("slug")).alias("lowered"), T.slug_key(F.col("slug")).alias("plain"))
     at = at.join(by(F.col("slug"), "exact"), F.col("slug") == F.col("key"), "left").drop("key")
     at = at.join(by(F.lower("title"), "titled"), F.col("lowered") == F.col("key"), "left").drop("key")
     at = at.join(by(T.slug_key(F.col("slug")), "normalised"), F.col("plain") == F.col("key"), "left").drop("key")
     at = materialise(at.select("slug", "exact", "titled", "normalised"), "slugs")
-    pairs = lambda df, c: df.withColumn("grams", T.bigram_set(F.col(c))).select(c, "grams", F.explode("grams").alias("gram"))
-    left = at.filter(F.coalesce("exact", "titled", "normalised").isNull()).select("slug").distinct()
-    other = pairs(pages.select(F.col("slug").alias("page")).distinct(), "page").withColumnRenamed("grams", "own")
-    near = pairs(left, "slug").join(other, "gram").select("slug", "page", F.round(T.jaccard(F.col("grams"), F.col("own")), 6).alias("like")).filter(F.col("like") >= limit)
+    left = at.filter(F.coalesce("exact", "titled", "normalised").isNull()).select("slug")
+    near = similar_across(left, pages.select("slug"), limit).toDF("slug", "page", "like")
     fuzzy = near.groupBy("slug").agg(F.min_by("page", F.struct(-F.col("like"), F.col("page"))).alias("fuzzy"))
     at = at.join(fuzzy, "slug", "left")
     how = F.when(F.col("exact").isNotNull(), "exact").when(F.col("titled").isNotNull(), "title").when(F.col("normalised").isNotNull(), "normalised").when(F.col("fuzzy").isNotNull(), "fuzzy")

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import islice
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
+from quern.operators.relations import similar_across
 
 FLOOR = 0.15
+QUERIES, SLICE = 256, 512  # queries that a pass over the items weighs, and items at once
 
 
 def _pairs(words: Column) -> Column:
@@ -30,17 +38,53 @@ def recall(items: DataFrame, queries: DataFrame, floor: float = FLOOR) -> DataFr
     score is the weight of the query's words (1) and word pairs (2) that the item has, over
     the weight of all of them, and 0.01 a point of importance; items without any shared
     term, or under the floor, are left out.
+
+    Queries come in blocks, whose terms are broadcast with their weights; an item's terms meet
+    all queries of a block where the item lies, and only what reaches the floor leaves the
+    task: a common word brings no rows of items and queries together.
     """
-    asked = queries.select("query_id", F.explode(_terms(F.col("query"))).alias("t")).select("query_id", "t.term", "t.weight")
-    total = asked.groupBy("query_id").agg(F.sum("weight").alias("total"))
-    wanted = F.broadcast(asked.select("term").distinct()) if queries.count() <= 10_000 else asked.select("term").distinct()
+    asked = queries.filter("query_id IS NOT NULL").select("query_id", _terms(F.col("query")).alias("terms")).orderBy("query_id")
     words = T.words(F.coalesce(F.col("content"), F.lit("")))
-    # Words and pairs are made distinct within their row, so that only what may count is exploded.
-    own = items.select("item_id", "importance", words.alias("words")).select("item_id", "importance", F.explode(F.array_distinct(F.concat("words", _pairs(F.col("words"))))).alias("term"))
-    found = own.join(wanted, "term").distinct()
-    hits = found.join(asked, "term").groupBy("query_id", "item_id", "importance").agg(F.sum("weight").alias("hits"))
+    # Words and pairs are made distinct within their row.
+    own = items.select("item_id", F.col("importance").cast("double").alias("importance"), words.alias("words"))
+    own = own.select("item_id", "importance", F.array_distinct(F.concat("words", _pairs(F.col("words")))).alias("terms"))
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, importance double, hits long, total long"
+    out, rows = None, asked.toLocalIterator()
+    while block := list(islice(rows, QUERIES)):
+        found = own.mapInArrow(_weigh(block, floor, items.sparkSession), kinds)
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        out = items.sparkSession.createDataFrame([], kinds)
     score = F.round(F.col("hits") / F.col("total") + 0.01 * F.col("importance"), 6)
-    return hits.join(F.broadcast(total) if queries.count() <= 10_000 else total, "query_id").select("query_id", "item_id", score.alias("score")).filter(F.col("score") >= floor)
+    return out.select("query_id", "item_id", score.alias("score")).filter(F.col("score") >= floor)
+
+
+def _weigh(block: list, floor: float, spark):
+    number = {t: k for k, t in enumerate(dict.fromkeys(t["term"] for r in block for t in r.terms))}
+    pairs = np.array([(number[t["term"]], q, t["weight"]) for q, r in enumerate(block) for t in r.terms], np.int64).reshape(-1, 3)
+    sent = spark.sparkContext.broadcast((pa.array(list(number), pa.string()), pairs, pa.array([r.query_id for r in block])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, pairs, ids = sent.value
+        weight = np.zeros((len(known), len(ids)))
+        weight[pairs[:, 0], pairs[:, 1]] = pairs[:, 2]
+        total = weight.sum(axis=0)
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                lists = part.column("terms")
+                term = pc.fill_null(pc.index_in(lists.flatten(), value_set=known), -1).to_numpy()
+                row = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+                has = np.zeros((part.num_rows, len(known)))
+                has[row[term >= 0], term[term >= 0]] = 1
+                hits = has @ weight
+                extra = 0.01 * np.nan_to_num(part.column("importance").to_numpy(zero_copy_only=False).astype(float))
+                r, q = np.nonzero((hits > 0) & (hits / np.maximum(total, 1) + extra[:, None] >= floor - 1e-5))
+                where = pa.array(r)
+                columns = [ids.take(pa.array(q)), part.column("item_id").take(where), part.column("importance").take(where), pa.array(hits[r, q].astype(np.int64)), pa.array(total[q].astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, ["query_id", "item_id", "importance", "hits", "total"])
+
+    return run
 
 
 def past_messages(hits: DataFrame, messages: DataFrame, needles: DataFrame, limit: int, width: int = 120) -> DataFrame:
@@ -127,17 +171,15 @@ def resolve_topics(surfaces: DataFrame, topics: DataFrame, limit: float = 0.8, l
     """surface, topic, tier of surfaces (surface) against topics (topic, aliases): 'reused' if it is
     the topic as written, 'exact' if letters and digits agree or an alias is equal, 'fuzzy' for the
     topic whose character pairs are most alike, at `limit` or more, where both have `least`
-    characters; 'new' else. Names meet on a shared pair; the least topic wins a tie."""
+    characters; 'new' else. Names meet on their rarest pairs; the least topic wins a tie."""
     key = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "")
     asked = surfaces.select("surface").distinct()
     named = topics.select("topic", key(F.col("topic")).alias("_key")).union(topics.select("topic", F.explode("aliases").alias("_key")))
     exact = asked.withColumn("_key", F.explode(F.array(key(F.col("surface")), F.col("surface")))).join(named, "_key").filter("_key != ''")
     exact = exact.groupBy("surface").agg(F.max_by("topic", F.struct((F.col("topic") == F.col("surface")), F.col("topic"))).alias("_topic"))
     left = asked.join(exact, "surface", "left_anti").filter(F.length("surface") >= least)
-    grams = lambda df, c: df.withColumn("_grams", T.bigram_set(F.col(c))).withColumn("_gram", F.explode("_grams"))
-    wide = grams(topics.select("topic").distinct().filter(F.length("topic") >= least), "topic").withColumnRenamed("_grams", "_own")
-    near = grams(left, "surface").join(wide, "_gram").select("surface", "topic", "_grams", "_own").dropDuplicates(["surface", "topic"])
-    near = near.withColumn("_like", F.round(T.jaccard(F.col("_grams"), F.col("_own")), 6)).filter(F.col("_like") >= limit)
+    wide = topics.select("topic").filter(F.length("topic") >= least)
+    near = similar_across(left, wide, limit).toDF("surface", "topic", "_like")
     fuzzy = near.groupBy("surface").agg(F.min_by("topic", F.struct(-F.col("_like"), F.col("topic"))).alias("_near"))
     at = asked.join(exact, "surface", "left").join(fuzzy, "surface", "left")
     tier = F.when(F.col("_topic") == F.col("surface"), "reused").when(F.col("_topic").isNotNull(), "exact").when(F.col("_near").isNotNull(), "fuzzy").otherwise("new")

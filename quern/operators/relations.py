@@ -109,22 +109,35 @@ def diff(left: DataFrame, right: DataFrame, key: str, digest: str) -> DataFrame:
 
 def similar_surfaces(names: DataFrame, limit: float = 0.8, column: str = "name") -> DataFrame:
     """a, b, similarity: pairs a < b of distinct names whose character pairs have Jaccard
-    similarity of at least `limit`.
+    similarity of at least `limit`."""
+    pairs = similar_across(names.select(F.col(column).alias("name")), None, limit)
+    return pairs.filter("a < b")
+
+
+def similar_across(left: DataFrame, right: DataFrame | None, limit: float = 0.8) -> DataFrame:
+    """a, b, similarity: names of `left` and of `right` (one column each; None: the same) whose
+    character pairs have Jaccard similarity of at least `limit`.
 
     Prefix filter: of two sets that similar, the (1 - limit) share of rarest elements,
     and one more, have one in common. Only those few meet in the join, so a common pair
     of characters doesn't bring all names together; candidates are then verified.
     """
-    sets = names.select(F.col(column).alias("name")).filter("name IS NOT NULL").distinct().withColumn("grams", T.bigram_set(F.col("name"))).filter(F.size("grams") > 0)
-    sets = materialise(sets, "surfaces")
-    gram = sets.select("name", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
-    rarity = gram.groupBy("gram").agg(F.count("*").alias("freq"))
-    by_rarity = gram.join(rarity, "gram").groupBy("name", "n").agg(F.array_sort(F.collect_list(F.struct("freq", "gram"))).alias("ordered"))
-    keep = F.col("n") - F.ceil(F.lit(limit) * F.col("n") - 1e-9) + 1
-    prefix = by_rarity.select("name", "n", F.explode(F.slice("ordered", F.lit(1), keep.cast("int"))).alias("g")).select("name", "n", "g.gram")
-    pairs = prefix.withColumnRenamed("name", "a").join(prefix.select(F.col("name").alias("b"), F.col("n").alias("m"), "gram"), "gram")
-    pairs = pairs.filter((F.col("a") < F.col("b")) & (F.least("n", "m") >= F.lit(limit) * F.greatest("n", "m") - 1e-9)).select("a", "b").distinct()
-    full = pairs.join(sets.select(F.col("name").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("name").alias("b"), F.col("grams").alias("gb")), "b")
+    sides = [left] if right is None else [left, right]
+    grams = [F.col("name"), T.bigram_set(F.col("name")).alias("grams")]
+    sets = [materialise(x.toDF("name").filter("name IS NOT NULL").distinct().select(*grams).filter(F.size("grams") > 0), "surfaces") for x in sides]
+    rows = [s.select("name", F.size("grams").alias("n"), F.explode("grams").alias("gram")) for s in sets]
+    rarity = (rows[0] if right is None else rows[0].union(rows[1])).groupBy("gram").agg(F.count("*").alias("freq"))
+    keep = F.col("n") - F.ceil(F.lit(limit) * F.col("n") - 1e-6) + 1
+
+    def prefix(gram: DataFrame) -> DataFrame:
+        ordered = gram.join(rarity, "gram").groupBy("name", "n").agg(F.array_sort(F.collect_list(F.struct("freq", "gram"))).alias("ordered"))
+        return ordered.select("name", "n", F.explode(F.slice("ordered", F.lit(1), F.least(keep, F.col("n")).cast("int"))).alias("g")).select("name", "n", "g.gram")
+
+    one, two = prefix(rows[0]), prefix(rows[-1])
+    pairs = one.withColumnRenamed("name", "a").join(two.select(F.col("name").alias("b"), F.col("n").alias("m"), "gram"), "gram")
+    pairs = pairs.filter(F.least("n", "m") >= F.lit(limit) * F.greatest("n", "m") - 1e-6)
+    pairs = (pairs.filter("a < b") if right is None else pairs).select("a", "b").distinct()
+    full = pairs.join(sets[0].toDF("a", "ga"), "a").join(sets[-1].toDF("b", "gb"), "b")
     return full.withColumn("similarity", F.round(T.jaccard(F.col("ga"), F.col("gb")), 6)).filter(F.col("similarity") >= limit).select("a", "b", "similarity")
 
 

@@ -231,7 +231,7 @@ def plain_links(duck, **_):
 
 def plain_limited(duck, **_):
     recent = {}
-    for user, i, at in duck.execute("SELECT user_id, event_id, epoch_us(ts) // 1000 AS at FROM events ORDER BY at, event_id").fetchall():
+    for user, i, at in duck.execute("SELECT user_id, event_id, epoch_us(ts) // 1000 AS at_ms FROM events ORDER BY at_ms, event_id").fetchall():
         own = [t for t in recent.get(user, []) if t > at - 6 * 3_600_000]
         yield user, i, len(own) < 3
         recent[user] = own + ([at] if len(own) < 3 else [])
