@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from quern.functions import vectors as V
 from quern.operators import retrieval as R
 from quern.operators.keyword_index import KeywordIndex
+from quern.operators import vector_graph as N
 from quern.operators import vector_index as I
 from quern.plans.registry import query
-from quern.session import materialise, remove, shared_dir, table
+from quern.session import discard, materialise, remove, shared_dir, table
 
 
 def bench_queries(spark, sf_dir):
@@ -86,6 +87,19 @@ def vector_index_search(spark, sf_dir):
     return I.search(built, centres, vector_queries(spark, sf_dir), 10, I.probes_for(built, centres, others))
 
 
+@query()
+def vector_graph_search(spark, sf_dir):
+    """The ten nearest by a neighbour graph of all vectors, with the share of the true ten that each query found."""
+    index, asked = table(spark, sf_dir, "embeddings"), vector_queries(spark, sf_dir)
+    graph = N.build(index)
+    found = materialise(N.search(graph, asked, 10, 256), "graph-found")
+    for part in (graph.nodes, graph.members):
+        discard(part)
+    true = R.vector_search(index, asked, 10, threshold=-1.0).select("query_id", F.col("vec_id").alias("true_id"))
+    hit = found.join(true, (found.query_id == true.query_id) & (found.vec_id == true.true_id), "left_semi").groupBy("query_id").agg((F.count("*") / 10).alias("recall"))
+    return found.join(hit, "query_id", "left").fillna(0.0, ["recall"])
+
+
 @query("SELECT count(*) AS n, CAST(sum(len(embedding) * 4) AS BIGINT) AS vector_bytes, (SELECT CAST(sum(strlen(text)) AS BIGINT) FROM documents) AS text_bytes FROM embeddings")
 def storage_quota(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").agg(F.count("*").alias("n"), F.sum(F.size("embedding") * 4).alias("vector_bytes"))

@@ -4,6 +4,7 @@ import json
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -661,3 +662,22 @@ def test_keyword_index(spark, tmp_path, monkeypatch):
     assert rows(index.search(rare, 5)) == rows(retrieval.bm25(df, rare, 5)) and 0 < index.blocks_read < 0.7 * index.blocks_asked
     none = keyword_index.KeywordIndex(spark, str(tmp_path / "n")).add(df.limit(0))
     assert rows(none.search(asked, 5)) == []
+
+
+def test_vector_graph(spark):
+    """Every row is indexed, degrees are bounded, and nearly all true neighbours are found; copies, odd vectors and an empty table."""
+    from quern.operators import vector_graph
+
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(600, 24))
+    rows = [(k, [float(x) for x in v]) for k, v in enumerate(base)] + [(1000 + k, [float(x) for x in base[7] * 2]) for k in range(200)]
+    rows += [(2000, None), (2001, []), (2002, [0.0] * 24), (2003, [float("nan")] * 24), (None, [1.0] * 24), (2004, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    graph = vector_graph.build(df)
+    assert {r.vec_id for r in graph.members.collect()} == {*range(600), *range(1000, 1200), 2004}
+    assert max(len(r.links) for r in graph.nodes.collect()) <= vector_graph.DEGREE
+    asked = df.filter("vec_id % 20 = 0 AND vec_id < 600 OR vec_id = 7").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    got = {(r.query_id, r.vec_id) for r in vector_graph.search(graph, asked, 10, 200).collect()}
+    want = {(r.query_id, r.vec_id) for r in retrieval.vector_search(df.filter("vec_id < 2000"), asked, 10, threshold=-1.0).collect()}
+    assert len(got & want) >= 0.95 * len(want) and {v for q, v in got if q == 7} == {7, *range(1000, 1009)}
+    assert vector_graph.search(vector_graph.build(df.limit(0)), asked).count() == 0

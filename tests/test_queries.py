@@ -250,6 +250,7 @@ PLAIN = {
     "widened_hits": (plain_widened, ["doc_id", "chunk_index", "n_joined", "content_sha256"]),
     "memory_clusters": (plain_clusters, ["item_id", "seed"]),
     "memory_clusters_one_store": (plain_clusters_one_store, ["item_id", "seed"]),
+    "vector_graph_search": (None, []),  # the same
     "vector_index_search": (None, []),  # recall is measured in test_operators
 }
 
