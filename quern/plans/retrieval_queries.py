@@ -76,6 +76,13 @@ def vector_search_threshold(spark, sf_dir):
     return R.vector_search(table(spark, sf_dir, "embeddings"), vector_queries(spark, sf_dir), 20, threshold=0.5)
 
 
+@query("""WITH u AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS v FROM embeddings),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_inner_product(a.v, CAST(b.embedding AS DOUBLE[])), 6) AS score FROM u a JOIN embeddings b ON a.vec_id % 20 = 0)
+SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 10""")
+def vector_search_inner_product(spark, sf_dir):
+    return R.vector_search(table(spark, sf_dir, "embeddings"), vector_queries(spark, sf_dir), 10, threshold=-1e9, metric="ip")
+
+
 @query()
 def vector_index_search(spark, sf_dir):
     """The ten nearest by an inverted-file index of 64 lists; how many of them are looked through is

@@ -201,10 +201,12 @@ def event_times(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", P.rfc3339(ts).alias("at"), P.rfc3339(F.date_trunc("minute", ts)).alias("minute"), (ts < F.to_timestamp(F.lit("2024-01-10"))).alias("expired"))
 
 
-@query("SELECT page_id, CASE WHEN page_id % 4 = 0 OR page_id % 4 = 1 THEN '' WHEN page_id % 4 = 2 THEN trim(url) ELSE trim(url) || ' <b>' END AS clean FROM pages")
+@query("""SELECT page_id, CASE page_id % 6 WHEN 0 THEN '' WHEN 1 THEN '' WHEN 2 THEN trim(url) WHEN 3 THEN trim(url) || ' <b>' WHEN 4 THEN 'Number ' || page_id || ' says this much' ELSE 'a' || chr(10) || chr(10) || trim(url) END AS clean FROM pages""")
 def recognised_texts(spark, sf_dir):
-    """Replies that are mostly tags, that say there is no text, that stand in a fence, and others."""
-    way, url = F.col("page_id") % 4, F.col("url")
-    said = F.when(way == 0, F.concat(F.lit("<table><tr><td class='a-long-class-name-that-weighs more than the words of this reply do, address and all of it together'>"), F.lit("x"))).when(way == 1, "No text found.")
-    said = said.when(way == 2, F.concat(F.lit("```text\n"), url, F.lit("\n```"))).otherwise(F.concat(url, F.lit(" <b>")))
+    """Replies that hold hardly more than tags, that say there is no text, that stand in a fence, that have a tag,
+    that are HTML, and with wide gaps."""
+    way, url, number = F.col("page_id") % 6, F.col("url"), F.col("page_id").cast("string")
+    said = F.when(way == 0, "<html><body><div class='image'><img/></div> x</body></html>").when(way == 1, F.element_at(F.array(F.lit("No text content."), F.lit(" 无法识别。"), F.lit("empty")), (F.col("page_id") % 3 + 1).cast("int")))
+    said = said.when(way == 2, F.concat(F.lit("```text\n"), url, F.lit("\n```"))).when(way == 3, F.concat(url, F.lit(" <b>")))
+    said = said.when(way == 4, F.concat(F.lit("```html\n<div><p>Number "), number, F.lit(" says this much</p></div>\n```"))).otherwise(F.concat(F.lit("a\n\n\n\n\n"), url))
     return table(spark, sf_dir, "pages").select("page_id", P.clean_ocr(said).alias("clean"))
