@@ -1,5 +1,11 @@
 """Pages, archives, tables and images as Markdown, and connectors' rows."""
 
+import io
+import json
+import zipfile
+from html import escape
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
@@ -95,3 +101,68 @@ def code_queries(spark, sf_dir):
     q = F.concat(F.lit("where is "), "url", F.lit(' and fooBar2Baz or "plain" or my_var used'))
     found = T.code_query(q)
     return table(spark, sf_dir, "pages").select("page_id", F.array_join(found["identifiers"], " ").alias("identifiers"), F.array_join(F.array_sort(found["terms"]), " ").alias("terms"))
+
+
+def _archives(rows, suffix, make):
+    """Files (path, content): an archive for each row, made where the row lies."""
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                file = io.BytesIO()
+                with zipfile.ZipFile(file, "w") as archive:
+                    for name, body in make(row).items():
+                        archive.writestr(name, body)
+                yield pa.RecordBatch.from_arrays([pa.array([f"/f/{row['key']}.{suffix}"]), pa.array([file.getvalue()], pa.binary())], ["path", "content"])
+
+    return rows.mapInArrow(run, "path string, content binary")
+
+
+def _presentation(row):
+    """Two slides, of which the second file is shown first; a table, notes and a slide number."""
+    space = 'xmlns:a="urn:a" xmlns:p="urn:p" xmlns:r="urn:r"'
+    text = lambda *lines: "".join(f"<a:p><a:r><a:t>{escape(x)}</a:t></a:r></a:p>" for x in lines)
+    shape = lambda kind, *lines: f"<p:sp><p:nvPr><p:ph type='{kind}'/></p:nvPr><p:txBody>{text(*lines)}</p:txBody></p:sp>"
+    slide = lambda body: f"<p:sld {space}><p:spTree>{body}</p:spTree></p:sld>"
+    relations = lambda *rows: "<Relationships>" + "".join(f"<Relationship Id='{i}' Type='urn:x/{kind}' Target='{to}'/>" for i, kind, to in rows) + "</Relationships>"
+    cells = "".join(f"<a:tc><a:txBody>{text(c)}</a:txBody></a:tc>" for c in ("size", str(row["size"])))
+    return {
+        "ppt/presentation.xml": f"<p:presentation {space}><p:sldIdLst><p:sldId id='1' r:id='r2'/><p:sldId id='2' r:id='r1'/></p:sldIdLst></p:presentation>",
+        "ppt/_rels/presentation.xml.rels": relations(("r1", "slide", "slides/slide1.xml"), ("r2", "slide", "/ppt/slides/slide2.xml")),
+        "ppt/slides/slide1.xml": slide(shape("sldNum", "7") + f"<p:graphicFrame><a:tbl><a:tr>{cells}</a:tr></a:tbl></p:graphicFrame>"),
+        "ppt/slides/slide2.xml": slide(shape("title", row["name"]) + shape("body", "costs " + row["price"], row["brand"])),
+        "ppt/slides/_rels/slide2.xml.rels": relations(("n", "notesSlide", "../notesSlides/notesSlide1.xml")),
+        "ppt/notesSlides/notesSlide1.xml": slide(shape("body", "say " + row["name"]) + shape("sldNum", "1")),
+    }
+
+
+@query("""SELECT p_partkey AS key, '## ' || p_name || chr(10) || chr(10) || 'costs ' || CAST(CAST(p_retailprice AS DECIMAL(18, 2)) AS VARCHAR) || chr(10) || chr(10) || p_brand || chr(10) || chr(10) || '> say ' || p_name
+  || chr(10) || chr(10) || '## Slide 2' || chr(10) || chr(10) || '| size | ' || p_size || ' |' || chr(10) || '| --- | --- |' AS markdown FROM part""")
+def presentations(spark, sf_dir):
+    """Parts as presentations, read in the order in which their slides are shown."""
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("name"), F.col("p_size").alias("size"), F.col("p_retailprice").cast("decimal(18,2)").cast("string").alias("price"), F.col("p_brand").alias("brand"))
+    made = D.parse_documents(_archives(rows, "pptx", _presentation))
+    return made.select(F.regexp_extract("path", r"(\d+)\.pptx", 1).cast("long").alias("key"), "markdown")
+
+
+def _map_of(row):
+    """A conversation as a mind map: every turn below the one before it. Odd ones in the older form."""
+    if row["key"] % 2:
+        below = ""
+        for t in reversed(row["turns"]):
+            below = f"<topic><title>{escape(t['role'])}</title><notes><plain>{escape(t['said'])}</plain></notes><children><topics type='attached'>{below}</topics></children></topic>"
+        return {"content.xml": f"<xmap-content xmlns='urn:x'><sheet><topic><title>{row['key']}</title><children><topics type='attached'>{below}</topics></children></topic><title>Talk</title></sheet></xmap-content>"}
+    below = []
+    for t in reversed(row["turns"]):
+        below = [{"title": t["role"], "notes": {"plain": {"content": t["said"]}}, "children": {"attached": below}}]
+    return {"content.json": json.dumps([{"title": "Talk", "rootTopic": {"title": str(row["key"]), "children": {"attached": below}}}])}
+
+
+@query("""WITH t AS (SELECT conv_id, turn, role, md5(coalesce(text, '')) AS said, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, md5(coalesce(text, ''))) AS k FROM conversations)
+SELECT conv_id AS key, '# Talk' || chr(10) || chr(10) || '- ' || conv_id || chr(10) || string_agg(repeat('  ', k) || '- ' || role || chr(10) || repeat('  ', k + 1) || '> ' || said, chr(10) ORDER BY k) AS markdown FROM t GROUP BY conv_id""")
+def mind_maps(spark, sf_dir):
+    """Conversations as mind maps in both forms, read as nested lists."""
+    turn = F.struct("turn", "role", F.md5(F.coalesce("text", F.lit(""))).alias("said"))
+    rows = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("key")).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    made = D.parse_documents(_archives(rows, "xmind", _map_of))
+    return made.select(F.regexp_extract("path", r"(\d+)\.xmind", 1).cast("long").alias("key"), "markdown")

@@ -9,6 +9,8 @@ from __future__ import annotations
 import base64
 import email
 import io
+import json
+import posixpath
 import re
 import xml.etree.ElementTree as xml
 import zipfile
@@ -157,10 +159,98 @@ def _workbook(content: bytes) -> Parsed:
 
 
 #: Parsers by extension, in the order in which they are tried.
+def _targets(file: zipfile.ZipFile, part: str) -> dict[str, tuple[str, str]]:
+    """Of a part of an office archive, id to (kind, path) of the parts that it relates to."""
+    folder, _, name = part.rpartition("/")
+    try:
+        relations = xml.fromstring(file.read(f"{folder}/_rels/{name}.rels"))
+    except KeyError:
+        return {}
+    out = {}
+    for r in _children(relations, "Relationship"):
+        target = r.attrib.get("Target", "")
+        path = posixpath.normpath(target.lstrip("/") if target.startswith("/") else f"{folder}/{target}")
+        out[r.attrib.get("Id", "")] = (r.attrib.get("Type", "").rpartition("/")[2], path)
+    return out
+
+
+def _said(shape: xml.Element) -> list[str]:
+    """The paragraphs of a shape that have text; breaks are spaces."""
+    lines = ("".join(" " if x.tag.endswith("}br") else x.text or "" for x in _children(p, "t", "br")) for p in _children(shape, "p"))
+    return [line.strip() for line in lines if line.strip()]
+
+
+def _slides(content: bytes) -> Parsed:
+    """Slides of a presentation in the order in which it shows them: titles as headings, paragraphs, tables,
+    and the speaker's notes as quotes."""
+    out = []
+    with zipfile.ZipFile(io.BytesIO(content)) as file:
+        main = "ppt/presentation.xml"
+        parts = _targets(file, main)
+        shown = [v for s in _children(xml.fromstring(file.read(main)), "sldId") for k, v in s.attrib.items() if k.endswith("}id")]
+        for number, key in enumerate(shown, 1):
+            if key not in parts:
+                continue
+            path = parts[key][1]
+            slide, lines, title = xml.fromstring(file.read(path)), [], ""
+            for shape in _children(slide, "sp", "graphicFrame"):
+                for table in _children(shape, "tbl"):
+                    lines.append(table_markdown([[" ".join(_said(cell)) for cell in _children(row, "tc")] for row in _children(table, "tr")]))
+                kind = next((p.attrib.get("type", "") for p in _children(shape, "ph")), "")
+                if shape.tag.endswith("}sp") and kind in ("title", "ctrTitle") and not title:
+                    title = " ".join(_said(shape))
+                elif shape.tag.endswith("}sp") and kind not in ("sldNum", "ftr", "dt"):
+                    lines += _said(shape)
+            for kind, notes in _targets(file, path).values():
+                if kind == "notesSlide":
+                    shapes = [s for s in _children(xml.fromstring(file.read(notes)), "sp") if not any(p.attrib.get("type") in ("sldNum", "sldImg", "hdr", "ftr", "dt") for p in _children(s, "ph"))]
+                    lines += [f"> {line}" for s in shapes for line in _said(s)]
+            out.append("\n\n".join([f"## {title or f'Slide {number}'}", *lines]))
+    return "\n\n".join(out), {}
+
+
+Topic = tuple[str, str, list]  # title, note, topics below
+
+
+def _mind_map(content: bytes) -> Parsed:
+    """Sheets of a mind map as nested lists, notes as quotes below their topic; from the newer JSON or the older XML."""
+
+    def of_json(topic: dict) -> Topic:
+        below = topic.get("children") or {}
+        plain = ((topic.get("notes") or {}).get("plain") or {}).get("content") or ""
+        return str(topic.get("title") or ""), str(plain), [of_json(t) for kind in ("attached", "detached") for t in below.get(kind) or []]
+
+    def child(node: xml.Element | None, name: str) -> xml.Element | None:
+        return next((x for x in node if x.tag.rsplit("}", 1)[-1] == name), None) if node is not None else None
+
+    def of_xml(topic: xml.Element) -> Topic:
+        text = lambda node: "" if node is None else "".join(node.itertext())
+        groups = [g for g in child(topic, "children") if g.tag.rsplit("}", 1)[-1] == "topics"] if child(topic, "children") is not None else []
+        return text(child(topic, "title")), text(child(child(topic, "notes"), "plain")), [of_xml(t) for g in groups for t in g if t.tag.rsplit("}", 1)[-1] == "topic"]
+
+    with zipfile.ZipFile(io.BytesIO(content)) as file:
+        if "content.json" in file.namelist():
+            sheets = [(str(s.get("title") or ""), of_json(s.get("rootTopic") or {})) for s in json.loads(file.read("content.json"))]
+        else:
+            found = list(_children(xml.fromstring(file.read("content.xml")), "sheet"))
+            sheets = [("".join(t.itertext()) if (t := child(s, "title")) is not None else "", of_xml(r)) for s in found if (r := child(s, "topic")) is not None]
+    out = []
+    for name, root in sheets:
+        lines, todo = [f"# {name or root[0]}", ""], [(0, root)]
+        while todo:  # from the top, without recursion
+            depth, (title, note, below) = todo.pop()
+            if title.strip():
+                lines.append(f"{'  ' * depth}- {' '.join(title.split())}")
+                lines += [f"{'  ' * (depth + 1)}> {line.strip()}" for line in note.splitlines() if line.strip()]
+            todo += [(depth + bool(title.strip()), t) for t in reversed(below)]
+        out.append("\n".join(lines))
+    return "\n\n".join(out), {}
+
+
 PARSERS: dict[str, tuple[Callable[[bytes], Parsed], ...]] = {
     "md": (_text, _lenient_text), "markdown": (_text, _lenient_text), "txt": (_text, _lenient_text), "csv": (_text, _lenient_text), "json": (_text, _lenient_text),
     "html": (_page,), "htm": (_page,), "mhtml": (_web_archive, _page), "mht": (_web_archive, _page),
-    "docx": (_word,), "epub": (_book,), "xlsx": (_workbook,),
+    "docx": (_word,), "epub": (_book,), "xlsx": (_workbook,), "pptx": (_slides,), "xmind": (_mind_map,),
 }
 
 
