@@ -88,7 +88,9 @@ def read_back(formatted: DataFrame, in_order: bool = False) -> DataFrame:
     turns_sha256 digests role, newline, text, newline of every turn, unescaped;
     loss_sha256 all text under the mask, unescaped. `in_order`: the parts still lie as
     format_conversations() gave them, so they needn't be dealt and sorted again.
-    Text outside turns, or a turn without its end, raises ValueError.
+    Text outside turns, or a turn without its end, raises ValueError. A null conv_id is a
+    conversation like others; parts are never null, as format_conversations() makes them. An
+    empty table gives no rows; further columns play no part.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -264,7 +264,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 
     Places are characters of the normalised texts. Null and empty items and texts match
     nothing; repeated rows match alike. Long texts are searched whole, in overlapping parts;
-    an item is held whole by every task.
+    an item is held whole by every task. Empty tables give no rows; further columns play no part.
     """
     spark = docs.sparkSession
     size = benchmark.agg(F.coalesce(F.sum(F.length(item_text)), F.lit(0))).first()[0]
