@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from quern.operators.retrieval import BLOCK, Best, vector_search
 
 SAMPLE = 20_000  # vectors that the centres are fitted on, those whose ids hash lowest; the only bound
-HOT = 8  # times the mean: longer lists are dealt over several files
+LEAST_LISTS, MOST_LISTS = 8, 4096  # of an index; between, the square root of its rows
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -47,11 +47,17 @@ def fit(vectors: DataFrame, lists: int, id_col: str = "vec_id", vector_col: str
     return np.array(found)
 
 
+def lists_for(vectors: DataFrame) -> int:
+    """How many lists suit so many vectors: as many as a list then has, within bounds."""
+    return min(MOST_LISTS, max(LEAST_LISTS, round(vectors.count() ** 0.5)))
+
+
 def build(vectors: DataFrame, centres: np.ndarray, path: str, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Write all vectors to `path` with the number of their list (null for those that can't be searched)."""
     sent = vectors.sparkSession.sparkContext.broadcast(centres)
     numbered = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("embedding")).withColumn("list", F.get(_lists(sent, 1)("embedding"), 0))
-    numbered.repartition("list", F.pmod(F.xxhash64("vec_id"), F.lit(HOT))).write.partitionBy("list").parquet(path)
+    # Files of Spark's advisory size: long lists in several tasks, short ones together.
+    numbered.hint("rebalance", F.col("list")).write.partitionBy("list").parquet(path)
     return vectors.sparkSession.read.parquet(path)
 
 

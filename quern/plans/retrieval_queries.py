@@ -85,10 +85,10 @@ def vector_search_inner_product(spark, sf_dir):
 
 @query()
 def vector_index_search(spark, sf_dir):
-    """The ten nearest by an inverted-file index of 64 lists; how many of them are looked through is
+    """The ten nearest by an inverted-file index of as many lists as the root of the rows; how many of them are looked through is
     measured on up to 200 other vectors, for 95 % of their true neighbours."""
     index = table(spark, sf_dir, "embeddings")
-    centres = I.fit(index, 64)
+    centres = I.fit(index, I.lists_for(index))
     built = I.build(index, centres, f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}")
     others = index.filter("vec_id % 20 = 7").orderBy(F.xxhash64("vec_id")).limit(200).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     return I.search(built, centres, vector_queries(spark, sf_dir), 10, I.probes_for(built, centres, others))
