@@ -7,7 +7,7 @@ has nothing but the permitted views: what isn't permitted can't be named.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator, Mapping
+from collections.abc import Collection, Iterator, Mapping
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -104,13 +104,17 @@ def statement(spark: SparkSession, sql: str) -> dict:
     }
 
 
-def check(spark: SparkSession, sql: str, permitted: set[str]) -> None:
-    """Raise SqlRejected unless the text is one SELECT over permitted tables, without
+def check(spark: SparkSession, sql: str, permitted: set[str], functions: Collection[str] = ()) -> None:
+    """Raise SqlRejected unless the text is one SELECT over permitted tables and table `functions`, without
     functions that aren't known to be safe, and without conditions that always or never hold:
     in WHERE, HAVING and ON, those that compare constants, or a column with itself."""
     for node in _walk(parse(spark, sql)):
         name = node.nodeName()
-        if name not in SELECT_NODES and not name.startswith("Resolved"):
+        if name == "UnresolvedTableValuedFunction":
+            called = ".".join(_sequence(node.name())).lower()
+            if called not in functions:
+                raise SqlRejected(f"table function {called} isn't permitted")
+        elif name not in SELECT_NODES and not name.startswith("Resolved"):
             raise SqlRejected(f"{name} isn't permitted")
         for e in _expressions(node):
             if e.nodeName() == "UnresolvedFunction":
@@ -140,11 +144,14 @@ def _check_condition(condition: Any) -> None:
             raise SqlRejected("a condition compares a column with itself")
 
 
-def run(spark: SparkSession, sql: str, views: Mapping[str, DataFrame], most_rows: int | None = None) -> DataFrame:
-    """The rows of a checked SELECT over `views`. The caller's filters (tenant, deleted rows,
-    scope) belong in the views: no text can go round them."""
-    check(spark, sql, set(views))
+def run(spark: SparkSession, sql: str, views: Mapping[str, DataFrame], most_rows: int | None = None, functions: Mapping[str, Any] | None = None) -> DataFrame:
+    """The rows of a checked SELECT over `views`, with table `functions` by their names (lower case). The
+    caller's filters (tenant, deleted rows, scope) belong in the views: no text can go round them."""
+    functions = functions or {}
+    check(spark, sql, set(views), functions)
     own, shared = spark.newSession(), []
+    for name, function in functions.items():
+        own.udtf.register(name, function)
     try:
         for name, view in views.items():
             shared.append(f"quern_{uuid.uuid4().hex}")  # the way from one session to another

@@ -9,6 +9,8 @@ from quern.plans import (  # noqa: F401  importing registers
     retrieval_queries,
     graph_queries,
     source_queries,
+    drive_queries,
+    split_queries,
 )
 from quern.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
 
