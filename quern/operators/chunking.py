@@ -169,6 +169,8 @@ def split_headings(text: str, size: int, overlap: int, level: int = 0) -> list[C
     """Sections that begin at headings of the level (0: the dominant one) or above, each with the
     path of headings at its start. Long ones are split on, with the path at each part's start;
     neighbours of a common path join while they are short."""
+    if not text:
+        return []
     every = _headings(text)
     counts = [sum(h[1] == k for h in every) for k in range(7)]
     level = level or next((k for k in range(1, 7) if counts[k] >= 3), max((k for k in range(1, 7) if counts[k]), default=0))

@@ -9,7 +9,7 @@ Every file becomes rows in the task that reads it.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,9 +27,9 @@ COMMENTS = {
 }
 COMMENTS["signs"] = COMMENTS["braces"]
 STRINGS = {
-    "braces": r"`(?:\\[\s\S]|[^`\\])*+(?:`|\Z)|\"(?:\\[^\n]|[^\"\\\n])*\"?|'(?:\\[^\n]|[^'\\\n])*'?",
+    "braces": r"`(?:\\[\s\S]|[^`\\])*+(?:`|\\?\Z)|\"(?:\\[^\n]|[^\"\\\n])*\"?|'(?:\\[^\n]|[^'\\\n])*'?",
     "indent": r"\"\"\"(?:\\[\s\S]|[^\\])*?(?:\"\"\"|\Z)|'''(?:\\[\s\S]|[^\\])*?(?:'''|\Z)|\"(?:\\[\s\S]|[^\"\\\n])*\"?|'(?:\\[\s\S]|[^'\\\n])*'?",
-    "signs": r"\"(?:\\[\s\S]|[^\"\\])*+(?:\"|\Z)|'(?:\\[^\n']{1,9}|\\'|[^'\\\n])'",
+    "signs": r"\"(?:\\[\s\S]|[^\"\\])*+(?:\"|\\?\Z)|'(?:\\[^\n']{1,9}|\\'|[^'\\\n])'",
     "sql": r"'(?:''|[^'])*(?:'|\Z)|\"(?:\"\"|[^\"])*(?:\"|\Z)",
 }
 FAMILIES = {
@@ -47,15 +47,19 @@ def family(extension: str | None) -> str:
     return FAMILIES.get((extension or "").lower(), "braces")
 
 
-def points(text: str, kind: str) -> list[Point]:
-    """Ends of lines outside strings and comments that span lines. Blank lines belong to what stands before them."""
+def scan(text: str, kind: str) -> tuple[list[Point], list[tuple[int, str]]]:
+    """Ends of lines outside strings and comments that span lines, and brackets with their places. Blank
+    lines belong to what stands before them."""
     out: list[Point] = []
+    brackets: list[tuple[int, str]] = []
     depth, line, note = 0, 0, False  # note: the line begins with a comment
     for m in _TOKENS[kind].finditer(text):
         if m.lastgroup == "open":
             depth += 1
+            brackets.append((m.start(), m[0]))
         elif m.lastgroup == "close":
             depth = max(0, depth - 1)
+            brackets.append((m.start(), m[0]))
         elif m.lastgroup == "comment":
             note = note or not text[line : m.start()].strip()
         elif m.lastgroup == "line":
@@ -66,16 +70,16 @@ def points(text: str, kind: str) -> list[Point]:
             elif out and out[-1][0] == line:
                 out[-1] = (m.end(), *out[-1][1:])
             line, note = m.end(), False
-    return [p for p in out if p[0] < len(text)]
+    return [p for p in out if p[0] < len(text)], brackets
 
 
-def _fits(text: str, kind: str) -> bool:
+def _fits(brackets: list[tuple[int, str]]) -> bool:
     """Whether every bracket of a piece has its partner in it."""
     open_ = []
-    for m in _TOKENS[kind].finditer(text):
-        if m.lastgroup == "open":
-            open_.append(m[0])
-        elif m.lastgroup == "close" and (not open_ or open_.pop() != _CLOSES[m[0]]):
+    for _, sign in brackets:
+        if sign not in _CLOSES:
+            open_.append(sign)
+        elif not open_ or open_.pop() != _CLOSES[sign]:
             return False
     return not open_
 
@@ -86,9 +90,9 @@ def split_code(text: str, size: int = SIZE, kind: str = "braces") -> list[tuple[
     belongs to come after others of their level), the last of these. `forced` pieces end elsewhere, as no point
     is within reach: at a line's end in the second half of the reach, else anywhere. Pieces that have
     no partner for a bracket aren't balanced, nor forced ones."""
-    at = points(text, kind)
+    at, brackets = scan(text, kind)
     ends = [p[0] for p in at]
-    out, start = [], 0
+    out, start, k = [], 0, 0
     while start < len(text):
         reach, forced = start + size, False
         if reach >= len(text):
@@ -100,8 +104,9 @@ def split_code(text: str, size: int = SIZE, kind: str = "braces") -> list[tuple[
             else:
                 forced, line = True, text.rfind("\n", start + size // 2, reach) + 1
                 end = line or reach
-        out.append((start, end, not forced and not (out and out[-1][3]) and _fits(text[start:end], kind), forced))
-        start = end
+        stop = bisect_left(brackets, (end, ""), k)
+        out.append((start, end, not forced and not (out and out[-1][3]) and _fits(brackets[k:stop]), forced))
+        start, k = end, stop
     return out
 
 

@@ -20,8 +20,13 @@ def _cut(before: str, mark: str) -> str:
     return f"SELECT doc_id, place, text FROM {before} WHERE length(text) <= {C.SIZE} UNION ALL {placed}"
 
 
-#: The recursive splitter's chunks of texts without tables, links and fenced blocks: units by one separator after the other, packed.
-CHUNKS = f"""c0 AS (SELECT doc_id, 0::BIGINT AS place, regexp_replace(text, '\\r\\n?', chr(10), 'g') AS text FROM documents WHERE text != ''),
+_WHOLE = C.PROTECTED.pattern.replace("\\Z", "\\z").replace("'", "''")
+#: The recursive splitter's chunks: what is kept whole, and else units by one separator after the other; packed.
+CHUNKS = f"""tx AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '(?m)({_WHOLE})', chr(1) || '\\1' || chr(1), 'g'), chr(1)) AS p FROM documents WHERE text != ''),
+pt AS (SELECT *, k % 2 = 0 AND length(x) < {C.SIZE} AS whole FROM (SELECT doc_id, unnest(p) AS x, generate_subscripts(p, 1) AS k FROM tx)),
+gr AS (SELECT *, 2 * count(*) FILTER (whole) OVER (PARTITION BY doc_id ORDER BY k) - whole::INTEGER AS g FROM pt),
+sg AS (SELECT doc_id, g, string_agg(x, '' ORDER BY k) AS text FROM gr GROUP BY doc_id, g),
+c0 AS (SELECT doc_id, CAST(coalesce(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY g ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS place, text FROM sg WHERE text != ''),
 {", ".join(f"c{k} AS MATERIALIZED ({_cut(f'c{k - 1}', mark)})" for k, mark in enumerate(C.SEPARATORS, 1))},
 u AS MATERIALIZED (SELECT doc_id, place + o AS a, least(place + o + {C.SIZE}, place + length(text)) AS z FROM (SELECT *, unnest(range(0, length(text), {C.SIZE})) AS o FROM c{len(C.SEPARATORS)} WHERE text != '')),
 ch AS (SELECT doc_id, 0 AS n, 0::BIGINT AS a, max(z) AS z FROM u WHERE z <= {C.SIZE} GROUP BY doc_id

@@ -3,15 +3,19 @@
 import json
 import random
 import re
+import shutil
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.functions import vectors as V
 from quern.functions import prepare
-from quern.operators import chunking, clusters, containment, faq, graph, memory, metrics, relations, rerank, retrieval, sql_surface, stitch
+from quern.operators import chunking, clusters, code_chunks, containment, faq, graph, memory, metrics, relations, rerank, retrieval, sql_surface, stitch
+from quern.operators.table_functions import TABLE_FUNCTIONS
 from quern.session import fresh
 from quern.sources import documents, feed, files, html
 from quern.streaming import absence, ingest
@@ -681,3 +685,148 @@ def test_vector_graph(spark):
     want = {(r.query_id, r.vec_id) for r in retrieval.vector_search(df.filter("vec_id < 2000"), asked, 10, threshold=-1.0).collect()}
     assert len(got & want) >= 0.95 * len(want) and {v for q, v in got if q == 7} == {7, *range(1000, 1009)}
     assert vector_graph.search(vector_graph.build(df.limit(0)), asked).count() == 0
+
+
+# --- drives ---
+
+
+def test_drive(spark, tmp_path):
+    """List, whole and incremental fetches; restarts; what attempts disagree upon comes again; vanished folders; odd keys."""
+    from quern.sources.drive import Bucket, Drive, DriveStreamReader
+
+    spark.dataSource.register(Drive)
+    root, state, out, mark = (str(tmp_path / n) for n in ("root", "state", "out", "mark"))
+    put = lambda *rows: spark.createDataFrame(list(rows), "text string, item_id string, more int").write.format("drive").mode("append").option("path", root).save()
+    read = lambda **o: spark.read.format("drive").options(path=root, buckets=3, **o).load()
+    assert read().count() == 0  # no such folder
+    put(("a", "x/1/a.txt", 1), ("", "x/1/deep/er/b.txt", 1), ("c", "x/c.txt", 1), ("d", "d.txt", 1), ("é\0", "y/2/e e.txt", 1))
+    assert {(r.item_id, r.text) for r in read().collect()} == {("x/1/a.txt", "a"), ("x/1/deep/er/b.txt", ""), ("x/c.txt", "c"), ("d.txt", "d"), ("y/2/e e.txt", "é\0")}
+    assert {r.text for r in read(contents=False).collect()} == {None} and read(contents=False).count() == 5
+    for bad in ("../z", "/abs", "a//b", "", None, "a/"):
+        with pytest.raises(Exception, match="not a path below"):
+            put(("t", bad, 1))
+
+    def fetch(**options):
+        stream = spark.readStream.format("drive").options(**({"path": root, "state": state, "buckets": 3} | options)).load()
+        before = spark.read.parquet(out).count() if (tmp_path / "out").exists() else 0
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
+        rows = spark.read.parquet(out)
+        last = rows.agg({"scan": "max"}).first()[0]
+        return {(r.item_id, r.gone, r.text) for r in rows.filter(rows.scan == last).collect()} if rows.count() > before else set()
+
+    assert len(fetch()) == 5 and fetch() == set()
+    put(("a2", "x/1/a.txt", 1), (None, "d.txt", 1), (None, "never/was.txt", 1), ("new", "z/9/n.txt", 1))
+    shutil.rmtree(tmp_path / "root" / "y")
+    assert fetch() == {("x/1/a.txt", False, "a2"), ("d.txt", True, None), ("y/2/e e.txt", True, None), ("z/9/n.txt", False, "new")}
+    assert fetch() == set()
+    with pytest.raises(Exception, match="buckets"):
+        fetch(buckets=4)
+    with pytest.raises(Exception, match="state"):
+        spark.readStream.format("drive").option("path", root).load().writeStream.format("noop").option("checkpointLocation", f"{mark}2").trigger(availableNow=True).start().awaitTermination()
+
+    # two attempts of one task, between which an item changes, one comes and one goes
+    reader = DriveStreamReader({"path": root, "state": f"{state}2", "buckets": "1"})
+    folders = reader.folders.dealt()[0]
+    first = list(reader.read(Bucket(0, folders, 0, 1)))
+    put(("a3", "x/1/a.txt", 1), ("q", "q.txt", 1), (None, "x/c.txt", 1))
+    second = list(reader.read(Bucket(0, reader.folders.dealt()[0], 0, 1)))
+    again = {(r[0], r[3]) for r in reader.read(Bucket(0, reader.folders.dealt()[0], 1, 2))}
+    assert len(first) == len(second) == 4 and again == {("x/1/a.txt", False), ("q.txt", False), ("x/c.txt", True)}
+    reader.commit(reader._offset(2))
+    assert reader._scans() == [2] and reader.latestOffset()["scan"] > 2
+    with pytest.raises(FileNotFoundError, match="no snapshot"):
+        list(reader.read(Bucket(0, folders, 1, 3)))
+
+
+# --- code ---
+
+
+def plain_code_state(text, mark):
+    """Of every character, by a machine that goes sign by sign: depth before it, and whether it is within a string or comment."""
+    out, depth, quote, k = [], 0, "", 0
+    while k < len(text):
+        step = 1
+        if quote in ("line", "block"):
+            inside, ends = True, text[k] == "\n" if quote == "line" else text.startswith("*/", k)
+            if ends:
+                inside, step, quote = quote == "block", 2 if quote == "block" else 1, ""
+        elif quote:
+            inside = True
+            if text[k] == "\\" and k + 1 < len(text) and (quote == "`" or text[k + 1] != "\n"):
+                step = 2
+            elif text[k] == quote:
+                quote = ""
+            elif text[k] == "\n" and quote != "`":
+                quote, inside = "", False
+        elif text.startswith(mark, k):
+            quote, inside = "line", True
+        elif text.startswith("/*", k):
+            quote, inside, step = "block", True, 2
+        else:
+            inside = text[k] in "\"'`"
+            quote = text[k] if inside else ""
+        for j in range(step):
+            out.append((depth, inside, quote))
+        if not inside:
+            depth = depth + 1 if text[k] in "([{" else max(0, depth - 1) if text[k] in ")]}" else depth
+        k += step
+    return out
+
+
+@given(st.text(st.sampled_from("ab{}()\"'`/*\\\n \n"), max_size=120), st.integers(1, 40))
+@settings(max_examples=400, deadline=None)
+def test_code_against_plain(text, size):
+    """Points and their depths as a machine that goes sign by sign has them; pieces tile the text, and end
+    at the best point in reach."""
+    at, _ = code_chunks.scan(text, "braces")
+    state = plain_code_state(text, "//")
+    lines, place = [], 0
+    for k, c in enumerate(text):
+        if c == "\n" and not state[k][1]:
+            own = text[place : k + 1]
+            if own.strip():
+                lines.append([k + 1, state[k][0]])
+            elif lines and lines[-1][0] == place:
+                lines[-1][0] = k + 1
+            place = k + 1
+    assert [(p[0], p[1]) for p in at] == [tuple(x) for x in lines if x[0] < len(text)]
+    pieces = code_chunks.split_code(text, size)
+    assert "".join(text[a:b] for a, b, _, _ in pieces) == text and all(0 < b - a <= size for a, b, _, _ in pieces)
+    for a, b, balanced, forced in pieces:
+        near = [p for p in at if a < p[0] <= a + size]
+        if b < len(text):
+            assert forced == (not near) and (forced or all((p[3], p[1], p[2], -p[0]) >= next((q[3], q[1], q[2], -q[0]) for q in near if q[0] == b) for p in near))
+        signs = "".join(c for k, c in enumerate(text[a:b], a) if c in "()[]{}" and not state[k][1])
+        while signs != (less := signs.replace("()", "").replace("{}", "").replace("[]", "")):
+            signs = less
+        assert not balanced or not signs
+
+
+def test_code_families(spark):
+    py = '@mark\ndef f(a):\n    """(\n    """\n    if a:\n        return (1,\n            2)\n    return 3\n\n\n# note\ndef g():\n    pass\n'
+    texts = lambda text, size, kind: [text[a:b] for a, b, _, _ in code_chunks.split_code(text, size, kind)]
+    assert texts(py, 100, "indent") == [py[: py.index("# note")], py[py.index("# note") :]]
+    assert texts(py, 70, "indent")[0] == py[: py.index("    if a")]
+    rust = "fn f<'a>(x: &'a str) {\n  g('{', \"}\n\");\n}\nfn h() {\n}\n"
+    assert texts(rust, 46, "signs") == ["fn f<'a>(x: &'a str) {\n  g('{', \"}\n\");\n}\n", "fn h() {\n}\n"]
+    sql = "SELECT 'it''s (' -- (\n;\nSELECT ( /* ) */ 1\n);\n"
+    assert texts(sql, 30, "sql") == [sql[: sql.index("SELECT (")], sql[sql.index("SELECT (") :]]
+    rows = [("a.py", py), ("b.JS", "x(\r\n1)\r\n"), ("c", None), (None, "y;\n"), ("e.go", ""), ("f.c", "z" * 50_000)]
+    made = code_chunks.chunk_code(spark.createDataFrame(rows, "path string, text string").selectExpr("*", "1 AS chunk_index", "'e' AS ext", "2 AS _id"), 1000).collect()
+    assert {(r.path, r.first_line, r.last_line, r.balanced) for r in made if r.path not in ("f.c",)} == {("a.py", 1, 13, True), ("b.JS", 1, 2, True), (None, 1, 1, True)}
+    assert sum(len(r.content) for r in made if r.path == "f.c") == 50_000 and {(r.balanced, r.forced) for r in made if r.path == "f.c"} <= {(False, True), (False, False)}
+
+
+def test_table_functions(spark):
+    """Splitters in one SELECT give the chunks that they give to DataFrames; others can't be called."""
+    text = "# A\n\n" + "words of it. " * 80 + "\r\n## B\n\n" + "more of it. " * 60 + "\n## C\n\nend\n"
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "id int, text string")
+    for tier in chunking.SPLITTERS:
+        got = sql_surface.run(spark, f"SELECT d.id, c.start_at, c.end_at, c.context, c.content FROM docs d, LATERAL split_{tier}(d.text, 300, 50) c WHERE c.end_at > d.id", {"docs": docs}, functions=TABLE_FUNCTIONS)
+        want = chunking.split_documents(docs, 300, 50, "id", tier=tier).select("doc_id", "start_at", "end_at", "context", "content")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 3
+    got = sql_surface.run(spark, "SELECT c.balanced, count(*) AS n FROM docs, LATERAL split_code(text, 100, 'js') c GROUP BY ALL", {"docs": docs}, functions=TABLE_FUNCTIONS)
+    assert got.count()
+    for sql in ("SELECT * FROM range(5)", "SELECT * FROM docs, LATERAL explode(array(1))", "SELECT * FROM split_recursive((SELECT max(text) FROM other), 5, 1)", "SELECT * FROM docs, LATERAL (SELECT * FROM secret)"):
+        with pytest.raises(sql_surface.SqlRejected):
+            sql_surface.check(spark, sql, {"docs"}, TABLE_FUNCTIONS)
