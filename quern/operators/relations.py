@@ -23,6 +23,27 @@ def with_neighbours(hits: DataFrame, chunks: DataFrame, group: str, index: str)
     return chunks.join(hit.withColumn("match_type", F.lit("hit")).unionByName(near), [group, index])
 
 
+def enriched(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """query_id, chunk_id, match_type, score: hits (query_id, chunk_id, rank, score) as 'hit', and the chunks that
+    these name: their parent ('parent', with the hit's score), those of their list of relations ('related'), and for
+    hits of kind 'text' those before and after ('near'; both of score 0). A chunk comes once a query, by the
+    best hit that names it, of one hit's names in this order; hits aren't named again, nor what isn't there.
+
+    `chunks` has chunk_id, kind, parent_id, related (an array), before_id and after_id, all but the first nullable."""
+    own = hits.select("query_id", "chunk_id", "rank", "score").join(chunks.select("chunk_id", "kind", "parent_id", "related", "before_id", "after_id"), "chunk_id")
+    kind = lambda name, order, score, found: F.struct(F.lit(order).alias("o"), F.lit(name).alias("match_type"), score.alias("score"), found.alias("found"))
+    zero, near = F.lit(0.0), F.col("kind") == "text"
+    named = F.concat(
+        F.array(kind("parent", 1, F.col("score").cast("double"), F.col("parent_id"))),
+        F.transform(F.coalesce("related", F.array().cast(chunks.schema["related"].dataType)), lambda r: kind("related", 2, zero, r)),
+        F.array(*[kind("near", 3, zero, F.when(near, F.col(c))) for c in ("after_id", "before_id")]),
+    )
+    named = own.select("query_id", "rank", F.explode(named).alias("n")).filter("n.found IS NOT NULL").groupBy("query_id", F.col("n.found").alias("chunk_id"))
+    first = named.agg(F.min(F.struct("rank", "n.o", "n.match_type", "n.score")).alias("n"))
+    first = first.join(own.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti").join(chunks.select("chunk_id"), "chunk_id", "left_semi")
+    return own.select("query_id", "chunk_id", F.lit("hit").alias("match_type"), F.col("score").cast("double").alias("score")).unionByName(first.select("query_id", "chunk_id", "n.match_type", "n.score"))
+
+
 def upsert(target: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:
     """`target` with rows of `changes` in place of those with the same key, or added."""
     return target.join(changes.select(*key), key, "left_anti").unionByName(changes)

@@ -252,3 +252,34 @@ def images_within(images: Column, content: Column) -> Column:
     """A JSON list of images without those whose url the content doesn't have."""
     kept = F.filter(F.from_json(images, "array<struct<url:string,caption:string,ocr:string>>"), lambda i: F.coalesce(F.contains(content, i["url"]), F.lit(False)))
     return F.to_json(F.coalesce(kept, F.array().cast("array<struct<url:string,caption:string,ocr:string>>")))
+
+
+IMAGE_LIST = "array<struct<url:string,original_url:string,caption:string,ocr:string>>"
+#: Images in Markdown, and in tags.
+IMAGE_MARKS = (r"!\[[^\]]*\]\(([^)\s]+)[^)]*\)", r"(?i)<img\s[^>]*?src\s*=\s*[\"']\s*([^\"'>\s]+)\s*[\"']")
+
+
+def within_range(content: Column, start_at: Column, first: Column, end: Column) -> Column:
+    """What of a content that begins at `start_at` of its document lies from `first` to `end` there; empty if nothing does."""
+    a, z = F.greatest(first - start_at, F.lit(0)), F.least(end - start_at, F.length(content))
+    return F.when(a < z, F.substr(content, a + 1, z - a)).when(content.isNotNull(), F.lit(""))
+
+
+def image_urls(content: Column) -> Column:
+    """Addresses of the images that a content shows, in Markdown or by tags, each once."""
+    content = F.coalesce(content, F.lit(""))
+    return F.array_distinct(F.concat(*[F.regexp_extract_all(content, F.lit(p), F.lit(1)) for p in IMAGE_MARKS]))
+
+
+def images_shown(images: Column, content: Column) -> Column:
+    """A JSON list of images without those that the content doesn't show, by url or original_url; null if none is
+    left, or if the list can't be read."""
+    urls = image_urls(content)
+    shown = lambda i: F.coalesce(F.array_contains(urls, i["url"]), F.lit(False)) | F.coalesce(F.array_contains(urls, i["original_url"]), F.lit(False))
+    kept = F.filter(F.from_json(images, IMAGE_LIST), shown)
+    return F.when(F.size(kept) > 0, F.to_json(kept))
+
+
+def images_in_range(images: Column, content: Column, start_at: Column, first: Column, end: Column) -> Column:
+    """images_shown() by that part of a parent's content which a child covers in the document."""
+    return images_shown(images, within_range(content, start_at, first, end))

@@ -160,6 +160,25 @@ def images_in_content(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.size(F.filter(kept, lambda i: F.contains(i["url"], F.lit("e")))).cast("long").alias("n_within"))
 
 
+SHOWN = """im AS (SELECT page_id, list_transform(regexp_extract_all(html, '<a href="([^"]*)"', 1), lambda u, i: CASE WHEN i % 2 = 0 THEN '![' || i || '](' || u || ')' ELSE '<IMG alt="" src="' || u || '">' END) AS shown, list_distinct(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS urls FROM pages),
+ct AS (SELECT *, array_to_string(shown, ' and ') AS content FROM im), wi AS (SELECT *, substr(content, CAST(length(content) // 4 + 1 AS BIGINT), CAST(length(content) // 2 AS BIGINT)) AS part FROM ct)"""
+
+
+@query(rf"""WITH {SHOWN} SELECT page_id, md5(part) AS part_md5, array_to_string(list_sort(list_filter(urls, lambda u: list_contains(regexp_extract_all(part, '!\[[^\]]*\]\(([^)\s]+)[^)]*\)', 1), u)
+  OR list_contains(regexp_extract_all(part, 'src="([^"\s]+)"', 1), u))), ' ') AS urls FROM wi""")
+def images_by_range(spark, sf_dir):
+    """Links of a page as images, those that the middle half of the content shows; every second by its original address."""
+    links = F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))
+    shown = F.transform(links, lambda u, i: F.when((i + 1) % 2 == 0, F.concat(F.lit("!["), i + 1, F.lit("]("), u, F.lit(")"))).otherwise(F.concat(F.lit('<IMG alt="" src="'), u, F.lit('">'))))
+    images = F.transform(F.array_distinct(links), lambda u, i: F.struct(F.when(i % 2 == 0, u).alias("url"), F.when(i % 2 == 1, u).alias("original_url"), F.lit("c").alias("caption")))
+    at = table(spark, sf_dir, "pages").select("page_id", F.to_json(images).alias("images"), F.array_join(shown, " and ").alias("content"))
+    first = F.lit(1000) + F.floor(F.length("content") / 4)
+    span = first, first + F.floor(F.length("content") / 2)
+    kept = F.from_json(S.images_in_range(F.col("images"), F.col("content"), F.lit(1000), *span), S.IMAGE_LIST)
+    urls = F.transform(F.coalesce(kept, F.array().cast(S.IMAGE_LIST)), lambda i: F.coalesce(i["url"], i["original_url"]))
+    return at.select("page_id", F.md5(S.within_range(F.col("content"), F.lit(1000), *span)).alias("part_md5"), F.array_join(F.array_sort(urls), " ").alias("urls"))
+
+
 # --- questions and answers: a conversation's first user turn is the question, its other ones similar, the assistant's turns answers ---
 
 FAQ_CTE = """faq AS (SELECT conv_id AS doc_id, min_by(text, turn) FILTER (role = 'user') AS question, list(text ORDER BY turn) FILTER (role = 'user') AS asked, list(text ORDER BY turn) FILTER (role = 'assistant') AS answers FROM conversations GROUP BY conv_id)"""

@@ -89,6 +89,27 @@ def context_enrichment(spark, sf_dir):
     return J.with_neighbours(turns.filter(F.length("text") > 1500), turns, "conv_id", "turn").select("conv_id", "turn", "role", "match_type")
 
 
+ENRICHED = """ch AS (SELECT conv_id * 1000 + turn AS chunk_id, role, length(text) AS n, CASE WHEN turn > 0 THEN conv_id * 1000 END AS parent, [conv_id * 1000 + 1000 + turn, conv_id * 1000 + turn + 2] AS related,
+  CASE WHEN role != 'system' THEN conv_id * 1000 + turn + 1 END AS after, CASE WHEN role != 'system' THEN conv_id * 1000 + turn - 1 END AS before FROM conversations),
+h AS (SELECT role AS query_id, *, row_number() OVER (PARTITION BY role ORDER BY n DESC, chunk_id) AS rank FROM ch WHERE n > 1500),
+nm AS (SELECT query_id, rank, 1 AS o, 'parent' AS match_type, n::DOUBLE AS score, parent AS chunk_id FROM h UNION ALL SELECT query_id, rank, 2, 'related', 0, unnest(related) FROM h
+  UNION ALL SELECT query_id, rank, 3, 'near', 0, after FROM h UNION ALL SELECT query_id, rank, 3, 'near', 0, before FROM h),
+fi AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY rank, o) AS r FROM nm WHERE chunk_id IN (SELECT chunk_id FROM ch))"""
+
+
+@query(f"""WITH {ENRICHED} SELECT query_id, chunk_id, 'hit' AS match_type, n::DOUBLE AS score FROM h
+UNION ALL SELECT query_id, chunk_id, match_type, score FROM fi WHERE r = 1 AND NOT EXISTS (SELECT 1 FROM h WHERE h.query_id = fi.query_id AND h.chunk_id = fi.chunk_id)""")
+def related_context(spark, sf_dir):
+    """Long turns of each role with their conversation's first turn, the turns that they are related to, and their neighbours."""
+    base, turn, spoken = F.col("conv_id") * 1000, F.col("turn"), F.col("role") != "system"
+    chunks = table(spark, sf_dir, "conversations").select(
+        (base + turn).alias("chunk_id"), F.col("role").alias("query_id"), F.length("text").alias("score"), F.when(spoken, "text").otherwise("parent_text").alias("kind"), F.when(turn > 0, base).alias("parent_id"),
+        F.array(base + 1000 + turn, base + turn + 2).alias("related"), (base + turn + 1).alias("after_id"), (base + turn - 1).alias("before_id"),
+    )
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
+    return J.enriched(chunks.filter("score > 1500").withColumn("rank", rank), chunks)
+
+
 CONTAINS = "SELECT d.doc_id, b.item_id AS passage_id FROM documents d, benchmark b WHERE d.text != '' AND (contains(d.text, b.text) OR contains(b.text, d.text))"
 
 

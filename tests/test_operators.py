@@ -830,3 +830,28 @@ def test_table_functions(spark):
     for sql in ("SELECT * FROM range(5)", "SELECT * FROM docs, LATERAL explode(array(1))", "SELECT * FROM split_recursive((SELECT max(text) FROM other), 5, 1)", "SELECT * FROM docs, LATERAL (SELECT * FROM secret)"):
         with pytest.raises(sql_surface.SqlRejected):
             sql_surface.check(spark, sql, {"docs"}, TABLE_FUNCTIONS)
+
+
+def test_enriched(spark):
+    """The best hit that names a chunk counts; nulls, chunks that aren't there, and hits aren't named."""
+    chunks = spark.createDataFrame(
+        [(1, "text", 9, [3, None, 77], 2, None, "x"), (2, "text", 9, None, 3, 1, "x"), (3, "image", None, [1, 4], 4, 2, "x"), (4, "text", None, [], None, 3, None), (9, "parent_text", None, None, None, None, "x")],
+        "chunk_id int, kind string, parent_id int, related array<int>, after_id int, before_id int, score string",
+    )
+    hits = spark.createDataFrame([("q", 1, 2, 0.5), ("q", 2, 1, 0.9), ("r", 3, 1, 0.4), ("s", 50, 1, 1.0)], "query_id string, chunk_id int, rank int, score double")
+    chunks = chunks.drop("score")
+    assert {tuple(r) for r in relations.enriched(hits, chunks).collect()} == {
+        ("q", 1, "hit", 0.5), ("q", 2, "hit", 0.9), ("q", 9, "parent", 0.9), ("q", 3, "near", 0.0), ("r", 3, "hit", 0.4), ("r", 1, "related", 0.0), ("r", 4, "related", 0.0),
+    }
+    assert relations.enriched(hits.limit(0), chunks).count() == 0
+
+
+def test_images_shown(spark):
+    images = json.dumps([{"url": "a.png", "caption": "A"}, {"url": "x", "original_url": "b.png"}, {"url": "c.png"}, {"ocr": "none"}])
+    content = 'é ![t](a.png "title") <img width=1 SRC=\'b.png\'> c.png [l](c.png)'
+    rows = [(images, content, 10, 0, 999), (images, content, 10, 12, 32), (images, content, 10, 33, 99), (images, content, 10, 99, 120), ("no list", content, 0, 0, 99), (None, content, 0, 0, 99), (images, None, 0, 0, 9), (images, "", 0, 0, 9)]
+    df = spark.createDataFrame(rows, "images string, content string, start int, a int, z int")
+    made = df.select(stitch.images_in_range(*map(F.col, df.columns)).alias("i"), stitch.within_range(*map(F.col, df.columns[1:])).alias("part")).collect()
+    urls = [[i.get("original_url") or i["url"] for i in json.loads(r.i)] if r.i else None for r in made]
+    assert urls == [["a.png", "b.png"], ["a.png"], None, None, None, None, None, None]
+    assert [r.part for r in made] == [content, content[2:22], content[23:], "", content, content, None, ""]
