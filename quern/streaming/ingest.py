@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -44,32 +46,64 @@ def requests_in_window(events: DataFrame, by: str, time_col: str, seconds: int)
     return events.withColumn("n_recent", F.count("*").over(order))
 
 
-PARTS = 16  # a merged table's parts by key; a change rewrites the parts that it touches only
+PARTS = 16  # a merged table's parts by key to begin with; a change rewrites the parts that it touches only
+PART_BYTES = 256 << 20  # a part that is larger is written as two by the next batch that touches it
+#: A part's number is level * _LEVEL + path * _PATH + base: base is the key's hash by the number of parts to begin with, and
+#: path the first `level` bits of the hash, since a part of one level is split into two of the next.
+_LEVEL, _PATH = 1 << 48, 1 << 20
+
+
+def _split_parts(parts: Iterable[int]) -> dict[int, set[int]]:
+    """The parts that the given ones were split from, by level."""
+    out: dict[int, set[int]] = {}
+    for part in parts:
+        level, path, base = part // _LEVEL, part % _LEVEL // _PATH, part % _PATH
+        for above in range(level):
+            out.setdefault(above, set()).add(above * _LEVEL + (path >> (level - above)) * _PATH + base)
+    return out
+
+
+def _part_of(hashed: Column, split: dict[int, set[int]], first: int) -> Column:
+    """The part of a key's hash: as deep as parts were split."""
+    base = at = F.pmod(hashed, F.lit(first)).cast("long")
+    for level in sorted(split):
+        below = F.lit((level + 1) * _LEVEL) + F.shiftrightunsigned(hashed, 63 - level) * F.lit(_PATH) + base
+        at = F.when(at.isin(sorted(split[level])), below).otherwise(at)
+    return at
 
 
-def merge_into(target: str, key: str, order: str, parts: int = PARTS, keep_own: bool = False):
+def merge_into(target: str, key: str, order: str, parts: int = PARTS, keep_own: bool = False, part_bytes: int = PART_BYTES):
     """A foreachBatch function that merges changes into the Parquet table at `target`: the
     latest row of each key stays. Deletions are rows with a mark that merged() knows, and stay,
     so that older rows that come later don't bring their key back. With `keep_own`, a row that is there stays as it is. Rows without a key are left out.
 
     Rows lie in parts by the hash of their key, and a batch writes new versions of the parts
     that it has keys of, `merge_part=<p>/merge_version=<batch>`, in the place of a batch that failed before its
-    end; merged() reads the newest of each. Versions that no reader needs go by compact().
+    end; merged() reads the newest of each. A part of more than `part_bytes` is written as two by the hash's next bit, so
+    that parts, and what a batch rewrites for a key, stay of one size as the table grows. `parts`, how many there are
+    to begin with, is a table's own and can't be changed later. Versions that no reader needs go by compact().
     """
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        at = F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
-        batch = batch.filter(F.col(key).isNotNull()).withColumn("merge_part", at)
+        now = dict(_newest(spark, target, before=number))
+        split = _split_parts(now)
+        hashed = F.xxhash64(key)
+        batch = batch.filter(F.col(key).isNotNull()).withColumn("merge_part", _part_of(hashed, split, parts))
         touched = [r.merge_part for r in batch.select("merge_part").distinct().collect()]
         if not touched:
             return
         rows = batch.withColumn("merge_new", F.lit(1))
-        now = _newest(spark, target, before=number)
-        now = [(p, v) for p, v in now if p in touched]
-        if now:
-            old = spark.read.option("basePath", target).parquet(*[f"{target}/merge_part={p}/merge_version={v}" for p, v in now]).drop("merge_version")
-            rows = rows.unionByName(old.withColumn("merge_new", F.lit(0)))
+        gone = {p for found in split.values() for p in found}
+        paths = {p: f"{target}/merge_part={p}/merge_version={now[p]}" for p in touched if p in now and p not in gone}
+        if paths:
+            old = spark.read.option("basePath", target).parquet(*paths.values()).drop("merge_version")
+            rows = rows.unionByName(old.withColumn("merge_part", F.col("merge_part").cast("long")).withColumn("merge_new", F.lit(0)))
+        large = [p for p, path in paths.items() if _bytes(spark, path) > part_bytes]
+        for p in large:
+            split.setdefault(p // _LEVEL, set()).add(p)
+        if large:
+            rows = rows.withColumn("merge_part", _part_of(hashed, split, parts))
         rank = F.struct(-F.col("merge_new"), F.col(order)) if keep_own else F.struct(F.col(order), F.col("merge_new"))
         others = [c for c in batch.columns if c != "merge_part"]
         latest = rows.groupBy("merge_part", key).agg(F.max_by(F.struct(*others), rank).alias("row")).select("merge_part", "row.*")
@@ -78,6 +112,11 @@ def merge_into(target: str, key: str, order: str, parts: int = PARTS, keep_own:
     return run
 
 
+def _bytes(spark: SparkSession, path: str) -> int:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+
+
 def _newest(spark: SparkSession, target: str, before: int | None = None) -> list[tuple[int, int]]:
     """(part, version) of the newest version of each part, below a batch number if one is given."""
     root = spark._jvm.org.apache.hadoop.fs.Path(target)
@@ -93,16 +132,23 @@ def _newest(spark: SparkSession, target: str, before: int | None = None) -> list
     return sorted(found.items())
 
 
+def _current(spark: SparkSession, target: str) -> list[tuple[int, int]]:
+    """(part, version) of what the table is made of: the newest of the parts that weren't split."""
+    newest = _newest(spark, target)
+    gone = {p for found in _split_parts(p for p, _ in newest).values() for p in found}
+    return [(p, v) for p, v in newest if p not in gone]
+
+
 def merged(spark: SparkSession, target: str, deleted: str | None = None) -> DataFrame:
     """The table that merge_into() keeps at `target`, as it is now; without what the boolean
     column `deleted` marks."""
-    rows = spark.read.option("basePath", target).parquet(*[f"{target}/merge_part={p}/merge_version={v}" for p, v in _newest(spark, target)]).drop("merge_part", "merge_version")
+    rows = spark.read.option("basePath", target).parquet(*[f"{target}/merge_part={p}/merge_version={v}" for p, v in _current(spark, target)]).drop("merge_part", "merge_version")
     return rows.filter(~F.coalesce(deleted, F.lit(False))).drop(deleted) if deleted else rows
 
 
 def compact(spark: SparkSession, target: str) -> int:
-    """Delete all but the newest version of each part; how many went. Not while a batch is written."""
-    newest, gone = set(_newest(spark, target)), 0
+    """Delete all but the newest version of each part, and parts that were split; how many went. Not while a batch is written."""
+    newest, gone = set(_current(spark, target)), 0
     path = spark._jvm.org.apache.hadoop.fs.Path
     fs = path(target).getFileSystem(spark._jsc.hadoopConfiguration())
     for version in fs.globStatus(path(f"{target}/merge_part=*/merge_version=*")):

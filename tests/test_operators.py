@@ -855,3 +855,21 @@ def test_images_shown(spark):
     urls = [[i.get("original_url") or i["url"] for i in json.loads(r.i)] if r.i else None for r in made]
     assert urls == [["a.png", "b.png"], ["a.png"], None, None, None, None, None, None]
     assert [r.part for r in made] == [content, content[2:22], content[23:], "", content, content, None, ""]
+
+
+def test_merged_parts_split(spark, tmp_path):
+    """Parts over their size become two, again and again; a batch that runs again, late rows and compact() change nothing."""
+    out, want = str(tmp_path / "t"), {}
+    merge = ingest.merge_into(out, "k", "at", parts=2, part_bytes=1)
+    read = lambda: {r.k: r.v for r in ingest.merged(spark, out).collect()}
+    for number in range(5):
+        rows = [(k, number, f"{k} {number}") for k in range(number * 7, 40, number + 1)]
+        want |= {k: v for k, _, v in rows}
+        batch = spark.createDataFrame([*rows, (0, -1, "late")], "k long, at long, v string")
+        for _ in range(1 + number % 2):
+            merge(batch, number)
+        assert read() == want and ingest.merged(spark, out).count() == len(want)
+        parts = [p for p, _ in ingest._current(spark, out)]
+        assert max(parts) // ingest._LEVEL == number and (number == 0 or len(parts) > 2)
+        if number == 2:
+            assert ingest.compact(spark, out) > 0 and read() == want
