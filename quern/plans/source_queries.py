@@ -25,11 +25,14 @@ def _words(markdown):
 @query(rf"""SELECT page_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS raw_title, CAST(len(regexp_extract_all(html, '<a href=')) AS BIGINT) AS n_links, md5({VISIBLE.format("html")}) AS words_md5,
   md5({VISIBLE.format("regexp_extract(html, '(?s)<article>(.*?)</article>', 1)")}) AS article_md5, len(regexp_extract_all(html, '<h1>')) > 0 AS has_heading FROM pages""")
 def web_pages(spark, sf_dir):
-    """Pages as Markdown: titles (entities as written), links, the words of the whole and of the article."""
+    """Pages as Markdown: titles (entities as written), links, the words of the whole and of the article.
+    A title that wasn't decoded right is null."""
     made = html.pages_to_markdown(table(spark, sf_dir, "pages"))
-    escaped = F.replace(F.replace(F.replace("title", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    read = F.col("raw_title")
+    for reference, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
+        read = F.replace(read, F.lit(reference), F.lit(sign))
     return made.select(
-        "page_id", escaped.alias("raw_title"), F.size("links").cast("long").alias("n_links"), _words(F.col("markdown")).alias("words_md5"), _words(F.col("article")).alias("article_md5"),
+        "page_id", F.when(read == F.col("title"), F.col("raw_title")).alias("raw_title"), F.size("links").cast("long").alias("n_links"), _words(F.col("markdown")).alias("words_md5"), _words(F.col("article")).alias("article_md5"),
         F.col("markdown").rlike("(?m)^# ").alias("has_heading"),
     )
 

@@ -373,6 +373,18 @@ def test_html():
     assert html.article_markdown("<title>T</title><p>" + "seen " * 20) == "# T\n\n" + ("seen " * 20).strip() and html.article_markdown("<p>few") is None
 
 
+def test_html_references_need_their_semicolon(spark):
+    assert html.to_markdown("<title>a &amp;&am</title><p>x &amp; y &amp</p><a href='/?a=1&copy=2'>l</a>") == ("a &&am", "x & y &amp\n[l](/?a=1&copy=2)", ["/?a=1&copy=2"])
+    made = html.pages_to_markdown(spark.createDataFrame([(1, "<title> a &amp;&am</title>b"), (2, None)], "page_id long, html string"))
+    assert sorted((r.page_id, r.title, r.raw_title) for r in made.collect()) == [(1, "a &&am", "a &amp;&am"), (2, "", "")]
+
+
+def test_fetched_pages_are_cut_before_a_character(spark):
+    results = spark.createDataFrame([(1, "u", 1.0, "said")], "query_id int, url string, score double, content string")
+    pages = spark.createDataFrame([("u", "<article>" + "ä" * 60 + "</article>")], "url string, html string")
+    assert html.with_fetched(results, pages, size=101).first().content == "said\n\n" + "ä" * 50
+
+
 def test_feed(spark, tmp_path):
     folder, out, at = tmp_path / "feed", str(tmp_path / "out"), str(tmp_path / "at")
     folder.mkdir()
