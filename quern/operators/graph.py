@@ -87,14 +87,40 @@ def folder_name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
 
-def missing_links(pages: DataFrame, links: DataFrame) -> DataFrame:
-    """slug, target: pages (slug, title, text) whose text has another page's title without a link
-    (slug, target) to it. Titles are found by anchor grams; see quern.operators.containment."""
+SALTS, BLOCK = 32, 4096  # tasks that share a title's pages, and slugs that move as one row
+
+
+def _titles_within(pages: DataFrame, titles: DataFrame) -> DataFrame:
+    """slug, title: pages (slug, text) that have a title of `titles` (title), each title once however many pages
+    bear it, found by anchor grams; see quern.operators.containment."""
     from quern.operators.containment import containing
 
-    titles = pages.filter("trim(title) != ''").select(F.col("slug").alias("passage_id"), F.col("title").alias("passage"))
-    found = containing(pages, titles, "slug", "text", within=False).select(F.col("doc_id").alias("slug"), F.col("passage_id").alias("target"))
-    return found.filter("slug != target").join(links.select("slug", "target"), ["slug", "target"], "left_anti")
+    each = titles.select("title").distinct().select(F.col("title").alias("passage_id"), F.col("title").alias("passage"))
+    return containing(pages, each, "slug", "text", within=False).select(F.col("doc_id").alias("slug"), F.col("passage_id").alias("title"))
+
+
+def _salted(at: DataFrame, of: DataFrame) -> DataFrame:
+    """at (slug, title, ...) joined with of (title, ...), a small table of few rows a title: each title's pages are dealt to SALTS tasks."""
+    dealt = of.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return at.withColumn("_salt", F.pmod(F.xxhash64("slug"), F.lit(SALTS)).cast("int")).join(dealt, ["title", "_salt"]).drop("_salt")
+
+
+def _of_several_titles(pages: DataFrame) -> bool:
+    return not pages.groupBy("slug").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+
+
+def missing_links(pages: DataFrame, links: DataFrame) -> DataFrame:
+    """slug, target: pages (slug, title, text) whose text has another page's title without a link
+    (slug, target) to it. A page meets titles, and these bring their pages in blocks: the pairs, of which
+    there are as many as pages and targets that they name, are made where they are written and never shuffled."""
+    titles = pages.filter("trim(title) != ''").select("title", "slug").distinct()
+    sizes = titles.groupBy("title").agg(F.ceil(F.count("*") / BLOCK).alias("_n"))
+    blocks = titles.join(sizes, "title").groupBy("title", F.pmod(F.xxhash64("slug"), F.col("_n")).alias("_block")).agg(F.collect_list("slug").alias("_targets")).drop("_block")
+    linked = links.groupBy("slug").agg(F.collect_set("target").alias("_linked"))
+    found = _titles_within(pages, titles).join(linked, "slug", "left")
+    pairs = _salted(found, blocks).select("slug", "_linked", F.explode("_targets").alias("target")).filter("slug != target")
+    pairs = pairs.filter(F.col("_linked").isNull() | ~F.array_contains("_linked", F.col("target"))).select("slug", "target")
+    return pairs.distinct() if _of_several_titles(titles) else pairs
 
 
 #: Where no link may go: code, links of both kinds, addresses. Fixed value.
@@ -106,35 +132,65 @@ def link_text(text: str, titles: list[tuple[str, str]]) -> str:
     code, a link or an address; longer titles first, each slug once, and none that the text links
     to already. A title that begins or ends with an ASCII word letter isn't looked for within words."""
     parts = [(p, k % 2 == 0) for k, p in enumerate(re.split(f"({UNLINKED.pattern})", text, flags=re.S))]  # (text, free)
-    linked = set(re.findall(r"\[\[([^\]|]+)", text))
+    linked, last = set(re.findall(r"\[\[([^\]|]+)", text)), None
     for slug, title in sorted(titles, key=lambda t: (-len(t[1]), t[1], t[0])):
         if not title or slug in linked:
             continue
-        edges = [r"(?<![A-Za-z0-9_])" if re.match(r"[A-Za-z0-9_]", title) else "", r"(?![A-Za-z0-9_])" if re.search(r"[A-Za-z0-9_]\Z", title) else ""]
-        word = re.compile(edges[0] + re.escape(title) + edges[1])
-        for k, (part, free) in enumerate(parts):
+        if title != last:
+            last, word, k = title, title_pattern(title), 0
+        while k < len(parts):  # pages of one title take its places from left to right
+            part, free = parts[k]
             found = word.search(part) if free else None
             if found:
                 parts[k : k + 1] = [(part[: found.start()], True), (f"[[{slug}|{title}]]", False), (part[found.end() :], True)]
                 linked.add(slug)
+                k += 2
                 break
+            k += 1
     return "".join(p for p, _ in parts)
 
 
+def title_pattern(title: str) -> re.Pattern:
+    edges = [r"(?<![A-Za-z0-9_])" if re.match(r"[A-Za-z0-9_]", title) else "", r"(?![A-Za-z0-9_])" if re.search(r"[A-Za-z0-9_]\Z", title) else ""]
+    return re.compile(edges[0] + re.escape(title) + edges[1])
+
+
+def title_places(text: str | None, titles: list[str]) -> list[tuple[str, int]]:
+    """Titles that the text has as words, and at how many places at most links can go there."""
+    free = "\0".join(re.split(f"({UNLINKED.pattern})", text or "", flags=re.S)[::2])
+    at = ((t, title_pattern(t)) for t in titles if t)
+    return [(t, n) for t, word in at if (n := sum(1 for _ in word.finditer(free)))]
+
+
 def linked_pages(pages: DataFrame) -> DataFrame:
     """slug, text of pages (slug, title, text) with links to the other pages whose titles they have.
-    Titles are found by anchor grams; a page then gets those that it has, and no others."""
-    from quern.operators.containment import containing
-
-    titles = pages.filter("title != ''").select(F.col("slug").alias("passage_id"), F.col("title").alias("passage"))
-    found = containing(pages, titles, "slug", "text", within=False).filter("doc_id != passage_id")
-    named = found.join(titles, "passage_id").groupBy(F.col("doc_id").alias("slug")).agg(F.collect_list(F.struct("passage_id", "passage")).alias("titles"))
+    Of the pages that bear one title, a page is given only as many, the first by slug, as it has places for
+    them, and those besides that link_text() may pass over: the page itself and what its text links to."""
+    titles = pages.filter("title != ''").select("title", F.col("slug").cast("string").alias("bearer")).distinct()
+    texts = pages.select("slug", "text")
+
+    @F.pandas_udf("array<struct<title:string,n:int>>")
+    def counted(text: pd.Series, titles: pd.Series) -> pd.Series:
+        return pd.Series([[{"title": x, "n": n} for x, n in title_places(t, list(o))] for t, o in zip(text, titles, strict=True)])
+
+    within = _titles_within(pages, titles).groupBy("slug").agg(F.collect_list("title").alias("titles"))
+    spare = F.size(F.split("text", r"\[\[")) + 1
+    at = texts.join(within, "slug").select("slug", counted("text", "titles").alias("t"), spare.alias("spare"))
+    if _of_several_titles(titles.withColumnRenamed("bearer", "slug")):  # then a page may be linked already by another title
+        at = at.withColumn("spare", F.aggregate("t", F.col("spare"), lambda a, x: a + x["n"]))
+    wanted = at.select("slug", "spare", F.explode("t").alias("t")).groupBy("slug", "t.title").agg(F.max(F.col("t.n") + F.col("spare")).alias("n"))
+    wanted = materialise(wanted, "wanted-titles")
+    most = wanted.agg(F.coalesce(F.max("n"), F.lit(1))).first()[0]
+    first = titles.withColumn("_place", F.row_number().over(Window.partitionBy("title").orderBy("bearer"))).filter(F.col("_place") <= most)
+    bearers = first.groupBy("title").agg(F.array_sort(F.collect_list("bearer")).alias("bearers"))
+    named = _salted(wanted, bearers).groupBy("slug").agg(F.collect_list(F.struct("title", F.slice("bearers", F.lit(1), F.col("n")).alias("bearers"))).alias("titles"))
 
     @F.pandas_udf("string")
-    def linked(text: pd.Series, titles: pd.Series) -> pd.Series:
-        return pd.Series([t if o is None else link_text(t, [(str(x["passage_id"]), x["passage"]) for x in o]) for t, o in zip(text, titles, strict=True)])
+    def linked(text: pd.Series, slugs: pd.Series, titles: pd.Series) -> pd.Series:
+        given = [[(b, x["title"]) for x in o for b in x["bearers"] if b != own] for own, o in zip(slugs, titles, strict=True)]
+        return pd.Series([None if t is None else link_text(t, o) for t, o in zip(text, given, strict=True)], dtype=object)
 
-    return pages.join(named, "slug", "left").select("slug", F.when(F.col("titles").isNull(), F.col("text")).otherwise(linked("text", "titles")).alias("text"))
+    return texts.join(named, "slug", "left").select("slug", F.when(F.col("titles").isNull(), F.col("text")).otherwise(linked("text", F.col("slug").cast("string"), F.coalesce("titles", F.array().cast(named.schema["titles"].dataType)))).alias("text"))
 
 
 def parse_graph(replies: DataFrame, kinds: list[str] | None = None) -> tuple[DataFrame, DataFrame]:

@@ -304,6 +304,42 @@ def test_containing_is_the_plain_search(spark, monkeypatch, most):
     assert {tuple(r) for r in got.collect()} == want and got.count() == len(want) > 200
 
 
+def plain_link_text(text, titles):
+    """Titles one by one, each from the beginning."""
+    parts = [(p, k % 2 == 0) for k, p in enumerate(re.split(f"({graph.UNLINKED.pattern})", text, flags=re.S))]
+    linked = set(re.findall(r"\[\[([^\]|]+)", text))
+    for slug, title in sorted(titles, key=lambda t: (-len(t[1]), t[1], t[0])):
+        if not title or slug in linked:
+            continue
+        for k, (part, free) in enumerate(parts):
+            found = graph.title_pattern(title).search(part) if free else None
+            if found:
+                parts[k : k + 1] = [(part[: found.start()], True), (f"[[{slug}|{title}]]", False), (part[found.end() :], True)]
+                linked.add(slug)
+                break
+    return "".join(p for p, _ in parts)
+
+
+@pytest.mark.parametrize("twice", [False, True])
+def test_pages_of_one_title(spark, monkeypatch, twice):
+    """Titles are looked for once each, however many pages bear them; links are those of all pages, one by one."""
+    rng = random.Random(5)
+    words = ["a", "a-", "-a", "b", "ab", "é", "a b", "`b`", "[[3|b]]", "foohttp://a", "b,", "c"]
+    pages = [(k, rng.choice(words[:7]), " ".join(rng.choices(words, k=rng.randrange(12)))) for k in range(60)]
+    pages += [(k, rng.choice(words[:7]), "a b ab") for k in range(30)] if twice else []
+    df, asked = spark.createDataFrame(pages, "slug long, title string, text string"), []
+    plain = containment.containing
+    monkeypatch.setattr(containment, "containing", lambda docs, passages, *a, **b: asked.append(passages.count()) or plain(docs, passages, *a, **b))
+    monkeypatch.setattr(graph, "BLOCK", 3)
+    made = sorted((r.slug, r.text) for r in graph.linked_pages(df).collect())
+    has = lambda k, text: [(str(s), t) for s, t, _ in pages if s != k and any(t in x for j, _, x in pages if j == k)]
+    assert made == sorted((k, plain_link_text(text, list(dict.fromkeys(has(k, text))))) for k, _, text in pages)
+    links = [(k, (k * 7) % 60) for k in range(60)]
+    missing = sorted(tuple(r) for r in graph.missing_links(df, spark.createDataFrame(links, "slug long, target long")).collect())
+    assert missing == sorted({(k, s) for k, _, text in pages for s, t, _ in pages if s != k and t in text} - set(links))
+    assert asked == [len({t for _, t, _ in pages})] * 2
+
+
 def test_similar_surfaces_loses_no_pair(spark):
     rng = random.Random(5)
     names = {"".join(rng.choice("abcde") for _ in range(rng.randrange(1, 9))) for _ in range(120)}
