@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
@@ -127,39 +128,77 @@ def missing_links(pages: DataFrame, links: DataFrame) -> DataFrame:
 UNLINKED = re.compile(r"```.*?(?:```|\Z)|`[^`\n]*`|\[\[[^\]]*\]\]|!?\[[^\]\n]*\]\([^)\n]*\)|https?://\S+", re.S)
 
 
+#: Runs of ASCII word letters: where a title stands as places_of() has it, each of its runs is a whole run of the text.
+RUN = re.compile(r"[A-Za-z0-9_]+")
+
+
 def link_text(text: str, titles: list[tuple[str, str]]) -> str:
     """The text with [[slug|title]] at the first place of each title (slug, title) that isn't within
     code, a link or an address; longer titles first, each slug once, and none that the text links
     to already. A title that begins or ends with an ASCII word letter isn't looked for within words."""
-    parts = [(p, k % 2 == 0) for k, p in enumerate(re.split(f"({UNLINKED.pattern})", text, flags=re.S))]  # (text, free)
-    linked, last = set(re.findall(r"\[\[([^\]|]+)", text)), None
+    pieces, linked, bearers = re.split(f"({UNLINKED.pattern})", text, flags=re.S), set(re.findall(r"\[\[([^\]|]+)", text)), {}
     for slug, title in sorted(titles, key=lambda t: (-len(t[1]), t[1], t[0])):
-        if not title or slug in linked:
-            continue
-        if title != last:
-            last, word, k = title, title_pattern(title), 0
-        while k < len(parts):  # pages of one title take its places from left to right
-            part, free = parts[k]
-            found = word.search(part) if free else None
-            if found:
-                parts[k : k + 1] = [(part[: found.start()], True), (f"[[{slug}|{title}]]", False), (part[found.end() :], True)]
-                linked.add(slug)
-                k += 2
+        bearers.setdefault(title, {})[slug] = None
+    used = set(text).union(*bearers)
+    gap = next(c for c in map(chr, range(0x110000)) if c not in used and not RUN.match(c))  # stands for what isn't free
+    free, kept = gap.join(pieces[::2]), pieces[1::2]
+    for title, slugs in bearers.items():
+        left, out, links, made, at, seen = (s for s in slugs if s not in linked), [], [], [], 0, 0
+        for start in places_of(title, free) if title else ():
+            slug = next(left, None)
+            if slug is None:
                 break
-            k += 1
-    return "".join(p for p, _ in parts)
+            n = free.count(gap, at, start)
+            links += [*kept[seen : seen + n], f"[[{slug}|{title}]]"]
+            made.append(slug)
+            out.append(free[at:start])
+            at, seen = start + len(title), seen + n
+        if out:
+            linked.update(made)
+            free, kept = gap.join([*out, free[at:]]), links + kept[seen:]
+    return "".join(p + k for p, k in zip(free.split(gap), [*kept, ""], strict=True))
+
+
+WORD = frozenset("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz")
+
 
+def places_of(title: str, text: str) -> Iterator[int]:
+    """Where a title begins in the text, from left to right without overlaps; not within words where it begins or ends with a word letter."""
+    first, last, at = title[0] in WORD, title[-1] in WORD, text.find(title)
+    while at >= 0:
+        end = at + len(title)
+        if (first and at and text[at - 1] in WORD) or (last and end < len(text) and text[end] in WORD):
+            end = at + 1
+        else:
+            yield at
+        at = text.find(title, end)
 
-def title_pattern(title: str) -> re.Pattern:
-    edges = [r"(?<![A-Za-z0-9_])" if re.match(r"[A-Za-z0-9_]", title) else "", r"(?![A-Za-z0-9_])" if re.search(r"[A-Za-z0-9_]\Z", title) else ""]
-    return re.compile(edges[0] + re.escape(title) + edges[1])
+
+def free_text(text: str | None) -> str:
+    """What links may go into, a null character between its parts."""
+    return "\0".join(re.split(f"({UNLINKED.pattern})", text or "", flags=re.S)[::2])
 
 
 def title_places(text: str | None, titles: list[str]) -> list[tuple[str, int]]:
     """Titles that the text has as words, and at how many places at most links can go there."""
-    free = "\0".join(re.split(f"({UNLINKED.pattern})", text or "", flags=re.S)[::2])
-    at = ((t, title_pattern(t)) for t in titles if t)
-    return [(t, n) for t, word in at if (n := sum(1 for _ in word.finditer(free)))]
+    free = free_text(text)
+    return [(t, n) for t in titles if t and (n := sum(1 for _ in places_of(t, free)))]
+
+
+def _titles_as_words(pages: DataFrame, titles: DataFrame) -> DataFrame:
+    """slug, title: pages (slug, text) whose text may have a title as words, each title and page once: those with the
+    title's longest run, and for titles without any those that contain it."""
+
+    @F.pandas_udf("array<string>")
+    def runs(text: pd.Series) -> pd.Series:
+        return pd.Series([list(dict.fromkeys(RUN.findall(free_text(t)))) for t in text], dtype=object)
+
+    own = F.regexp_extract_all("title", F.lit(RUN.pattern), F.lit(0))
+    longest = F.array_max(F.transform(own, lambda r: F.struct(F.length(r).alias("n"), r.alias("run"))))["run"]
+    keyed = titles.select("title").distinct().withColumn("run", longest)
+    by_run = pages.select("slug", F.explode(runs("text")).alias("run")).join(keyed.filter("run IS NOT NULL"), "run").select("slug", "title")
+    others = keyed.filter("run IS NULL").select("title")
+    return by_run.distinct() if others.isEmpty() else by_run.unionByName(_titles_within(pages, others)).distinct()
 
 
 def linked_pages(pages: DataFrame) -> DataFrame:
@@ -173,7 +212,7 @@ def linked_pages(pages: DataFrame) -> DataFrame:
     def counted(text: pd.Series, titles: pd.Series) -> pd.Series:
         return pd.Series([[{"title": x, "n": n} for x, n in title_places(t, list(o))] for t, o in zip(text, titles, strict=True)])
 
-    within = _titles_within(pages, titles).groupBy("slug").agg(F.collect_list("title").alias("titles"))
+    within = _titles_as_words(pages, titles).groupBy("slug").agg(F.collect_list("title").alias("titles"))
     spare = F.size(F.split("text", r"\[\[")) + 1
     at = texts.join(within, "slug").select("slug", counted("text", "titles").alias("t"), spare.alias("spare"))
     if _of_several_titles(titles.withColumnRenamed("bearer", "slug")):  # then a page may be linked already by another title

@@ -312,7 +312,8 @@ def plain_link_text(text, titles):
         if not title or slug in linked:
             continue
         for k, (part, free) in enumerate(parts):
-            found = graph.title_pattern(title).search(part) if free else None
+            edges = [r"(?<![A-Za-z0-9_])" if re.match(r"[A-Za-z0-9_]", title) else "", r"(?![A-Za-z0-9_])" if re.search(r"[A-Za-z0-9_]\Z", title) else ""]
+            found = re.search(edges[0] + re.escape(title) + edges[1], part) if free else None
             if found:
                 parts[k : k + 1] = [(part[: found.start()], True), (f"[[{slug}|{title}]]", False), (part[found.end() :], True)]
                 linked.add(slug)
@@ -337,7 +338,7 @@ def test_pages_of_one_title(spark, monkeypatch, twice):
     links = [(k, (k * 7) % 60) for k in range(60)]
     missing = sorted(tuple(r) for r in graph.missing_links(df, spark.createDataFrame(links, "slug long, target long")).collect())
     assert missing == sorted({(k, s) for k, _, text in pages for s, t, _ in pages if s != k and t in text} - set(links))
-    assert asked == [len({t for _, t, _ in pages})] * 2
+    assert asked == [1, len({t for _, t, _ in pages})]  # links meet on words, but for the title without ASCII letters
 
 
 def test_similar_surfaces_loses_no_pair(spark):
