@@ -4,6 +4,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from quern.functions import text as T
 from quern.operators import graph as G
 from quern.operators.clusters import clusters
 from quern.operators import memory as M
@@ -273,10 +274,11 @@ def source_signature_dedup(spark, sf_dir):
     """Documents of a language, longest first; a text counts once a source."""
     from pyspark.sql import Window
 
-    hits = table(spark, sf_dir, "documents").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n_chars"), "doc_id")))
-    doubled = hits.withColumnRenamed("lang", "query_id").select("query_id", "doc_id", "source", "text", "rank")
+    docs = table(spark, sf_dir, "documents").select("lang", "doc_id", "source", "n_chars", T.signature(F.col("text")).alias("signature"))
+    hits = docs.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n_chars"), "doc_id")))
+    doubled = hits.withColumnRenamed("lang", "query_id").select("query_id", "doc_id", "source", "signature", "rank")
     again = doubled.withColumn("rank", F.col("rank") + 1_000_000)  # every id a second time
-    return K.first_by_id_and_signature(doubled.union(again)).select("query_id", "doc_id", "rank")
+    return K.first_by_id_and_signature(doubled.union(again), signature=F.col("signature")).select("query_id", "doc_id", "rank")
 
 
 @query("""WITH h AS (SELECT user_id AS query_id, event_id AS doc_id, value AS score, event_type, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS old FROM events),

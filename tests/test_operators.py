@@ -416,6 +416,13 @@ def test_html_references_need_their_semicolon(spark):
     assert sorted((r.page_id, r.title, r.raw_title) for r in made.collect()) == [(1, "a &&am", "a &amp;&am"), (2, "", "")]
 
 
+def test_first_by_signature_without_texts(spark):
+    rows = [(1, 1, "s", "x", 1), (1, 1, "s", "x", 5), (1, 2, "s", "x", 2), (1, 3, "t", "x", 3), (1, 4, "s", None, 4), (1, 5, "s", None, 6)]
+    hits = spark.createDataFrame(rows, "query_id int, doc_id int, source string, signature string, rank int")
+    made = rerank.first_by_id_and_signature(hits, signature=F.col("signature"))
+    assert sorted((r.doc_id, r["rank"]) for r in made.collect()) == [(1, 1), (3, 3), (4, 4), (5, 6)]
+
+
 def test_fetched_pages_are_cut_before_a_character(spark):
     results = spark.createDataFrame([(1, "u", 1.0, "said")], "query_id int, url string, score double, content string")
     pages = spark.createDataFrame([("u", "<article>" + "ä" * 60 + "</article>")], "url string, html string")
