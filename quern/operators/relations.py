@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
@@ -135,30 +135,56 @@ def similar_surfaces(names: DataFrame, limit: float = 0.8, column: str = "name")
     return pairs.filter("a < b")
 
 
-def similar_across(left: DataFrame, right: DataFrame | None, limit: float = 0.8) -> DataFrame:
+BITS = [f"bits{k}" for k in range(4)]
+CELL = 16_384  # names of one side that meet in a task by a common pair of characters
+
+
+def _bits(grams: Column) -> list[Column]:
+    """A set as 256 bits in four numbers, one bit an element; two sets differ in at least as many elements as in bits."""
+    place = F.transform(grams, lambda g: F.pmod(F.xxhash64(g), F.lit(256)).cast("int"))
+    one = lambda p: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(p, F.lit(64)).cast("int"))
+    word = lambda k: F.aggregate(place, F.lit(0).cast("long"), lambda s, p: F.when(F.floor(p / 64) == k, s.bitwiseOR(one(p))).otherwise(s))
+    return [word(k).alias(name) for k, name in enumerate(BITS)]
+
+
+def similar_across(left: DataFrame, right: DataFrame | None, limit: float = 0.8, cell: int = CELL) -> DataFrame:
     """a, b, similarity: names of `left` and of `right` (one column each; None: the same) whose
     character pairs have Jaccard similarity of at least `limit`.
 
     Prefix filter: of two sets that similar, the (1 - limit) share of rarest elements,
     and one more, have one in common. Only those few meet in the join, so a common pair
-    of characters doesn't bring all names together; candidates are then verified.
+    of characters doesn't bring all names together. Where they meet, the sets' bits tell by
+    how many elements they differ at least, so that few pairs leave the join; these are verified
+    on the sets. Names of one element are dealt into cells of `cell` names a side.
     """
     sides = [left] if right is None else [left, right]
     grams = [F.col("name"), T.bigram_set(F.col("name")).alias("grams")]
-    sets = [materialise(x.toDF("name").filter("name IS NOT NULL").distinct().select(*grams).filter(F.size("grams") > 0), "surfaces") for x in sides]
-    rows = [s.select("name", F.size("grams").alias("n"), F.explode("grams").alias("gram")) for s in sets]
+    sets = [x.toDF("name").filter("name IS NOT NULL").distinct().select(*grams).filter(F.size("grams") > 0) for x in sides]
+    sets = [materialise(s.select("name", "grams", F.size("grams").alias("n"), *_bits(F.col("grams"))), "surfaces") for s in sets]
+    rows = [s.select("name", "n", *BITS, F.explode("grams").alias("gram")) for s in sets]
     rarity = (rows[0] if right is None else rows[0].union(rows[1])).groupBy("gram").agg(F.count("*").alias("freq"))
     keep = F.col("n") - F.ceil(F.lit(limit) * F.col("n") - 1e-6) + 1
 
     def prefix(gram: DataFrame) -> DataFrame:
-        ordered = gram.join(rarity, "gram").groupBy("name", "n").agg(F.array_sort(F.collect_list(F.struct("freq", "gram"))).alias("ordered"))
-        return ordered.select("name", "n", F.explode(F.slice("ordered", F.lit(1), F.least(keep, F.col("n")).cast("int"))).alias("g")).select("name", "n", "g.gram")
-
-    one, two = prefix(rows[0]), prefix(rows[-1])
-    pairs = one.withColumnRenamed("name", "a").join(two.select(F.col("name").alias("b"), F.col("n").alias("m"), "gram"), "gram")
+        ordered = gram.join(rarity, "gram").groupBy("name", "n", *BITS).agg(F.array_sort(F.collect_list(F.struct("freq", "gram"))).alias("ordered"))
+        first = ordered.select("name", "n", *BITS, F.explode(F.slice("ordered", F.lit(1), F.least(keep, F.col("n")).cast("int"))).alias("g"))
+        return materialise(first.select("name", "n", *BITS, "g.gram"), "surface-prefixes")
+
+    kept = [prefix(r) for r in rows]
+    one, two = kept[0], kept[-1]
+    cells = [k.groupBy("gram").agg(F.ceil(F.count("*") / cell).cast("int").alias(f"cells_{side}")) for k, side in ((one, "a"), (two, "b"))]
+    cells = cells[0].join(cells[1], "gram")
+    dealt = lambda at, mine, other: (
+        at.join(cells, "gram").withColumn(mine, F.pmod(F.xxhash64("name"), F.col(f"cells_{mine}")).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"cells_{other}") - 1)))
+    )
+    one = dealt(one, "a", "b").select("gram", F.col("a").alias("row"), F.col("b").alias("column"), F.col("name").alias("a"), "n", *BITS)
+    two = dealt(two, "b", "a").select("gram", F.col("a").alias("row"), F.col("b").alias("column"), F.col("name").alias("b"), F.col("n").alias("m"), *[F.col(c).alias(f"other_{c}") for c in BITS])
+    pairs = one.join(two, ["gram", "row", "column"])
+    differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"other_{c}"))) for c in BITS[1:]), F.bit_count(F.col(BITS[0]).bitwiseXOR(F.col(f"other_{BITS[0]}"))))
+    pairs = pairs.filter(differ <= (F.col("n") + F.col("m")) * ((1 - limit) / (1 + limit) + 1e-6) + 1e-6)
     pairs = pairs.filter(F.least("n", "m") >= F.lit(limit) * F.greatest("n", "m") - 1e-6)
     pairs = (pairs.filter("a < b") if right is None else pairs).select("a", "b").distinct()
-    full = pairs.join(sets[0].toDF("a", "ga"), "a").join(sets[-1].toDF("b", "gb"), "b")
+    full = pairs.join(sets[0].select(F.col("name").alias("a"), F.col("grams").alias("ga")), "a").join(sets[-1].select(F.col("name").alias("b"), F.col("grams").alias("gb")), "b")
     return full.withColumn("similarity", F.round(T.jaccard(F.col("ga"), F.col("gb")), 6)).filter(F.col("similarity") >= limit).select("a", "b", "similarity")
 
 

@@ -350,6 +350,21 @@ def test_similar_surfaces_loses_no_pair(spark):
     assert {(r.a, r.b) for r in relations.similar_surfaces(df, 0.5).collect()} == want and want
 
 
+def test_similar_names_meet_in_cells(spark):
+    """A pair of characters that all names have deals them into cells; long names fill the bits."""
+    rng = random.Random(8)
+    names = ["ab" + "".join(rng.choice("abcdeäß") for _ in range(rng.choice((3, 6, 400)))) for _ in range(60)]
+    names = sorted({*names, *(n[:-1] + "x" for n in names)})
+    grams = {n: {n[i : i + 2] for i in range(len(n) - 1)} for n in names}
+    alike = {(a, b) for a in names for b in names if round(jaccard(grams[a], grams[b]), 6) >= 0.6}
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    left, right = df.filter(F.length("name") % 2 == 0), df.filter(F.crc32("name") % 2 == 0)
+    one, two = ({r.name for r in side.collect()} for side in (left, right))
+    got = lambda *sides: {(r.a, r.b) for r in relations.similar_across(*sides, 0.6, cell=7).collect()}
+    assert got(df, None) == {(a, b) for a, b in alike if a < b}
+    assert got(left, right) == {(a, b) for a, b in alike if a in one and b in two} != set()
+
+
 def test_budget(spark):
     df = spark.createDataFrame([(1, 1, 50), (1, 2, 60), (1, 3, 40), (1, 4, 10), (2, 1, 500)], "query_id long, rank int, cost int")
     out = memory.within_budget(df, "query_id", 3, 100)
