@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -61,9 +63,9 @@ def metric_words(part: Column) -> Column:
     return F.flatten(F.transform(found, lambda w: F.when(w.rlike("^[一-鿿㐀-䶿]{2,}$"), pairs(w)).otherwise(F.array(w))))
 
 
-def _grams(words: Column, n: int) -> Column:
-    last = F.size(words) - (n - 1)
-    return F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+def _grams(words: list[str], n: int) -> Counter:
+    """How often each run of n words is there."""
+    return Counter(zip(*(words[k:] for k in range(n))))
 
 
 def _f(shared: Column, hyp: Column, ref: Column) -> Column:
@@ -75,37 +77,54 @@ def text_metrics(pairs: DataFrame) -> DataFrame:
     """pair_id, bleu1, bleu2, bleu4, rouge1, rouge2 of (pair_id, generated, truth), null texts
     empty. pair_id is unique.
 
-    n-grams are counted by pair, order and gram, lower-cased for BLEU. BLEU has clipped
+    n-grams are counted within their row, lower-cased for BLEU. BLEU has clipped
     precisions smoothed by one in both counts at every order, equal weights, and a brevity
     penalty; orders that the generated text is too short for don't count, and without any it is
     0. ROUGE is F over sets of grams.
     """
     words = lambda c: F.flatten(F.transform(sentences(F.col(c)), metric_words))
     at = pairs.select("pair_id", words("generated").alias("h"), words("truth").alias("r"))
-    # Both spellings as columns: a lambda would compute them again for every gram.
+    # Both spellings as columns: Spark's lower case.
     at = at.withColumns({f"{side}_low": F.transform(side, lambda w: F.lower(w)) for side in ("h", "r")})
-    kinds = F.array(*[
-        F.struct(F.lit(kind).alias("kind"), F.lit(n).alias("n"), F.lit(side).alias("side"), _grams(F.col(f"{side}_low" if kind == "bleu" else side), n).alias("grams"))
-        for kind, orders in (("bleu", (1, 2, 3, 4)), ("rouge", (1, 2))) for n in orders for side in ("h", "r")
-    ])
-    every = at.select("pair_id", F.explode(kinds).alias("k")).select("pair_id", "k.kind", "k.n", "k.side", F.explode("k.grams").alias("gram"))
-    counts = every.groupBy("pair_id", "kind", "n", "gram").agg(F.count_if(F.col("side") == "h").alias("in_h"), F.count_if(F.col("side") == "r").alias("in_r"))
-    sums = counts.groupBy("pair_id", "kind", "n").agg(
-        F.sum("in_h").alias("total"), F.sum(F.least("in_h", "in_r")).alias("clipped"),
-        F.count_if((F.col("in_h") > 0) & (F.col("in_r") > 0)).alias("shared"), F.count_if(F.col("in_h") > 0).alias("own"), F.count_if(F.col("in_r") > 0).alias("other"),
-    )
-    log_precision = F.when(F.col("total") > 0, F.log((F.col("clipped") + 1) / (F.col("total") + 1)))
-    of = lambda most: F.sum(F.when((F.col("kind") == "bleu") & (F.col("n") <= most), log_precision / most))
-    f = lambda n: F.max(F.when((F.col("kind") == "rouge") & (F.col("n") == n), _f(F.col("shared"), F.col("own"), F.col("other"))))
-    found = sums.groupBy("pair_id").agg(*[of(m).alias(f"bleu{m}") for m in (1, 2, 4)], *[f(n).alias(f"rouge{n}") for n in (1, 2)])
-    short = F.when(F.size("h") > F.size("r"), 1.0).otherwise(F.exp(1 - F.size("r") / F.size("h")))
-    sizes = at.select("pair_id", F.when(F.size("h") > 0, short).otherwise(0.0).alias("brevity"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            made = [[] for _ in range(8)]
+            for h, r, low_h, low_r in zip(*(batch.column(c).to_pylist() for c in ("h", "r", "h_low", "r_low")), strict=True):
+                for out, n in zip(made, (1, 2, 3, 4)):
+                    own, other = _grams(low_h, n), _grams(low_r, n)
+                    out.append((own.total(), (own & other).total()))
+                for out, n in zip(made[4:], (1, 2)):
+                    own, other = set(_grams(h, n)), set(_grams(r, n))
+                    out.append((len(own & other), len(own), len(other)))
+                made[6].append(len(h))
+                made[7].append(len(r))
+            bleu = [pa.array(list(x), pa.int64()) for n in range(4) for x in zip(*made[n])]
+            rouge = [pa.array(list(x), pa.int64()) for n in (4, 5) for x in zip(*made[n])]
+            yield pa.RecordBatch.from_arrays([batch.column("pair_id"), *bleu, *rouge, *(pa.array(x, pa.int64()) for x in made[6:])], ["pair_id", *names])
+
+    names = [f"{c}{n}" for n in (1, 2, 3, 4) for c in ("total", "clipped")] + [f"{c}{n}" for n in (1, 2) for c in ("shared", "own", "other")] + ["size_h", "size_r"]
+    counts = at.mapInArrow(run, f"pair_id {pairs.schema['pair_id'].dataType.simpleString()}, {', '.join(f'{c} long' for c in names)}")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return sizes.join(found, "pair_id", "left").select(
-        "pair_id", *[zero(F.col("brevity") * F.exp(f"bleu{m}")).alias(f"bleu{m}") for m in (1, 2, 4)], *[zero(F.col(f"rouge{n}")).alias(f"rouge{n}") for n in (1, 2)]
+    log_precision = lambda n, most: F.when(F.col(f"total{n}") > 0, F.log((F.col(f"clipped{n}") + 1) / (F.col(f"total{n}") + 1)) / most)
+    # The first order is there if any is; without it the score is 0.
+    sums = lambda most: F.when(F.col("total1") > 0, reduce(lambda x, y: x + y, [zero(log_precision(n, most)) for n in range(1, most + 1)]))
+    short = F.when(F.col("size_h") > F.col("size_r"), 1.0).otherwise(F.exp(1 - F.col("size_r") / F.col("size_h")))
+    brevity = F.when(F.col("size_h") > 0, short).otherwise(0.0)
+    return counts.select(
+        "pair_id", *[zero(brevity * F.exp(sums(m))).alias(f"bleu{m}") for m in (1, 2, 4)], *[_f(F.col(f"shared{n}"), F.col(f"own{n}"), F.col(f"other{n}")).alias(f"rouge{n}") for n in (1, 2)]
     )
 
 
+SLICE = 64  # pairs whose words a task holds as Python's at once
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def _prefix_lengths(x: list[str], y: list[str]) -> list[list[int]]:
     """Lengths of the longest common subsequences of all pairs of prefixes."""
     out = [[0] * (len(y) + 1)]
@@ -121,6 +140,8 @@ def on_a_longest(x: list[str], y: list[str]) -> set[str]:
     """Words that lie on some longest common subsequence of two word lists: those of equal places
     that a longest one before them and a longest one after them make up to the longest of all.
     As every longest one counts, there are no ties to break."""
+    both = set(x) & set(y)  # others lie on none
+    x, y = [a for a in x if a in both], [b for b in y if b in both]
     before, after = _prefix_lengths(x, y), _prefix_lengths(x[::-1], y[::-1])
     most, n, m = before[-1][-1], len(x), len(y)
     return {a for i, a in enumerate(x) for j, b in enumerate(y) if a == b and before[i][j] + 1 + after[n - i - 1][m - j - 1] == most}
@@ -133,7 +154,7 @@ def rouge_l(pairs: DataFrame) -> DataFrame:
     of = lambda c: F.transform(sentences(F.col(c)), metric_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             scores = []
             for hyp, ref in zip(batch.column("h").to_pylist(), batch.column("r").to_pylist(), strict=True):
                 union = set().union(*(on_a_longest(r, h) for r in ref for h in hyp))

@@ -207,6 +207,20 @@ def test_text_metrics(spark):
     assert means["bleu1"] == (pytest.approx(sum(r.bleu1 for r in got.values()) / 8), 8)
 
 
+def test_text_metrics_shuffle_no_grams(spark):
+    """Grams are counted within their rows, which go to Python in slices."""
+    rows = [(k, f"a b c{k % 7} a B. d", f"a b a b d{k % 5}") for k in range(2 * metrics.SLICE + 3)] + [(-1, None, "a"), (-2, "", None), (-3, "a b", "c")]
+    df = spark.createDataFrame(rows, "pair_id long, generated string, truth string").coalesce(1)
+    made = metrics.text_metrics(df)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    got = {r.pair_id: r for r in made.collect()}
+    assert sorted(got) == sorted(r[0] for r in rows)
+    assert all(got[k][1:] == got[k + 35][1:] for k in range(35))
+    assert got[-1][1:] == got[-2][1:] == (0.0,) * 5
+    assert got[0].rouge1 == pytest.approx(2 * 2 / 5 * 2 / 3 / (2 / 5 + 2 / 3)) and got[0].bleu1 == pytest.approx(5 / 7)
+
+
+
 def test_words_on_a_longest_common_subsequence():
     from itertools import combinations
 
