@@ -14,7 +14,7 @@ from quern.operators import retrieval as R
 from quern.plans.registry import ORACLE_SQL, query
 from quern.plans.retrieval_queries import BM25_CTE, COS_CTE, bench_queries, vector_queries
 from quern.plans.text_queries import NORMALISE
-from quern.session import table
+from quern.session import materialise, table
 
 
 def _candidates(spark, sf_dir, k=50):
@@ -67,9 +67,10 @@ SELECT * FROM r WHERE rank <= 3""")
 def history_injection(spark, sf_dir):
     """For each page the six before it, the last of which is present already."""
     pages = table(spark, sf_dir, "pages")
-    asked = pages.select(F.col("page_id").alias("query_id"), F.col("html").alias("query"))
+    # A page's tokens are taken once, not once a pair that it is in.
+    asked = materialise(pages.select(F.col("page_id").alias("query_id"), T.token_set(F.col("html")).alias("query")), "page-tokens")
     before = asked.withColumn("doc_id", F.explode(F.sequence(F.col("query_id") - 6, F.col("query_id") - 1)))
-    history = before.join(pages.select(F.col("page_id").alias("doc_id"), F.col("html").alias("text")), "doc_id").withColumn("score", 1 / (F.col("query_id") - F.col("doc_id")))
+    history = before.join(asked.select(F.col("query_id").alias("doc_id"), F.col("query").alias("text")), "doc_id").withColumn("score", 1 / (F.col("query_id") - F.col("doc_id")))
     out = K.inject_history(history, asked.select("query_id", (F.col("query_id") - 1).alias("doc_id")))
     return out.withColumn("score", F.round("score", 6))
 

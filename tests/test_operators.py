@@ -221,6 +221,17 @@ def test_text_metrics_shuffle_no_grams(spark):
 
 
 
+def test_injected_history_takes_token_sets(spark):
+    texts = ["aa bb cc", "aa bb dd", "aa ee ff gg hh ii jj", "aa bb", "", None]
+    rows = [(q, d, 1.0 / (1 + d), texts[d], texts[q]) for q in range(6) for d in range(6) if d != q]
+    df = spark.createDataFrame(rows, "query_id long, doc_id long, score double, text string, query string")
+    present = spark.createDataFrame([(0, 3)], "query_id long, doc_id long")
+    sets = df.withColumns({c: T.token_set(F.col(c)) for c in ("text", "query")})
+    got = [sorted(tuple(r) for r in rerank.inject_history(x, present).collect()) for x in (df, sets)]
+    assert got[0] == got[1] and [(r[0], r[1]) for r in got[0]] == [(0, 1), (1, 0), (1, 3), (3, 0), (3, 1)]
+
+
+
 def test_words_on_a_longest_common_subsequence():
     from itertools import combinations
 
