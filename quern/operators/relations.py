@@ -179,7 +179,7 @@ def similar_across(left: DataFrame, right: DataFrame | None, limit: float = 0.8,
     )
     one = dealt(one, "a", "b").select("gram", F.col("a").alias("row"), F.col("b").alias("column"), F.col("name").alias("a"), "n", *BITS)
     two = dealt(two, "b", "a").select("gram", F.col("a").alias("row"), F.col("b").alias("column"), F.col("name").alias("b"), F.col("n").alias("m"), *[F.col(c).alias(f"other_{c}") for c in BITS])
-    pairs = one.join(two, ["gram", "row", "column"])
+    pairs = one.join(two if right is not None else two.hint("shuffle_merge"), ["gram", "row", "column"])
     differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"other_{c}"))) for c in BITS[1:]), F.bit_count(F.col(BITS[0]).bitwiseXOR(F.col(f"other_{BITS[0]}"))))
     pairs = pairs.filter(differ <= (F.col("n") + F.col("m")) * ((1 - limit) / (1 + limit) + 1e-6) + 1e-6)
     pairs = pairs.filter(F.least("n", "m") >= F.lit(limit) * F.greatest("n", "m") - 1e-6)
