@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.plans.registry import query
-from quern.session import table
+from quern.session import spread, table
 from quern.sources import documents as D
 from quern.sources import html
 
@@ -109,14 +109,18 @@ def code_queries(spark, sf_dir):
 def _archives(rows, suffix, make):
     """Files (path, content): an archive for each row, made where the row lies."""
 
+    def made(row):
+        file = io.BytesIO()
+        with zipfile.ZipFile(file, "w") as archive:
+            for name, body in make(row).items():
+                archive.writestr(name, body)
+        return file.getvalue()
+
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                file = io.BytesIO()
-                with zipfile.ZipFile(file, "w") as archive:
-                    for name, body in make(row).items():
-                        archive.writestr(name, body)
-                yield pa.RecordBatch.from_arrays([pa.array([f"/f/{row['key']}.{suffix}"]), pa.array([file.getvalue()], pa.binary())], ["path", "content"])
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64).to_pylist()
+                yield pa.RecordBatch.from_arrays([pa.array([f"/f/{row['key']}.{suffix}" for row in part]), pa.array([made(row) for row in part], pa.binary())], ["path", "content"])
 
     return rows.mapInArrow(run, "path string, content binary")
 
@@ -144,7 +148,7 @@ def _presentation(row):
 def presentations(spark, sf_dir):
     """Parts as presentations, read in the order in which their slides are shown."""
     rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("name"), F.col("p_size").alias("size"), F.col("p_retailprice").cast("decimal(18,2)").cast("string").alias("price"), F.col("p_brand").alias("brand"))
-    made = D.parse_documents(_archives(rows, "pptx", _presentation))
+    made = D.parse_documents(_archives(spread(rows, "key"), "pptx", _presentation))
     return made.select(F.regexp_extract("path", r"(\d+)\.pptx", 1).cast("long").alias("key"), "markdown")
 
 
