@@ -67,7 +67,8 @@ def tidy_tables(spark, sf_dir):
 @query("""SELECT p_partkey, 'see' || chr(10) || chr(10) || '| name | size |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || replace(p_name, '|', chr(92) || '|') || ' | ' || p_size || ' |' || chr(10) || chr(10) || 'end' AS md FROM part""")
 def tables_from_html(spark, sf_dir):
     made = F.concat(F.lit("see<table style='x'><tr><th>name</th><th>size</th></tr><tr><td align=left>"), T.html_escape(F.col("p_name")), F.lit("</td><td>"), "p_size", F.lit("</td></tr></table>end"))
-    return table(spark, sf_dir, "part").select("p_partkey", D.plain_tables(made).alias("md"))
+    rows = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"), "p_partkey")
+    return rows.select("p_partkey", D.plain_tables(made).alias("md"))
 
 
 @query("""SELECT page_id, 'a ![x](images/' || substr(sha256(to_base64(encode(url))), 1, 16) || '.png) b ![](images/' || substr(sha256(to_base64(encode('q' || url))), 1, 16) || '.gif)' AS plain, url AS first, 2 AS n FROM pages""")

@@ -12,7 +12,7 @@ from .conftest import ROOT, SF
 sys.path.insert(0, ROOT)
 
 
-@pytest.mark.parametrize("name", ["presentations"])
+@pytest.mark.parametrize("name", ["presentations", "tables_from_html"])
 def test_rows_of_one_file_are_several_tasks(spark, name):
     from quern.plans import catalog
 
