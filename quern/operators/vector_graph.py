@@ -22,6 +22,7 @@ from quern.session import discard, materialise
 NEIGHBOURS, DEGREE = 16, 32  # that descent keeps of a node, and that the graph has at most
 MEETING = 32  # nodes that meet by chance at the start
 ROUNDS, STILL = 12, 0.002  # of descent at most; the share of new neighbours under which it ends
+_VALUES = 4_000_000  # numbers of groups that are multiplied at once
 ENTRIES, BEAM = 32, 32  # nodes that every search begins with, and that it looks at in a step
 
 
@@ -44,18 +45,23 @@ def build(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     nodes = materialise(whole.groupBy("node").agg(F.first("vector").alias("vector")), "graph-vectors")
     n = nodes.count()
     edges = _best(_meet(_chance_meetings(nodes, n, 1).unionByName(_chance_meetings(nodes, n, 2)), neighbours), neighbours)
-    edges = materialise(edges, "graph-edges")
+    edges, before = materialise(edges, "graph-edges"), None
     for _ in range(ROUNDS):
-        found = _meet(_met_at(edges, nodes, neighbours), neighbours)
+        members_of = materialise(_members_of(edges, nodes, before, neighbours), "graph-meetings")
+        found = materialise(_meet(_met_at(members_of, edges, nodes, neighbours), neighbours), "graph-found-edges")
         new = materialise(_best(edges.unionByName(found), neighbours), "graph-edges")
-        fresh = new.join(edges.select("node", "other"), ["node", "other"], "left_anti").count()
-        discard(edges)
-        edges = new
+        fresh = new.join(found.select("node", "other").distinct(), ["node", "other"], "left_semi").join(edges.select("node", "other"), ["node", "other"], "left_anti").count()
+        for df in (edges, found, *([before] if before is not None else [])):
+            discard(df)
+        edges, before = new, members_of
         if fresh <= STILL * n * neighbours:
             break
+    discard(before)
     both = edges.union(edges.select("other", "node", "similarity"))
     candidates = _best(both, 2 * neighbours).select("node", "other")
-    links = candidates.join(nodes.toDF("other", "vector"), "other").join(nodes.toDF("node", "own"), "node").groupBy("node").applyInArrow(_diverse(degree), "node long, links array<long>")
+    there = candidates.join(nodes.toDF("other", "vector"), "other").select(F.col("node").alias("meeting"), F.col("other").alias("node"), "vector", F.lit(0.0).alias("reach"), F.lit(False).alias("fresh"))
+    own = nodes.select(F.col("node").alias("meeting"), "node", "vector", F.lit(0.0).alias("reach"), F.lit(True).alias("fresh"))
+    links = _dealt(there.unionByName(own)).mapInArrow(_by_meeting(_diverse(degree), pa.schema([("node", pa.int64()), ("links", pa.list_(pa.int64()))])), "node long, links array<long>")
     made = materialise(nodes.join(links, "node", "left").select("node", "vector", F.coalesce("links", F.array().cast("array<long>")).alias("links")), "graph-nodes")
     for df in (whole, nodes, edges):
         discard(df)
@@ -63,38 +69,87 @@ def build(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
 
 
 def _chance_meetings(nodes: DataFrame, n: int, seed: int) -> DataFrame:
-    """meeting, node, vector: nodes dealt by a hash into meetings of some MEETING."""
-    return nodes.select(F.concat_ws("-", F.lit(seed), F.pmod(F.xxhash64(F.lit(seed), "node"), F.lit(max(1, n // MEETING)))).alias("meeting"), "node", "vector")
+    """meeting, node, vector, reach, fresh: nodes dealt by a hash into meetings of some MEETING."""
+    meeting = F.xxhash64(F.lit(seed), F.pmod(F.xxhash64(F.lit(seed), "node"), F.lit(max(1, n // MEETING))))
+    return nodes.select(meeting.alias("meeting"), "node", "vector", F.lit(float("-inf")).alias("reach"), F.lit(True).alias("fresh"))
 
 
-def _met_at(edges: DataFrame, nodes: DataFrame, neighbours: int) -> DataFrame:
-    """meeting, node, vector: at each node its neighbours, as many of those whose neighbour it is, and itself."""
+def _members_of(edges: DataFrame, nodes: DataFrame, before: DataFrame | None, neighbours: int) -> DataFrame:
+    """at, who, fresh: at each node its neighbours, as many of those whose neighbour it is, and itself; fresh are those that
+    weren't there `before`."""
     back = edges.select(F.col("other").alias("at"), F.col("node").alias("who"), F.row_number().over(Window.partitionBy("other").orderBy(F.desc("similarity"), "node")).alias("place"))
     there = edges.select(F.col("node").alias("at"), F.col("other").alias("who")).union(back.filter(F.col("place") <= neighbours).select("at", "who")).union(nodes.select("node", "node")).distinct()
-    return there.join(nodes, there.who == nodes.node).select(F.col("at").cast("string").alias("meeting"), "node", "vector")
+    if before is None:
+        return there.withColumn("fresh", F.lit(True))
+    return there.join(before.select("at", "who", F.lit(True).alias("_old")), ["at", "who"], "left").select("at", "who", F.col("_old").isNull().alias("fresh"))
+
+
+def _met_at(members_of: DataFrame, edges: DataFrame, nodes: DataFrame, neighbours: int) -> DataFrame:
+    """meeting, node, vector, reach, fresh: who meets at each node that has a fresh one, with the similarity that a
+    neighbour must have to be among its nearest."""
+    wanted = members_of.join(members_of.filter("fresh").select("at").distinct(), "at", "left_semi")
+    full = edges.groupBy("node").agg(F.when(F.count("*") >= neighbours, F.min("similarity")).alias("reach"))
+    known = nodes.join(full, "node", "left").select("node", "vector", F.coalesce("reach", F.lit(float("-inf"))).alias("reach"))
+    return wanted.join(known, wanted.who == known.node).select(F.col("at").alias("meeting"), "node", "vector", "reach", "fresh")
+
+
+def _dealt(meetings: DataFrame) -> DataFrame:
+    """Meetings whole and one after the other in a task, vectors of one length together."""
+    return meetings.withColumn("size", F.size("vector")).repartition("meeting").sortWithinPartitions("meeting", "size", "node")
+
+
+def _by_meeting(one, schema: pa.Schema):
+    """Batches of rows in the order of _dealt() to what `one` makes of equally large groups at a time: of the arrays meeting
+    (groups), node (groups, members), vectors (groups, members, length), reach and fresh. A group is one meeting's vectors of one length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+
+        def made(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            table = table.combine_chunks()
+            meeting, node, reach = (table.column(c).to_numpy() for c in ("meeting", "node", "reach"))
+            size, fresh, lists = table.column("size").to_numpy(), table.column("fresh").to_numpy(), table.column("vector").combine_chunks()
+            flat, offset = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(size)])
+            begin = np.flatnonzero(np.concatenate([[True], (meeting[1:] != meeting[:-1]) | (size[1:] != size[:-1])]))
+            count = np.diff(np.append(begin, len(meeting)))
+            for length, m in sorted({(int(size[b]), int(c)) for b, c in zip(begin, count, strict=True)}):
+                same = begin[(size[begin] == length) & (count == m)]
+                most = max(1, _VALUES // (m * max(length, m)))
+                for at in range(0, len(same), most):
+                    rows = same[at : at + most, None] + np.arange(m)
+                    x = flat[offset[rows][..., None] + np.arange(length)].astype(np.float64)
+                    yield pa.RecordBatch.from_pydict(one(meeting[rows[:, 0]], node[rows], x, reach[rows], fresh[rows]), schema)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = pa.Table.from_batches([batch])
+            held = now if held is None else pa.concat_tables([held, now])
+            meeting = held.column("meeting").to_numpy()
+            end = int(np.searchsorted(meeting, meeting[-1]))  # the last meeting may go on
+            if end:
+                yield from made(held.slice(0, end))
+                held = held.slice(end)
+        if held is not None:
+            yield from made(held)
+
+    return run
 
 
 def _meet(meetings: DataFrame, k: int) -> DataFrame:
-    """node, other, similarity: of each node the k nearest at each meeting."""
-
-    def run(group: pa.Table) -> pa.Table:
-        node = group.column("node").to_numpy()
-        size = group.column("vector").combine_chunks().value_lengths().to_numpy()
-        out = [[], [], []]
-        for length in np.unique(size):
-            at = np.flatnonzero(size == length)
-            x = np.array(group.column("vector").take(pa.array(at)).to_pylist(), np.float64)
-            near = np.round(x @ x.T, 6)
-            np.fill_diagonal(near, -np.inf)
-            few = min(k, len(at) - 1)
-            best = np.argsort(-near, axis=1, kind="stable")[:, :few]
-            rows = np.repeat(np.arange(len(at)), few)
-            for column, made in zip(out, (node[at][rows], node[at][best.ravel()], near[rows, best.ravel()]), strict=True):
-                column.append(made)
-        node, other, similarity = (np.concatenate(c) for c in out)
-        return pa.table({"node": pa.array(node, pa.int64()), "other": pa.array(other, pa.int64()), "similarity": pa.array(similarity, pa.float64())})
-
-    return meetings.groupBy("meeting").applyInArrow(run, "node long, other long, similarity double")
+    """node, other, similarity: of each node the k nearest at each meeting, of pairs that a fresh one is in and within its reach."""
+
+    def one(_, node, x, reach, fresh) -> dict:
+        near = np.round(x @ x.transpose(0, 2, 1), 6)
+        near[(near < reach[:, :, None]) | ~(fresh[:, :, None] | fresh[:, None, :])] = -np.inf
+        near[:, np.arange(near.shape[1]), np.arange(near.shape[1])] = -np.inf
+        best = np.argsort(-near, axis=2, kind="stable")[:, :, :k]
+        value = np.take_along_axis(near, best, 2)
+        g, i, j = np.nonzero(value > -np.inf)
+        return {"node": node[g, i], "other": node[g, best[g, i, j]], "similarity": value[g, i, j]}
+
+    schema = pa.schema([("node", pa.int64()), ("other", pa.int64()), ("similarity", pa.float64())])
+    return _dealt(meetings).mapInArrow(_by_meeting(one, schema), "node long, other long, similarity double")
 
 
 def _best(edges: DataFrame, k: int) -> DataFrame:
@@ -105,21 +160,27 @@ def _best(edges: DataFrame, k: int) -> DataFrame:
 
 def _diverse(degree: int):
     """Of a node's candidates, nearest first, those nearer to it than to any that stays before; while
-    there is room, the nearest of the others too."""
-
-    def run(group: pa.Table) -> pa.Table:
-        own = np.array(group.column("own")[0].as_py(), np.float64)
-        other, x = group.column("other").to_numpy(), np.array(group.column("vector").to_pylist(), np.float64)
-        near = x @ own
-        order = np.lexsort((other, -near))
-        stay: list[int] = []
-        for c in order:
-            if len(stay) < degree and (not stay or (x[stay] @ x[c] < near[c]).all()):
-                stay.append(int(c))
-        stay += [int(c) for c in order if c not in stay][: degree // 2 - len(stay)] if len(stay) < degree // 2 else []
-        return pa.table({"node": [group.column("node")[0].as_py()], "links": pa.array([other[stay].tolist()], pa.list_(pa.int64()))})
-
-    return run
+    there is room, the nearest of the others too. The node itself is the fresh one of its group."""
+
+    def one(meeting, node, x, _, fresh) -> dict:
+        like, made = x @ x.transpose(0, 2, 1), []
+        for g in range(len(node)):
+            own = int(fresh[g].argmax()) if fresh[g].any() else -1
+            if own < 0:  # candidates of another length than the node's own
+                made.append([])
+                continue
+            near = like[g, own]
+            order, stay, left = [int(c) for c in np.lexsort((node[g], -near)) if c != own], [], []
+            for c in order:
+                if len(stay) < degree and (not stay or (like[g, c, stay] < near[c]).all()):
+                    stay.append(c)
+                else:
+                    left.append(c)
+            made.append(node[g, stay + left[: max(0, degree // 2 - len(stay))]].tolist())
+        kept = [g for g, links in enumerate(made) if links]
+        return {"node": meeting[kept], "links": [made[g] for g in kept]}
+
+    return one
 
 
 def search(graph: VectorGraph, queries: DataFrame, k: int = 10, width: int = 128) -> DataFrame:

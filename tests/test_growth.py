@@ -45,3 +45,16 @@ def test_clusters_list_no_pairs_of_items(spark, monkeypatch):
     items = spark.range(1200).select(F.lit("a").alias("owner"), F.lit("x").alias("kind"), F.col("id").alias("item_id"), F.format_string("word%d common", F.col("id") % 4).alias("text"), F.array(F.col("id").cast("double") + 1, F.lit(10.0)).alias("vector"))
     got = {(r.item_id, r.seed) for r in clusters.clusters(items, 0.3, 1.0).collect()}
     assert got == {(n, 0) for n in range(1200)} and max(sizes.values()) <= 3 * 1200
+
+
+def test_vectors_meet_again_for_fresh_ones_only(spark):
+    """Nothing meets twice; where a neighbour is fresh, its pairs within reach are made and no others."""
+    from quern.operators import vector_graph as N
+
+    nodes = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.8, 0.6]), (3, [0.0, 1.0])], "node long, vector array<float>")
+    edges = spark.createDataFrame([(1, 2, 0.8), (2, 1, 0.8), (3, 2, 0.6)], "node long, other long, similarity double")
+    first = N._members_of(edges, nodes, None, 1)
+    again = N._members_of(edges, nodes, first, 1)
+    assert first.filter("fresh").count() == first.count() == again.count() > 0 and N._met_at(again, edges, nodes, 1).isEmpty()
+    made = {(r.node, r.other, r.similarity) for r in N._meet(N._met_at(first, edges, nodes, 1), 1).collect()}
+    assert made == {(1, 2, 0.8), (2, 1, 0.8), (3, 2, 0.6)}  # 2 has nearer ones than 3
