@@ -239,13 +239,15 @@ def parse_graph(replies: DataFrame, kinds: list[str] | None = None) -> tuple[Dat
     from quern.functions.prepare import fenced_json
 
     schema = "nodes array<struct<name:string>>, relations array<struct<`from`:string,`to`:string,type:string>>"
-    read = replies.select("id", F.from_json(fenced_json(F.col("text")), schema).alias("g")).filter("g IS NOT NULL")
-    edges = read.select("id", F.explode("g.relations").alias("r")).select("id", F.trim("r.from").alias("a"), F.trim("r.to").alias("b"), F.col("r.type").alias("kind"))
-    edges = edges.filter("a != '' AND b != '' AND a != b").distinct()
-    edges = edges.filter(F.col("kind").isin(kinds)) if kinds else edges
-    named = read.select("id", F.explode("g.nodes").alias("n")).select("id", F.trim("n.name").alias("name")).filter("name != ''")
-    ends = edges.select("id", F.explode(F.array("a", "b")).alias("name"))
-    return named.union(ends).distinct(), edges
+    read = replies.select("id", F.from_json(fenced_json(F.col("text")), schema).alias("g"))
+    end = lambda r: F.struct(F.trim(r["from"]).alias("a"), F.trim(r["to"]).alias("b"), r["type"].alias("kind"))
+    true = lambda e: (e["a"] != "") & (e["b"] != "") & (e["a"] != e["b"]) & (e["kind"].isin(kinds) if kinds else F.lit(True))
+    found = F.coalesce(F.array_distinct(F.filter(F.transform("g.relations", end), true)), F.array().cast("array<struct<a:string,b:string,kind:string>>"))
+    named = F.coalesce(F.filter(F.transform("g.nodes", lambda n: F.trim(n["name"])), lambda n: n != ""), F.array().cast("array<string>"))
+    names = F.array_union(named, F.flatten(F.transform(found, lambda e: F.array(e["a"], e["b"]))))
+    # A reply is read once and brings no row twice; the outer kind of explode keeps Spark from reading it for a filter first.
+    edges = read.select("id", F.explode_outer(found).alias("e")).filter("e IS NOT NULL").select("id", "e.*").distinct()
+    return read.select("id", F.explode_outer(names).alias("name")).filter("name IS NOT NULL").distinct(), edges
 
 
 def merge_nodes(nodes: DataFrame, new: DataFrame) -> DataFrame:

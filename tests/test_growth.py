@@ -58,3 +58,20 @@ def test_vectors_meet_again_for_fresh_ones_only(spark):
     assert first.filter("fresh").count() == first.count() == again.count() > 0 and N._met_at(again, edges, nodes, 1).isEmpty()
     made = {(r.node, r.other, r.similarity) for r in N._meet(N._met_at(first, edges, nodes, 1), 1).collect()}
     assert made == {(1, 2, 0.8), (2, 1, 0.8), (3, 2, 0.6)}  # 2 has nearer ones than 3
+
+
+def test_replies_are_read_once(spark):
+    """No second reading, no shuffle of rows that lie by id; odd replies and ids with several."""
+    from quern.operators import graph
+
+    said = ['{"nodes": [{"name": " p "}, {"name": "p"}, {}, {"name": ""}], "relations": [{"from": "p", "to": "q ", "type": "t"}, {"from": "p", "to": "q", "type": "t"}, {"from": "p", "to": "p", "type": "t"}, {"from": "z", "to": "p", "type": "u"}, {"from": "z"}]}',
+            '{"nodes": [{"name": "p"}]}', '{"relations": [{"from": "a", "to": "p", "type": "t"}]}', "none", None, "{}"]
+    rows = spark.createDataFrame([(n // 3, t) for n, t in enumerate(said)], "id long, text string")
+    nodes, edges = graph.parse_graph(rows, ["t"])
+    assert sorted(map(tuple, edges.collect())) == [(0, "a", "p", "t"), (0, "p", "q", "t")]
+    assert sorted(map(tuple, nodes.collect())) == [(0, "a"), (0, "p"), (0, "q")]
+    assert sorted(map(tuple, graph.parse_graph(rows)[1].collect())) == [(0, "a", "p", "t"), (0, "p", "q", "t"), (0, "z", "p", "u")]
+    by_id = rows.groupBy("id").agg(F.max("text").alias("text"))
+    for made in graph.parse_graph(by_id, ["t"]):
+        plan = made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert plan.count("Exchange hashpartitioning") == 1 and plan.count("from_json") <= 2
