@@ -14,13 +14,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.session import materialise
+from quern.session import discard, materialise, spread
 
 K1, B = 1.2, 0.75
 BLOCK = 4096  # query vectors that one pass over the index broadcasts
 SCORES = 1 << 21  # scores that a task holds at once
 GROUP = 20_000  # keyword queries whose words one scan of the texts counts
 SCORED, SLICE = 256, 1024  # keyword queries, and documents, that are scored at once
+KEPT = 150_000  # candidates that a task keeps, over the keyword queries of one pass over the counts
+SHARED, DENSE = 1 / 1000, 1 << 22  # share of pairs from which a word is a column of a dense product, and cells of such columns
 LONG_LIST = 1000  # ids above which a filter becomes a join
 
 
@@ -99,52 +101,77 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id
     (query_id, query); any shared word makes a candidate.
 
     One scan of the texts leaves the counts of words that some query has (queries come in
-    groups of GROUP, a scan each). These narrow rows are scored where they lie, SCORED
-    queries at a time, and every task passes on k candidates a query, so that a common word
-    brings no documents and queries together. Ranks go by the score to six places, then the
-    smaller id.
+    groups of GROUP, a scan each; texts that are scanned again are dealt to tasks first).
+    These narrow rows are scored where they lie, SCORED queries at a time, and every task
+    passes on k candidates a query, so that a common word brings no documents and queries
+    together. Words that many pairs of a query and a document share are multiplied as dense
+    columns, all others are added pair by pair, and of the scores only those that may be among
+    a query's k best so far are looked at. Ranks go by the score to six places, then the smaller id.
     """
     groups = max(1, math.ceil(queries.count() / GROUP))
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    if groups > 1:
+        docs = materialise(spread(docs, "doc_id"), "bm25-texts")
     out = None
     for group in range(groups):
         part = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(groups)) == group).select("query_id", "query").orderBy("query_id").collect()
-        found = _bm25_group(docs, [(r.query_id, sorted(set(search_words(r["query"])))) for r in part], queries.schema["query_id"].dataType, k, id_col, text_col) if part else None
+        found = _bm25_group(docs, [(r.query_id, sorted(set(search_words(r["query"])))) for r in part], queries.schema["query_id"].dataType, k) if part else None
         out = found if out is None or found is None else out.unionByName(found)
+    if groups > 1:
+        discard(docs)
     if out is None:
-        kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {docs.schema[id_col].dataType.simpleString()}, score double, rank int"
+        kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, rank int"
         return docs.sparkSession.createDataFrame([], kinds)
     return _top(out, k, "query_id", [F.desc("score"), F.asc("doc_id")]).select("query_id", "doc_id", "score", "rank")
 
 
-def _bm25_group(docs: DataFrame, asked: list[tuple], query_type, k: int, id_col: str, text_col: str) -> DataFrame:
+def _bm25_group(docs: DataFrame, asked: list[tuple], query_type, k: int) -> DataFrame:
     context = docs.sparkSession.sparkContext
     terms = {t: n for n, t in enumerate(dict.fromkeys(t for _, words in asked for t in words))}
     wanted = context.broadcast(terms)
-    kind = docs.schema[id_col].dataType.simpleString()
-    postings = materialise(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_count_words(wanted), f"doc_id {kind}, len int, term array<int>, tf array<int>"),
-        "bm25-postings",
-    )
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    counted = docs.mapInArrow(_count_words(wanted), f"doc_id {kind}, len int, term array<int>, tf array<int>")
+    # Counts are narrow: dealt to tasks, few enough that the candidates of all of them are few.
+    tasks = min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), max(8, 2 * context.defaultParallelism))
+    postings = materialise(counted.repartition(tasks, "doc_id"), "bm25-postings")
     n_docs, avg_len = postings.agg(F.count("*"), F.avg("len")).first()
     df = np.zeros(len(terms))
     for r in postings.select(F.explode("term").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect():
         df[r.t] = r.n
     idf = np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
     out = None
-    for at in range(0, len(asked), SCORED):
-        some = asked[at : at + SCORED]
-        own = sorted({terms[t] for _, words in some for t in words})
-        local = np.full(len(terms), -1)
-        local[own] = np.arange(len(own))
-        has = np.zeros((len(own), len(some)))
-        for q, (_, words) in enumerate(some):
-            has[local[[terms[t] for t in words]], q] = 1
-        sent = context.broadcast((pa.array([q for q, _ in some]), local, has * idf[own][:, None], avg_len or 1.0))
+    most = max(SCORED, KEPT // max(1, k))
+    for at in range(0, len(asked), most):
+        some = asked[at : at + most]
+        query = np.repeat(np.arange(len(some)), [len(words) for _, words in some])
+        term = np.array([terms[t] for _, words in some for t in words], np.int64)
+        sent = context.broadcast((pa.array([q for q, _ in some]), *_weights(query, term, len(some), df / max(1, n_docs), idf), avg_len or 1.0))
         found = postings.filter(F.size("term") > 0).mapInArrow(_score_words(sent, k), f"query_id {query_type.simpleString()}, doc_id {kind}, score double")
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def _weights(query: np.ndarray, term: np.ndarray, queries: int, share: np.ndarray, idf: np.ndarray) -> tuple:
+    """Columns of terms that at least SHARED of the pairs share (-1: none), their weights (queries, columns), and for each
+    SCORED queries the other terms: the terms, where each one's queries begin, and the queries by term."""
+    pairs = np.bincount(term, minlength=len(share)) / max(1, queries) * share
+    common = np.argsort(-pairs, kind="stable")[: max(1, DENSE // max(1, queries, SLICE))]
+    common = common[pairs[common] >= SHARED]
+    column = np.full(len(share), -1, np.int32)
+    column[common] = np.arange(len(common))
+    dense = np.zeros((queries, len(common)))
+    of = column[term]
+    dense[query[of >= 0], of[of >= 0]] = idf[term[of >= 0]]
+    query, term = query[of < 0], term[of < 0]
+    others = []
+    for at in range(0, queries, SCORED):
+        low, high = np.searchsorted(query, [at, at + SCORED])
+        order = np.argsort(term[low:high], kind="stable")
+        own, first = np.unique(term[low:high][order], return_index=True)
+        others.append((own, np.append(first, high - low), query[low:high][order] - at))
+    return column, dense, others, idf
+
+
 def _count_words(wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = wanted.value.get
@@ -165,21 +192,35 @@ def _count_words(wanted):
 
 def _score_words(sent, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries, local, weight, avg_len = sent.value
+        queries, column, dense, others, idf, avg_len = sent.value
         best = Best(len(queries), k)
+        local = np.full(len(column), -1, np.int32)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                lists = part.column("term")
-                row = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
-                term = local[lists.flatten().to_numpy()]
+                lists, n = part.column("term"), part.num_rows
+                row = np.repeat(np.arange(n), lists.value_lengths().to_numpy(zero_copy_only=False))
+                term = lists.flatten().to_numpy()
                 tf = part.column("tf").flatten().to_numpy().astype(float)
                 length = part.column("len").to_numpy().astype(float)[row]
-                hit = term >= 0
-                made = np.zeros((part.num_rows, len(weight)))
-                made[row[hit], term[hit]] = (tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / avg_len)))[hit]
-                scores = np.round(made @ weight, 6)
-                best.add(scores.T, part.column("doc_id"), scores.T > 0)
+                made = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / avg_len))
+                of = column[term]
+                common = np.zeros((dense.shape[1], n))
+                common[of[of >= 0], row[of >= 0]] = made[of >= 0]
+                row, term, made = row[of < 0], term[of < 0], (made * idf[term])[of < 0]
+                for block, (own, first, query) in enumerate(others):
+                    start = block * SCORED
+                    scores = dense[start : start + SCORED] @ common
+                    local[own] = np.arange(len(own))
+                    found = local[term]
+                    local[own] = -1
+                    hit = np.flatnonzero(found >= 0)
+                    found = found[hit]
+                    times = first[found + 1] - first[found]
+                    place = np.repeat(first[found] - np.cumsum(times) + times, times) + np.arange(times.sum())
+                    cell = (query * n)[place] + np.repeat(row[hit], times)
+                    np.add.at(scores.reshape(-1), cell, np.repeat(made[hit], times))
+                    best.add_near(start, scores, part.column("doc_id"))
         yield from best.rows(queries, "doc_id")
 
     return run
@@ -191,6 +232,8 @@ class Best:
     def __init__(self, queries: int, k: int):
         self.k, self.query, self.score, self.ids = k, np.empty(0, np.int64), np.empty(0), None
         self.queries = queries
+        self.least = np.zeros(queries)  # a score that the k best of each query reach
+        self.new, self.waiting = [], 0  # candidates that came since the last cut
 
     def add(self, scores: np.ndarray, ids: pa.Array, ok: np.ndarray) -> None:
         """Scores (queries, rows) of the rows of these ids, where `ok`."""
@@ -199,23 +242,45 @@ class Best:
             least = np.partition(np.where(ok, scores, -np.inf), scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
             ok = ok & (scores >= least[:, None])
         query, row = np.nonzero(ok)
-        new = ids.take(pa.array(row))
-        self.ids = new if self.ids is None else pa.concat_arrays([self.ids, new])
-        self.query, self.score = np.concatenate([self.query, query]), np.concatenate([self.score, scores[query, row]])
-        if len(self.query) > 8 * self.k * max(1, self.queries):
+        self._wait(query, scores[query, row], ids.take(pa.array(row)))
+
+    def add_near(self, first: int, scores: np.ndarray, ids: pa.Array) -> None:
+        """Scores above 0, to six places, of some queries from `first` on, and of the rows of these ids."""
+        least = self.least[first : first + len(scores)]
+        ok = scores > np.maximum(least - 1e-6, 0)[:, None]
+        if np.count_nonzero(ok) > 4 * self.k * len(scores) and scores.shape[1] > 4 * self.k:
+            kth = np.partition(scores, scores.shape[1] - self.k, axis=1)[:, scores.shape[1] - self.k]
+            np.maximum(least, np.round(kth, 6), out=least)
+            ok = scores > np.maximum(least - 1e-6, 0)[:, None]
+        cell = np.flatnonzero(ok)
+        score = np.round(scores.reshape(-1)[cell], 6)
+        cell, score = cell[score > 0], score[score > 0]
+        self._wait(cell // scores.shape[1] + first, score, ids.take(pa.array(cell % scores.shape[1])))
+
+    def _wait(self, query: np.ndarray, score: np.ndarray, ids: pa.Array) -> None:
+        self.new.append((query, score, ids))
+        self.waiting += len(query)
+        if len(self.query) + self.waiting > 8 * self.k * max(1, self.queries):
             self._cut()
 
     def _cut(self) -> None:
+        if self.new:
+            query, score, ids = zip(*self.new, strict=True)
+            self.query, self.score = np.concatenate([self.query, *query]), np.concatenate([self.score, *score])
+            self.ids = pa.concat_arrays([*([] if self.ids is None else [self.ids]), *ids])
+            self.new, self.waiting = [], 0
         by_id = pc.rank(self.ids, tiebreaker="dense").to_numpy()
         order = np.lexsort((by_id, -self.score, self.query))
         query = self.query[order]
         first = np.flatnonzero(np.concatenate(([True], query[1:] != query[:-1])))
         place = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
+        kth = order[place == self.k - 1]
+        self.least[self.query[kth]] = np.maximum(self.least[self.query[kth]], self.score[kth])
         order = order[place < self.k]
         self.query, self.score, self.ids = self.query[order], self.score[order], self.ids.take(pa.array(order))
 
     def rows(self, queries: pa.Array, name: str) -> Iterator[pa.RecordBatch]:
-        if len(self.query):
+        if len(self.query) + self.waiting:
             self._cut()
             yield pa.RecordBatch.from_arrays([queries.take(pa.array(self.query)), self.ids, pa.array(self.score)], ["query_id", name, "score"])
 

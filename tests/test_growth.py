@@ -89,3 +89,38 @@ def test_short_chunks_fetch_few_neighbours(spark):
     for n in (7, 415):
         content, joined, _ = stitch.widen_one({k - n: t for k, t in enumerate(texts)}, 350, 850, -n, len(texts) - 1 - n)
         assert made[n] == (content, joined)
+
+
+def test_many_keyword_queries_share_a_pass(spark, monkeypatch):
+    """Counts are gone through once for thousands of queries, with the scores that each pair has by itself."""
+    import math
+    import random
+
+    from quern.operators import retrieval as R
+
+    draw = random.Random(5)
+    texts = {n: " ".join(draw.choices([f"w{int(draw.paretovariate(0.6))}" for _ in range(40)], k=draw.randint(0, 30))) for n in range(1500)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    asked = df.filter("doc_id < 600").selectExpr("doc_id AS query_id", "text AS query")
+    counts = {n: t.split() for n, t in texts.items()}
+    mean, seen = sum(map(len, counts.values())) / len(counts), {}
+    for words in counts.values():
+        for w in set(words):
+            seen[w] = seen.get(w, 0) + 1
+
+    def score(q, d):
+        own, idf = counts[d], lambda w: math.log(1 + (len(texts) - seen[w] + 0.5) / (seen[w] + 0.5))
+        return round(sum(idf(w) * (n := own.count(w)) * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(own) / mean)) for w in set(counts[q]) & set(own)), 6)
+
+    want = {}
+    for q in range(0, 600, 20):
+        best = sorted((-s, d) for d in texts if (s := score(q, d)) > 0)[:4]
+        want |= {(q, place + 1): (d, -s) for place, (s, d) in enumerate(best)}
+    made = R.bm25(df, asked, 4)
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    for settings in ({}, {"GROUP": 100}, {"SHARED": 2}, {"SHARED": 0, "SLICE": 64}, {"KEPT": 1200, "SCORED": 70, "SLICE": 50}):
+        with monkeypatch.context() as m:
+            for name, value in settings.items():
+                m.setattr(R, name, value)
+            got = {(r.query_id, r["rank"]): (r.doc_id, r.score) for r in R.bm25(df, asked, 4).collect() if r.query_id % 20 == 0}
+        assert got.keys() == want.keys() and all(got[at][0] == d and abs(got[at][1] - s) < 2e-6 for at, (d, s) in want.items())
