@@ -1,9 +1,9 @@
 """A stored keyword index: postings in segments of documents of similar length, with what bounds their scores.
 
 A segment is SEGMENT documents that one task read, cut from a longer stretch that is sorted by length.
-`postings` has a row for each word and segment (places, counts, and the largest count and the shortest
-document, which bound the word's score there for any average length), in folders by the word's
-hash; `segments` has the ids and lengths; `sizes` a row for each addition. A search reads the bounds of
+`segments` has a row for each segment and folder of words (by the word's hash) with all its words there (places,
+counts, and the largest count and the shortest document, which bound the word's score there for any average
+length), and one with the ids and lengths in a folder of its own; `sizes` has a row for each addition. A search reads the bounds of
 its words, scores the most promising segments first, and then reads the postings of those segments
 only whose summed bounds reach a query's k-th score so far. Scores are those of retrieval.bm25().
 """
@@ -11,7 +11,7 @@ only whose summed bounds reach a query's k-th score so far. Scores are those of
 from __future__ import annotations
 
 import uuid
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,12 +19,15 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quern.operators.retrieval import K1, SCORED, B, Best, _top, search_words
-from quern.session import discard, materialise
+from quern.session import materialise
 
 SEGMENT, STRETCH = 128, 4096  # documents of a segment, and of the stretch that is sorted by length
-FOLDERS = 8  # of postings, by the word's hash
+POSTING = "struct<word:string,places:array<int>,counts:array<int>,most:int,shortest:int>"
+MOST_WORDS, WORDS = 1 << 22, 1 << 16  # words that end a stretch, and postings that leave a task at once
+FOLDERS, WHOLE = 8, -1  # of words, by their hash, and the folder of ids and lengths
 FIRST = 4  # of each query's segments, those with the highest bounds, that are scored first, and at least k documents'
 
 
@@ -41,30 +44,30 @@ class KeywordIndex:
         """Add documents; what the index has stays as it is. Rows are documents, repeated ids too; null
         texts are empty ones. An addition is seen when it is complete: its sizes are written last."""
         kind, mark = docs.schema[id_col].dataType.simpleString(), uuid.uuid4().hex
-        shape = f"word string, segment string, places array<int>, counts array<int>, most int, shortest int, ids array<{kind}>, lengths array<int>"
-        made = materialise(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_segments(mark, docs.schema[id_col].dataType), shape), "segments")
-        folder = F.pmod(F.xxhash64("word"), F.lit(self.folders)).cast("int")
-        words = made.filter("word IS NOT NULL").select("word", "segment", "places", "counts", "most", "shortest", folder.alias("folder"), F.lit(mark).alias("addition"))
+        shape = f"folder int, segment string, words array<{POSTING}>, ids array<{kind}>, lengths array<int>"
+        made = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_segments(mark, self.folders, docs.schema[id_col].dataType), shape)
         # Files of Spark's advisory size: folders with common words in several tasks, small ones together.
-        words.hint("rebalance", F.col("folder")).sortWithinPartitions("folder", "word").write.mode("append").partitionBy("addition", "folder").parquet(f"{self.path}/postings")
-        whole = made.filter("word IS NULL").select("segment", "ids", "lengths", F.lit(mark).alias("addition"))
-        whole.write.mode("append").partitionBy("addition").parquet(f"{self.path}/segments")
+        made = made.withColumn("addition", F.lit(mark)).hint("rebalance", F.col("folder"))
+        made.sortWithinPartitions("folder").write.mode("append").partitionBy("addition", "folder").parquet(f"{self.path}/segments")
+        whole = self._rows(kind).filter((F.col("addition") == mark) & (F.col("folder") == WHOLE))
         size = whole.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0)).alias("n_docs"), F.coalesce(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0)).alias("n_words"))
         size.select("*", F.lit(kind).alias("id_type"), F.lit(mark).alias("addition")).coalesce(1).write.mode("append").parquet(f"{self.path}/sizes")
-        discard(made)
         return self
 
+    def _rows(self, kind: str) -> DataFrame:
+        shape = f"segment string, words array<{POSTING}>, ids array<{kind}>, lengths array<int>, addition string, folder int"
+        return self.spark.read.schema(shape).parquet(f"{self.path}/segments")
+
     def _sizes(self) -> tuple[int, int, str]:
         """How many documents and words there are, and the type of the ids."""
         return self.spark.read.parquet(f"{self.path}/sizes").agg(F.sum("n_docs"), F.sum("n_words"), F.max("id_type")).first()
 
     def _tables(self) -> tuple[DataFrame, DataFrame, int, float]:
         """postings and segments of complete additions, and how many documents and words a document there are."""
-        read = self.spark.read.parquet
-        sizes = read(f"{self.path}/sizes")
-        n_docs, n_words, _ = self._sizes()
-        complete = F.broadcast(sizes.select("addition"))
-        postings, segments = (read(f"{self.path}/{t}").join(complete, "addition", "left_semi") for t in ("postings", "segments"))
+        sizes = self.spark.read.parquet(f"{self.path}/sizes")
+        n_docs, n_words, kind = self._sizes()
+        rows = self._rows(kind).join(F.broadcast(sizes.select("addition")), "addition", "left_semi")
+        postings, segments = rows.filter(F.col("folder") != WHOLE), rows.filter(F.col("folder") == WHOLE)
         return postings, segments, n_docs or 0, (n_words or 0) / n_docs if n_docs else 0.0
 
     def search(self, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -91,11 +94,12 @@ class KeywordIndex:
         postings, segments, n_docs, mean = self._tables()
         kind = segments.schema["ids"].dataType.elementType.simpleString()
         words = list(dict.fromkeys(w for _, own in asked for w in own))
-        table = self.spark.createDataFrame([(w, n) for n, w in enumerate(words)], "word string, term int").withColumn("folder", F.pmod(F.xxhash64("word"), F.lit(self.folders)).cast("int"))
-        folders = [r.folder for r in table.select("folder").distinct().collect()]
-        # Folders and columns are pruned; of the words, what bounds them.
-        own = postings.filter(F.col("folder").isin(folders)).join(F.broadcast(table.select("word", "term")), "word")
-        heads = materialise(own.select("term", "segment", F.size("places").alias("n"), "most", "shortest"), "bounds")
+        table = self.spark.createDataFrame([(w, n) for n, w in enumerate(words)], "word string, term int")
+        # Folders are pruned, and their rows are gone through once: only the queries' words leave them.
+        wanted = F.filter("words", lambda p: p["word"].isin(words))
+        own = postings.filter(F.col("folder").isin(sorted({_folder(w, self.folders) for w in words}))).select("segment", F.explode(wanted).alias("p")).select("segment", "p.*")
+        own = materialise(own.join(F.broadcast(table), "word").drop("word"), "bounds")
+        heads = own.select("term", "segment", F.size("places").alias("n"), "most", "shortest")
         seen = np.zeros(len(words))
         for r in heads.groupBy("term").agg(F.sum("n").alias("n")).collect():
             seen[r.term] = r.n
@@ -135,49 +139,73 @@ class KeywordIndex:
         return rows.mapInArrow(_score_segments(sent, k), f"query_id {query_type.simpleString()}, doc_id {kind}, score double")
 
 
+def _folder(word: str, folders: int) -> int:
+    return zlib.crc32(word.encode()) % folders
+
+
 def _saturated(count, length, mean: float):
     return count * (K1 + 1) / (count + K1 * (1 - B + B * length / mean))
 
 
-def _segments(mark: str, id_type):
+def _segments(mark: str, folders: int, id_type):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, number, held, ids_of = TaskContext.get().partitionId(), 0, [], None
+        task, number, held, size = TaskContext.get().partitionId(), 0, [], 0
+        id_kind, numbers = to_arrow_type(id_type), pa.list_(pa.int32())
+        posting = pa.struct({"word": pa.string(), "places": numbers, "counts": numbers, "most": pa.int32(), "shortest": pa.int32()})
+
+        def rows(n: int, **columns: pa.Array) -> pa.RecordBatch:
+            kinds = {"folder": pa.int32(), "segment": pa.string(), "words": pa.list_(posting), "ids": pa.list_(id_kind), "lengths": numbers}
+            return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(n, t) for c, t in kinds.items()], list(kinds))
 
         def made(stretch: list[tuple]) -> Iterator[pa.RecordBatch]:
             nonlocal number
-            stretch.sort(key=lambda d: d[1])
-            for at in range(0, len(stretch), SEGMENT):
-                part, postings = stretch[at : at + SEGMENT], {}
-                for place, (_, length, counts) in enumerate(part):
-                    for word, n in counts.items():
-                        own = postings.setdefault(word, ([], [], [0, length]))
-                        own[0].append(place)
-                        own[1].append(n)
-                        own[2][0] = max(own[2][0], n)
-                name, number = f"{mark}-{task}-{number}", number + 1
-                words = list(postings)
-                columns = [
-                    pa.array([None, *words], pa.string()), pa.array([name] * (1 + len(words)), pa.string()),
-                    pa.array([None, *(p[0] for p in postings.values())], pa.list_(pa.int32())), pa.array([None, *(p[1] for p in postings.values())], pa.list_(pa.int32())),
-                    pa.array([None, *(p[2][0] for p in postings.values())], pa.int32()), pa.array([None, *(p[2][1] for p in postings.values())], pa.int32()),
-                    pa.array([[d[0] for d in part], *[None] * len(words)], pa.list_(ids_of)), pa.array([[d[1] for d in part], *[None] * len(words)], pa.list_(pa.int32())),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, ["word", "segment", "places", "counts", "most", "shortest", "ids", "lengths"])
+            stretch.sort(key=lambda d: len(d[1]))
+            lengths = np.array([len(words) for _, words in stretch], np.int32)
+            starts = np.arange(0, len(stretch), SEGMENT)
+            labels = pa.array([f"{mark}-{task}-{number + n}" for n in range(len(starts))])
+            number += len(starts)
+            ends = np.append(starts, len(stretch)).astype(np.int32)
+            yield rows(len(starts), folder=pa.array([WHOLE] * len(starts), pa.int32()), segment=labels, ids=pa.ListArray.from_arrays(ends, pa.array([i for i, _ in stretch], id_kind)), lengths=pa.ListArray.from_arrays(ends, pa.array(lengths)))
+            words = pa.concat_arrays([words for _, words in stretch]).dictionary_encode()
+            known = words.dictionary
+            if not len(known):
+                return
+            # Segment, folder, word and document in one number: its repeats are the word's count.
+            folder = np.array([_folder(w, folders) for w in known.to_pylist()])
+            doc, word = np.repeat(np.arange(len(stretch)), lengths), words.indices.to_numpy()
+            key, count = np.unique((((doc // SEGMENT) * folders + folder[word]) * len(known) + word) * SEGMENT + doc % SEGMENT, return_counts=True)
+            place, pair = (key % SEGMENT).astype(np.int32), key // SEGMENT
+            count, first = count.astype(np.int32), _starts(pair)
+            part, word = np.divmod(pair[first], len(known))
+            most, shortest = np.maximum.reduceat(count, first), lengths[part // folders * SEGMENT + place[first]]
+            lists = (pa.ListArray.from_arrays(np.append(first, len(key)).astype(np.int32), pa.array(x)) for x in (place, count))
+            postings = pa.StructArray.from_arrays([known.take(pa.array(word)), *lists, pa.array(most), pa.array(shortest)], fields=list(posting))
+            row = _starts(part)
+            packed = pa.ListArray.from_arrays(np.append(row, len(part)).astype(np.int32), postings, type=pa.list_(posting))
+            segment, folder = labels.take(pa.array(part[row] // folders)), pa.array((part[row] % folders).astype(np.int32))
+            cuts = np.unique(np.append(np.searchsorted(row, np.arange(0, len(part), WORDS)), len(row)))
+            for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+                yield rows(high - low, folder=folder[low:high], segment=segment[low:high], words=packed[low:high])
 
         for batch in batches:
-            ids_of = batch.column("doc_id").type
             for i, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
-                words = search_words(text.as_py())
-                held.append((i.as_py(), len(words), Counter(words)))
-                if len(held) == STRETCH:
+                words = pa.array(search_words(text.as_py()), pa.string())
+                held.append((i.as_py(), words))
+                size += len(words)
+                if len(held) == STRETCH or size >= MOST_WORDS:
                     yield from made(held)
-                    held = []
+                    held, size = [], 0
         if held:
             yield from made(held)
 
     return run
 
 
+def _starts(values: np.ndarray) -> np.ndarray:
+    """Where runs of the same value begin."""
+    return np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
+
+
 def _sum_bounds(sent):
     """Rows (segment, terms, bounds) to (segment, q, bound) of the queries with any of the words."""
 

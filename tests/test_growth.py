@@ -124,3 +124,19 @@ def test_many_keyword_queries_share_a_pass(spark, monkeypatch):
                 m.setattr(R, name, value)
             got = {(r.query_id, r["rank"]): (r.doc_id, r.score) for r in R.bm25(df, asked, 4).collect() if r.query_id % 20 == 0}
         assert got.keys() == want.keys() and all(got[at][0] == d and abs(got[at][1] - s) < 2e-6 for at, (d, s) in want.items())
+
+
+def test_keyword_index_rows_grow_by_segments(spark, tmp_path, monkeypatch):
+    """An index has a row for each segment and folder, whatever the number of words, and a stretch ends by its words too."""
+    from quern.operators import keyword_index as K
+    from quern.operators import retrieval as R
+
+    monkeypatch.setattr(K, "SEGMENT", 16)
+    monkeypatch.setattr(K, "MOST_WORDS", 2000, raising=False)
+    df = spark.range(0, 320, 1, 2).selectExpr("id AS doc_id", "CASE WHEN id % 50 = 7 THEN NULL ELSE concat_ws(' ', 'all', transform(sequence(0, 30 + id % 9), x -> concat('w', id * x % 997))) END AS text")
+    asked = spark.createDataFrame([(1, "w12 w40 all"), (2, "w500 w3"), (3, "nowhere"), (4, None)], "query_id long, query string")
+    index = K.KeywordIndex(spark, str(tmp_path / "i"), folders=4).add(df.filter("doc_id < 100")).add(df.filter("doc_id >= 100"))
+    rows = [spark.read.parquet(str(f)).count() for f in (tmp_path / "i").iterdir() if f.name != "sizes"]
+    assert sum(rows) <= 5 * (320 / 16 + 2 * 2 * 8) < df.selectExpr("explode(split(text, ' ')) AS w", "doc_id").count() / 10
+    got, want = (sorted(map(tuple, found.collect())) for found in (index.search(asked, 6), R.bm25(df, asked, 6)))
+    assert got == want and {g[0] for g in got} == {1, 2}
