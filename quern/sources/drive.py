@@ -27,10 +27,29 @@ from dataclasses import dataclass
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs as store
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition, WriterCommitMessage
 
 SCHEMA = "item_id string, version string, scan long, gone boolean, text string"
 BUCKETS, DEPTH = 64, 2
+ROWS, CHARS = 1000, 4_000_000  # items, and characters of their texts, with which a slice leaves a task
+
+
+def _slices(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Rows of SCHEMA in slices by number and size; Spark would hold thousands of texts at once."""
+    kinds = pa.schema({"item_id": pa.string(), "version": pa.string(), "scan": pa.int64(), "gone": pa.bool_(), "text": pa.string()})
+    held, size = [], 0
+
+    def made() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), kinds, strict=True)], schema=kinds)
+
+    for row in rows:
+        held.append(row)
+        size += len(row[-1] or "")
+        if len(held) >= ROWS or size >= CHARS:
+            yield made()
+            held, size = [], 0
+    if held:
+        yield made()
 
 
 def _open(path: str) -> tuple[store.FileSystem, str]:
@@ -98,7 +117,10 @@ class DriveReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         return [Bucket(n, folders) for n, folders in sorted(self.folders.dealt().items())]
 
-    def read(self, partition: Bucket) -> Iterator[tuple]:
+    def read(self, partition: Bucket) -> Iterator[pa.RecordBatch]:
+        return _slices(self._rows(partition))
+
+    def _rows(self, partition: Bucket) -> Iterator[tuple]:
         for item_id, version in self.folders.items(partition.folders):
             text = self.folders.text(item_id) if self.contents else None
             if text is not None or not self.contents:
@@ -184,7 +206,14 @@ class DriveStreamReader(DataSourceStreamReader):
                 fs.delete_dir(f"{root}/scan={scan}")
 
 
-class DriveWriter(DataSourceWriter):
+class SlicedStreamReader(DriveStreamReader):
+    """The same rows, in slices."""
+
+    def read(self, partition: Bucket) -> Iterator[pa.RecordBatch]:
+        return _slices(super().read(partition))
+
+
+class DriveWriter(DataSourceArrowWriter):
     """One file a row, put in place whole; of rows with one key any stays."""
 
     def __init__(self, options: dict, overwrite: bool):
@@ -192,15 +221,16 @@ class DriveWriter(DataSourceWriter):
             raise ValueError("a drive is written by append; delete items by a null text")
         self.path = options["path"]
 
-    def write(self, iterator: Iterator) -> WriterCommitMessage:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         fs, root = _open(self.path)
         made: set[str] = set()
-        for row in iterator:
-            folder, _, name = f"{row['item_id'] or ''}".rpartition("/")
-            if not name or {"", ".", ".."} & set(row["item_id"].split("/")):
-                raise ValueError(f"not a path below the root: {row['item_id']!r}")
-            target = f"{root}/{row['item_id']}"
-            if row["text"] is None:
+        for item_id, content in ((i.as_py(), t) for batch in iterator for i, t in zip(batch.column("item_id"), batch.column("text"), strict=True)):
+            text = content.as_py()  # one at a time
+            folder, _, name = f"{item_id or ''}".rpartition("/")
+            if not name or {"", ".", ".."} & set(item_id.split("/")):
+                raise ValueError(f"not a path below the root: {item_id!r}")
+            target = f"{root}/{item_id}"
+            if text is None:
                 if fs.get_file_info(target).type == store.FileType.File:
                     fs.delete_file(target)
                 continue
@@ -209,7 +239,7 @@ class DriveWriter(DataSourceWriter):
                 made.add(folder)
             parts = f"{root}/{folder}".rstrip("/") + f"/.{uuid.uuid4().hex}"
             with fs.open_output_stream(parts) as file:
-                file.write(row["text"].encode())
+                file.write(text.encode())
             fs.move(parts, target)
         return WriterCommitMessage()
 
@@ -225,8 +255,8 @@ class Drive(DataSource):
     def reader(self, schema) -> DriveReader:
         return DriveReader(dict(self.options))
 
-    def streamReader(self, schema) -> DriveStreamReader:
-        return DriveStreamReader(dict(self.options))
+    def streamReader(self, schema) -> SlicedStreamReader:
+        return SlicedStreamReader(dict(self.options))
 
     def writer(self, schema, overwrite: bool) -> DriveWriter:
         return DriveWriter(dict(self.options), overwrite)

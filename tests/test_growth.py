@@ -140,3 +140,27 @@ def test_keyword_index_rows_grow_by_segments(spark, tmp_path, monkeypatch):
     assert sum(rows) <= 5 * (320 / 16 + 2 * 2 * 8) < df.selectExpr("explode(split(text, ' ')) AS w", "doc_id").count() / 10
     got, want = (sorted(map(tuple, found.collect())) for found in (index.search(asked, 6), R.bm25(df, asked, 6)))
     assert got == want and {g[0] for g in got} == {1, 2}
+
+
+def test_drive_reads_in_slices(spark, tmp_path, monkeypatch):
+    """What a task reads leaves it in slices by number and size, the same rows as before, and a scan is left after the last."""
+    from quern.sources import drive
+
+    items = spark.range(0, 300, 1, 2).selectExpr("concat('h/', id % 3, '/', id, '.txt') AS item_id", "CASE WHEN id = 7 THEN '' ELSE repeat('x', int(id)) END AS text")
+    spark.dataSource.register(drive.Drive)
+    items.write.format("drive").mode("append").option("path", str(tmp_path / "root")).save()
+    want = {tuple(r) for r in items.collect()}
+    options = {"path": str(tmp_path / "root"), "state": str(tmp_path / "state"), "buckets": "2"}
+    monkeypatch.setattr(drive, "ROWS", 100, raising=False)
+    monkeypatch.setattr(drive, "CHARS", 5000, raising=False)
+    for reader in (drive.Drive(options).reader(None), drive.Drive(options).streamReader(None)):
+        got = []
+        for number, folders in reader.folders.dealt().items():
+            for batch in reader.read(drive.Bucket(number, folders, 0, 1)):
+                texts = batch.column("text").to_pylist()
+                assert len(texts) <= 100 and sum(map(len, texts[:-1])) < 5000
+                got += zip(batch.column("item_id").to_pylist(), texts, strict=True)
+        assert len(got) == 300 and set(got) == want
+    assert reader._scans() == [1] and not list(reader.read(drive.Bucket(0, reader.folders.dealt().get(0, []), 1, 2)))
+    read = spark.read.format("drive").options(**options).load().select("item_id", "text")
+    assert {tuple(r) for r in read.collect()} == want
