@@ -3,9 +3,9 @@
 A segment is SEGMENT documents that one task read, cut from a longer stretch that is sorted by length.
 `segments` has a row for each segment and folder of words (by the word's hash) with all its words there (places,
 counts, and the largest count and the shortest document, which bound the word's score there for any average
-length), and one with the ids and lengths in a folder of its own; `sizes` has a row for each addition. A search reads the bounds of
-its words, scores the most promising segments first, and then reads the postings of those segments
-only whose summed bounds reach a query's k-th score so far. Scores are those of retrieval.bm25().
+length), and one with the ids and lengths in a folder of its own; `sizes` has a row for each addition. A
+search goes through the rows of its words' folders once, scores the segments with the highest bounds first,
+and then those only whose summed bounds reach a query's k-th score so far. Scores are those of retrieval.bm25().
 """
 
 from __future__ import annotations
