@@ -23,6 +23,9 @@ from quern.session import materialise
 SCALES = ((16, 16), (4, 5))  # characters of a gram, and grams of which the least is chosen; the first that fits a pattern counts
 SHORTEST = SCALES[-1][0] + SCALES[-1][1] - 1  # patterns below have their own length as their scale
 SENT = 50_000_000  # characters of patterns that are broadcast with their places
+HELD, LONGEST = 2_000_000, 64  # characters of short patterns (some 250 MB with their beginnings) that every worker keeps, and of one of them
+FOUND = 1 << 20  # rows of what was found that a task passes on at once
+ENDS, GOES_ON = 1, 2  # a pattern ends here, a longer one goes on
 _PRIME, _ALL = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 
@@ -187,12 +190,69 @@ def found_in(texts: DataFrame, patterns: DataFrame, few_patterns: bool, most: in
     return held.filter(F.substr("text", F.col("start") + 1, F.length("pattern")) == F.col("pattern")).select("text_id", "pattern_id").distinct()
 
 
-def containing(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text", within: bool = True) -> DataFrame:
+class Beginnings:
+    """Patterns and all their beginnings, to be followed from every place of a text."""
+
+    def __init__(self, patterns: list[str]):
+        self.of: dict[str, int] = {}
+        for p in patterns:
+            self.of[p] = self.of.get(p, 0) | ENDS
+            for n in range(1, len(p)):
+                self.of[p[:n]] = self.of.get(p[:n], 0) | GOES_ON
+
+    def within(self, text: str) -> set[str]:
+        get, found = self.of.get, set()
+        for start in range(len(text)):
+            end = start + 1
+            while k := get(text[start:end]):
+                if k & ENDS:
+                    found.add(text[start:end])
+                if not k & GOES_ON or end == len(text):
+                    break
+                end += 1
+        return found
+
+
+def _followed(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """text_id, pattern_id of few and short patterns (id, text), made where the texts (id, text) are read, and nothing shuffled."""
+    sent = texts.sparkSession.sparkContext.broadcast(patterns.select("id", "text").toArrow())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, places = sent.value.column("id").combine_chunks(), {}
+        for k, p in enumerate(sent.value.column("text").to_pylist()):
+            places.setdefault(p, []).append(k)
+        known = Beginnings(list(places))
+        for batch in batches:
+            row, at = [], []
+            for k, text in enumerate(batch.column("text")):
+                found = [n for p in known.within(text.as_py()) for n in places[p]]
+                row += [k] * len(found)
+                at += found
+                if len(at) > FOUND or k == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row, pa.int32())), ids.take(pa.array(at, pa.int32()))], ["text_id", "pattern_id"])
+                    row, at = [], []
+
+    return texts.select("id", "text").mapInArrow(run, f"text_id {texts.schema['id'].dataType.simpleString()}, pattern_id {patterns.schema['id'].dataType.simpleString()}")
+
+
+def _found(texts: DataFrame, patterns: DataFrame, follow: bool) -> DataFrame:
+    """found_in() of few patterns; with `follow`, patterns of up to LONGEST characters are followed, if they have up to HELD together."""
+    short = patterns.filter(F.length("text").between(1, LONGEST)).distinct()
+    if not follow or short.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] > HELD:
+        return found_in(texts, patterns, True)
+    long, made = patterns.filter(F.length("text") > LONGEST), _followed(texts.filter("text != ''"), short)
+    made = made if long.isEmpty() else made.unionByName(found_in(texts, long, True))
+    repeated = lambda rows: not rows.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+    return made.distinct() if repeated(patterns.distinct()) or repeated(texts) else made
+
+
+def containing(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text", within: bool = True, follow: bool = False) -> DataFrame:
     """doc_id, passage_id: documents that contain a passage (passage_id, passage) or, with `within`,
-    are contained in one, null ids left out. Passages are the smaller table."""
+    are contained in one, null ids left out. Passages are the smaller table; `follow` is for many short ones that most documents
+    have some of: they are followed through the texts then, and what is found stays where it is."""
     whole = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL")
     parts = passages.select(F.col("passage_id").alias("id"), F.col("passage").alias("text")).filter("id IS NOT NULL")
-    found = found_in(whole, parts, True).select(F.col("text_id").alias("doc_id"), F.col("pattern_id").alias("passage_id"))
+    found = _found(whole, parts, follow).select(F.col("text_id").alias("doc_id"), F.col("pattern_id").alias("passage_id"))
     if not within:
         return found
     longest = parts.agg(F.coalesce(F.max(F.length("text")), F.lit(0))).first()[0]

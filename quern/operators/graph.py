@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.operators.relations import similar_across
-from quern.session import discard, materialise
+from quern.operators.relations import MAP_SIDE, similar_across
+from quern.session import discard, materialise, spread
 
 MOST_LEVELS = 16
 
@@ -93,11 +93,13 @@ SALTS, BLOCK = 32, 4096  # tasks that share a title's pages, and slugs that move
 
 def _titles_within(pages: DataFrame, titles: DataFrame) -> DataFrame:
     """slug, title: pages (slug, text) that have a title of `titles` (title), each title once however many pages
-    bear it, found by anchor grams; see quern.operators.containment."""
+    bear it: short titles are followed through the texts, which are dealt to tasks, and others found by anchor grams;
+    see quern.operators.containment."""
     from quern.operators.containment import containing
 
     each = titles.select("title").distinct().select(F.col("title").alias("passage_id"), F.col("title").alias("passage"))
-    return containing(pages, each, "slug", "text", within=False).select(F.col("doc_id").alias("slug"), F.col("passage_id").alias("title"))
+    found = containing(spread(pages.select("slug", "text"), "slug"), each, "slug", "text", within=False, follow=True)
+    return found.select(F.col("doc_id").alias("slug"), F.col("passage_id").alias("title"))
 
 
 def _salted(at: DataFrame, of: DataFrame) -> DataFrame:
@@ -113,15 +115,17 @@ def _of_several_titles(pages: DataFrame) -> bool:
 def missing_links(pages: DataFrame, links: DataFrame) -> DataFrame:
     """slug, target: pages (slug, title, text) whose text has another page's title without a link
     (slug, target) to it. A page meets titles, and these bring their pages in blocks: the pairs, of which
-    there are as many as pages and targets that they name, are made where they are written and never shuffled."""
-    titles = pages.filter("trim(title) != ''").select("title", "slug").distinct()
+    there are as many as pages and targets that they name, are made where they are written and never shuffled.
+    Nor are titles that pages have, while the pages' titles and the links are few enough to be broadcast."""
+    titles = materialise(pages.filter("trim(title) != ''").select("title", "slug").distinct(), "titles")
     sizes = titles.groupBy("title").agg(F.ceil(F.count("*") / BLOCK).alias("_n"))
     blocks = titles.join(sizes, "title").groupBy("title", F.pmod(F.xxhash64("slug"), F.col("_n")).alias("_block")).agg(F.collect_list("slug").alias("_targets")).drop("_block")
     linked = links.groupBy("slug").agg(F.collect_set("target").alias("_linked"))
-    found = _titles_within(pages, titles).join(linked, "slug", "left")
-    pairs = _salted(found, blocks).select("slug", "_linked", F.explode("_targets").alias("target")).filter("slug != target")
+    found = _titles_within(pages, titles).join(F.broadcast(linked) if links.count() <= MAP_SIDE else linked, "slug", "left")
+    pairs = found.join(F.broadcast(blocks), "title") if titles.count() <= MAP_SIDE else _salted(found, blocks)
+    pairs = pairs.select("slug", "_linked", F.explode("_targets").alias("target")).filter("slug != target")
     pairs = pairs.filter(F.col("_linked").isNull() | ~F.array_contains("_linked", F.col("target"))).select("slug", "target")
-    return pairs.distinct() if _of_several_titles(titles) else pairs
+    return pairs.distinct() if _of_several_titles(pages) else pairs
 
 
 #: Where no link may go: code, links of both kinds, addresses. Fixed value.

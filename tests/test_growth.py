@@ -164,3 +164,33 @@ def test_drive_reads_in_slices(spark, tmp_path, monkeypatch):
     assert reader._scans() == [1] and not list(reader.read(drive.Bucket(0, reader.folders.dealt().get(0, []), 1, 2)))
     read = spark.read.format("drive").options(**options).load().select("item_id", "text")
     assert {tuple(r) for r in read.collect()} == want
+
+
+def test_titles_that_pages_have_are_never_shuffled(spark):
+    """Short titles are followed through the texts: what pages have of them, and the pairs, stay in the task that found them."""
+    from quern.operators import graph
+
+    words = [f"w{k}" for k in range(40)] + ["é", "a" * 70]
+    texts = [(k, words[k % 42], " ".join(words[(k * j) % 42] for j in range(1, 30))) for k in range(300)]
+    pages = spark.createDataFrame(texts, "slug long, title string, text string").repartition(2)
+    links = spark.createDataFrame([(k, (k * 7 + 3) % 50) for k in range(300)], "slug long, target long")
+    made = graph.missing_links(pages, links)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, made.collect())) == sorted({(k, s) for k, _, text in texts for s, t, _ in texts if s != k and t in text} - {(k, (k * 7 + 3) % 50) for k in range(300)})
+    followed = graph._titles_within(pages, pages.filter("length(title) < 60"))
+    steps = followed._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in steps and steps.count("Exchange hashpartitioning") == 1  # the texts, once
+
+
+def test_patterns_are_followed_or_anchored(spark, monkeypatch):
+    """Few short patterns, many, and repeated ids: the same pairs by both ways."""
+    from quern.operators import containment as C
+
+    texts = spark.createDataFrame([(k % 50, ("abcab" * (k % 7) + f"x{k % 11}é" * (k % 3)) or None) for k in range(60)], "doc_id long, text string")
+    parts = spark.createDataFrame([(k, p) for k, p in enumerate(["a", "ab", "ab", "bca", "abcabcab", "x1", "éx1", "", "q", None, "abcab" * 6])] + [(None, "a"), (0, "b"), (1, "abcab" * 6)], "passage_id long, passage string")
+    want = {(t, p) for t, x in texts.collect() for p, y in parts.collect() if x and y and p is not None and y in x}
+    for held, longest in ((2_000_000, 64), (2_000_000, 3), (5, 64)):
+        monkeypatch.setattr(C, "HELD", held, raising=False)
+        monkeypatch.setattr(C, "LONGEST", longest, raising=False)
+        got = [tuple(r) for r in C.containing(texts, parts, within=False, follow=True).collect()]
+        assert len(got) == len(want) and set(got) == want
