@@ -24,6 +24,7 @@ SCALES = ((16, 16), (4, 5))  # characters of a gram, and grams of which the leas
 SHORTEST = SCALES[-1][0] + SCALES[-1][1] - 1  # patterns below have their own length as their scale
 SENT = 50_000_000  # characters of patterns that are broadcast with their places
 HELD, LONGEST = 2_000_000, 64  # characters of short patterns (some 250 MB with their beginnings) that every worker keeps, and of one of them
+FEW = 100  # patterns of which each is looked for by itself
 FOUND = 1 << 20  # rows of what was found that a task passes on at once
 ENDS, GOES_ON = 1, 2  # a pattern ends here, a longer one goes on
 _PRIME, _ALL = 0x9E3779B97F4A7C15, (1 << 64) - 1
@@ -194,6 +195,7 @@ class Beginnings:
     """Patterns and all their beginnings, to be followed from every place of a text."""
 
     def __init__(self, patterns: list[str]):
+        self.few: list[str] = patterns if len(patterns) <= FEW else []
         self.of: dict[str, int] = {}
         for p in patterns:
             self.of[p] = self.of.get(p, 0) | ENDS
@@ -201,6 +203,8 @@ class Beginnings:
                 self.of[p[:n]] = self.of.get(p[:n], 0) | GOES_ON
 
     def within(self, text: str) -> set[str]:
+        if self.few:
+            return {p for p in self.few if p in text}
         get, found = self.of.get, set()
         for start in range(len(text)):
             end = start + 1

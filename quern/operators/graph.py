@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
+from quern.operators.containment import ENDS, GOES_ON, HELD, LONGEST, SENT, Beginnings
 from quern.operators.relations import MAP_SIDE, similar_across
 from quern.session import discard, materialise, spread
 
@@ -205,11 +206,8 @@ def _titles_as_words(pages: DataFrame, titles: DataFrame) -> DataFrame:
     return by_run.distinct() if others.isEmpty() else by_run.unionByName(_titles_within(pages, others)).distinct()
 
 
-def linked_pages(pages: DataFrame) -> DataFrame:
-    """slug, text of pages (slug, title, text) with links to the other pages whose titles they have.
-    Of the pages that bear one title, a page is given only as many, the first by slug, as it has places for
-    them, and those besides that link_text() may pass over: the page itself and what its text links to."""
-    titles = pages.filter("title != ''").select("title", F.col("slug").cast("string").alias("bearer")).distinct()
+def _linked_by_shuffles(pages: DataFrame, titles: DataFrame) -> DataFrame:
+    """linked_pages() for more titles or bearers than a task can hold: pages, titles and bearers meet in joins."""
     texts = pages.select("slug", "text")
 
     @F.pandas_udf("array<struct<title:string,n:int>>")
@@ -236,6 +234,76 @@ def linked_pages(pages: DataFrame) -> DataFrame:
     return texts.join(named, "slug", "left").select("slug", F.when(F.col("titles").isNull(), F.col("text")).otherwise(linked("text", F.col("slug").cast("string"), F.coalesce("titles", F.array().cast(named.schema["titles"].dataType)))).alias("text"))
 
 
+class WordTitles(Beginnings):
+    """Titles to be followed from where one can begin: not within words if it begins with a word letter."""
+
+    def __init__(self, titles: list[str]):
+        super().__init__(titles)
+        firsts = {t[0] for t in titles}
+        sets = ["[" + "".join(map(re.escape, sorted(s))) + "]" if s else "(?!)" for s in (firsts & WORD, firsts - WORD)]
+        self.starts = re.compile(rf"(?<![A-Za-z0-9_]){sets[0]}|{sets[1]}")
+
+    def places(self, free: str) -> dict[str, int]:
+        """title_places() for all of them at once, of a text that free_text() made."""
+        get, size, found, ends = self.of.get, len(free), {}, {}
+        for m in self.starts.finditer(free):
+            start = m.start()
+            end = start + 1
+            while k := get(free[start:end]):
+                if k & ENDS and not (end < size and free[end - 1] in WORD and free[end] in WORD):
+                    title = free[start:end]
+                    if ends.get(title, 0) <= start:
+                        found[title], ends[title] = found.get(title, 0) + 1, end
+                if not k & GOES_ON or end == size:
+                    break
+                end += 1
+        return found
+
+
+def linked_pages(pages: DataFrame) -> DataFrame:
+    """slug, text of pages (slug, title, text) with links to the other pages whose titles they have.
+    Of the pages that bear one title, a page is given only as many, the first by slug, as it has places for
+    them, and those besides that link_text() may pass over: the page itself and what its text links to.
+
+    Up to MAP_SIDE bearers of titles that are short enough are sent to all tasks: then a text is dealt to a task once, and
+    finds its titles, their places and bearers there."""
+    titles = materialise(pages.filter("title != ''").select("title", F.col("slug").cast("string").alias("bearer")).distinct(), "titles")
+    size, n = titles.agg(F.coalesce(F.sum(F.length("title")), F.lit(0)), F.count("*")).first()
+    each = titles.select("title").distinct()
+    if n > MAP_SIDE or size > SENT or each.agg(F.coalesce(F.sum(F.length("title")), F.lit(0))).first()[0] > HELD:
+        return _linked_by_shuffles(pages, titles)
+    follow = F.col("title").rlike(RUN.pattern) & (F.length("title") <= LONGEST)
+    others = each.filter(~follow)
+    texts = spread(pages.select("slug", "text"), "slug")
+    if others.isEmpty():
+        at = texts.withColumn("titles", F.array().cast("array<string>"))
+    else:
+        at = texts.join(_titles_within(pages, others).groupBy("slug").agg(F.collect_list("title").alias("titles")), "slug", "left")
+    several = _of_several_titles(titles.withColumnRenamed("bearer", "slug"))  # then a page may be linked already by another title
+    sent = pages.sparkSession.sparkContext.broadcast(titles.select("title", "bearer", follow.alias("follow")).orderBy("title", "bearer").toArrow())
+
+    @F.pandas_udf("string")
+    def linked(rows: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        bearers = sent.value.column("bearer").combine_chunks()
+        first, followed = {}, []
+        for k, (title, follows) in enumerate(zip(sent.value.column("title").to_pylist(), sent.value.column("follow").to_pylist(), strict=True)):
+            if title not in first:
+                first[title] = k
+                followed += [title] * follows
+        places = [*first.values(), len(bearers)]
+        last, known = dict(zip(first, places[1:], strict=True)), WordTitles(followed)
+
+        def one(own: str, text: str, others: list[str] | None) -> str:
+            found = known.places(free_text(text)) | (dict(title_places(text, list(others))) if others is not None else {})
+            spare = text.count("[[") + 2 + several * sum(found.values())
+            return link_text(text, [(b, t) for t, n in found.items() for b in bearers.slice(first[t], min(n + spare, last[t] - first[t])).to_pylist() if b != own])
+
+        for slugs, text, others in rows:
+            yield pd.Series([None if t is None else one(s, t, o) for s, t, o in zip(slugs, text, others, strict=True)], dtype=object)
+
+    return at.select("slug", linked(F.col("slug").cast("string"), "text", "titles").alias("text"))
+
+
 def parse_graph(replies: DataFrame, kinds: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes (id, name) and edges (id, a, b, kind) of replies (id, text): JSON objects, in a fence or
     not, with "nodes" [{name}] and "relations" [{from, to, type}]. Ends that no node names become

@@ -1,5 +1,6 @@
 """What keeps queries whole and quick on larger tables: work is dealt, slices stay in step, classes stand for pairs."""
 
+import random
 import sys
 
 import pytest
@@ -194,3 +195,24 @@ def test_patterns_are_followed_or_anchored(spark, monkeypatch):
         monkeypatch.setattr(C, "LONGEST", longest, raising=False)
         got = [tuple(r) for r in C.containing(texts, parts, within=False, follow=True).collect()]
         assert len(got) == len(want) and set(got) == want
+
+
+def test_linked_pages_read_texts_once(spark):
+    """Titles, places and bearers meet in the texts' task: the same links as by joins, and no join but with titles without words."""
+    from quern.operators import graph
+
+    rng = random.Random(11)
+    words = ["a", "a-", "-a", "b", "ab", "a b", "b,", "é b", "[[3|b]]", "`a`", "c" * 70, "a.b"]
+    rows = [(k, rng.choice(words), " ".join(rng.choices(words, k=rng.randrange(30))) if k % 9 else None) for k in range(120)]
+    pages = spark.createDataFrame(rows + [(5, "ab", "a b ab b a")], "slug long, title string, text string")
+    joined = graph._linked_by_shuffles(pages, pages.filter("title != ''").selectExpr("title", "string(slug) AS bearer").distinct())
+    made = graph.linked_pages(pages)
+    assert sorted(map(repr, made.collect())) == sorted(map(repr, joined.collect()))
+    plain = graph.linked_pages(pages.filter("length(title) < 60"))
+    plan = plain._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("ArrowEvalPython") == 1 and plan.count("Repartition") == 1
+    texts = ["", *(r.text for r in made.collect() if r.text)]
+    known = graph.WordTitles([w for w in words if len(w) < 60])
+    for text in texts:
+        free = graph.free_text(text)
+        assert known.places(free) == dict(graph.title_places(text, [w for w in words if len(w) < 60]))
