@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.operators import sql_surface as S
+from quern.operators.chunking import rounded
 from quern.plans.registry import query
 from quern.session import materialise, remove, shared_dir, table
 from quern.sources import files, html
@@ -153,8 +154,21 @@ _sql("sql_rollup", "SELECT r_name, n_name, count(*) AS n FROM customer JOIN nati
 _sql("sql_exists", """SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)
   AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')""")
 _sql("sql_correlated", "SELECT o_orderkey, o_totalprice FROM orders o WHERE o_totalprice > (SELECT 1.5 * avg(i.o_totalprice) FROM orders i WHERE i.o_custkey = o.o_custkey)")
-_sql("sql_cte_window", """WITH yearly AS (SELECT o_custkey, year(o_orderdate) AS y, sum(o_totalprice) AS total FROM orders GROUP BY o_custkey, year(o_orderdate))
+
+
+@query("""WITH yearly AS (SELECT o_custkey, year(o_orderdate) AS y, sum(o_totalprice) AS total FROM orders GROUP BY o_custkey, year(o_orderdate))
   SELECT o_custkey, CAST(y AS BIGINT) AS y, round(total, 2) AS total, row_number() OVER (PARTITION BY y ORDER BY total DESC, o_custkey) AS place FROM yearly""")
+def sql_cte_window(spark, sf_dir):
+    """A customer's years by their totals. The SQL orders by sums of doubles, whose last bits hang on the order of adding: here it is
+    the order of keys, whatever the partitions, so that equal orders make equal totals and customers decide."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", F.year("o_orderdate").alias("y"), "o_orderkey", "o_totalprice")
+    adding = Window.partitionBy("o_custkey", "y").orderBy("o_orderkey", "o_totalprice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    added = orders.select("o_custkey", "y", F.sum("o_totalprice").over(adding).alias("total"), F.count("*").over(adding).alias("n"))
+    yearly = added.groupBy("o_custkey", "y").agg(F.max_by("total", "n").alias("total"))
+    place = F.row_number().over(Window.partitionBy("y").orderBy(F.desc_nulls_last("total"), F.asc_nulls_last("o_custkey")))
+    return yearly.select("o_custkey", F.col("y").cast("long").alias("y"), rounded(F.col("total"), 2).alias("total"), place.alias("place"))
+
+
 _sql("sql_full_join", "SELECT coalesce(s_nationkey, c_nationkey) AS nationkey, coalesce(n_s, 0) AS n_s, coalesce(n_c, 0) AS n_c FROM (SELECT s_nationkey, count(*) AS n_s FROM supplier WHERE s_acctbal > 5000 GROUP BY s_nationkey) a FULL JOIN (SELECT c_nationkey, count(*) AS n_c FROM customer WHERE c_acctbal > 9000 GROUP BY c_nationkey) b ON s_nationkey = c_nationkey")
 _sql("sql_distinct_from", "SELECT count(*) AS n FROM lineitem WHERE (CASE WHEN l_returnflag = 'N' THEN NULL ELSE l_linestatus END) IS DISTINCT FROM 'F'")
 

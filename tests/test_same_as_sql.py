@@ -1,5 +1,7 @@
 """Queries against their SQL where the tables of the smallest scale have too little to tell: odd texts, ties."""
 
+import datetime
+
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -21,3 +23,20 @@ def test_document_profile_of_odd_texts(spark, tmp_path, same_rows):
     got, want = QUERIES["document_profile"](spark, str(tmp_path)).toPandas(), db.execute(ORACLE_SQL["document_profile"]).df()
     assert len(want) == len(ODD) - 1
     same_rows(got, want)
+
+
+def test_yearly_totals_whatever_the_partitions(spark, tmp_path, same_rows):
+    """Equal orders make equal totals though their rows lie in other files, so that customers decide, as in the SQL by one thread."""
+    prices = [[round(0.1 * (k * j % 97) + 1234.07 * j, 2) for j in range(1, 6)] for k in range(1, 60)]
+    rows = [(k + 1000 * copy, p, (copy, j)) for copy in (0, 1) for k, own in enumerate(prices) for j, p in enumerate(own)]
+    parts = [[r for r in rows if r[2] == (0, 0)], [r for r in rows if r[2] != (0, 0)]]
+    (tmp_path / "orders.parquet").mkdir()
+    keys, when = iter(range(10_000)), datetime.datetime(1997, 5, 6)
+    for name, part in zip("ab", parts, strict=True):
+        part = sorted(part, key=lambda r: r[2])
+        made = {"o_orderkey": pa.array([next(keys) for _ in part], pa.int64()), "o_custkey": pa.array([r[0] for r in part], pa.int64()), "o_totalprice": [r[1] for r in part], "o_orderdate": pa.array([when] * len(part), pa.timestamp("us"))}
+        pq.write_table(pa.table(made), tmp_path / "orders.parquet" / f"{name}.parquet")
+    db = duckdb.connect()
+    db.execute("SET threads = 1")
+    db.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    same_rows(QUERIES["sql_cte_window"](spark, str(tmp_path)).toPandas(), db.execute(ORACLE_SQL["sql_cte_window"]).df())
